@@ -51,14 +51,14 @@ def keyword_evidence(
     name to text. Vendors without a contract get an empty list.
     """
     matches = match_contract_files(requests.select("vendor_id", "vendor_name").distinct(), contracts)
-    wanted = requests.join(
-        matches.where(F.col("contract_file").isNotNull()).drop("vendor_name"), "vendor_id", "left"
+    files = matches.where(F.col("contract_file").isNotNull()).select(
+        "vendor_id", F.col("contract_file").alias("_file")
     )
-    texts = contracts.select("contract_file", F.col("text").alias("_text"))
-    found = wanted.join(texts, "contract_file", "left").withColumns(
+    texts = contracts.select(F.col("contract_file").alias("_file"), F.col("text").alias("_text"))
+    found = requests.join(files, "vendor_id", "left").join(texts, "_file", "left").withColumns(
         {
             "_terms": query_terms(F.col("top_risk_factors"), extra_terms),
-            "_vendor": contract_vendor_name(F.col("_text"), F.col("contract_file")),
+            "_vendor": contract_vendor_name(F.col("_text"), F.col("_file")),
             "_sections": section_array(F.col("_text"), headings, types),
         }
     )
@@ -73,7 +73,7 @@ def keyword_evidence(
             shown.alias("text"),
             F.col("_vendor").alias("vendor_name"),
             section["clause_type"].alias("clause_type"),
-            F.col("contract_file").alias("source"),
+            F.col("_file").alias("source"),
             score.alias("score"),
         )
 

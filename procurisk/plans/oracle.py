@@ -1,2 +1,913 @@
-def oracle_queries():
-    return {}
+"""The registered queries as plain SQL, written independently of the Spark plans.
+
+Each query is a SELECT over named common table expressions; ``oracle_queries`` puts the ones it needs in
+front. Rounding to n decimals goes through text, which rounds the binary value like the Spark side does.
+"""
+
+from __future__ import annotations
+
+import re
+
+from procurisk import config as C
+
+
+def _round(expression: str, digits: int) -> str:
+    return f"CAST(format('{{:.{digits}f}}', CAST({expression} AS DOUBLE)) AS DOUBLE)"
+
+
+def _money(expression: str) -> str:
+    return f"'$' || format('{{:,}}', CAST({expression} AS BIGINT))"
+
+
+def _plain(expression: str, digits: int) -> str:
+    return f"regexp_replace(format('{{:.{digits}f}}', CAST({expression} AS DOUBLE)), '\\.?0+$', '')"
+
+
+def _literals(values) -> str:
+    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+
+
+def _level(score: str, high: float, medium: float) -> str:
+    return f"CASE WHEN {score} >= {high} THEN 'High' WHEN {score} >= {medium} THEN 'Medium' ELSE 'Low' END"
+
+
+def _allowed(name: str, values) -> str:
+    return f"{name} must be one of {sorted(values)}"
+
+
+# --- role views -----------------------------------------------------------------------------------
+
+CTES: dict[str, str] = {}
+
+CTES["vendors"] = """
+SELECT CAST(s_suppkey AS VARCHAR) AS vendor_id, s_name AS vendor_name, r_name AS category, n_name AS country,
+       CASE WHEN s_acctbal < 2500 THEN 'Low' WHEN s_acctbal < 6500 THEN 'Medium' ELSE 'High' END AS criticality,
+       DATE '2000-01-01' AS contract_start,
+       DATE '2002-01-01' + CAST((s_suppkey * 37) % 400 - 30 AS INTEGER) AS contract_end,
+       CASE s_suppkey % 5 WHEN 1 THEN 'Missing SOC2' WHEN 3 THEN 'Expired Insurance' ELSE 'Complete' END
+           AS compliance_status,
+       'Manager ' || CAST(s_suppkey % 7 AS VARCHAR) AS account_manager,
+       'Owner ' || CAST(s_suppkey % 13 AS VARCHAR) AS business_owner,
+       CAST(100000 + greatest(CAST(s_acctbal AS DECIMAL(18,2)), 0) * 100 AS DECIMAL(18,2)) AS annual_contract_value
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+"""
+
+
+def _invoices(amount: str, where: str = "") -> str:
+    return f"""
+SELECT *, CASE WHEN invoice_status = 'Paid' THEN invoice_date + line * 5 END AS paid_date
+FROM (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS invoice_id,
+             CAST(l_suppkey AS VARCHAR) AS vendor_id, CAST(l_shipdate AS DATE) AS invoice_date,
+             CAST({amount} AS DECIMAL(18,2)) AS amount,
+             CASE WHEN l_returnflag = 'A' OR l_linenumber <= 4 THEN 'Paid'
+                  WHEN l_returnflag = 'N' THEN 'Pending' ELSE 'Overdue' END AS invoice_status,
+             CASE WHEN l_linestatus = 'F' AND l_linenumber >= 5 THEN 'No' ELSE 'Yes' END AS po_match,
+             l_linenumber AS line, (l_orderkey * 7 + l_linenumber) % 97 AS marker
+      FROM lineitem {where})
+"""
+
+
+CTES["invoices_all"] = _invoices("l_extendedprice")
+CTES["invoices_quantity"] = _invoices("l_quantity")
+CTES["invoices_recent"] = _invoices(
+    "ceil(l_extendedprice / 10000) * 10000", "WHERE CAST(l_shipdate AS DATE) >= DATE '2001-10-01'"
+)
+
+CTES["tickets"] = """
+SELECT CAST(event_id AS VARCHAR) AS ticket_id, CAST(user_id AS VARCHAR) AS vendor_id,
+       CASE event_type WHEN 'error' THEN 'Critical' WHEN 'purchase' THEN 'High' WHEN 'signup' THEN 'Medium'
+            ELSE 'Low' END AS severity,
+       value AS resolution_hours,
+       CASE event_type WHEN 'error' THEN 120.0 WHEN 'purchase' THEN 360.0 WHEN 'signup' THEN 720.0
+            ELSE 1440.0 END AS sla_hours,
+       CASE WHEN k < 70 THEN 'Resolved' WHEN k < 90 THEN 'Open' ELSE 'Escalated' END AS status
+FROM (SELECT *, CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS INTEGER) AS k FROM events)
+"""
+
+CTES["raw_vendors"] = """
+SELECT vendor_id, CASE WHEN m = 1 THEN '   ' ELSE vendor_name END AS vendor_name,
+       CASE WHEN m = 2 THEN NULL ELSE criticality END AS criticality,
+       CASE WHEN m = 3 THEN 'Unknown' ELSE compliance_status END AS compliance_status,
+       CASE WHEN m = 4 THEN '2000-01-01' ELSE CAST(contract_end AS VARCHAR) END AS contract_end,
+       CASE WHEN m = 5 THEN 'soon' ELSE CAST(contract_start AS VARCHAR) END AS contract_start
+FROM (SELECT *, CAST(vendor_id AS BIGINT) % 23 AS m FROM vendors)
+"""
+
+CTES["raw_invoices"] = """
+SELECT CASE WHEN marker = 1 THEN '' ELSE invoice_id END AS invoice_id,
+       CASE WHEN marker = 2 THEN NULL ELSE vendor_id END AS vendor_id,
+       CAST(invoice_date AS VARCHAR) AS invoice_date,
+       CASE marker WHEN 3 THEN 'abc' WHEN 4 THEN '0' WHEN 5 THEN '-1' ELSE CAST(amount AS VARCHAR) END AS amount,
+       CASE WHEN marker = 6 THEN NULL ELSE invoice_status END AS invoice_status,
+       CASE WHEN marker = 7 THEN 'Maybe' ELSE po_match END AS po_match,
+       CASE marker WHEN 8 THEN 'later' WHEN 9 THEN '1990-01-01' WHEN 10 THEN ' '
+            ELSE CAST(paid_date AS VARCHAR) END AS paid_date
+FROM invoices_quantity
+"""
+
+CTES["raw_tickets"] = """
+SELECT ticket_id, vendor_id, CASE WHEN m = 1 THEN 'Urgent' ELSE severity END AS severity,
+       CASE WHEN m = 2 THEN NULL ELSE status END AS status,
+       CASE WHEN m = 3 THEN '-4' ELSE CAST(resolution_hours AS VARCHAR) END AS resolution_hours,
+       CASE WHEN m = 4 THEN '0' ELSE CAST(sla_hours AS VARCHAR) END AS sla_hours
+FROM (SELECT *, CAST(ticket_id AS BIGINT) % 101 AS m FROM tickets)
+"""
+
+# --- data quality ---------------------------------------------------------------------------------
+
+
+def _checks(table: str, dataset: str, checks: list[tuple[str, str, str, str]], first: int) -> str:
+    parts = []
+    for i, (severity, field, message, predicate) in enumerate(checks):
+        text = message.replace("'", "''")
+        parts.append(
+            f"SELECT '{dataset}' AS dataset, '{severity}' AS severity, '{field}' AS field, '{text}' AS message, "
+            f"COUNT(*) AS affected_rows, {first + i} AS position FROM {table} WHERE {predicate}"
+        )
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE affected_rows > 0"
+
+
+def _blank(name: str) -> str:
+    return f"coalesce(trim({name}), '') = ''"
+
+
+def _not_in(name: str, values) -> str:
+    return f"({name} IS NULL OR {name} NOT IN ({_literals(values)}))"
+
+
+def _null_message(name: str) -> str:
+    return f"{name} must not be null"
+
+
+CTES["vendor_issues"] = _checks(
+    "raw_vendors",
+    "vendor_master.csv",
+    [
+        ("error", "vendor_id", _null_message("vendor_id"), _blank("vendor_id")),
+        ("error", "vendor_name", _null_message("vendor_name"), _blank("vendor_name")),
+        ("error", "criticality", _allowed("criticality", C.CRITICALITY), _not_in("criticality", C.CRITICALITY)),
+        (
+            "error",
+            "compliance_status",
+            _allowed("compliance_status", C.COMPLIANCE_STATUS),
+            _not_in("compliance_status", C.COMPLIANCE_STATUS),
+        ),
+        (
+            "error",
+            "contract_end",
+            "contract_end must be after contract_start",
+            "coalesce(TRY_CAST(contract_end AS DATE) <= TRY_CAST(contract_start AS DATE), true)",
+        ),
+        (
+            "warning",
+            "compliance_status",
+            "Vendors have missing or incomplete compliance evidence",
+            "compliance_status IS DISTINCT FROM 'Complete'",
+        ),
+    ],
+    100,
+)
+_UNKNOWN = "NOT EXISTS (SELECT 1 FROM raw_vendors v WHERE v.vendor_id = {0}.vendor_id)"
+CTES["invoice_duplicates"] = """
+SELECT SUM(c) AS n FROM (SELECT COUNT(*) AS c FROM raw_invoices
+    GROUP BY vendor_id, invoice_date, coalesce(CAST(TRY_CAST(amount AS DOUBLE) AS VARCHAR), amount)
+    HAVING COUNT(*) > 1)
+"""
+CTES["invoice_issues"] = (
+    _checks(
+        "raw_invoices",
+        "invoices.csv",
+        [
+            ("error", "invoice_id", _null_message("invoice_id"), _blank("invoice_id")),
+            ("error", "vendor_id", _null_message("vendor_id"), _blank("vendor_id")),
+            (
+                "error",
+                "amount",
+                "amount must be greater than 0",
+                "coalesce(TRY_CAST(amount AS DOUBLE) <= 0, true)",
+            ),
+            (
+                "error",
+                "invoice_status",
+                _allowed("invoice_status", C.INVOICE_STATUS),
+                _not_in("invoice_status", C.INVOICE_STATUS),
+            ),
+            ("error", "po_match", _allowed("po_match", C.PO_MATCH), _not_in("po_match", C.PO_MATCH)),
+            (
+                "error",
+                "paid_date",
+                "paid_date cannot be before invoice_date when paid_date exists",
+                "NOT (" + _blank("paid_date") + ") AND "
+                "coalesce(TRY_CAST(paid_date AS DATE) < TRY_CAST(invoice_date AS DATE), true)",
+            ),
+            (
+                "error",
+                "vendor_id",
+                "Invoices reference unknown vendors",
+                _UNKNOWN.format("raw_invoices"),
+            ),
+        ],
+        200,
+    )
+    + """
+UNION ALL SELECT 'invoices.csv', 'warning', '', 'Potential duplicate invoices found', n, 250
+FROM invoice_duplicates WHERE n > 0
+"""
+)
+CTES["ticket_issues"] = _checks(
+    "raw_tickets",
+    "support_tickets.csv",
+    [
+        ("error", "ticket_id", _null_message("ticket_id"), _blank("ticket_id")),
+        ("error", "vendor_id", _null_message("vendor_id"), _blank("vendor_id")),
+        ("error", "severity", _allowed("severity", C.SEVERITY), _not_in("severity", C.SEVERITY)),
+        ("error", "status", _allowed("status", C.TICKET_STATUS), _not_in("status", C.TICKET_STATUS)),
+        (
+            "error",
+            "resolution_hours",
+            "resolution_hours must be greater than or equal to 0",
+            "coalesce(TRY_CAST(resolution_hours AS DOUBLE) < 0, true)",
+        ),
+        (
+            "error",
+            "sla_hours",
+            "sla_hours must be greater than 0",
+            "coalesce(TRY_CAST(sla_hours AS DOUBLE) <= 0, true)",
+        ),
+        ("error", "vendor_id", "Tickets reference unknown vendors", _UNKNOWN.format("raw_tickets")),
+    ],
+    300,
+)
+CTES["all_issues"] = """
+SELECT * FROM vendor_issues UNION ALL SELECT * FROM invoice_issues UNION ALL SELECT * FROM ticket_issues
+"""
+CTES["shapes"] = """
+SELECT 'vendor_master.csv' AS dataset, COUNT(*) AS rows, 11 AS columns FROM raw_vendors
+UNION ALL SELECT 'invoices.csv', COUNT(*), 10 FROM raw_invoices
+UNION ALL SELECT 'support_tickets.csv', COUNT(*), 8 FROM raw_tickets
+"""
+
+# --- features -------------------------------------------------------------------------------------
+
+
+def _invoice_features(invoices: str) -> str:
+    return f"""
+SELECT vendor_id, SUM(amount) AS total_spend,
+       SUM(CASE WHEN invoice_status = 'Paid' THEN amount ELSE 0 END) AS paid_spend,
+       SUM(CASE WHEN invoice_status = 'Pending' THEN amount ELSE 0 END) AS pending_invoice_amount,
+       SUM(CASE WHEN invoice_status = 'Overdue' THEN amount ELSE 0 END) AS overdue_invoice_amount,
+       COUNT(invoice_id) AS invoice_count, COUNT(*) FILTER (WHERE copies > 1) AS duplicate_invoice_count,
+       COUNT(*) FILTER (WHERE po_match = 'No') AS po_mismatch_count
+FROM (SELECT *, COUNT(*) OVER (PARTITION BY vendor_id, invoice_date, amount) AS copies FROM {invoices})
+GROUP BY vendor_id
+"""
+
+
+CTES["invoice_f_all"] = _invoice_features("invoices_all")
+CTES["invoice_f_recent"] = _invoice_features("invoices_recent")
+CTES["invoice_f_quantity"] = _invoice_features("invoices_quantity")
+CTES["ticket_f"] = """
+SELECT vendor_id,
+       CAST(SUM(CAST(resolution_hours AS DECIMAL(18,6))) AS DOUBLE) / COUNT(resolution_hours)
+           AS average_resolution_hours,
+       MAX(resolution_hours) AS max_resolution_hours, COUNT(ticket_id) AS ticket_count,
+       COUNT(*) FILTER (WHERE severity = 'Critical') AS critical_ticket_count,
+       COUNT(*) FILTER (WHERE resolution_hours > sla_hours) AS sla_breach_count,
+       COUNT(*) FILTER (WHERE status IN ('Open', 'Escalated')) AS open_ticket_count
+FROM tickets GROUP BY vendor_id
+"""
+
+
+def _features(invoice_features: str) -> str:
+    filled = ", ".join(
+        f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}"
+        for c in (
+            "total_spend",
+            "paid_spend",
+            "pending_invoice_amount",
+            "overdue_invoice_amount",
+            "average_resolution_hours",
+            "max_resolution_hours",
+        )
+    )
+    counted = ", ".join(
+        f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}"
+        for c in (
+            "invoice_count",
+            "duplicate_invoice_count",
+            "po_mismatch_count",
+            "ticket_count",
+            "critical_ticket_count",
+            "sla_breach_count",
+            "open_ticket_count",
+        )
+    )
+    score = (
+        "CAST(compliance_missing_flag * 20 + least(duplicate_invoice_count, 3) * 10 "
+        "+ least(sla_breach_count, 4) * 8 + renewal_within_90_days * 12 AS DOUBLE) "
+        "+ least(pending_invoice_amount / CAST(100000 AS DOUBLE), CAST(2 AS DOUBLE)) * CAST(10 AS DOUBLE) "
+        "+ CAST(least(po_mismatch_count, 3) * 8 AS DOUBLE) + CAST(greatest(0, criticality_score - 1) * 4 AS DOUBLE) "
+        "+ least(CAST(annual_contract_value AS DOUBLE) / CAST(1000000 AS DOUBLE), CAST(1.5 AS DOUBLE)) "
+        "* CAST(12 AS DOUBLE)"
+    )
+    return f"""
+SELECT *, {_level("risk_score_rule", 70, 40)} AS risk_level_rule, high_risk_vendor AS risk_target
+FROM (
+  SELECT *,
+         CAST((CAST(compliance_missing_flag = 1 AS INTEGER) + CAST(duplicate_invoice_count > 0 AS INTEGER)
+          + CAST(sla_breach_count >= 2 AS INTEGER) + CAST(renewal_within_90_days = 1 AS INTEGER)
+          + CAST(pending_invoice_amount > 100000 AS INTEGER) + CAST(po_mismatch_count >= 2 AS INTEGER)) >= 2
+          AS INTEGER) AS high_risk_vendor,
+         {_round(f"least({score}, CAST(100 AS DOUBLE))", 2)} AS risk_score_rule
+  FROM (
+    SELECT *, annual_contract_value AS annual_spend, business_owner AS owner,
+           trim(regexp_replace(lower(vendor_name), '[^a-z0-9]+', '_', 'g'), '_') || '_contract.txt' AS contract_file,
+           CASE compliance_status WHEN 'Complete' THEN 88 WHEN 'Incomplete' THEN 72 WHEN 'Missing SOC2' THEN 64
+                WHEN 'Expired Insurance' THEN 67 WHEN 'Missing DPA' THEN 66 ELSE 70 END AS security_rating,
+           CASE WHEN ticket_count = 0 THEN 0 ELSE CAST(sla_breach_count AS DOUBLE) / ticket_count END
+               AS sla_breach_rate,
+           contract_end AS contract_end_date, contract_end - DATE '2002-01-01' AS days_until_contract_end,
+           contract_end - DATE '2002-01-01' AS days_to_renewal,
+           CAST(contract_end - DATE '2002-01-01' BETWEEN 0 AND 90 AS INTEGER) AS renewal_within_90_days,
+           CAST(compliance_status <> 'Complete' AS INTEGER) AS compliance_missing_flag,
+           CAST(compliance_status <> 'Complete' AS INTEGER) AS missing_compliance,
+           CASE criticality WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END AS criticality_score,
+           pending_invoice_amount AS pending_invoice_exposure, average_resolution_hours AS avg_response_hours,
+           0 AS max_days_late, CAST(overdue_invoice_amount > 0 AS INTEGER) AS late_invoice_count,
+           total_spend AS total_invoice_amount
+    FROM (SELECT v.*, {filled}, {counted}
+          FROM vendors v LEFT JOIN {invoice_features} i USING (vendor_id) LEFT JOIN ticket_f t USING (vendor_id))
+  )
+)
+"""
+
+
+CTES["features"] = _features("invoice_f_recent")
+CTES["features_quantity"] = _features("invoice_f_quantity")
+_FEATURE_OUTPUT = (
+    "* REPLACE (CAST(contract_start AS VARCHAR) AS contract_start, CAST(contract_end AS VARCHAR) AS contract_end, "
+    "CAST(contract_end_date AS VARCHAR) AS contract_end_date, CAST(annual_contract_value AS DOUBLE) AS "
+    "annual_contract_value, CAST(annual_spend AS DOUBLE) AS annual_spend)"
+)
+
+# --- scores ---------------------------------------------------------------------------------------
+
+_D = "CAST({0} AS DOUBLE)"
+_ADDITIVE = " + ".join(
+    f"CASE {cases} ELSE CAST(0 AS DOUBLE) END"
+    for cases in (
+        "WHEN compliance_missing_flag = 1 THEN CAST(0.25 AS DOUBLE)",
+        "WHEN duplicate_invoice_count > 0 THEN CAST(0.20 AS DOUBLE)",
+        "WHEN sla_breach_count >= 2 THEN CAST(0.25 AS DOUBLE) WHEN sla_breach_count >= 1 THEN CAST(0.15 AS DOUBLE)",
+        "WHEN pending_invoice_amount > 100000 THEN CAST(0.20 AS DOUBLE)",
+        "WHEN po_mismatch_count >= 2 THEN CAST(0.15 AS DOUBLE)",
+        "WHEN renewal_within_90_days = 1 THEN CAST(0.15 AS DOUBLE)",
+        "WHEN overdue_invoice_amount > 50000 THEN CAST(0.15 AS DOUBLE)",
+    )
+)
+
+
+def _exposure(level: str) -> str:
+    return _round(
+        "CASE WHEN duplicate_invoice_count > 0 THEN pending_invoice_amount * CAST(least(duplicate_invoice_count, 3) "
+        "AS DOUBLE) / greatest(CAST(invoice_count AS DOUBLE), CAST(1 AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END "
+        f"+ overdue_invoice_amount + CASE WHEN {level} IN ('High', 'Medium') THEN pending_invoice_amount "
+        "ELSE CAST(0 AS DOUBLE) END + CAST(sla_breach_count AS DOUBLE) * greatest(CAST(annual_contract_value AS DOUBLE) "
+        "* CAST(0.01 AS DOUBLE), CAST(5000 AS DOUBLE))",
+        2,
+    )
+
+
+def _factors(po_minimum: int, overdue: bool) -> str:
+    entries = [
+        "CASE WHEN duplicate_invoice_count > 0 THEN CAST(duplicate_invoice_count AS VARCHAR) || "
+        "' duplicate invoice candidates detected' END",
+        "CASE WHEN sla_breach_count > 0 THEN CAST(sla_breach_count AS VARCHAR) || ' SLA breach events identified' END",
+        f"CASE WHEN compliance_missing_flag = 1 THEN '{C.COMPLIANCE_FACTOR_TEXT}' END",
+        "CASE WHEN renewal_within_90_days = 1 THEN 'Contract renewal is within ' || "
+        "CAST(days_until_contract_end AS VARCHAR) || ' days' END",
+        "CASE WHEN pending_invoice_amount > 100000 THEN 'High pending invoice exposure: ' || "
+        + _money("pending_invoice_amount")
+        + " END",
+        f"CASE WHEN po_mismatch_count >= {po_minimum} THEN CAST(po_mismatch_count AS VARCHAR) || "
+        "' invoices have PO mismatches' END",
+    ]
+    if overdue:
+        entries.append(
+            "CASE WHEN overdue_invoice_amount > 50000 THEN 'Overdue invoice exposure: ' || "
+            + _money("overdue_invoice_amount")
+            + " END"
+        )
+    found = f"list_filter([{', '.join(entries)}], lambda x: x IS NOT NULL)[1:6]"
+    return f"CASE WHEN len({found}) > 0 THEN {found} ELSE ['{C.NO_FACTOR_TEXT}'] END"
+
+
+_DUPLICATE = (
+    "pending_invoice_amount * CAST(least(duplicate_invoice_count, 3) AS DOUBLE) "
+    "/ CASE WHEN invoice_count = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(invoice_count AS DOUBLE) END"
+)
+
+CTES["scored"] = f"""
+SELECT *, {_exposure("risk_level")} AS estimated_financial_exposure, {_DUPLICATE} AS duplicate_exposure,
+       CASE risk_level WHEN 'High' THEN '{C.WORKFLOW_ACTIONS["High"]}'
+            WHEN 'Medium' THEN '{C.WORKFLOW_ACTIONS["Medium"]}' ELSE '{C.WORKFLOW_ACTIONS["Low"]}' END
+           AS recommended_action,
+       CAST(risk_level IN ('High', 'Medium') AS INTEGER) AS human_review_required,
+       {_factors(2, True)} AS factors
+FROM (SELECT *, {_level("risk_score", 0.70, 0.40)} AS risk_level
+      FROM (SELECT *, least({_ADDITIVE}, CAST(1 AS DOUBLE)) AS raw_score,
+                   {_round(f"least({_ADDITIVE}, CAST(1 AS DOUBLE))", 4)} AS risk_score FROM features))
+"""
+CTES["terms"] = f"""
+SELECT vendor_id, vendor_name, list_distinct(list_concat(
+    list_filter(regexp_extract_all(lower(array_to_string(factors, ' ')), '[a-z0-9]+'), lambda w: length(w) > 2),
+    [{_literals(C.EXTRA_QUERY_TERMS)}])) AS terms
+FROM scored
+"""
+CTES["points"] = f"""
+SELECT *, {_exposure("portfolio_risk_level")} AS points_exposure
+FROM (SELECT *, {_level("risk_score_rule / 100.0", 0.75, 0.45)} AS portfolio_risk_level FROM features)
+"""
+
+# --- contracts ------------------------------------------------------------------------------------
+
+CTES["contracts"] = f"""
+SELECT CASE WHEN version > 0 THEN stem || '_v' || CAST(version AS VARCHAR) || '_contract.txt'
+            WHEN vendor_key % 7 = 3 THEN 'archive_' || stem || '_contract.txt'
+            ELSE stem || '_contract.txt' END AS contract_file,
+       vendor_name,
+       vendor_name || ' Master Services Agreement' || array_to_string(list_transform(string_split(text, chr(10)),
+         lambda line, i: CASE WHEN (i - 1) % 3 <> 0 THEN chr(10)
+             WHEN ((i - 1) // 3) % 9 < 7 THEN chr(10) || chr(10)
+                 || [{_literals(C.SECTION_HEADINGS)}][((i - 1) // 3) % 9 + 1] || chr(10)
+             WHEN ((i - 1) // 3) % 9 = 7 THEN chr(10) || chr(10) || 'Supplementary Terms' || chr(10) || chr(10)
+             ELSE chr(10) || chr(10) END || line), '') AS text
+FROM (SELECT s_suppkey AS vendor_key, s_name AS vendor_name, doc_id // n AS version, text,
+             trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '_') AS stem
+      FROM documents, (SELECT COUNT(*) AS n FROM supplier) c, supplier WHERE s_suppkey = doc_id % n)
+"""
+CTES["contract_lines"] = f"""
+SELECT contract_file, vendor_name, position, line, CAST(line IN ({_literals(C.SECTION_HEADINGS)}) AS INTEGER) AS is_heading
+FROM (SELECT contract_file, vendor_name, unnest(range(len(l))) AS position, trim(unnest(l)) AS line
+      FROM (SELECT contract_file, vendor_name, string_split(text, chr(10)) AS l FROM contracts))
+WHERE line <> ''
+"""
+_SECTION_TYPES = " ".join(f"WHEN '{h}' THEN '{t}'" for h, t in C.SECTION_CLAUSE_TYPE.items())
+CTES["sections"] = f"""
+SELECT contract_file, vendor_name, row_number() OVER (PARTITION BY contract_file ORDER BY part) - 1 AS section_no,
+       heading, text, CASE lower(heading) {_SECTION_TYPES} ELSE 'general' END AS clause_type
+FROM (SELECT contract_file, vendor_name, part, coalesce(MAX(CASE WHEN is_heading = 1 THEN line END), 'general') AS heading,
+             string_agg(CASE WHEN is_heading = 0 THEN line END, chr(10) ORDER BY position) AS text
+      FROM (SELECT *, SUM(is_heading) OVER (PARTITION BY contract_file ORDER BY position) AS part FROM contract_lines)
+      GROUP BY contract_file, vendor_name, part)
+WHERE text IS NOT NULL
+"""
+
+
+def _clause_type(text: str, keywords) -> str:
+    heading = f"string_split({text}, ':')[1]"
+    hits = " ".join(
+        "WHEN " + " OR ".join(f"contains({text}, '{w}')" for w in words) + f" THEN '{kind}'"
+        for kind, words in keywords.items()
+    )
+    return (
+        f"CASE WHEN contains({heading}, 'payment') THEN 'payment' WHEN contains({heading}, 'sla') "
+        f"OR contains({heading}, 'service level') THEN 'sla' WHEN contains({heading}, 'compliance') THEN 'compliance' "
+        f"WHEN contains({heading}, 'renewal') THEN 'renewal' WHEN contains({heading}, 'termination') THEN 'termination' "
+        f"WHEN contains({heading}, 'data security') OR contains({heading}, 'escalation') THEN 'general' "
+        f"{hits} ELSE 'general' END"
+    )
+
+
+CTES["chunk_texts"] = """
+SELECT contract_file, vendor_name, position,
+       trim(regexp_replace(heading || CASE WHEN body <> '' THEN ': ' || body ELSE '' END, '\\s+', ' ', 'g')) AS text
+FROM (
+  SELECT contract_file, vendor_name, position,
+         coalesce(last_value(CASE WHEN is_heading THEN lines[1] END IGNORE NULLS) OVER (
+             PARTITION BY contract_file ORDER BY position ROWS UNBOUNDED PRECEDING), 'General') AS heading,
+         array_to_string(CASE WHEN is_heading THEN lines[2:] ELSE lines END, ' ') AS body
+  FROM (
+    SELECT *, len(regexp_split_to_array(lines[1], '\\s+')) <= 5
+              AND (len(lines) > 1 OR lines[1] NOT LIKE '%.') AS is_heading
+    FROM (
+      SELECT contract_file, vendor_name, position,
+             list_filter(list_transform(string_split(block, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+      FROM (SELECT contract_file, vendor_name, unnest(range(len(b))) AS position, unnest(b) AS block
+            FROM (SELECT contract_file, vendor_name, regexp_split_to_array(trim(text), '\\n\\s*\\n+') AS b FROM contracts))
+    )
+    WHERE position > 0 AND len(lines) > 0
+  )
+)
+"""
+CTES["chunks"] = f"""
+SELECT contract_file, row_number() OVER (PARTITION BY contract_file ORDER BY position) - 1 AS chunk_no, text,
+       vendor_name, {_clause_type("lower(text)", C.CLAUSE_KEYWORDS)} AS clause_type, contract_file AS source
+FROM chunk_texts
+"""
+_WORDS = {"payment": ("tion",), "sla": ("ung", "sch"), "compliance": ("ció",), "renewal": ("eau",)}
+CTES["contract_of"] = """
+SELECT vendor_id, vendor_name, coalesce(direct, contained) AS contract_file
+FROM (SELECT vendor_id, vendor_name,
+             (SELECT MIN(c.contract_file) FROM contracts c WHERE c.contract_file = f.contract_file) AS direct,
+             (SELECT MIN(c.contract_file) FROM contracts c WHERE c.contract_file LIKE '%@_contract.txt' ESCAPE '@'
+                 AND (contains(lower(regexp_replace(c.contract_file, '\\.[^.]*$', '')),
+                               regexp_replace(f.contract_file, '_contract.txt$', ''))
+                   OR contains(lower(regexp_replace(c.contract_file, '\\.[^.]*$', '')),
+                               replace(lower(f.vendor_name), ' ', '_')))) AS contained
+      FROM features f)
+"""
+CTES["keyword_hits"] = f"""
+SELECT vendor_id, rank, text, source_vendor AS vendor_name, clause_type, source, score
+FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY score DESC, section_no) AS rank
+      FROM (SELECT t.vendor_id, s.section_no, s.vendor_name AS source_vendor, s.clause_type, s.contract_file AS source,
+                   CASE WHEN s.heading = 'general' THEN s.text ELSE s.heading || chr(10) || s.text END AS text,
+                   {_round("CAST(len(list_filter(t.terms, lambda w: contains(lower(s.heading || ' ' || s.text), w))) "
+                           "AS DOUBLE) / len(t.terms)", 4)} AS score
+            FROM terms t JOIN contract_of c USING (vendor_id) JOIN sections s ON s.contract_file = c.contract_file))
+WHERE rank <= 5
+"""
+CTES["groups"] = """
+SELECT vendor_id, row_number() OVER (PARTITION BY vendor_id ORDER BY first_rank) - 1 AS group_no, clause_type, text, sources
+FROM (SELECT vendor_id, clause_type, MIN(rank) AS first_rank, arg_min(text, rank) AS text,
+             string_agg(DISTINCT source, ', ' ORDER BY source) AS sources
+      FROM keyword_hits GROUP BY vendor_id, clause_type)
+"""
+CTES["explained"] = """
+SELECT s.vendor_id,
+       CASE WHEN g.parts IS NULL THEN 'No contract clauses were retrieved for ' || s.vendor_name || '. Review '
+                 || array_to_string(s.factors, '; ') || ' manually.'
+            ELSE 'For ' || s.vendor_name || ', retrieved contract evidence was compared against: '
+                 || array_to_string(s.factors, '; ') || '. ' || g.parts END AS explanation
+FROM scored s LEFT JOIN (
+  SELECT vendor_id, string_agg(clause_type || ': ' || CASE WHEN length(text) > 180
+             THEN regexp_replace(substr(text, 1, 177), '\\s+$', '') || '...' ELSE text END
+             || ' Source: ' || sources || '.', ' ' ORDER BY group_no) AS parts
+  FROM groups GROUP BY vendor_id) g USING (vendor_id)
+"""
+CTES["evidence_lists"] = """
+SELECT vendor_id, string_agg(text, ' | ' ORDER BY rank) AS texts, string_agg(DISTINCT source, '; ' ORDER BY source) AS sources
+FROM keyword_hits GROUP BY vendor_id
+"""
+CTES["requested"] = "SELECT DISTINCT vendor_id FROM tickets"
+
+# --- vectors --------------------------------------------------------------------------------------
+
+CTES["clause_vectors"] = """
+SELECT vec_id AS chunk_id, 'Cluster ' || CAST(label AS VARCHAR) AS vendor_name,
+       'file_' || CAST(vec_id % 3 AS VARCHAR) AS source, CAST(embedding AS DOUBLE[]) AS vector
+FROM embeddings
+"""
+CTES["vector_queries"] = """
+SELECT CAST(label AS VARCHAR) AS vendor_id,
+       CASE WHEN label <= 3 THEN ' cluster ' || CAST(label AS VARCHAR)
+            WHEN label <= 6 THEN 'Cluster ' || CAST(label AS VARCHAR) || ' Holdings'
+            ELSE 'Group ' || CAST(label AS VARCHAR) END AS vendor_name,
+       list(mean ORDER BY dim) AS vector
+FROM (SELECT label, dim, CAST(SUM(CAST(round(CAST(x AS DOUBLE) * CAST(1000000 AS DOUBLE)) AS BIGINT)) AS DOUBLE)
+                         / CAST(COUNT(*) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS mean
+      FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings)
+      GROUP BY label, dim)
+GROUP BY label
+"""
+CTES["name_pairs"] = """
+SELECT DISTINCT q.vendor_name AS requested, c.vendor_name AS present
+FROM vector_queries q, (SELECT DISTINCT vendor_name FROM clause_vectors) c
+WHERE contains(trim(lower(q.vendor_name)), trim(lower(c.vendor_name)))
+   OR contains(trim(lower(c.vendor_name)), trim(lower(q.vendor_name)))
+"""
+CTES["vector_hits"] = f"""
+SELECT vendor_id, rank, chunk_id, vendor_name, source, scope, {_round("score", 4)} AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY score DESC, chunk_id) AS rank
+      FROM (SELECT q.vendor_id, c.chunk_id, c.vendor_name, c.source, list_inner_product(q.vector, c.vector) AS score,
+                   CASE WHEN own THEN 'vendor' ELSE 'all' END AS scope
+            FROM (SELECT *, vendor_name IN (SELECT requested FROM name_pairs) AS own FROM vector_queries) q
+            JOIN clause_vectors c ON NOT own OR (q.vendor_name, c.vendor_name) IN (SELECT (requested, present) FROM name_pairs)))
+WHERE rank <= 5
+"""
+
+# --- models ---------------------------------------------------------------------------------------
+
+CTES["predictions"] = """
+SELECT vendor_id, high_risk_vendor AS label, risk_score_rule / 100.0 AS score,
+       CAST(risk_score_rule >= 40 AS INTEGER) AS prediction
+FROM features
+"""
+CTES["confusion"] = """
+SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+       COUNT(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+       COUNT(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+       COUNT(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn
+FROM predictions
+"""
+
+
+def _ratio(a: str, b: str) -> str:
+    return _round(f"CASE WHEN {b} = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({a} AS DOUBLE) / ({b}) END", 4)
+
+
+def _means(table: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, {_round(f'SUM(CAST({m} AS DOUBLE)) / COUNT({m})', 6)} AS value, {t} AS threshold FROM {table}"
+        for m, t in C.DRIFT_THRESHOLDS.items()
+    )
+
+
+CTES["means_now"] = _means("features")
+CTES["means_before"] = _means("features_quantity")
+_CHANGE = _round(
+    "(c.value - {0}) / CASE WHEN abs({0}) > 1e-9 THEN abs({0}) ELSE CAST(1 AS DOUBLE) END * CAST(100 AS DOUBLE)", 2
+)
+
+# --- queries --------------------------------------------------------------------------------------
+
+QUERIES: dict[str, str] = {}
+
+_ISSUE_LIST = "SELECT dataset, severity, field, message, affected_rows FROM {0}"
+QUERIES["dq_vendors"] = _ISSUE_LIST.format("vendor_issues")
+QUERIES["dq_invoices"] = _ISSUE_LIST.format("invoice_issues")
+QUERIES["dq_tickets"] = _ISSUE_LIST.format("ticket_issues")
+_LISTED = "coalesce(string_agg(message || ' (' || CAST(affected_rows AS VARCHAR) || ')', '; ' ORDER BY position) FILTER (WHERE severity = '{0}'), '')"
+QUERIES["dq_report"] = f"""
+SELECT CAST(COUNT(*) FILTER (WHERE severity = 'error') = 0 AS INTEGER) AS passed,
+       {_LISTED.format("error")} AS errors, {_LISTED.format("warning")} AS warnings,
+       (SELECT string_agg(dataset || ':' || CAST(rows AS VARCHAR) || ':' || CAST(columns AS VARCHAR), '; ' ORDER BY dataset)
+        FROM shapes) AS datasets,
+       COUNT(*) FILTER (WHERE severity = 'error') AS error_count,
+       COUNT(*) FILTER (WHERE severity = 'warning') AS warning_count,
+       (SELECT coalesce(n, 0) FROM invoice_duplicates) AS duplicate_invoice_rows
+FROM all_issues
+"""
+QUERIES["dataset_shapes"] = "SELECT * FROM shapes"
+QUERIES["dq_unknown_vendors"] = """
+SELECT vendor_id, COUNT(*) AS affected_rows FROM tickets
+WHERE vendor_id IS NULL OR vendor_id NOT IN (SELECT vendor_id FROM vendors) GROUP BY vendor_id
+"""
+QUERIES["dq_duplicates"] = """
+SELECT vendor_id, CAST(invoice_date AS VARCHAR) AS invoice_date, CAST(CAST(amount AS DOUBLE) AS VARCHAR) AS amount,
+       COUNT(*) AS copies
+FROM invoices_quantity GROUP BY ALL HAVING COUNT(*) > 1
+"""
+_MONEY_COLUMNS = "total_spend, paid_spend, pending_invoice_amount, overdue_invoice_amount"
+QUERIES["invoice_features"] = (
+    "SELECT * REPLACE ("
+    + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _MONEY_COLUMNS.split(", "))
+    + ") FROM invoice_f_all"
+)
+QUERIES["ticket_features"] = "SELECT * FROM ticket_f"
+QUERIES["duplicate_flags"] = """
+SELECT invoice_id, vendor_id, CAST(invoice_date AS VARCHAR) AS invoice_date, CAST(amount AS DOUBLE) AS amount,
+       CAST(COUNT(*) OVER (PARTITION BY vendor_id, invoice_date, amount) > 1 AS INTEGER) AS duplicate_invoice_flag
+FROM invoices_quantity
+"""
+QUERIES["vendor_features"] = f"SELECT {_FEATURE_OUTPUT} FROM features"
+QUERIES["vendor_features_all"] = f"SELECT {_FEATURE_OUTPUT} FROM features_quantity"
+QUERIES["rule_scores"] = """
+SELECT vendor_id, s.risk_score_rule, s.risk_level_rule, p.portfolio_risk_level, s.risk_score AS additive_score,
+       s.risk_level AS additive_level, s.high_risk_vendor
+FROM scored s JOIN points p USING (vendor_id)
+"""
+QUERIES["risk_factors"] = f"""
+SELECT s.vendor_id, array_to_string({_factors(1, False)}, '; ') AS model_factors,
+       array_to_string(factors, '; ') AS rule_factors, array_to_string(list_sort(t.terms), ' ') AS query_terms
+FROM scored s JOIN terms t USING (vendor_id)
+"""
+QUERIES["vendor_exposure"] = "SELECT vendor_id, risk_level, estimated_financial_exposure, duplicate_exposure FROM scored"
+QUERIES["exposure_capped"] = (
+    "SELECT vendor_id, "
+    + _round(
+        "pending_invoice_exposure * CAST(0.35 AS DOUBLE) "
+        "+ CAST(sla_breach_count AS DOUBLE) * least(CAST(annual_spend AS DOUBLE) * CAST(0.01 AS DOUBLE), CAST(25000 AS DOUBLE)) "
+        "+ CAST(duplicate_invoice_count AS DOUBLE) * least(CAST(annual_spend AS DOUBLE) * CAST(0.015 AS DOUBLE), CAST(20000 AS DOUBLE)) "
+        "+ CASE WHEN days_to_renewal BETWEEN 0 AND 90 THEN CAST(annual_spend AS DOUBLE) * CAST(0.04 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END",
+        2,
+    )
+    + " AS capped_exposure FROM features"
+)
+QUERIES["actions"] = f"""
+SELECT vendor_id, 'rule_based' AS model_name, {_round("risk_score_rule / 100.0", 4)} AS risk_score,
+       portfolio_risk_level AS risk_level,
+       CASE WHEN portfolio_risk_level = 'High' AND contains(lower(array_to_string({_factors(1, False)}, ' ')), 'compliance')
+            THEN '{C.SCORER_ACTIONS["High compliance"]}'
+            WHEN portfolio_risk_level = 'High' THEN '{C.SCORER_ACTIONS["High"]}'
+            WHEN portfolio_risk_level = 'Medium' THEN '{C.SCORER_ACTIONS["Medium"]}'
+            ELSE '{C.SCORER_ACTIONS["Low"]}' END AS scorer_action,
+       CASE portfolio_risk_level WHEN 'High' THEN '{C.WORKFLOW_ACTIONS["High"]}'
+            WHEN 'Medium' THEN '{C.WORKFLOW_ACTIONS["Medium"]}' ELSE '{C.WORKFLOW_ACTIONS["Low"]}' END AS workflow_action,
+       CAST(portfolio_risk_level IN ('High', 'Medium') AS INTEGER) AS human_review_required,
+       points_exposure AS estimated_financial_exposure
+FROM points
+"""
+QUERIES["score_normalization"] = """
+SELECT vendor_id, round(CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + exp(-d)), 6) AS logistic,
+       round(CASE WHEN MAX(d) OVER () = MIN(d) OVER () THEN CAST(0.5 AS DOUBLE)
+                  ELSE (d - MIN(d) OVER ()) / (MAX(d) OVER () - MIN(d) OVER ()) END, 6) AS scaled
+FROM (SELECT vendor_id, (risk_score_rule - CAST(50 AS DOUBLE)) / CAST(10 AS DOUBLE) AS d FROM features)
+"""
+QUERIES["review_queue"] = f"""
+SELECT vendor_id, vendor_name, risk_score_rule, high_risk_vendor, pending_invoice_amount, sla_breach_count,
+       duplicate_invoice_count, days_until_contract_end, '{C.WORKFLOW_ACTIONS["High"]}' AS recommended_action
+FROM points WHERE high_risk_vendor = 1 OR portfolio_risk_level = 'High'
+"""
+
+
+def _summary(table: str, level: str, exposure: str) -> str:
+    return f"""
+SELECT COUNT(*) AS total_vendors, COUNT(*) FILTER (WHERE {level} = 'High') AS high_risk_vendors,
+       COUNT(*) FILTER (WHERE {level} = 'Medium') AS medium_risk_vendors,
+       COUNT(*) FILTER (WHERE {level} = 'Low') AS low_risk_vendors,
+       CAST(SUM(CAST(total_spend AS DECIMAL(38,2))) AS DOUBLE) AS total_spend,
+       CAST(SUM(CAST(pending_invoice_amount AS DECIMAL(38,2))) AS DOUBLE) AS pending_invoice_exposure,
+       CAST(SUM(CAST({exposure} AS DECIMAL(38,2))) AS DOUBLE) AS total_estimated_exposure,
+       {_round(f"SUM({_DUPLICATE})", 2)} AS duplicate_invoice_exposure,
+       SUM(sla_breach_count) AS sla_breach_count, SUM(renewal_within_90_days) AS contracts_expiring_90_days
+FROM {table}
+"""
+
+
+QUERIES["portfolio_summary"] = _summary("points", "portfolio_risk_level", "points_exposure")
+CTES["scored_raw"] = f"""
+SELECT *, {_exposure("raw_level")} AS raw_exposure FROM (SELECT *, {_level("raw_score", 0.70, 0.40)} AS raw_level FROM scored)
+"""
+QUERIES["portfolio_summary_additive"] = _summary("scored_raw", "raw_level", "raw_exposure")
+QUERIES["spend_by_category"] = """
+SELECT category, CAST(SUM(CAST(total_spend AS DECIMAL(38,2))) AS DOUBLE) AS total_spend FROM features GROUP BY category
+"""
+QUERIES["risk_distribution"] = """
+SELECT portfolio_risk_level AS risk_level, COUNT(*) AS vendor_count FROM points GROUP BY portfolio_risk_level
+"""
+QUERIES["compliance_distribution"] = """
+SELECT compliance_status, COUNT(*) AS vendor_count FROM features GROUP BY compliance_status
+"""
+QUERIES["preventable_exposure"] = f"""
+SELECT *, duplicate_invoice_exposure + pending_overdue_exposure + sla_penalty_estimate + renewal_risk_exposure
+              AS preventable_exposure
+FROM (SELECT {_round(f"SUM({_DUPLICATE})", 2)} AS duplicate_invoice_exposure,
+             CAST(SUM(CAST(pending_invoice_amount + overdue_invoice_amount AS DECIMAL(38,2))) AS DOUBLE)
+                 AS pending_overdue_exposure,
+             CAST(SUM(sla_breach_count * annual_contract_value) AS DOUBLE) * CAST(0.01 AS DOUBLE) AS sla_penalty_estimate,
+             CAST(SUM(renewal_within_90_days * annual_contract_value) AS DOUBLE) * CAST(0.04 AS DOUBLE)
+                 AS renewal_risk_exposure
+      FROM features)
+"""
+for _name, _measure in (
+    ("top_sla", "sla_breach_count"),
+    ("top_pending", "pending_invoice_amount"),
+    ("top_duplicates", "duplicate_invoice_count"),
+):
+    QUERIES[_name] = (
+        f"SELECT vendor_id, vendor_name, {_measure} FROM features ORDER BY {_measure} DESC, vendor_id LIMIT 15"
+    )
+QUERIES["renewal_timeline"] = """
+SELECT vendor_id, vendor_name, CAST(contract_end AS VARCHAR) AS contract_end, days_until_contract_end,
+       portfolio_risk_level, CAST(annual_contract_value AS DOUBLE) AS annual_contract_value
+FROM points
+"""
+QUERIES["roi_grid"] = f"""
+SELECT category, scenario, {_round("labor", 2)} AS labor_savings, {_round("leakage", 2)} AS spend_leakage_reduction,
+       {_round("avoided", 2)} AS avoided_exposure, {_round("labor + avoided + leakage", 2)} AS gross_benefit,
+       {_round("labor + avoided + leakage - cost", 2)} AS net_benefit,
+       {_round("CASE WHEN cost = 0 THEN CAST(0 AS DOUBLE) ELSE (labor + avoided + leakage - cost) / cost * CAST(100 AS DOUBLE) END", 1)}
+           AS roi_percent
+FROM (SELECT category, scenario, CAST(cost AS DOUBLE) AS cost, CAST(hours * rate * 12 AS DOUBLE) AS labor, avoided,
+             spend * CAST(0.005 AS DOUBLE) AS leakage
+      FROM (SELECT category, CAST(SUM(annual_spend) AS DOUBLE) AS spend,
+                   CAST(SUM(CAST(points_exposure AS DECIMAL(38,2))) AS DOUBLE) AS avoided
+            FROM points GROUP BY category),
+           (VALUES ('low', 20, 45, 30000), ('base', 60, 55, 60000), ('free', 10, 40, 0)) s(scenario, hours, rate, cost))
+"""
+QUERIES["vendor_list"] = """
+SELECT vendor_id, vendor_name, category, criticality, vendor_id || ' — ' || vendor_name AS label FROM features
+"""
+QUERIES["vendor_lookup"] = """
+SELECT r.vendor_id, CAST(f.vendor_id IS NOT NULL AS INTEGER) AS is_known, coalesce(f.vendor_name, '') AS vendor_name,
+       CASE WHEN f.vendor_id IS NULL THEN 'Unknown vendor_id: ' || r.vendor_id ELSE '' END AS error
+FROM requested r LEFT JOIN features f ON f.vendor_id = r.vendor_id
+"""
+QUERIES["clause_sections"] = "SELECT * FROM sections"
+QUERIES["clause_chunks"] = "SELECT * FROM chunks"
+QUERIES["chunk_numbers"] = """
+SELECT row_number() OVER (ORDER BY contract_file, chunk_no) - 1 AS chunk_id, contract_file, chunk_no FROM chunks
+"""
+QUERIES["clause_types"] = """
+SELECT clause_type, COUNT(*) AS chunks, SUM(length(text)) AS characters FROM chunks GROUP BY clause_type
+"""
+QUERIES["clause_types_by_words"] = f"""
+SELECT {_clause_type("lower(text)", _WORDS)} AS clause_type, COUNT(*) AS chunks FROM chunk_texts GROUP BY 1
+"""
+QUERIES["chunk_metadata"] = """
+SELECT COUNT(*) AS chunk_count, COUNT(DISTINCT contract_file) AS contract_count, 0 AS embedding_dimension FROM chunks
+"""
+QUERIES["contract_match"] = "SELECT vendor_id, vendor_name, coalesce(contract_file, '') AS contract_file FROM contract_of"
+QUERIES["vendor_name_pairs"] = "SELECT * FROM name_pairs"
+QUERIES["keyword_topk"] = "SELECT * FROM keyword_hits"
+QUERIES["vector_topk"] = """
+SELECT query_id, item_id, round(score, 4) AS score, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
+      FROM (SELECT q.vendor_id AS query_id, c.chunk_id AS item_id, list_inner_product(q.vector, c.vector) AS score
+            FROM vector_queries q, clause_vectors c))
+WHERE rank <= 5
+"""
+QUERIES["vendor_preferred_topk"] = "SELECT * FROM vector_hits"
+QUERIES["evidence_filter"] = """
+SELECT vendor_id, source, 'clause ' || CAST(chunk_id AS VARCHAR) AS text, score
+FROM (SELECT *, bool_or(fits) OVER (PARTITION BY vendor_id) AS any_fits
+      FROM (SELECT *, source = 'file_' || CAST(CAST(vendor_id AS INTEGER) % 4 AS VARCHAR) AS fits
+            FROM vector_hits WHERE rank <= 4))
+WHERE fits OR NOT any_fits
+"""
+QUERIES["evidence_groups"] = "SELECT * FROM groups"
+QUERIES["explanations"] = "SELECT e.vendor_id, explanation FROM explained e JOIN requested USING (vendor_id)"
+QUERIES["payloads"] = f"""
+SELECT CASE WHEN human_review_required = 1 THEN '{C.EVENT_REVIEW}' ELSE '{C.EVENT_APPROVED}' END AS event_type,
+       s.vendor_id, s.vendor_name, risk_score, risk_level, recommended_action, human_review_required, business_owner,
+       account_manager, estimated_financial_exposure, array_to_string(factors, '; ') AS top_risk_factors,
+       coalesce(e.sources, '') AS evidence_sources
+FROM scored s JOIN requested USING (vendor_id) LEFT JOIN evidence_lists e ON e.vendor_id = s.vendor_id
+"""
+QUERIES["analysis"] = f"""
+SELECT r.vendor_id, coalesce(s.vendor_name, '') AS vendor_name, coalesce(risk_score, -1) AS risk_score,
+       coalesce(risk_level, '') AS risk_level, coalesce(array_to_string(factors, '; '), '') AS top_risk_factors,
+       coalesce(e.texts, '') AS evidence_texts, coalesce(recommended_action, '') AS recommended_action,
+       coalesce(estimated_financial_exposure, -1) AS estimated_financial_exposure,
+       coalesce(human_review_required, -1) AS human_review_required,
+       CASE human_review_required WHEN 1 THEN '{C.EVENT_REVIEW}' WHEN 0 THEN '{C.EVENT_APPROVED}' ELSE '' END AS event_type,
+       coalesce(business_owner, '') AS owner,
+       CASE WHEN s.vendor_id IS NULL THEN 'Unknown vendor_id: ' || r.vendor_id ELSE '' END AS errors
+FROM requested r LEFT JOIN scored s ON s.vendor_id = r.vendor_id LEFT JOIN evidence_lists e ON e.vendor_id = s.vendor_id
+"""
+QUERIES["routed_reviews"] = f"""
+SELECT s.vendor_id, s.vendor_name, risk_score, risk_level, recommended_action,
+       estimated_financial_exposure AS estimated_exposure,
+       '🚨 High-Risk Vendor Alert' || chr(10) || chr(10) || 'Vendor: ' || s.vendor_name || chr(10) || 'Risk Level: '
+       || risk_level || chr(10) || 'Risk Score: ' || {_plain("risk_score", 4)} || chr(10) || 'Estimated Exposure: $'
+       || {_plain("estimated_financial_exposure", 2)} || chr(10) || chr(10) || 'Recommended Action:' || chr(10)
+       || recommended_action AS alert_text
+FROM scored s JOIN requested USING (vendor_id) WHERE risk_level = 'High'
+"""
+QUERIES["training_baseline"] = (
+    "SELECT COUNT(*) AS row_count, "
+    + ", ".join(f"{_round(f'SUM(CAST({m} AS DOUBLE)) / COUNT({m})', 6)} AS {m}" for m in C.DRIFT_THRESHOLDS)
+    + " FROM features"
+)
+QUERIES["drift_report"] = f"""
+SELECT metric, b.value AS baseline_value, c.value AS current_value, {_CHANGE.replace("{0}", "b.value")} AS percent_change,
+       CAST(c.threshold AS DOUBLE) AS threshold_percent,
+       CAST(abs({_CHANGE.replace("{0}", "b.value")}) > c.threshold AS INTEGER) AS drift_detected
+FROM means_now c JOIN means_before b USING (metric)
+"""
+QUERIES["drift_overall"] = f"""
+SELECT CAST(MAX(CAST(abs({_CHANGE.replace("{0}", "c.before")}) > c.threshold AS INTEGER)) AS INTEGER) AS drift_detected
+FROM (SELECT *, CASE WHEN metric = 'sla_breach_rate' THEN CAST(0 AS DOUBLE) ELSE value END AS before FROM means_now) c
+"""
+QUERIES["split_counts"] = """
+SELECT CAST(CAST('0x' || substr(md5(vendor_id), 1, 7) AS BIGINT) % 10 < 3 AS INTEGER) AS is_test, high_risk_vendor,
+       COUNT(*) AS n
+FROM features GROUP BY 1, 2
+"""
+QUERIES["model_inputs"] = (
+    "SELECT vendor_id, "
+    + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in C.MODEL_FEATURES)
+    + ", high_risk_vendor FROM features"
+)
+QUERIES["class_weights"] = """
+SELECT high_risk_vendor, COUNT(*) AS n, CAST(SUM(COUNT(*)) OVER () AS DOUBLE) / CAST(COUNT(*) * 2 AS DOUBLE) AS weight
+FROM features GROUP BY high_risk_vendor
+"""
+QUERIES["confusion_matrix"] = """
+SELECT label, COUNT(*) FILTER (WHERE prediction = 0) AS predicted_0, COUNT(*) FILTER (WHERE prediction = 1) AS predicted_1
+FROM predictions GROUP BY label
+"""
+QUERIES["classifier_metrics"] = f"""
+SELECT {_ratio("tp + tn", "n")} AS accuracy, {_ratio("tp", "tp + fp")} AS "precision", {_ratio("tp", "tp + fn")} AS recall,
+       {_ratio("2 * tp", "2 * tp + fp + fn")} AS f1
+FROM confusion
+"""
+QUERIES["class_report"] = f"""
+SELECT 1 AS class, {_ratio("tp", "tp + fp")} AS "precision", {_ratio("tp", "tp + fn")} AS recall,
+       {_ratio("2 * tp", "2 * tp + fp + fn")} AS f1, tp + fn AS support FROM confusion
+UNION ALL
+SELECT 0, {_ratio("tn", "tn + fn")}, {_ratio("tn", "tn + fp")}, {_ratio("2 * tn", "2 * tn + fn + fp")}, tn + fp FROM confusion
+"""
+QUERIES["auc_histogram"] = f"""
+SELECT {_round("SUM(CASE WHEN p.score > n.score THEN CAST(1 AS DOUBLE) WHEN p.score = n.score THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) / COUNT(*)", 4)} AS roc_auc
+FROM predictions p JOIN predictions n ON p.label = 1 AND n.label = 0
+"""
+
+
+def _needed(sql: str, seen: list[str]) -> None:
+    for name, body in CTES.items():
+        if name not in seen and re.search(rf"(FROM|JOIN|,)\s+{name}\b", sql):
+            _needed(body, seen)
+            if name not in seen:
+                seen.append(name)
+
+
+def oracle_queries() -> dict[str, str]:
+    result = {}
+    for name, sql in QUERIES.items():
+        needed: list[str] = []
+        _needed(sql, needed)
+        head = ",\n".join(f"{cte} AS ({CTES[cte].strip()})" for cte in needed)
+        result[name] = f"WITH {head}\n{sql.strip()}"
+    return result
