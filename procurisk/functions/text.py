@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 # ``trim`` and the default ``\s`` of the JVM know fewer.
 WS = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NON_WS = r"[^\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The run of white space at the end; entered at its first character only, so long runs stay linear.
+_LAST_WS = f"(?<!{WS}){WS}+$"
 # Line ends other than \n.
 OTHER_LINE_END = r"\r\n|[\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 
 
 def strip_ws(c: Column) -> Column:
     """Remove white space of every kind from both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(c, f"^{WS}+|{_LAST_WS}", "")
 
 
 def rstrip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+$", "")
+    return F.regexp_replace(c, _LAST_WS, "")
 
 
 def collapse_ws(c: Column) -> Column:

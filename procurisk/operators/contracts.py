@@ -29,6 +29,8 @@ from procurisk.functions.text import (
 from procurisk.session import cut_lineage
 
 _NO_LIMIT = 2_000_000_000
+# most files whose offsets are broadcast: a name and a number each, some tens of megabytes
+BROADCAST_FILES = 200_000
 
 # up to five words on one line
 _FEW_WORDS = f"{NON_WS}+(?: {NON_WS}+){{0,4}}"
@@ -102,7 +104,7 @@ def number_chunks(chunks: DataFrame, ranges: int | None = None) -> DataFrame:
 
     Files are counted, sorted into name ranges and written once; the offset of a file is the total of the
     ranges before it plus the files before it in its own range. Only the totals of the ranges pass
-    through one task.
+    through one task. The offsets are broadcast when there are few files, which spares the texts a shuffle.
     """
     partitions = ranges or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = chunks.groupBy("contract_file").agg(F.count("*").alias("n"))
@@ -115,9 +117,11 @@ def number_chunks(chunks: DataFrame, ranges: int | None = None) -> DataFrame:
     inside = W.partitionBy("part").orderBy("contract_file").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         ranged.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(starts, "part")
+        .join(F.broadcast(starts), "part")  # one row per range
         .select("contract_file", (F.col("start") + F.col("inner")).alias("offset"))
     )
+    if ranged.count() <= BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
     return chunks.join(offsets, "contract_file").select(
         (F.col("offset") + F.col("chunk_no")).alias("chunk_id"), *chunks.columns
     )
@@ -199,19 +203,19 @@ def contained_names(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     return needles.join(keyed, F.col(needle) == F.col("key")).select(needle, haystack).distinct()
 
 
-def match_contract_files(vendors: DataFrame, files: DataFrame) -> DataFrame:
-    """The contract file of each vendor row of (vendor_id, vendor_name), null when there is none.
+def match_contract_names(names: DataFrame, files: DataFrame) -> DataFrame:
+    """The contract file of each distinct vendor name that has one: (vendor_name, contract_file).
 
     A file named after the vendor's slug wins. Otherwise it is the first file, by name, of those ending
     in ``_contract.txt`` whose stem contains the slug or the vendor's lower-case name with underscores.
     """
-    names = (
-        vendors.select("vendor_name")
+    wanted = (
+        names.select("vendor_name")
         .distinct()
         .select("vendor_name", contract_file_name(F.col("vendor_name")).alias("_wanted"))
     )
     file_names = files.select("contract_file").distinct()
-    direct = names.join(file_names, F.col("_wanted") == F.col("contract_file"), "left")
+    direct = wanted.join(file_names, F.col("_wanted") == F.col("contract_file"), "left")
     found = direct.where(F.col("contract_file").isNotNull()).select("vendor_name", "contract_file")
     keys = direct.where(F.col("contract_file").isNull()).select(
         "vendor_name",
@@ -233,5 +237,10 @@ def match_contract_files(vendors: DataFrame, files: DataFrame) -> DataFrame:
     contained = keys.join(first_file, "key").groupBy("vendor_name").agg(
         F.min("contract_file").alias("contract_file")
     )
-    matches = found.unionByName(contained)
+    return found.unionByName(contained)
+
+
+def match_contract_files(vendors: DataFrame, files: DataFrame) -> DataFrame:
+    """The contract file of each vendor row of (vendor_id, vendor_name), null when there is none."""
+    matches = match_contract_names(vendors, files)
     return vendors.join(matches, "vendor_name", "left").select("vendor_id", "vendor_name", "contract_file")

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from procurisk.config import DEFAULT, DEFAULT_QUERY_TEXT, EXTRA_QUERY_TERMS, SECTION_CLAUSE_TYPE, SECTION_HEADINGS
 from procurisk.functions.text import contract_vendor_name, query_terms, round_half_even, strip_ws
-from procurisk.operators.contracts import contained_names, match_contract_files, section_array
+from procurisk.operators.contracts import contained_names, match_contract_names, section_array
 from procurisk.operators.skew import ROWS_PER_SALT, join_salted
 
 VECTOR_WIDTH = 384
@@ -43,19 +43,19 @@ def keyword_evidence(
     extra_terms: Sequence[str] = EXTRA_QUERY_TERMS,
     headings: Sequence[str] = SECTION_HEADINGS,
     types: Mapping[str, str] = SECTION_CLAUSE_TYPE,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """The k best sections of each vendor's own contract as ``evidence`` (best first, file order on ties).
 
     ``requests`` has vendor_id, vendor_name and top_risk_factors. A vendor has at most one contract, so
     its sections are scored and ranked inside the row: the only joins are vendor to file name and file
-    name to text. Vendors without a contract get an empty list.
+    name to text. Vendors without a contract get an empty list. ``names`` (vendor_name) may bring the
+    vendor names from a cheaper table than the requests.
     """
-    matches = match_contract_files(requests.select("vendor_id", "vendor_name").distinct(), contracts)
-    files = matches.where(F.col("contract_file").isNotNull()).select(
-        "vendor_id", F.col("contract_file").alias("_file")
-    )
+    matches = match_contract_names(requests if names is None else names, contracts)
+    files = matches.select("vendor_name", F.col("contract_file").alias("_file"))
     texts = contracts.select(F.col("contract_file").alias("_file"), F.col("text").alias("_text"))
-    found = requests.join(files, "vendor_id", "left").join(texts, "_file", "left").withColumns(
+    found = requests.join(files, "vendor_name", "left").join(texts, "_file", "left").withColumns(
         {
             "_terms": query_terms(F.col("top_risk_factors"), extra_terms),
             "_vendor": contract_vendor_name(F.col("_text"), F.col("_file")),

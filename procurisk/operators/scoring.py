@@ -75,11 +75,10 @@ def logistic(decision: Column) -> Column:
 
 def min_max(df: DataFrame, column: str, output: str) -> DataFrame:
     """Scale a column to 0-1 over the whole table; 0.5 everywhere when it is constant."""
-    low = df.agg(F.min(column)).scalar()
-    high = df.agg(F.max(column)).scalar()
-    return df.withColumn(
-        output, F.when(high == low, F.lit(0.5)).otherwise((F.col(column) - low) / (high - low))
-    )
+    bounds = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
+    low, high = bounds["low"], bounds["high"]
+    scaled = F.try_divide(F.col(column) - low, high - low)
+    return df.withColumn(output, F.when(high == low, F.lit(0.5)).otherwise(scaled))
 
 
 def first_row_per_vendor(features: DataFrame) -> DataFrame:

@@ -25,12 +25,53 @@ MODEL_NAMES = ("LogisticRegression", "RandomForestClassifier")
 
 
 def split_bucket(key: Column) -> Column:
-    """0-9 by a hash of the vendor id: the same split on every run, without a shuffle."""
-    return F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("bigint") % 10
+    """One of 1,048,576 buckets by a hash of the vendor id: the same on every run."""
+    return F.conv(F.substring(F.md5(key), 1, 5), 16, 10).cast("bigint")
+
+
+def split_bounds(rows: DataFrame, label: str = MODEL_TARGET, tenths: int = TEST_TENTHS) -> DataFrame:
+    """The last test bucket per class: (label, bound), two rows.
+
+    The test part has three tenths of the rows, rounded up, and every class its share of them by largest
+    remainder. A class fills its share bucket by bucket; the other rows of its last bucket come along, so
+    copies of one vendor stay on one side. With fewer than two rows in a class the shares are not kept,
+    and one bound serves both. Only the histogram over buckets is sorted, never the rows.
+    """
+    histogram = rows.groupBy(label, split_bucket(F.col("vendor_id")).alias("bucket")).agg(F.count("*").alias("n"))
+    everything = W.partitionBy(F.lit(1))  # two rows
+    classes = histogram.groupBy(label).agg(F.sum("n").alias("size"))
+    sized = classes.withColumns(
+        {"total": F.sum("size").over(everything), "smallest": F.min("size").over(everything)}
+    ).withColumn("wanted", F.floor((F.col("total") * tenths + 9) / 10))
+    share = F.col("size") * F.col("wanted")
+    shares = sized.withColumns(
+        {"quota": F.floor(share / F.col("total")), "rest": F.pmod(share, F.col("total"))}
+    ).withColumn("open", F.col("wanted") - F.sum("quota").over(everything))
+    by_rest = F.row_number().over(everything.orderBy(F.col("rest").desc(), label))
+    quotas = shares.withColumn(
+        "quota", F.col("quota") + F.when(by_rest <= F.col("open"), 1).otherwise(0)
+    ).select(label, "quota", "wanted", (F.col("smallest") >= 2).alias("by_class"))
+    with_quota = histogram.join(F.broadcast(quotas), label)
+    own = W.partitionBy(label).orderBy("bucket")
+    overall = W.partitionBy("by_class").orderBy("bucket").rangeBetween(W.unboundedPreceding, 0)
+    filled = with_quota.withColumns(
+        {"own": F.sum("n").over(own) - F.col("n"), "overall": F.sum("n").over(overall)}
+    )
+    # the first bucket whose running total reaches the quota
+    class_bound = F.max(F.when(F.col("own") < F.col("quota"), F.col("bucket")))
+    overall_bound = F.min(F.when(F.col("overall") >= F.col("wanted"), F.col("bucket")))
+    bounds = filled.groupBy(label, "by_class").agg(class_bound.alias("of_class"), overall_bound.alias("of_all"))
+    lowest = F.min("of_all").over(everything)
+    return bounds.select(
+        label, F.coalesce(F.when(F.col("by_class"), F.col("of_class")).otherwise(lowest), F.lit(-1)).alias("bound")
+    )
 
 
-def with_split(features: DataFrame) -> DataFrame:
-    return features.withColumn("is_test", split_bucket(F.col("vendor_id")) < TEST_TENTHS)
+def with_split(rows: DataFrame, label: str = MODEL_TARGET) -> DataFrame:
+    """Add ``is_test``."""
+    bounds = F.broadcast(split_bounds(rows, label))  # two rows
+    in_test = split_bucket(F.col("vendor_id")) <= F.col("bound")
+    return rows.join(bounds, label).select(*rows.columns, in_test.alias("is_test"))
 
 
 def model_input(features: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procurisk.config import DEFAULT, RiskConfig
+from procurisk.functions import risk
 from procurisk.operators import contracts as contract_ops
 from procurisk.operators import drift, evidence, features, portfolio, quality, retrieval, scoring, training
 from procurisk.session import cut_lineage
@@ -73,13 +74,14 @@ def retrieve_evidence(
     mode: str = "keyword",
     k: int = DEFAULT.top_k,
     model: PipelineModel | None = None,
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Add an ``evidence`` list to every request row (vendor_id, vendor_name, top_risk_factors, ...).
 
     ``keyword`` takes contract texts. ``vector`` takes the stored chunk table and its fitted model.
     """
     if mode == "keyword":
-        return retrieval.keyword_evidence(requests, contracts, k)
+        return retrieval.keyword_evidence(requests, contracts, k, names=names)
     if mode == "vector":
         if model is None:
             raise ValueError("vector retrieval needs the fitted text-vector model")
@@ -118,11 +120,10 @@ def analyze_portfolio(
             "estimated_financial_exposure",
         )
     )
-    ids = None
+    rows = rows.withColumn("_known", F.lit(True))
     if requested is not None:
-        ids = requested.select("vendor_id").distinct()
-        rows = rows.join(ids, "vendor_id", "left_semi")
-    found = retrieve_evidence(rows, contracts, mode, k, model)
+        rows = requested.select("vendor_id").distinct().join(rows, "vendor_id", "left")
+    found = retrieve_evidence(rows, contracts, mode, k, model, scored.select("vendor_name"))
     level = F.col("risk_level")
     # the action of the workflow replaces the one of the scorer
     decided = found.withColumns(
@@ -130,32 +131,27 @@ def analyze_portfolio(
             "explanation": evidence.explanation(
                 F.coalesce("vendor_name", "vendor_id"), F.col("top_risk_factors"), F.col("evidence"), config
             ),
-            "recommended_action": scoring.risk.workflow_action(level),
-            "human_review_required": scoring.risk.review_required(level),
+            "recommended_action": risk.workflow_action(level),
+            "human_review_required": risk.review_required(level),
         }
     )
-    result = decided.select(
+    known = F.coalesce(F.col("_known"), F.lit(False))
+    unknown_text = F.concat(F.lit("Unknown vendor_id: "), F.coalesce("vendor_id", F.lit("None")))
+    return decided.select(
         "vendor_id",
         "vendor_name",
         "risk_score",
         "risk_level",
         "top_risk_factors",
-        F.col("evidence").alias("retrieved_contract_evidence"),
-        "explanation",
-        "recommended_action",
+        F.when(known, F.col("evidence")).alias("retrieved_contract_evidence"),
+        F.when(known, F.col("explanation")).alias("explanation"),
+        F.when(known, F.col("recommended_action")).alias("recommended_action"),
         "estimated_financial_exposure",
-        "human_review_required",
-        evidence.wide_payload().alias("automation_payload"),
-        evidence.narrow_payload().alias("response_payload"),
-        F.array().cast(_NO_TEXTS).alias("errors"),
+        F.when(known, F.col("human_review_required")).alias("human_review_required"),
+        F.when(known, evidence.wide_payload()).alias("automation_payload"),
+        F.when(known, evidence.narrow_payload()).alias("response_payload"),
+        F.when(known, F.array().cast(_NO_TEXTS)).otherwise(F.array(unknown_text)).alias("errors"),
     )
-    if ids is None:
-        return result
-    unknown = ids.join(scored.select("vendor_id"), "vendor_id", "left_anti").select(
-        "vendor_id",
-        F.array(F.concat(F.lit("Unknown vendor_id: "), F.coalesce("vendor_id", F.lit("None")))).alias("errors"),
-    )
-    return result.unionByName(unknown, allowMissingColumns=True)
 
 
 def portfolio_summary(

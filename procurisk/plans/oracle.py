@@ -860,11 +860,23 @@ QUERIES["drift_overall"] = f"""
 SELECT CAST(MAX(CAST(abs({_CHANGE.replace("{0}", "c.before")}) > c.threshold AS INTEGER)) AS INTEGER) AS drift_detected
 FROM (SELECT *, CASE WHEN metric = 'sla_breach_rate' THEN CAST(0 AS DOUBLE) ELSE value END AS before FROM means_now) c
 """
+CTES["split"] = """
+SELECT high_risk_vendor, vendor_id, bucket,
+       bucket <= MAX(CASE WHEN place <= quota THEN bucket END) OVER (PARTITION BY high_risk_vendor) AS is_test
+FROM (SELECT *, row_number() OVER (PARTITION BY high_risk_vendor ORDER BY bucket) AS place
+      FROM (SELECT high_risk_vendor, vendor_id, CAST('0x' || substr(md5(vendor_id), 1, 5) AS BIGINT) AS bucket FROM features)
+      JOIN (SELECT high_risk_vendor, base + CAST(row_number() OVER (ORDER BY rest DESC, high_risk_vendor)
+                       <= wanted - SUM(base) OVER () AS INTEGER) AS quota
+            FROM (SELECT high_risk_vendor, wanted, (n * wanted) // total AS base, (n * wanted) % total AS rest
+                  FROM (SELECT high_risk_vendor, COUNT(*) AS n, CAST(SUM(COUNT(*)) OVER () AS BIGINT) AS total,
+                               CAST(ceil(SUM(COUNT(*)) OVER () * 3 / 10.0) AS BIGINT) AS wanted
+                        FROM features GROUP BY high_risk_vendor)))
+      USING (high_risk_vendor))
+"""
 QUERIES["split_counts"] = """
-SELECT CAST(CAST('0x' || substr(md5(vendor_id), 1, 7) AS BIGINT) % 10 < 3 AS INTEGER) AS is_test, high_risk_vendor,
-       COUNT(*) AS n
-FROM features GROUP BY 1, 2
+SELECT CAST(is_test AS INTEGER) AS is_test, high_risk_vendor, COUNT(*) AS n FROM split GROUP BY 1, 2
 """
+QUERIES["split_rows"] = "SELECT vendor_id, CAST(is_test AS INTEGER) AS is_test FROM split"
 QUERIES["model_inputs"] = (
     "SELECT vendor_id, "
     + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in C.MODEL_FEATURES)

@@ -533,6 +533,12 @@ def split_counts(spark, sf_dir):
     return rows.groupBy(F.col("is_test").cast("int").alias("is_test"), MODEL_TARGET).agg(F.count("*").alias("n"))
 
 
+@_query
+def split_rows(spark, sf_dir):
+    rows = training.with_split(training.model_input(portfolio_features(spark, sf_dir)))
+    return rows.select("vendor_id", F.col("is_test").cast("int").alias("is_test"))
+
+
 @_query
 def model_inputs(spark, sf_dir):
     return training.model_input(portfolio_features(spark, sf_dir))

@@ -35,8 +35,7 @@ def read_contracts(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``*.txt`` of a folder, one row per file with its whole text."""
     return (
         spark.read.option("pathGlobFilter", "*.txt")
-        .option("wholetext", True)
-        .text(folder)
+        .text(folder, wholetext=True)
         .select(F.col("_metadata.file_name").alias("contract_file"), F.col("value").alias("text"))
     )
 
