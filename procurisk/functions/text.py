@@ -7,38 +7,41 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character that counts as white space in source text, line breaks included.
-# ``trim`` and the default ``\s`` of the JVM know fewer.
-WS = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-NON_WS = r"[^\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-# The run of white space at the end; entered at its first character only, so long runs stay linear.
-_LAST_WS = f"(?<!{WS}){WS}+$"
-# Line ends other than \n.
-OTHER_LINE_END = r"\r\n|[\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
+# --- fixed values: every character that counts as white space in source text, line ends included --
+# (``trim`` and the default class of the JVM know fewer)
+WS_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029])
+) + "".join(map(chr, [0x202F, 0x205F, 0x3000]))
+LINE_END_CHARS = "".join(map(chr, [*range(0x0A, 0x0E), 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029]))
+
+WS = f"[{WS_CHARS}]"
+# a run of white space other than one single blank
+_LONG_WS = f"[{WS_CHARS.replace(' ', '')}]{WS}*| {WS}+"
+LINE_ENDS = f"[{LINE_END_CHARS}]+"
 
 
 def strip_ws(c: Column) -> Column:
     """Remove white space of every kind from both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{_LAST_WS}", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def rstrip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, _LAST_WS, "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def collapse_ws(c: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(c, _LONG_WS, " "))
 
 
 def lines_of(c: Column) -> Column:
-    """The lines of a text, unstripped."""
-    return F.split(F.regexp_replace(c, OTHER_LINE_END, "\n"), "\n")
+    """The lines of a text, unstripped; runs of line ends count as one."""
+    return F.split(c, LINE_ENDS)
 
 
 def is_blank(c: Column) -> Column:
     """Null or nothing but white space; never null itself."""
-    return F.coalesce(c.cast("string").rlike(f"^{WS}*$"), F.lit(True))
+    return F.coalesce(strip_ws(c.cast("string")) == "", F.lit(True))
 
 
 def slug(c: Column) -> Column:
@@ -56,12 +59,13 @@ def file_stem(file_name: Column) -> Column:
 
 def contract_vendor_name(text: Column, file_name: Column) -> Column:
     """First line of the contract without its agreement suffix; the file stem for a blank text."""
-    stripped = strip_ws(text)
+    started = F.ltrim(text, F.lit(WS_CHARS))
     stem = file_stem(file_name)
-    first = F.when(stripped == "", stem).otherwise(strip_ws(lines_of(stripped)[0]))
-    name = strip_ws(
-        F.regexp_replace(first, f"(?i){WS}+(Master Services Agreement|Services Agreement|Agreement)$", "")
-    )
+    # cut at the first plain line end, then look for other ones in that line only
+    first_line = F.split(F.substring_index(started, "\n", 1), LINE_ENDS, 2)[0]
+    first = strip_ws(F.when(started == "", stem).otherwise(first_line))
+    suffix = f"(?i){WS}+(Master Services Agreement|Services Agreement|Agreement)$"
+    name = strip_ws(F.regexp_replace(first, suffix, ""))
     return F.when(name == "", F.initcap(F.regexp_replace(stem, "_", " "))).otherwise(name)
 
 

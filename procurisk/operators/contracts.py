@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 
 from procurisk.config import CLAUSE_KEYWORDS, SECTION_CLAUSE_TYPE, SECTION_HEADINGS
 from procurisk.functions.text import (
-    NON_WS,
     WS,
     collapse_ws,
     contract_file_name,
@@ -32,14 +31,15 @@ _NO_LIMIT = 2_000_000_000
 # most files whose offsets are broadcast: a name and a number each, some tens of megabytes
 BROADCAST_FILES = 200_000
 
-# up to five words on one line
-_FEW_WORDS = f"{NON_WS}+(?: {NON_WS}+){{0,4}}"
-# such a line that is not the whole block, or is the whole block and does not end in a period
+# Inside a tidied text blanks are single, lines end in one \n and blocks in two.
+# A heading is a line of up to five words: the first of several lines of its block, or a whole block that
+# does not end in a period.
+_FEW_WORDS = r"[^ \n]+(?: [^ \n]+){0,4}"
 _HEADING_START = rf"(?={_FEW_WORDS}\n(?!\n)|{_FEW_WORDS}(?<!\.)(?:\n\n|\z))"
 
 
 def _blocks(text: Column) -> Column:
-    """Paragraphs of a text, white space inside lines collapsed, blank lines and line ends gone."""
+    """Paragraphs of a text, white space inside lines collapsed, blank lines gone."""
     parts = F.split(strip_ws(text), rf"\n{WS}*\n+")
 
     def tidy(part: Column) -> Column:
@@ -49,6 +49,12 @@ def _blocks(text: Column) -> Column:
     return F.filter(F.transform(parts, tidy), lambda part: part != "")
 
 
+def _after_first_line(text: Column) -> Column:
+    """The text after its first line; empty for a single line."""
+    at = F.instr(text, "\n")
+    return F.when(at > 0, F.substr(text, at + 1)).otherwise("")
+
+
 def _chunk_texts(text: Column) -> Column:
     """Chunk texts of one contract in order.
 
@@ -61,7 +67,7 @@ def _chunk_texts(text: Column) -> Column:
     opened = F.transform(
         pieces,
         lambda piece: F.struct(
-            F.split(F.regexp_replace(piece, r"\n\n\z", ""), "\n\n").alias("blocks"),
+            F.split(F.rtrim(piece, F.lit("\n")), "\n\n").alias("blocks"),
             F.when(piece.rlike(rf"\A{_HEADING_START}"), F.substring_index(piece, "\n", 1)).alias("heading"),
         ),
     )
@@ -69,10 +75,10 @@ def _chunk_texts(text: Column) -> Column:
     def chunks_of(piece: Column) -> Column:
         def chunk(block: Column, i: Column) -> Column:
             opening = (i == 0) & piece["heading"].isNotNull()
-            content = F.when(opening, F.regexp_replace(block, r"\A[^\n]*\n?", "")).otherwise(block)
+            content = F.when(opening, _after_first_line(block)).otherwise(block)
             heading = F.coalesce(piece["heading"], F.lit("General"))
-            joined = F.concat(heading, F.when(content != "", F.concat(F.lit(": "), content)).otherwise(""))
-            return collapse_ws(joined)
+            separator = F.when(content == "", "").otherwise(": ")
+            return F.concat(heading, separator, F.replace(content, F.lit("\n"), F.lit(" ")))
 
         return F.transform(piece["blocks"], chunk)
 
@@ -83,13 +89,14 @@ def clause_chunks(
     contracts: DataFrame, keywords: Mapping[str, Sequence[str]] = CLAUSE_KEYWORDS
 ) -> DataFrame:
     """One row per clause: (contract_file, chunk_no, text, vendor_name, clause_type, source)."""
-    # name and array first, explode after: the whole text must not travel with every clause
+    # Name and array first, explode after: the whole text must not travel with every clause. The outer
+    # form, because before a plain explode Spark puts a filter that works the array out once more.
     exploded = contracts.select(
         "contract_file",
         contract_vendor_name(F.col("text"), F.col("contract_file")).alias("vendor_name"),
-        F.filter(_chunk_texts(F.col("text")), lambda c: c != "").alias("chunks"),
-    ).select("contract_file", "vendor_name", F.posexplode("chunks").alias("chunk_no", "text"))
-    return exploded.select(
+        _chunk_texts(F.col("text")).alias("chunks"),
+    ).select("contract_file", "vendor_name", F.posexplode_outer("chunks").alias("chunk_no", "text"))
+    return exploded.where(F.col("chunk_no").isNotNull()).select(
         "contract_file",
         "chunk_no",
         "text",
@@ -146,10 +153,9 @@ def section_array(
         first = F.substring_index(piece, "\n", 1)
         has_heading = first.isin(*headings)
         heading = F.when(has_heading, first).otherwise("general")
-        rest = F.when(piece.contains("\n"), F.regexp_replace(piece, r"\A[^\n]*\n", "")).otherwise("")
         return F.struct(
             heading.alias("heading"),
-            F.when(has_heading, rest).otherwise(piece).alias("text"),
+            F.when(has_heading, _after_first_line(piece)).otherwise(piece).alias("text"),
             section_clause_type(heading, types).alias("clause_type"),
         )
 
@@ -172,8 +178,8 @@ def clause_sections(
         section_array(F.col("text"), headings, types).alias("sections"),
     )
     return sections.select(
-        "contract_file", "vendor_name", F.posexplode("sections").alias("section_no", "section")
-    ).select("contract_file", "vendor_name", "section_no", "section.*")
+        "contract_file", "vendor_name", F.posexplode_outer("sections").alias("section_no", "section")
+    ).where(F.col("section_no").isNotNull()).select("contract_file", "vendor_name", "section_no", "section.*")
 
 
 def _substrings(names: DataFrame, column: str, needles: DataFrame) -> DataFrame:

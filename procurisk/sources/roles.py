@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a table that comes in fewer splits than there are cores one partition per core.
+
+    A single small file is read by one task; tables of a size that matters are not touched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
@@ -186,7 +195,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier")
     vendor_count = suppliers.agg(F.count("*")).scalar()
     names = suppliers.select(F.col("s_suppkey").alias("vendor_key"), F.col("s_name").alias("vendor_name"))
-    documents = table(spark, sf_dir, "documents").select(
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
         F.pmod(F.col("doc_id"), vendor_count).alias("vendor_key"),
         F.floor(F.col("doc_id") / vendor_count).alias("version"),
         "text",
