@@ -71,11 +71,10 @@ def contract_vendor_name(text: Column, file_name: Column) -> Column:
 
 def section_clause_type(heading: Column, types: Mapping[str, str]) -> Column:
     """Exact heading lookup, ``general`` when unknown."""
-    result = None
-    for known, clause_type in types.items():
-        condition = F.lower(heading) == known
-        result = F.when(condition, clause_type) if result is None else result.when(condition, clause_type)
-    return F.lit("general") if result is None else result.otherwise("general")
+    if not types:
+        return F.lit("general")
+    table = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(heading)), F.lit("general"))
 
 
 def detected_clause_type(text: Column, keywords: Mapping[str, Sequence[str]]) -> Column:

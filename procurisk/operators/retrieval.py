@@ -139,10 +139,6 @@ def _best(rows: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _as_matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype="float64") for v in vectors])
-
-
 def inner_product_top_k(
     queries: DataFrame,
     items: DataFrame,
@@ -170,17 +166,21 @@ def inner_product_top_k(
 
     query_field, item_field = queries.schema["query_id"], items.schema["item_id"]
 
+    # both functions are local, so that they travel to the workers by value
+    def as_matrix(some_vectors: pd.Series) -> np.ndarray:
+        return np.stack([np.asarray(v, dtype="float64") for v in some_vectors])
+
     def search(some_queries: pd.DataFrame, some_items: pd.DataFrame) -> pd.DataFrame:
         if some_queries.empty or some_items.empty:
             return pd.DataFrame(columns=["query_id", "item_id", "score"])
         some_items = some_items.sort_values("item_id", kind="stable")
         ids = some_items["item_id"].to_numpy()
-        matrix = _as_matrix(some_items["vector"])
+        matrix = as_matrix(some_items["vector"])
         keep = min(k, len(ids))
         found = []
         for start in range(0, len(some_queries), 256):
             part = some_queries.iloc[start : start + 256]
-            scores = _as_matrix(part["vector"]) @ matrix.T
+            scores = as_matrix(part["vector"]) @ matrix.T
             # stable sort: equal scores stay in item order
             order = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
             found.append(

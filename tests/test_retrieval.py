@@ -171,3 +171,23 @@ def test_chunk_table_feeds_name_pairs(spark):
     asked = spark.createDataFrame([("ACME inc",), ("ac",), ("z",)], "vendor_name string")
     pairs = retrieval.vendor_name_pairs(asked, chunks).collect()
     assert sorted(r["requested"] for r in pairs) == ["ACME inc", "ac"]
+
+
+def test_search_needs_no_package_on_the_workers(tmp_path):
+    """Workers start elsewhere: the function sent to them must not import this package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from procurisk.session import build_session\n"
+        "from procurisk.operators import retrieval\n"
+        "spark = build_session('local[2]', 2)\n"
+        "items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], 'item_id long, vector array<float>')\n"
+        "print(retrieval.inner_product_top_k(items.withColumnRenamed('item_id', 'query_id'), items, 1).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "2", done.stderr[-2000:]
