@@ -21,6 +21,8 @@ DUPLICATE_KEY = ("vendor_id", "invoice_date", "amount")
 
 # position of an issue in the report: table * 100 + check, empty tables first
 _TABLE_ORDER = {VENDORS: 100, INVOICES: 200, TICKETS: 300}
+_SIZE = "size"
+_DUPLICATES = "Potential duplicate invoices found"
 _EMPTY_ORDER = {VENDORS: 1, INVOICES: 2, TICKETS: 3}
 
 
@@ -122,57 +124,42 @@ def _counters(dataset: str) -> list[Column]:
     ]
 
 
-def _to_issues(counts: DataFrame, dataset: str, extra: list[tuple[str, str, str, str]] = ()) -> DataFrame:
-    """One row of counters -> one row per check that found something."""
-    entries = [
-        (severity, field, message, f"check_{i}")
-        for i, (severity, field, message, _) in enumerate(_CHECKS[dataset]())
-    ] + list(extra)
-    structs = [
-        F.struct(
-            F.lit(dataset).alias("dataset"),
-            F.lit(severity).alias("severity"),
-            F.lit(field).cast("string").alias("field"),
-            F.lit(message).alias("message"),
-            F.coalesce(F.col(column), F.lit(0)).cast("bigint").alias("affected_rows"),
-            F.lit(_TABLE_ORDER[dataset] + i).alias("position"),
-        )
-        for i, (severity, field, message, column) in enumerate(entries)
-    ]
-    empty = F.struct(
+def _issue(dataset: str, severity: str, field: str | None, message: str, affected: Column, position: int) -> Column:
+    return F.struct(
         F.lit(dataset).alias("dataset"),
-        F.lit("error").alias("severity"),
-        F.lit(None).cast("string").alias("field"),
-        F.lit("Dataset is empty").alias("message"),
-        F.lit(0).cast("bigint").alias("affected_rows"),
-        F.lit(_EMPTY_ORDER[dataset]).alias("position"),
+        F.lit(severity).alias("severity"),
+        F.lit(field).cast("string").alias("field"),
+        F.lit(message).alias("message"),
+        F.coalesce(affected, F.lit(0)).cast("bigint").alias("affected_rows"),
+        F.lit(position).alias("position"),
     )
-    found = F.filter(F.array(*structs), lambda issue: issue["affected_rows"] > 0)
-    all_issues = F.when(F.col("rows") == 0, F.array(empty)).otherwise(found)
-    return counts.select(F.inline(all_issues))
 
 
-def missing_column_issue(df: DataFrame, dataset: str) -> DataFrame:
+def _findings(counts: DataFrame, dataset: str, issues: list[Column], always: bool = False) -> DataFrame:
+    """One row of counters -> the checks that found something, and one row with the size of the table.
+
+    The size comes along as a row of severity ``size``, so that one pass over a table serves both.
+    """
+    kept = F.array(*issues) if always else F.filter(F.array(*issues), lambda i: i["affected_rows"] > 0)
+    empty = _issue(dataset, "error", None, "Dataset is empty", F.lit(0), _EMPTY_ORDER[dataset])
+    none = F.filter(F.array(empty), lambda i: F.lit(False))
+    size = F.array(_issue(dataset, _SIZE, None, "", F.col("rows"), 0))
+    all_rows = F.concat(F.when(F.col("rows") == 0, F.array(empty)).otherwise(none), kept, size)
+    return counts.select(F.inline(all_rows))
+
+
+def _check_issues(dataset: str) -> list[Column]:
+    return [
+        _issue(dataset, severity, field, message, F.col(f"check_{i}"), _TABLE_ORDER[dataset] + i)
+        for i, (severity, field, message, _) in enumerate(_CHECKS[dataset]())
+    ]
+
+
+def _missing_column_findings(df: DataFrame, dataset: str) -> DataFrame:
     """The single issue of a table that lacks columns; its other checks do not run."""
     message = f"Missing columns: {missing_columns(df, dataset)}"
-    issue = F.struct(
-        F.lit(dataset).alias("dataset"),
-        F.lit("error").alias("severity"),
-        F.lit(None).cast("string").alias("field"),
-        F.lit(message).alias("message"),
-        F.col("rows").alias("affected_rows"),
-        F.lit(_TABLE_ORDER[dataset]).alias("position"),
-    )
-    empty = F.struct(
-        F.lit(dataset).alias("dataset"),
-        F.lit("error").alias("severity"),
-        F.lit(None).cast("string").alias("field"),
-        F.lit("Dataset is empty").alias("message"),
-        F.lit(0).cast("bigint").alias("affected_rows"),
-        F.lit(_EMPTY_ORDER[dataset]).alias("position"),
-    )
-    issues = F.when(F.col("rows") == 0, F.array(empty, issue)).otherwise(F.array(issue))
-    return df.agg(F.count("*").alias("rows")).select(F.inline(issues))
+    issue = _issue(dataset, "error", None, message, F.col("rows"), _TABLE_ORDER[dataset])
+    return _findings(df.agg(F.count("*").alias("rows")), dataset, [issue], always=True)
 
 
 def vendor_counts(vendors: DataFrame) -> DataFrame:
@@ -225,46 +212,66 @@ def duplicate_row_count(invoices: DataFrame) -> DataFrame:
     return duplicate_groups(invoices).agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("duplicate_rows"))
 
 
-def vendor_issues(vendors: DataFrame) -> DataFrame:
+def _vendor_findings(vendors: DataFrame) -> DataFrame:
     if missing_columns(vendors, VENDORS):
-        return missing_column_issue(vendors, VENDORS)
-    return _to_issues(vendor_counts(vendors), VENDORS)
+        return _missing_column_findings(vendors, VENDORS)
+    return _findings(vendor_counts(vendors), VENDORS, _check_issues(VENDORS))
 
 
-def invoice_issues(invoices: DataFrame, vendors: DataFrame | None = None) -> DataFrame:
+def _child_findings(df: DataFrame, vendors: DataFrame | None, dataset: str) -> DataFrame:
+    issues = _check_issues(dataset)
+    unknown = _issue(
+        dataset, "error", "vendor_id", _UNKNOWN[dataset], F.col("unknown_vendor"), _TABLE_ORDER[dataset] + len(issues)
+    )
+    return _findings(_counts_with_unknown(df, vendors, dataset), dataset, [*issues, unknown])
+
+
+def _invoice_findings(invoices: DataFrame, vendors: DataFrame | None) -> DataFrame:
     if missing_columns(invoices, INVOICES):
-        return missing_column_issue(invoices, INVOICES)
-    counts = _counts_with_unknown(invoices, vendors, INVOICES)
-    issues = _to_issues(counts, INVOICES, [("error", "vendor_id", _UNKNOWN[INVOICES], "unknown_vendor")])
+        return _missing_column_findings(invoices, INVOICES)
     duplicates = duplicate_row_count(invoices).where(F.col("duplicate_rows") > 0)
-    warning = duplicates.select(
-        F.lit(INVOICES).alias("dataset"),
-        F.lit("warning").alias("severity"),
-        F.lit(None).cast("string").alias("field"),
-        F.lit("Potential duplicate invoices found").alias("message"),
-        F.col("duplicate_rows").alias("affected_rows"),
-        F.lit(_TABLE_ORDER[INVOICES] + 50).alias("position"),
+    warning = _issue(
+        INVOICES, "warning", None, _DUPLICATES, F.col("duplicate_rows"), _TABLE_ORDER[INVOICES] + 50
     )
-    return issues.unionByName(warning)
+    return _child_findings(invoices, vendors, INVOICES).unionByName(duplicates.select(F.inline(F.array(warning))))
 
 
-def ticket_issues(tickets: DataFrame, vendors: DataFrame | None = None) -> DataFrame:
+def _ticket_findings(tickets: DataFrame, vendors: DataFrame | None) -> DataFrame:
     if missing_columns(tickets, TICKETS):
-        return missing_column_issue(tickets, TICKETS)
-    counts = _counts_with_unknown(tickets, vendors, TICKETS)
-    return _to_issues(counts, TICKETS, [("error", "vendor_id", _UNKNOWN[TICKETS], "unknown_vendor")])
+        return _missing_column_findings(tickets, TICKETS)
+    return _child_findings(tickets, vendors, TICKETS)
 
 
-def issues(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """All findings of the three raw tables, one row each."""
+def _all_findings(tables: Mapping[str, DataFrame]) -> DataFrame:
     vendors = tables[VENDORS]
     ids = vendors if "vendor_id" in vendors.columns else None
     parts = [
-        vendor_issues(vendors),
-        invoice_issues(tables[INVOICES], ids),
-        ticket_issues(tables[TICKETS], ids),
+        _vendor_findings(vendors),
+        _invoice_findings(tables[INVOICES], ids),
+        _ticket_findings(tables[TICKETS], ids),
     ]
-    return reduce(DataFrame.unionByName, parts).select(*ISSUE_COLUMNS)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _only_issues(findings: DataFrame) -> DataFrame:
+    return findings.where(F.col("severity") != _SIZE).select(*ISSUE_COLUMNS)
+
+
+def vendor_issues(vendors: DataFrame) -> DataFrame:
+    return _only_issues(_vendor_findings(vendors))
+
+
+def invoice_issues(invoices: DataFrame, vendors: DataFrame | None = None) -> DataFrame:
+    return _only_issues(_invoice_findings(invoices, vendors))
+
+
+def ticket_issues(tickets: DataFrame, vendors: DataFrame | None = None) -> DataFrame:
+    return _only_issues(_ticket_findings(tickets, vendors))
+
+
+def issues(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """All findings of the three raw tables, one row each."""
+    return _only_issues(_all_findings(tables))
 
 
 def dataset_shapes(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -280,36 +287,30 @@ def dataset_shapes(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """The whole report in one row: passed, errors, warnings, shapes and counts."""
-    found = issues(tables).select("severity", "position", F.struct(*ISSUE_COLUMNS[:5]).alias("issue"))
+    found = _all_findings(tables).select("severity", "position", F.struct(*ISSUE_COLUMNS[:5]).alias("issue"))
 
     def listed(severity: str) -> Column:
+        # at most one row per check, so the lists have a fixed bound
         chosen = F.when(F.col("severity") == severity, F.struct("position", "issue"))
         return F.transform(F.array_sort(F.collect_list(chosen)), lambda x: x["issue"])
 
-    # at most one row per check, so the lists have a fixed bound
-    lists = found.agg(
+    widths = F.create_map(*[F.lit(x) for name, df in tables.items() for x in (name, len(df.columns))])
+    dataset = F.col("issue.dataset")
+    shape = F.struct(
+        dataset.alias("dataset"),
+        F.struct(F.col("issue.affected_rows").alias("rows"), widths[dataset].alias("columns")).alias("shape"),
+    )
+    duplicates = F.when(F.col("issue.message") == _DUPLICATES, F.col("issue.affected_rows"))
+    return found.agg(
         listed("error").alias("errors"),
         listed("warning").alias("warnings"),
-        F.coalesce(
-            F.sum(
-                F.when(
-                    F.col("issue.message") == "Potential duplicate invoices found",
-                    F.col("issue.affected_rows"),
-                )
-            ),
-            F.lit(0),
-        ).alias("duplicate_invoice_rows"),
-    )
-    shapes = dataset_shapes(tables).agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("dataset", F.struct("rows", "columns").alias("shape"))))
-        )
-    )
-    return lists.select(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("severity") == _SIZE, shape)))).alias("datasets"),
+        F.coalesce(F.sum(duplicates), F.lit(0)).alias("duplicate_invoice_rows"),
+    ).select(
         (F.size("errors") == 0).alias("passed"),
         "errors",
         "warnings",
-        shapes.scalar().alias("datasets"),
+        "datasets",
         F.size("errors").alias("error_count"),
         F.size("warnings").alias("warning_count"),
         "duplicate_invoice_rows",
