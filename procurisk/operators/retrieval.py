@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -18,7 +17,6 @@ from pyspark.sql import Window as W
 from procurisk.config import DEFAULT, DEFAULT_QUERY_TEXT, EXTRA_QUERY_TERMS, SECTION_CLAUSE_TYPE, SECTION_HEADINGS
 from procurisk.functions.text import contract_vendor_name, query_terms, round_half_even, strip_ws
 from procurisk.operators.contracts import contained_names, match_contract_names, section_array
-from procurisk.operators.skew import ROWS_PER_SALT, join_salted
 
 VECTOR_WIDTH = 384
 ITEMS_PER_CELL = 20_000
@@ -128,42 +126,63 @@ def text_vectors(model: PipelineModel, texts: DataFrame, output: str = "vector")
     )
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of two float arrays, added in array order."""
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-
-
 def _best(rows: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy(by).orderBy(F.col(score).desc(), F.col(tie)))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def inner_product_top_k(
+def top_k_within_scopes(
     queries: DataFrame,
     items: DataFrame,
     k: int = DEFAULT.top_k,
     items_per_cell: int = ITEMS_PER_CELL,
     queries_per_block: int = QUERIES_PER_BLOCK,
 ) -> DataFrame:
-    """The k items with the largest inner product for every query, over all items.
+    """The k items with the largest inner product for every query, over the items of the query's scopes.
 
-    ``queries`` has (query_id, vector), ``items`` (item_id, vector). The exact search has to
-    look at every pair, but no pair becomes a row: items are hashed into cells and queries into blocks
-    of bounded size, each cell meets each block once as one matrix product, and only its k best items per
-    query leave it. A window then ranks the few candidates of each query.
-    """
-    cells = max(1, math.ceil(items.count() / items_per_cell))
-    blocks = max(1, math.ceil(queries.count() / queries_per_block))
+    ``queries`` has (query_id, scope, vector), one row per scope the query looks at; ``items`` has
+    (item_id, scope, vector). The exact search has to look at every pair of a scope, but no pair becomes
+    a row: pairs are matrix products inside tasks, and only the k best items per query leave a task.
 
-    def placed(df: DataFrame, key: str, own: str, own_count: int, other: str, other_count: int) -> DataFrame:
-        number = F.pmod(F.xxhash64(key), F.lit(own_count)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(other_count - 1)))
-        return df.select(key, "vector", number.alias(own), copies.alias(other))
-
-    left = placed(queries, "query_id", "block", blocks, "cell", cells)
-    right = placed(items, "item_id", "cell", cells, "block", blocks)
+    Small scopes share buckets. A scope with many items is cut into cells and one with many queries into
+    blocks, and each cell meets each block once, so no task gets more than about one cell and one block.
+    The table of such scopes is broadcast; it has at most (items / items_per_cell + queries /
+    queries_per_block) rows.
+    """
+    sizes = (
+        items.groupBy("scope")
+        .agg(F.count("*").alias("n_items"))
+        .join(queries.groupBy("scope").agg(F.count("*").alias("n_queries")), "scope")
+    )
+    cells = F.ceil(F.col("n_items") / items_per_cell).cast("int")
+    blocks = F.ceil(F.col("n_queries") / queries_per_block).cast("int")
+    large = F.broadcast(
+        sizes.where((cells > 1) | (blocks > 1)).select(
+            F.col("scope").alias("_scope"), cells.alias("_cells"), blocks.alias("_blocks")
+        )
+    )
+    # the large scopes count here too: at worst there are more buckets than needed
+    buckets = sizes.agg(
+        F.greatest(
+            F.ceil(F.sum("n_items") / items_per_cell), F.ceil(F.sum("n_queries") / queries_per_block), F.lit(1)
+        )
+    ).scalar()
+
+    def placed(df: DataFrame, key: str, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
+        # named anew, so that both sides may come from one table
+        renamed = df.select(*[F.col(c).alias(c) for c in (key, "scope", "vector")])
+        located = renamed.join(large, F.col("scope") == F.col("_scope"), "left")
+        area = F.when(F.col("_scope").isNull(), F.pmod(F.xxhash64("scope"), F.coalesce(buckets, F.lit(1)))).otherwise(
+            F.xxhash64("scope")
+        )
+        number = F.pmod(F.xxhash64(F.spark_partition_id(), F.col(key)), F.coalesce(F.col(own_count), F.lit(1)))
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other_count), F.lit(1)) - 1))
+        return located.select(
+            key, "scope", "vector", area.alias("area"), number.cast("int").alias(own), copies.alias(other)
+        )
 
+    left = placed(queries, "query_id", "block", "_blocks", "cell", "_cells")
+    right = placed(items, "item_id", "cell", "_cells", "block", "_blocks")
     query_field, item_field = queries.schema["query_id"], items.schema["item_id"]
 
     # both functions are local, so that they travel to the workers by value
@@ -171,37 +190,49 @@ def inner_product_top_k(
         return np.stack([np.asarray(v, dtype="float64") for v in some_vectors])
 
     def search(some_queries: pd.DataFrame, some_items: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "item_id", "score"]
         if some_queries.empty or some_items.empty:
-            return pd.DataFrame(columns=["query_id", "item_id", "score"])
-        some_items = some_items.sort_values("item_id", kind="stable")
-        ids = some_items["item_id"].to_numpy()
-        matrix = as_matrix(some_items["vector"])
-        keep = min(k, len(ids))
+            return pd.DataFrame(columns=names)
         found = []
-        for start in range(0, len(some_queries), 256):
-            part = some_queries.iloc[start : start + 256]
-            scores = as_matrix(part["vector"]) @ matrix.T
-            # stable sort: equal scores stay in item order
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-            found.append(
-                pd.DataFrame(
-                    {
-                        "query_id": np.repeat(part["query_id"].to_numpy(), keep),
-                        "item_id": ids[order].ravel(),
-                        "score": np.take_along_axis(scores, order, axis=1).ravel(),
-                    }
-                )
-            )
-        return pd.concat(found, ignore_index=True)
-
+        some_items = some_items.sort_values(["scope", "item_id"], kind="stable")
+        ids, matrix = some_items["item_id"].to_numpy(), as_matrix(some_items["vector"])
+        scopes, starts = np.unique(some_items["scope"].to_numpy(), return_index=True)
+        ranges = dict(zip(scopes, zip(starts, [*starts[1:], len(ids)])))
+        for scope, asking in some_queries.groupby("scope", sort=False):
+            first, last = ranges.get(scope, (0, 0))
+            if first == last:
+                continue
+            keep = min(k, last - first)
+            for at in range(0, len(asking), 256):
+                part = asking.iloc[at : at + 256]
+                scores = as_matrix(part["vector"]) @ matrix[first:last].T
+                limits = np.partition(scores, -keep, axis=1)[:, -keep]
+                for query, row, limit in zip(part["query_id"], scores, limits):
+                    at_least = np.flatnonzero(row >= limit)
+                    # stable sort: equal scores stay in item order
+                    best = at_least[np.argsort(-row[at_least], kind="stable")[:keep]]
+                    found.append((np.full(keep, query, dtype=object), ids[first:last][best], row[best]))
+        if not found:
+            return pd.DataFrame(columns=names)
+        return pd.DataFrame({name: np.concatenate(column) for name, column in zip(names, zip(*found))})
+
+    place = ("area", "cell", "block")
     candidates = (
-        left.groupBy("cell", "block")
-        .cogroup(right.groupBy("cell", "block"))
+        left.groupBy(*place)
+        .cogroup(right.groupBy(*place))
         .applyInPandas(search, T.StructType([query_field, item_field, T.StructField("score", T.DoubleType())]))
     )
     return _best(candidates, "query_id", "score", "item_id", k)
 
 
+def inner_product_top_k(queries: DataFrame, items: DataFrame, k: int = DEFAULT.top_k, **sizes: int) -> DataFrame:
+    """The same over all items: ``queries`` has (query_id, vector), ``items`` (item_id, vector)."""
+    everything = F.lit("")
+    return top_k_within_scopes(
+        queries.withColumn("scope", everything), items.withColumn("scope", everything), k, **sizes
+    )
+
+
 def vendor_name_pairs(requested: DataFrame, present: DataFrame) -> DataFrame:
     """Pairs of requested and present vendor names where one contains the other, case and ends ignored."""
 
@@ -220,40 +251,36 @@ def vendor_name_pairs(requested: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def vendor_preferred_top_k(
-    queries: DataFrame, clauses: DataFrame, k: int = DEFAULT.top_k, rows_per_salt: int = ROWS_PER_SALT
+    queries: DataFrame, clauses: DataFrame, k: int = DEFAULT.top_k, **sizes: int
 ) -> DataFrame:
     """The k best clauses of the vendor itself, or of all clauses where the vendor has none.
 
-    ``queries`` has (vendor_id, vendor_name, vector), ``clauses`` (chunk_id, vendor_name, vector). Own
-    clauses are joined by name, with the clauses of very large vendors salted; ranks are cut within each
-    task before the shuffle. Only vendors without clauses go through the search over everything.
+    ``queries`` has (vendor_id, vendor_name, vector), ``clauses`` (chunk_id, vendor_name, vector). A
+    vendor looks at the clauses of every name that contains its own or is contained in it; only vendors
+    without such clauses search everything.
     """
     pairs = vendor_name_pairs(queries, clauses)
-    wanted = queries.withColumnRenamed("vector", "query_vector").join(
-        pairs, F.col("vendor_name") == F.col("requested")
+    asked = queries.select(F.col("vendor_id").alias("query_id"), F.col("vendor_name").alias("requested"), "vector")
+    own = top_k_within_scopes(
+        asked.join(pairs, "requested").select("query_id", F.col("present").alias("scope"), "vector"),
+        clauses.select(F.col("chunk_id").alias("item_id"), F.col("vendor_name").alias("scope"), "vector"),
+        k,
+        **sizes,
     )
-    own = join_salted(
-        clauses.select("chunk_id", F.col("vendor_name").alias("present"), "vector"),
-        wanted.select("vendor_id", "present", "query_vector"),
-        ["present"],
-        rows_per_salt=rows_per_salt,
-    ).select("vendor_id", "chunk_id", dot(F.col("query_vector"), F.col("vector")).alias("score"))
-    preferred = _best(own, "vendor_id", "score", "chunk_id", k).withColumn("scope", F.lit("vendor"))
-
-    others = queries.join(pairs, F.col("vendor_name") == F.col("requested"), "left_anti")
     overall = inner_product_top_k(
-        others.select(F.col("vendor_id").alias("query_id"), "vector"),
+        asked.join(pairs, "requested", "left_anti").select("query_id", "vector"),
         clauses.select(F.col("chunk_id").alias("item_id"), "vector"),
         k,
-    ).select(
+        **sizes,
+    )
+    ranked = own.withColumn("scope", F.lit("vendor")).unionByName(overall.withColumn("scope", F.lit("all")))
+    return ranked.select(
         F.col("query_id").alias("vendor_id"),
         F.col("item_id").alias("chunk_id"),
-        "score",
+        round_half_even(F.col("score"), 4).alias("score"),
         "rank",
-        F.lit("all").alias("scope"),
+        "scope",
     )
-    ranked = preferred.unionByName(overall)
-    return ranked.withColumn("score", round_half_even(F.col("score"), 4))
 
 
 def attach_clauses(hits: DataFrame, clauses: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def join_salted(
     def look_up(df: DataFrame) -> DataFrame:
         condition = F.lit(True)
         for k in keys:
-            condition = condition & df[k].eqNullSafe(hot[f"_hot_{k}"])
+            condition = condition & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
         return df.join(hot, condition, "left").drop(*[f"_hot_{k}" for k in keys])
 
     mixed = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in big.columns])
@@ -53,7 +53,8 @@ def join_salted(
     )
     for k in keys:
         right = right.withColumnRenamed(k, f"_key_{k}")
-    condition = left["_salt"] == right["_copy"]
+    # by name, so that both sides may come from one table
+    condition = F.col("_salt") == F.col("_copy")
     for k in keys:
-        condition = condition & left[k].eqNullSafe(right[f"_key_{k}"])
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     return left.join(right, condition, how).drop("_salt", "_copy", *[f"_key_{k}" for k in keys])

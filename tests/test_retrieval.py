@@ -54,8 +54,9 @@ def test_search_agrees_with_brute_force(spark, per_cell, per_block):
     items[10:25] = items[9]  # copies: ties go to the smaller id
     queries = random.normal(size=(9, 8)).astype("float32")
     got = retrieval.inner_product_top_k(
-        vectors(spark, queries, "query_id"), vectors(spark, items, "item_id"), 5, per_cell, per_block
-    )
+        vectors(spark, queries, "query_id"), vectors(spark, items, "item_id"), 5,
+        items_per_cell=per_cell, queries_per_block=per_block,
+    )
     found = {(r["query_id"], r["rank"]): r["item_id"] for r in got.collect()}
     scores = queries.astype("float64") @ items.astype("float64").T
     for q in range(9):
@@ -63,6 +64,17 @@ def test_search_agrees_with_brute_force(spark, per_cell, per_block):
         assert [found[q, rank] for rank in range(1, 6)] == order
 
 
+def test_both_sides_may_come_from_one_table(spark):
+    table = spark.range(40).select(
+        F.col("id").alias("chunk_id"),
+        F.concat(F.lit("V"), (F.col("id") % 4).cast("string")).alias("vendor_name"),
+        F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vector"),
+    )
+    queries = table.where("chunk_id < 8").select(F.col("chunk_id").alias("vendor_id"), "vendor_name", "vector")
+    rows = retrieval.vendor_preferred_top_k(queries, table, 1, items_per_cell=3).collect()
+    assert {r["vendor_id"]: r["chunk_id"] for r in rows} == {i: 36 + i % 4 for i in range(8)} | {0: 0}  # query 0 scores 1 everywhere
+
+
 def test_search_without_items_or_queries(spark):
     some = vectors(spark, np.eye(2, dtype="float32"), "item_id")
     none = some.where("false")
@@ -71,8 +83,8 @@ def test_search_without_items_or_queries(spark):
     assert retrieval.inner_product_top_k(queries.where("false"), some).count() == 0
 
 
-@pytest.mark.parametrize("rows_per_salt", [1_000_000, 5])
-def test_vendor_preferred_search(spark, rows_per_salt):
+@pytest.mark.parametrize("per_cell, per_block", [(20_000, 1_000), (5, 1_000), (7, 1)])
+def test_vendor_preferred_search(spark, per_cell, per_block):
     random = np.random.default_rng(3)
     matrix = random.normal(size=(90, 6)).astype("float32")
     owners = ["Acme" if i % 3 == 0 else f"Vendor {i % 5}" for i in range(90)]
@@ -85,7 +97,9 @@ def test_vendor_preferred_search(spark, rows_per_salt):
         [(k, n, query[k].tolist()) for k, n in asked.items()], "vendor_id string, vendor_name string, vector array<float>"
     )
     got = {}
-    for r in retrieval.vendor_preferred_top_k(queries, clauses, 4, rows_per_salt).collect():
+    for r in retrieval.vendor_preferred_top_k(
+        queries, clauses, 4, items_per_cell=per_cell, queries_per_block=per_block
+    ).collect():
         got.setdefault(r["vendor_id"], {})[r["rank"]] = (r["chunk_id"], r["score"], r["scope"])
     for key, name in asked.items():
         plain = name.strip().lower()
