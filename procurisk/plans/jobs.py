@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from procurisk.config import DEFAULT, RiskConfig
+from procurisk.config import DEFAULT, MODEL_FEATURES, MODEL_TARGET, RiskConfig
 from procurisk.functions import risk
 from procurisk.operators import contracts as contract_ops
 from procurisk.operators import drift, evidence, features, portfolio, quality, retrieval, scoring, training
@@ -165,11 +165,28 @@ def train(spark: SparkSession, vendor_features: DataFrame, folder: str) -> train
     trained = training.train_and_compare(spark, vendor_features)
     sinks.save_model(trained.models[trained.champion], f"{folder}/model")
     sinks.write_report(trained.results, f"{folder}/model_results")
+    champion = trained.results.where(F.col("model_name") == trained.champion).select(
+        "model_name",
+        F.array(*[F.lit(c) for c in MODEL_FEATURES]).alias("feature_columns"),
+        F.lit(MODEL_TARGET).alias("target_column"),
+        F.current_timestamp().alias("trained_at"),
+    )
+    sinks.write_report(champion, f"{folder}/champion")
     baseline = training.training_baseline(vendor_features)
     sinks.write_report(baseline, f"{folder}/training_baseline")
     return trained
 
 
+def score_with_stored_model(
+    spark: SparkSession, vendor_features: DataFrame, folder: str, config: RiskConfig = DEFAULT
+) -> DataFrame:
+    """Score by the stored champion; by the rule score when none is stored."""
+    if not readers.path_exists(spark, f"{folder}/champion"):
+        return score_portfolio_model(vendor_features, config=config)
+    name = spark.read.json(f"{folder}/champion").first()["model_name"]
+    return score_portfolio_model(vendor_features, sinks.load_model(spark, f"{folder}/model"), name, config)
+
+
 def read_baseline(spark: SparkSession, folder: str) -> DataFrame:
     """The stored baseline as (metric, value)."""
     stored = spark.read.json(f"{folder}/training_baseline").drop("row_count")

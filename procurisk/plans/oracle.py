@@ -517,7 +517,7 @@ FROM (SELECT vendor_id, vendor_name,
                                replace(lower(f.vendor_name), ' ', '_')))) AS contained
       FROM features f)
 """
-CTES["keyword_hits"] = f"""
+CTES["keyword_ranked"] = f"""
 SELECT vendor_id, rank, text, source_vendor AS vendor_name, clause_type, source, score
 FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY score DESC, section_no) AS rank
       FROM (SELECT t.vendor_id, s.section_no, s.vendor_name AS source_vendor, s.clause_type, s.contract_file AS source,
@@ -525,14 +525,20 @@ FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY score DESC, s
                    {_round("CAST(len(list_filter(t.terms, lambda w: contains(lower(s.heading || ' ' || s.text), w))) "
                            "AS DOUBLE) / len(t.terms)", 4)} AS score
             FROM terms t JOIN contract_of c USING (vendor_id) JOIN sections s ON s.contract_file = c.contract_file))
-WHERE rank <= 5
 """
-CTES["groups"] = """
+CTES["keyword_hits"] = "SELECT * FROM keyword_ranked WHERE rank <= 5"
+
+
+def _groups(limit: int) -> str:
+    return f"""
 SELECT vendor_id, row_number() OVER (PARTITION BY vendor_id ORDER BY first_rank) - 1 AS group_no, clause_type, text, sources
 FROM (SELECT vendor_id, clause_type, MIN(rank) AS first_rank, arg_min(text, rank) AS text,
              string_agg(DISTINCT source, ', ' ORDER BY source) AS sources
-      FROM keyword_hits GROUP BY vendor_id, clause_type)
+      FROM keyword_ranked WHERE rank <= {limit} GROUP BY vendor_id, clause_type)
 """
+
+
+CTES["groups"] = _groups(5)
 CTES["explained"] = """
 SELECT s.vendor_id,
        CASE WHEN g.parts IS NULL THEN 'No contract clauses were retrieved for ' || s.vendor_name || '. Review '
@@ -816,7 +822,7 @@ FROM (SELECT *, bool_or(fits) OVER (PARTITION BY vendor_id) AS any_fits
             FROM vector_hits WHERE rank <= 4))
 WHERE fits OR NOT any_fits
 """
-QUERIES["evidence_groups"] = "SELECT * FROM groups"
+QUERIES["evidence_groups"] = _groups(12)
 QUERIES["explanations"] = "SELECT e.vendor_id, explanation FROM explained e JOIN requested USING (vendor_id)"
 QUERIES["payloads"] = f"""
 SELECT CASE WHEN human_review_required = 1 THEN '{C.EVENT_REVIEW}' ELSE '{C.EVENT_APPROVED}' END AS event_type,

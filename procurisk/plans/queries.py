@@ -444,7 +444,8 @@ def text_vectors(spark, sf_dir):
 @_query
 def evidence_groups(spark, sf_dir):
     requests = _scored(spark, sf_dir).select("vendor_id", "vendor_name", "top_risk_factors")
-    found = jobs.retrieve_evidence(requests, roles.contracts(spark, sf_dir))
+    # twelve clauses, so that several share a type
+    found = jobs.retrieve_evidence(requests, roles.contracts(spark, sf_dir), k=12)
     groups = found.select(
         "vendor_id", F.posexplode(evidence.evidence_groups(F.col("evidence"))).alias("group_no", "g")
     )

@@ -12,16 +12,20 @@ from pyspark.sql import types as T
 from procurisk.sources.schemas import INVOICES, MISSING_TEXTS, TICKETS, VENDORS
 
 
+# a quote inside a quoted cell is doubled
+_CSV = {"header": True, "escape": '"'}
+
+
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """One raw table, every column as string, missing-value texts as null."""
     try:
-        header = spark.read.option("header", True).csv(path)
+        header = spark.read.options(**_CSV).csv(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"Missing required raw dataset: {path}") from error
         raise
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
-    table = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    table = spark.read.schema(schema).options(**_CSV).csv(path)
     return table.select(
         *[F.when(~F.col(c).isin(*MISSING_TEXTS), F.col(c)).alias(c) for c in table.columns]
     )

@@ -115,6 +115,12 @@ def test_missing_texts_become_null(spark, tmp_path):
     assert raw.where("paid_date is null").count() == 3
 
 
+def test_quoted_cells(spark, tmp_path):
+    write_folder(spark, tmp_path, invoices=[invoice(cost_center='A "quoted", name')])
+    raw = readers.read_raw_csv(spark, str(tmp_path / INVOICES))
+    assert raw.first()["cost_center"] == 'A "quoted", name'
+
+
 def test_missing_file(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="Missing required raw dataset"):
         readers.read_raw_csv(spark, str(tmp_path / VENDORS))
@@ -217,10 +223,21 @@ def test_training(spark, labelled, tmp_path):
     after = training.predict(model, labelled).select("vendor_id", "probability_1")
     assert sorted(map(tuple, before.collect())) == sorted(map(tuple, after.collect()))
     assert spark.read.json(f"{folder}/model_results").count() == 2
+    champion = spark.read.json(f"{folder}/champion").first()
+    assert champion["model_name"] == "LogisticRegression" and champion["feature_columns"] == list(training.MODEL_FEATURES)
     report = jobs.monitor_drift(spark, labelled, folder)
     assert report.count() == 4 and report.where("drift_detected or percent_change <> 0").count() == 0
 
 
+def test_scoring_with_a_stored_model(spark, table, labelled, tmp_path):
+    folder = str(tmp_path / "none")
+    assert {r["model_name"] for r in jobs.score_with_stored_model(spark, table, folder).collect()} == {"rule_based"}
+    jobs.train(spark, labelled, folder)
+    rows = jobs.score_with_stored_model(spark, table, folder).collect()
+    assert {r["model_name"] for r in rows} == {"LogisticRegression"}
+    assert all(0 <= r["risk_score"] <= 1 and r["risk_score"] == round(r["risk_score"], 4) for r in rows)
+
+
 def test_drift_trains_first_without_a_baseline(spark, labelled, tmp_path):
     folder = str(tmp_path / "fresh")
     assert not drift.overall_drift(jobs.monitor_drift(spark, labelled, folder)).first()[0]
