@@ -168,23 +168,62 @@ def top_k_within_scopes(
         )
     ).scalar()
 
-    def placed(df: DataFrame, key: str, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
+    def located(df: DataFrame, key: str) -> DataFrame:
         # named anew, so that both sides may come from one table
         renamed = df.select(*[F.col(c).alias(c) for c in (key, "scope", "vector")])
-        located = renamed.join(large, F.col("scope") == F.col("_scope"), "left")
-        area = F.when(F.col("_scope").isNull(), F.pmod(F.xxhash64("scope"), F.coalesce(buckets, F.lit(1)))).otherwise(
-            F.xxhash64("scope")
+        joined = renamed.join(large, F.col("scope") == F.col("_scope"), "left")
+        shared = F.pmod(F.xxhash64("scope"), F.coalesce(buckets, F.lit(1)))
+        return joined.select(
+            key,
+            "scope",
+            "vector",
+            F.when(F.col("_scope").isNull(), shared).otherwise(F.xxhash64("scope")).alias("area"),
+            F.coalesce("_cells", F.lit(1)).alias("cells"),
+            F.coalesce("_blocks", F.lit(1)).alias("blocks"),
         )
-        number = F.pmod(F.xxhash64(F.spark_partition_id(), F.col(key)), F.coalesce(F.col(own_count), F.lit(1)))
-        copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other_count), F.lit(1)) - 1))
-        return located.select(
-            key, "scope", "vector", area.alias("area"), number.cast("int").alias(own), copies.alias(other)
+
+    return _search_cells(located(queries, "query_id"), located(items, "item_id"), k)
+
+
+def inner_product_top_k(
+    queries: DataFrame,
+    items: DataFrame,
+    k: int = DEFAULT.top_k,
+    items_per_cell: int = ITEMS_PER_CELL,
+    queries_per_block: int = QUERIES_PER_BLOCK,
+) -> DataFrame:
+    """The same over all items: ``queries`` has (query_id, vector), ``items`` (item_id, vector)."""
+
+    def parts(df: DataFrame, size: int) -> Column:
+        return df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int")).scalar()
+
+    cells, blocks = parts(items, items_per_cell), parts(queries, queries_per_block)
+
+    def located(df: DataFrame, key: str) -> DataFrame:
+        return df.select(
+            F.col(key).alias(key),
+            F.lit("").alias("scope"),
+            F.col("vector").alias("vector"),
+            F.lit(0).cast("bigint").alias("area"),
+            cells.alias("cells"),
+            blocks.alias("blocks"),
         )
 
-    left = placed(queries, "query_id", "block", "_blocks", "cell", "_cells")
-    right = placed(items, "item_id", "cell", "_cells", "block", "_blocks")
+    return _search_cells(located(queries, "query_id"), located(items, "item_id"), k)
+
+
+def _search_cells(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """Meet the cells of every area with its blocks; both tables carry the numbers of cells and blocks."""
     query_field, item_field = queries.schema["query_id"], items.schema["item_id"]
 
+    def placed(df: DataFrame, key: str, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
+        number = F.pmod(F.xxhash64(F.spark_partition_id(), F.col(key)), F.col(own_count))
+        copies = F.explode(F.sequence(F.lit(0), F.col(other_count) - 1))
+        return df.select(key, "scope", "vector", "area", number.cast("int").alias(own), copies.alias(other))
+
+    left = placed(queries, "query_id", "block", "blocks", "cell", "cells")
+    right = placed(items, "item_id", "cell", "cells", "block", "blocks")
+
     # both functions are local, so that they travel to the workers by value
     def as_matrix(some_vectors: pd.Series) -> np.ndarray:
         return np.stack([np.asarray(v, dtype="float64") for v in some_vectors])
@@ -225,14 +264,6 @@ def top_k_within_scopes(
     return _best(candidates, "query_id", "score", "item_id", k)
 
 
-def inner_product_top_k(queries: DataFrame, items: DataFrame, k: int = DEFAULT.top_k, **sizes: int) -> DataFrame:
-    """The same over all items: ``queries`` has (query_id, vector), ``items`` (item_id, vector)."""
-    everything = F.lit("")
-    return top_k_within_scopes(
-        queries.withColumn("scope", everything), items.withColumn("scope", everything), k, **sizes
-    )
-
-
 def vendor_name_pairs(requested: DataFrame, present: DataFrame) -> DataFrame:
     """Pairs of requested and present vendor names where one contains the other, case and ends ignored."""
 
