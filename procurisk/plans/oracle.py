@@ -913,6 +913,35 @@ FROM predictions p JOIN predictions n ON p.label = 1 AND n.label = 0
 """
 
 
+# types of result columns that differ from what the functions used give
+_DAYS = {"days_until_contract_end": "INTEGER"}
+_TYPES: dict[str, dict[str, str]] = {
+    "dq_invoices": {"affected_rows": "BIGINT"},
+    "dq_report": {"duplicate_invoice_rows": "BIGINT", "error_count": "INTEGER", "warning_count": "INTEGER"},
+    "vendor_features": {**_DAYS, "days_to_renewal": "INTEGER"},
+    "vendor_features_all": {**_DAYS, "days_to_renewal": "INTEGER"},
+    "review_queue": _DAYS,
+    "renewal_timeline": _DAYS,
+    "portfolio_summary": {"sla_breach_count": "BIGINT", "contracts_expiring_90_days": "BIGINT"},
+    "portfolio_summary_additive": {"sla_breach_count": "BIGINT", "contracts_expiring_90_days": "BIGINT"},
+    "clause_sections": {"section_no": "INTEGER"},
+    "clause_chunks": {"chunk_no": "INTEGER"},
+    "chunk_numbers": {"chunk_no": "INTEGER"},
+    "clause_types": {"characters": "BIGINT"},
+    "keyword_topk": {"rank": "INTEGER"},
+    "vector_topk": {"rank": "INTEGER"},
+    "vendor_preferred_topk": {"rank": "INTEGER"},
+    "evidence_groups": {"group_no": "INTEGER"},
+}
+
+
+def _typed(name: str, sql: str) -> str:
+    if name not in _TYPES:
+        return sql
+    casts = ", ".join(f"CAST({column} AS {kind}) AS {column}" for column, kind in _TYPES[name].items())
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})"
+
+
 def _needed(sql: str, seen: list[str]) -> None:
     for name, body in CTES.items():
         if name not in seen and re.search(rf"(FROM|JOIN|,)\s+{name}\b", sql):
@@ -927,5 +956,5 @@ def oracle_queries() -> dict[str, str]:
         needed: list[str] = []
         _needed(sql, needed)
         head = ",\n".join(f"{cte} AS ({CTES[cte].strip()})" for cte in needed)
-        result[name] = f"WITH {head}\n{sql.strip()}"
+        result[name] = f"WITH {head}\n{_typed(name, sql.strip())}"
     return result
