@@ -351,7 +351,9 @@ def vector_evidence(
         F.coalesce(F.col("vendor_name"), F.col("vendor_id")),
         F.when(factors == "", F.lit(DEFAULT_QUERY_TEXT)).otherwise(factors),
     )
-    queries = text_vectors(model, requests.select("vendor_id", "vendor_name", query.alias("text"))).drop("text")
+    # rows without factors are ids that nobody knows
+    asking = requests.where(F.col("top_risk_factors").isNotNull())
+    queries = text_vectors(model, asking.select("vendor_id", "vendor_name", query.alias("text"))).drop("text")
     hits = vendor_preferred_top_k(queries, chunks, k)
     lists = evidence_lists(attach_clauses(hits, chunks))
     none = F.array().cast(EVIDENCE_TYPE)

@@ -70,6 +70,12 @@ def test_analysis_of_the_whole_portfolio_by_vectors(spark, table, contracts, tmp
     assert {e["vendor_name"] for e in got["V003"]["retrieved_contract_evidence"]} == {"Supportly India"}
     # no contract of its own: the best clauses of all
     assert len(got["V002"]["retrieved_contract_evidence"]) == 5
+    requested = spark.createDataFrame([("V003",), ("V998",)], "vendor_id string")
+    some = jobs.analyze_portfolio(
+        jobs.score_portfolio_model(table), chunks, requested, mode="vector", model=model
+    ).collect()
+    assert {r["vendor_id"]: len(r["errors"]) for r in some} == {"V003": 0, "V998": 1}
+    assert {r["vendor_id"]: r["retrieved_contract_evidence"] is None for r in some} == {"V003": False, "V998": True}
 
 
 def test_owner_falls_back_and_payload_is_json(spark, table, contracts):
