@@ -352,7 +352,6 @@ _FEATURE_OUTPUT = (
 
 # --- scores ---------------------------------------------------------------------------------------
 
-_D = "CAST({0} AS DOUBLE)"
 _ADDITIVE = " + ".join(
     f"CASE {cases} ELSE CAST(0 AS DOUBLE) END"
     for cases in (

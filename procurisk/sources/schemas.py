@@ -80,10 +80,6 @@ _DATE_COLUMNS = ("contract_start", "contract_end", "invoice_date", "due_date", "
 _MONEY_COLUMNS = ("annual_contract_value", "amount")
 _HOUR_COLUMNS = ("resolution_hours", "sla_hours")
 
-CONTRACT_SCHEMA = T.StructType(
-    [T.StructField("contract_file", T.StringType()), T.StructField("text", T.StringType())]
-)
-
 
 def number(c: Column) -> Column:
     """A double, or null where the text is not a number."""
