@@ -5,6 +5,7 @@ A sequence is one piece, so it never crosses documents and needs no padding; bat
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from procurisk.llm import batches
 SEQUENCE_TOKENS = 1024
 END_ID = 0
 #: Distinct words that a task remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 #: White space (the tokenizer's) next to a blank, or a blank at an end of the text: such texts are encoded as a whole,
 #: as are those with what may be a special token.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -34,19 +35,34 @@ class WordEncoder:
     def __init__(self, tokenizer: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(tokenizer)
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=np.uint32) for x in found]
-
-    def of_words(self, distinct: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [word for word in distinct if word not in self.known]
-        if new:
-            self.known.update(zip(new, self.encode(new)))
-        return [self.known[word] for word in distinct]
+        self.forget()
+
+    def forget(self) -> None:
+        #: Place of each remembered word; its ids are stock[starts[place]:starts[place + 1]].
+        self.known: dict[str, int] = {}
+        self.starts = np.zeros(1, dtype=np.int64)
+        self.stock = np.zeros(0, dtype=np.uint32)
+
+    def add(self, texts: list[str]) -> np.ndarray:
+        """Encode ``texts`` and put their ids behind the stock; their places."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(lengths.sum()))
+        places = len(self.starts) - 1 + np.arange(len(found))
+        self.stock = np.concatenate([self.stock, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        return places
+
+    def of_words(self, distinct: list[str]) -> np.ndarray:
+        """The places of some words."""
+        get = self.known.get
+        places = np.fromiter((get(word, -1) for word in distinct), dtype=np.int64, count=len(distinct))
+        new = np.flatnonzero(places < 0)
+        if new.size:
+            fresh = [distinct[i] for i in new.tolist()]
+            places[new] = self.add(fresh)
+            self.known.update(zip(fresh, places[new].tolist()))
+        return places
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and their number per text."""
@@ -57,16 +73,20 @@ class WordEncoder:
         code, distinct = batches.codes(
             pc.binary_join_element_wise(pc.if_else(pa.array(first), "", " "), words, "")
         )
-        units = self.of_words(distinct.to_pylist())
+        place = self.of_words(distinct.to_pylist())[code]
+        known = len(self.starts)
         whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-        code[batches.bounds(counts)[whole]] = len(units) + np.arange(len(whole))
-        units = units + self.encode(column.take(pa.array(whole)).to_pylist())
-        lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        n = lengths[code]
-        starts = batches.bounds(n)
-        stock = np.concatenate(units) if units else np.zeros(0, dtype=np.uint32)
-        source = np.repeat(batches.bounds(lengths)[:-1][code] - starts[:-1], n) + np.arange(starts[-1])
-        return stock[source], batches.per_row(n, counts)
+        place[batches.bounds(counts)[whole]] = self.add(column.take(pa.array(whole)).to_pylist())
+        begin = self.starts[place]
+        n = self.starts[place + 1] - begin
+        edges = batches.bounds(n)
+        ids = self.stock[np.repeat(begin - edges[:-1], n) + np.arange(edges[-1])]
+        # only words are remembered
+        self.starts = self.starts[:known]
+        self.stock = self.stock[: self.starts[-1]]
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        return ids, batches.per_row(n, counts)
 
 
 def binary_pieces(lengths: np.ndarray, longest: int = SEQUENCE_TOKENS) -> tuple[np.ndarray, np.ndarray]:
@@ -82,13 +102,13 @@ def pack(docs: DataFrame, tokenizer: bytes, text: str = "text", id_column: str =
 
     Null and empty texts hold ``END_ID`` only. A null id stays null; a repeated row is packed again. ``bucket`` is the
     binary logarithm of ``length``. ``sequence_id`` numbers the pieces by partition and place. No shuffle; a task holds
-    about 4 MB of text at a time, or one longer text.
+    about 8 MB of text at a time, or one longer text, and ``REMEMBERED`` words.
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
         for batch in stream:
-            for piece in batches.pieces(batch, "text", batches.PIECE_BYTES // 2):
+            for piece in batches.pieces(batch, "text", 2 * batches.PIECE_BYTES):
                 ids, counts = encoder.ids(batches.texts(piece))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, END_ID)
