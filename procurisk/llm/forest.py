@@ -384,8 +384,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     other. Rows that repeat an id and a text count as one; rows that share an id but not the text are told apart by the text.
     """
     own = F.coalesce(docs["doc_id"].cast("long"), -1 - F.abs(F.xxhash64(docs["text"]) % (1 << 62)))
-    numbered = docs.withColumn("near_copy_id", own)
-    decided = near_copies(numbered.select(F.col("near_copy_id").alias("doc_id"), "text")).where("kept")
-    ids = decided.select(F.col("doc_id").alias("near_copy_id")).distinct()
-    chosen = numbered.join(ids, "near_copy_id", "left_semi")
-    return chosen.dropDuplicates(["near_copy_id", "text"]).select(*docs.columns)
+    name = shared.free_name(docs, "near_copy_id")
+    decided = near_copies(docs.select(own.alias("doc_id"), "text")).where("kept")
+    ids = decided.select(F.col("doc_id").alias(name)).distinct()
+    chosen = docs.withColumn(name, own).join(ids, name, "left_semi")
+    return chosen.dropDuplicates([name, "text"]).select(*docs.columns)

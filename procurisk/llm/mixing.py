@@ -139,20 +139,20 @@ def mix(
 ) -> DataFrame:
     """The rows of ``docs`` as often as the mixture takes them, with mix_epoch, mix_block and mix_progress added.
 
-    Sorting by mix_progress gives the mixture's order. Needs doc_id, source and text; other columns pass through. Null text has no
+    Sorting by mix_progress gives the mixture's order. Needs doc_id, source and text; other columns pass through, but for
+    earlier ones of the three names, which are replaced. Null text has no
     tokens, a null source counts as '', null ids share a block; repeated rows are repeated, an empty table stays empty. Rows meet
     the plan on (source, block): a block is at most about 1/4096 of its source or ``BLOCK_TOKENS``, so no key is hot.
     """
+    docs = docs.drop("mix_epoch", "mix_block", "mix_progress")
+    name, fine = (shared.free_name(docs, x) for x in ("mix_source", "mix_fine"))
+    # a block in its fine blocks, so that rows find it by (source, fine block) without knowing how their source is cut
     chosen = plan(docs, repetition_limit, entropy, budget).select(
-        F.col("source").alias("mix_source"),
-        F.col("block").alias("mix_block"),
-        F.col("blocks").alias("mix_blocks"),
+        F.col("source").alias(name),
+        F.explode(F.sequence("block", F.lit(FINE_BLOCKS - 1).cast("long"), "blocks")).alias(fine),
         F.col("epoch").alias("mix_epoch"),
+        F.col("block").alias("mix_block"),
         F.col("progress").alias("mix_progress"),
     )
-    # a block in its fine blocks, so that rows find it by (source, fine block) without knowing how their source is cut
-    fine = F.explode(F.sequence(F.col("mix_block"), F.lit(FINE_BLOCKS - 1).cast("long"), F.col("mix_blocks")))
-    chosen = chosen.withColumn("mix_fine", fine)
-    placed = docs.withColumns({"mix_source": source_name(), "mix_fine": fine_block()})
-    joined = placed.join(chosen, ["mix_source", "mix_fine"])
-    return joined.select(*(placed[c] for c in docs.columns), "mix_epoch", "mix_block", "mix_progress")
+    placed = docs.withColumns({name: source_name(), fine: fine_block()})
+    return placed.join(chosen, [name, fine]).select(*docs.columns, "mix_epoch", "mix_block", "mix_progress")

@@ -19,12 +19,12 @@ from procurisk.llm import batches
 
 #: The model is fitted on at most so many toxic documents and CLEAN_SHARE times as many others, none longer than FIT_CHARS,
 #: chosen by a hash of the id.
-FIT_DOCUMENTS = 1_500
+FIT_DOCUMENTS = 1_000
 CLEAN_SHARE = 2
 FIT_CHARS = 100_000
 #: Features kept (largest difference of document frequency between the labels) and the fewest documents that hold one.
-FEATURES = 150
-FEATURE_DOCUMENTS = 10
+FEATURES = 300
+FEATURE_DOCUMENTS = 5
 #: Word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5)
 STEPS, RATE, DECAY, FIRST_BIAS = 300, 0.3, 2e-5, -9.0
