@@ -20,6 +20,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
     for start, end in zip(cuts, cuts[1:]):
         if end > start:
             yield batch.slice(start, end - start)
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

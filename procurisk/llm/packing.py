@@ -22,7 +22,7 @@ from procurisk.llm import batches
 SEQUENCE_TOKENS = 1024
 END_ID = 0
 #: Distinct words that a task remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: White space (the tokenizer's) next to a blank, or a blank at an end of the text: such texts are encoded as a whole,
 #: as are those with what may be a special token.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -102,13 +102,13 @@ def pack(docs: DataFrame, tokenizer: bytes, text: str = "text", id_column: str =
 
     Null and empty texts hold ``END_ID`` only. A null id stays null; a repeated row is packed again. ``bucket`` is the
     binary logarithm of ``length``. ``sequence_id`` numbers the pieces by partition and place. No shuffle; a task holds
-    about 8 MB of text at a time, or one longer text, and ``REMEMBERED`` words.
+    about 4 MB of text at a time, or one longer text, and ``REMEMBERED`` words.
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
         for batch in stream:
-            for piece in batches.pieces(batch, "text", 2 * batches.PIECE_BYTES):
+            for piece in batches.pieces(batch, "text"):
                 ids, counts = encoder.ids(batches.texts(piece))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, END_ID)
