@@ -146,9 +146,10 @@ def top_k_within_scopes(
 
     Small scopes share buckets. A scope with many items is cut into cells and one with many queries into
     blocks, and each cell meets each block once, so no task gets more than about one cell and one block.
-    The table of such scopes is broadcast; it has at most (items / items_per_cell + queries /
-    queries_per_block) rows.
+    Items of scopes nobody asks for are left out first. Rows without a vector take no part; a score that is not a number ranks
+    last.
     """
+    items = items.join(queries.select("scope").distinct(), "scope", "left_semi")
     sizes = (
         items.groupBy("scope")
         .agg(F.count("*").alias("n_items"))
@@ -156,10 +157,8 @@ def top_k_within_scopes(
     )
     cells = F.ceil(F.col("n_items") / items_per_cell).cast("int")
     blocks = F.ceil(F.col("n_queries") / queries_per_block).cast("int")
-    large = F.broadcast(
-        sizes.where((cells > 1) | (blocks > 1)).select(
-            F.col("scope").alias("_scope"), cells.alias("_cells"), blocks.alias("_blocks")
-        )
+    large = sizes.where((cells > 1) | (blocks > 1)).select(
+        F.col("scope").alias("_scope"), cells.alias("_cells"), blocks.alias("_blocks")
     )
     # the large scopes count here too: at worst there are more buckets than needed
     buckets = sizes.agg(
@@ -219,7 +218,7 @@ def _search_cells(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     def placed(df: DataFrame, key: str, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
         number = F.pmod(F.xxhash64(F.spark_partition_id(), F.col(key)), F.col(own_count))
         copies = F.explode(F.sequence(F.lit(0), F.col(other_count) - 1))
-        return df.select(key, "scope", "vector", "area", number.cast("int").alias(own), copies.alias(other))
+        return df.where(F.col("vector").isNotNull()).select(key, "scope", "vector", "area", number.cast("int").alias(own), copies.alias(other))
 
     left = placed(queries, "query_id", "block", "blocks", "cell", "cells")
     right = placed(items, "item_id", "cell", "cells", "block", "blocks")
@@ -245,11 +244,12 @@ def _search_cells(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
             for at in range(0, len(asking), 256):
                 part = asking.iloc[at : at + 256]
                 scores = as_matrix(part["vector"]) @ matrix[first:last].T
-                limits = np.partition(scores, -keep, axis=1)[:, -keep]
-                for query, row, limit in zip(part["query_id"], scores, limits):
-                    at_least = np.flatnonzero(row >= limit)
+                ranked = np.where(np.isnan(scores), -np.inf, scores)
+                limits = np.partition(ranked, -keep, axis=1)[:, -keep]
+                for query, row, order, limit in zip(part["query_id"], scores, ranked, limits):
+                    at_least = np.flatnonzero(order >= limit)
                     # stable sort: equal scores stay in item order
-                    best = at_least[np.argsort(-row[at_least], kind="stable")[:keep]]
+                    best = at_least[np.argsort(-order[at_least], kind="stable")[:keep]]
                     found.append((np.full(keep, query, dtype=object), ids[first:last][best], row[best]))
         if not found:
             return pd.DataFrame(columns=names)

@@ -53,24 +53,30 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
 """
 
 
-def _invoices(amount: str, where: str = "") -> str:
+def _invoices(
+    amount: str,
+    paid: str = "l_returnflag = 'A' OR l_linenumber <= 4",
+    mismatch: str = "l_linestatus = 'F' AND l_linenumber >= 5",
+) -> str:
     return f"""
 SELECT *, CASE WHEN invoice_status = 'Paid' THEN invoice_date + line * 5 END AS paid_date
 FROM (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS invoice_id,
              CAST(l_suppkey AS VARCHAR) AS vendor_id, CAST(l_shipdate AS DATE) AS invoice_date,
              CAST({amount} AS DECIMAL(18,2)) AS amount,
-             CASE WHEN l_returnflag = 'A' OR l_linenumber <= 4 THEN 'Paid'
+             CASE WHEN {paid} THEN 'Paid'
                   WHEN l_returnflag = 'N' THEN 'Pending' ELSE 'Overdue' END AS invoice_status,
-             CASE WHEN l_linestatus = 'F' AND l_linenumber >= 5 THEN 'No' ELSE 'Yes' END AS po_match,
+             CASE WHEN {mismatch} THEN 'No' ELSE 'Yes' END AS po_match,
              l_linenumber AS line, (l_orderkey * 7 + l_linenumber) % 97 AS marker
-      FROM lineitem {where})
+      FROM lineitem)
 """
 
 
 CTES["invoices_all"] = _invoices("l_extendedprice")
 CTES["invoices_quantity"] = _invoices("l_quantity")
-CTES["invoices_recent"] = _invoices(
-    "ceil(l_extendedprice / 10000) * 10000", "WHERE CAST(l_shipdate AS DATE) >= DATE '2001-10-01'"
+CTES["invoices_portfolio"] = _invoices(
+    "CASE WHEN l_suppkey % 3 = 0 THEN ceil(l_extendedprice / 1000) * 1000 ELSE l_extendedprice END",
+    "(l_orderkey * 31 + l_linenumber * 7 + l_partkey) % 1000 >= l_suppkey % 7",
+    "(l_orderkey * 13 + l_linenumber) % 1000 < (l_suppkey * 3) % 5",
 )
 
 CTES["tickets"] = """
@@ -264,7 +270,7 @@ GROUP BY vendor_id
 
 
 CTES["invoice_f_all"] = _invoice_features("invoices_all")
-CTES["invoice_f_recent"] = _invoice_features("invoices_recent")
+CTES["invoice_f_recent"] = _invoice_features("invoices_portfolio")
 CTES["invoice_f_quantity"] = _invoice_features("invoices_quantity")
 CTES["ticket_f"] = """
 SELECT vendor_id,

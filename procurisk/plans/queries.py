@@ -44,7 +44,7 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def portfolio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.vendor_features(
         roles.vendors(spark, sf_dir),
-        roles.invoices_recent(spark, sf_dir),
+        roles.invoices_portfolio(spark, sf_dir),
         roles.tickets(spark, sf_dir),
         roles.REFERENCE_DATE,
     )

@@ -11,7 +11,6 @@ from procurisk.config import SECTION_HEADINGS
 from procurisk.functions.text import contract_file_name, slug
 
 REFERENCE_DATE = datetime.date(2002, 1, 1)
-RECENT_FROM = "2001-10-01"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,14 +57,13 @@ def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _invoice_columns(amount) -> list:
+def _invoice_columns(amount, unpaid=None, mismatch=None) -> list:
     line = F.col("l_linenumber")
     date = F.col("l_shipdate").cast("date")
-    status = (
-        F.when((F.col("l_returnflag") == "A") | (line <= 4), "Paid")
-        .when(F.col("l_returnflag") == "N", "Pending")
-        .otherwise("Overdue")
-    )
+    paid = (F.col("l_returnflag") == "A") | (line <= 4) if unpaid is None else ~unpaid
+    status = F.when(paid, "Paid").when(F.col("l_returnflag") == "N", "Pending").otherwise("Overdue")
+    if mismatch is None:
+        mismatch = (F.col("l_linestatus") == "F") & (line >= 5)
     return [
         F.concat_ws("-", F.col("l_orderkey").cast("string"), line.cast("string")).alias("invoice_id"),
         F.col("l_suppkey").cast("string").alias("vendor_id"),
@@ -74,7 +72,7 @@ def _invoice_columns(amount) -> list:
         F.date_add(date, 30).alias("due_date"),
         F.when(status == "Paid", F.date_add(date, line * 5)).alias("paid_date"),
         status.alias("invoice_status"),
-        F.when((F.col("l_linestatus") == "F") & (line >= 5), "No").otherwise("Yes").alias("po_match"),
+        F.when(mismatch, "No").otherwise("Yes").alias("po_match"),
         F.lit("USD").alias("currency"),
         F.concat(F.lit("CC-"), (F.col("l_partkey") % 10).cast("string")).alias("cost_center"),
     ]
@@ -94,12 +92,18 @@ def invoices_by_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _invoices(table(spark, sf_dir, "lineitem"), F.col("l_quantity"))
 
 
-def invoices_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last quarter before the reference date, amounts rounded up to 10,000."""
-    recent = table(spark, sf_dir, "lineitem").where(
-        F.col("l_shipdate") >= F.lit(RECENT_FROM).cast("timestamp_ntz")
-    )
-    return _invoices(recent, F.ceil(F.col("l_extendedprice") / 10000) * 10000)
+def invoices_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item, with rates per supplier: a supplier has some 600 line items at every scale.
+
+    0 to 6 in a thousand are unpaid and 0 to 4 lack a matching order, by the supplier's key; every third supplier bills in whole
+    thousands, which gives some of them repeated amounts on one day. So labels and levels spread without leaving rows out.
+    """
+    order, line, supplier = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
+    price = F.col("l_extendedprice")
+    amount = F.when(supplier % 3 == 0, F.ceil(price / 1000) * 1000).otherwise(price)
+    unpaid = (order * 31 + line * 7 + F.col("l_partkey")) % 1000 < supplier % 7
+    mismatch = (order * 13 + line) % 1000 < (supplier * 3) % 5
+    return table(spark, sf_dir, "lineitem").select(*_invoice_columns(amount, unpaid, mismatch))
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,3 +205,18 @@ def test_search_needs_no_package_on_the_workers(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert done.stdout.strip() == "2", done.stderr[-2000:]
+
+
+def test_unasked_scopes_null_and_nan_vectors(spark):
+    """One asked scope among 500: the others never reach a search task, and odd vectors do not end the search."""
+    unasked = spark.range(2000).select(
+        F.concat(F.lit("s"), F.col("id") % 500).alias("scope"), F.col("id").alias("item_id"), F.array(F.lit(1.0)).alias("vector")
+    )
+    asked = spark.createDataFrame(
+        [("mine", 5000, [0.5]), ("mine", 5001, [2.0]), ("mine", 5002, [float("nan")]), ("mine", 5003, None)],
+        "scope string, item_id long, vector array<double>",
+    )
+    queries = spark.createDataFrame([("q", "mine", [1.0])], "query_id string, scope string, vector array<double>")
+    found = retrieval.top_k_within_scopes(queries, unasked.unionByName(asked.select(*unasked.columns)), 3)
+    rows = {r["item_id"]: r["score"] for r in found.collect()}
+    assert rows.pop(5002) != rows[5001] and rows == {5001: 2.0, 5000: 0.5}
