@@ -17,7 +17,7 @@ from procurisk.session import cut_lineage
 
 DUPLICATE_KEY = ("vendor_id", "invoice_date", "amount")
 TOTAL = "decimal(28,2)"
-HOURS = "decimal(18,6)"
+HOURS = "decimal(30,6)"
 # most repeated keys that are broadcast: three short values and a count each, some tens of megabytes
 BROADCAST_KEYS = 500_000
 
@@ -136,7 +136,7 @@ def ticket_features(tickets: DataFrame) -> DataFrame:
     """Ticket measures per vendor. Hours are added as decimals: the sum does not hinge on row order."""
     hours, sla = F.col("resolution_hours"), F.col("sla_hours")
     return tickets.groupBy("vendor_id").agg(
-        F.try_divide(F.sum(hours.cast(HOURS)).cast("double"), F.count(hours).cast("double")).alias(
+        F.try_divide(F.sum(hours.try_cast(HOURS)).cast("double"), F.count(hours).cast("double")).alias(
             "average_resolution_hours"
         ),
         F.max(hours).alias("max_resolution_hours"),

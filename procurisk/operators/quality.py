@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from procurisk import config as C
 from procurisk.functions.text import is_blank
-from procurisk.sources.schemas import INVOICES, REQUIRED_COLUMNS, TICKETS, VENDORS, number
+from procurisk.sources.schemas import INVOICES, REQUIRED_COLUMNS, TICKETS, TOO_LARGE, VENDORS, amount_value, number
 
 ISSUE_COLUMNS = ["dataset", "severity", "field", "message", "affected_rows", "position"]
-DUPLICATE_KEY = ("vendor_id", "invoice_date", "amount")
 
 # position of an issue in the report: table * 100 + check, empty tables first
 _TABLE_ORDER = {VENDORS: 100, INVOICES: 200, TICKETS: 300}
@@ -46,6 +45,9 @@ def missing_columns(df: DataFrame, dataset: str) -> list[str]:
     return sorted(set(REQUIRED_COLUMNS[dataset]) - set(df.columns))
 
 
+# --- fixed values in the three functions below: severity, field and message of each check --------
+
+
 def vendor_checks() -> list[tuple[str, str, str, Column]]:
     """(severity, field, message, row predicate) of each vendor check, in report order."""
     start, end = _day("contract_start"), _day("contract_end")
@@ -94,6 +96,7 @@ def invoice_checks() -> list[tuple[str, str, str, Column]]:
             "paid_date cannot be before invoice_date when paid_date exists",
             ~is_blank(F.col("paid_date")) & (paid.isNull() | invoiced.isNull() | _true(paid < invoiced)),
         ),
+        _size_check("amount", amount),
     ]
 
 
@@ -111,9 +114,16 @@ def ticket_checks() -> list[tuple[str, str, str, Column]]:
             resolution.isNull() | _true(resolution < 0),
         ),
         ("error", "sla_hours", "sla_hours must be greater than 0", sla.isNull() | _true(sla <= 0)),
+        _size_check("resolution_hours", resolution),
+        _size_check("sla_hours", sla),
     ]
 
 
+def _size_check(name: str, value: Column) -> tuple[str, str, str, Column]:
+    """Values that the totals could not hold stop the build; nothing becomes null on the way."""
+    return ("error", name, f"{name} must be less than {TOO_LARGE:.0e}", _true(value >= TOO_LARGE))
+
+
 _CHECKS = {VENDORS: vendor_checks, INVOICES: invoice_checks, TICKETS: ticket_checks}
 _UNKNOWN = {INVOICES: "Invoices reference unknown vendors", TICKETS: "Tickets reference unknown vendors"}
 
@@ -192,19 +202,25 @@ def unknown_vendor_rows(df: DataFrame, vendors: DataFrame) -> DataFrame:
     return per_vendor.join(known_vendor_ids(vendors), "vendor_id", "left_anti")
 
 
-def _amount_key() -> Column:
-    """Equal numbers are equal whatever their spelling; other texts compare as they are."""
-    value = F.col("amount")
-    return F.coalesce(number(value).cast("string"), value.cast("string")).alias("amount")
-
-
 def duplicate_groups(invoices: DataFrame) -> DataFrame:
-    """Keys that occur more than once, nulls taken as equal, with the number of their rows."""
+    """Keys that occur more than once, nulls taken as equal, with the number of their rows.
+
+    Equal numbers are equal whatever their spelling, by the same decimal that the features group by; other texts
+    compare as they are.
+    """
+    value = amount_value(F.col("amount"))
+    other = F.when(value.isNull(), F.col("amount").cast("string"))
+    keyed = invoices.select("vendor_id", "invoice_date", value.alias("value"), other.alias("other"))
     return (
-        invoices.select("vendor_id", "invoice_date", _amount_key())
-        .groupBy(*DUPLICATE_KEY)
+        keyed.groupBy("vendor_id", "invoice_date", "value", "other")
         .agg(F.count("*").alias("copies"))
         .where(F.col("copies") > 1)
+        .select(
+            "vendor_id",
+            "invoice_date",
+            F.coalesce(F.col("value").cast("double").cast("string"), "other").alias("amount"),
+            "copies",
+        )
     )
 
 

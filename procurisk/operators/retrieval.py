@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,21 +107,29 @@ EVIDENCE_TYPE = T.ArrayType(
 
 
 def fit_text_vectors(texts: DataFrame, column: str = "text", width: int = VECTOR_WIDTH) -> PipelineModel:
-    """Hashed TF-IDF vectors of unit length, fitted on a text column."""
+    """Hashed TF-IDF vectors of unit length, fitted on a text column.
+
+    A word is a run of letters and digits of at least two characters, in lower case; its place in the vector is that of the first
+    28 bits of its MD5 digest modulo ``width``, which any engine can work out.
+    """
+    buckets = (
+        f"transform(filter(split(lower({column}), '[^\\\\p{{L}}\\\\p{{N}}]+'), w -> length(w) > 1), "
+        f"w -> CAST(CAST(conv(substr(md5(w), 1, 7), 16, 10) AS BIGINT) % {width} AS STRING))"
+    )
     return Pipeline(
         stages=[
-            RegexTokenizer(inputCol=column, outputCol="_words", pattern="[^\\p{L}\\p{N}]+", minTokenLength=2),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=width),
+            SQLTransformer(statement=f"SELECT *, {buckets} AS _words FROM __THIS__"),
+            CountVectorizerModel.from_vocabulary(list(map(str, range(width))), inputCol="_words", outputCol="_counts"),
             IDF(inputCol="_counts", outputCol="_weights"),
             Normalizer(inputCol="_weights", outputCol="_unit", p=2.0),
         ]
     ).fit(texts)
 
 
-def text_vectors(model: PipelineModel, texts: DataFrame, output: str = "vector") -> DataFrame:
+def text_vectors(model: PipelineModel, texts: DataFrame, output: str = "vector", kind: str = "float32") -> DataFrame:
     return (
         model.transform(texts)
-        .withColumn(output, vector_to_array(F.col("_unit"), "float32"))
+        .withColumn(output, vector_to_array(F.col("_unit"), kind))
         .drop("_words", "_counts", "_weights", "_unit")
     )
 

@@ -157,6 +157,18 @@ def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
     )
 
 
+def logistic_probability(model: PipelineModel) -> Column:
+    """The probability of the fitted logistic model in plain arithmetic: scale, weigh, add, squash."""
+    scaler, correction, logistic = model.stages[1], model.stages[2], model.stages[3]
+    total = F.lit(float(logistic.intercept))
+    fitted = zip(MODEL_FEATURES, scaler.mean, scaler.std, correction.getScalingVec(), logistic.coefficients)
+    for name, mean_, deviation, factor, weight in fitted:
+        value = F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+        if deviation > 0:
+            total = total + (value - float(mean_)) / float(deviation) * float(factor) * float(weight)
+    return 1.0 / (1.0 + F.exp(-total))
+
+
 def confusion_matrix(predictions: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
     """Rows: true class; columns: number of rows predicted 0 and 1."""
     return predictions.groupBy(F.col(label).alias("label")).agg(

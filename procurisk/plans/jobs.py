@@ -61,13 +61,21 @@ def score_portfolio_model(
 
 
 def ingest_contracts(contracts: DataFrame, path: str) -> PipelineModel:
-    """Chunk and number the contracts, add text vectors, store the chunk table, return the fitted model."""
-    chunks = contract_ops.number_chunks(contract_ops.clause_chunks(contracts))
+    """Chunk and number the contracts, add text vectors, store the chunk table, return the fitted model.
+
+    The texts are split once: the chunks are stored before they are counted, fitted on and given vectors.
+    """
+    chunks = numbered_chunks(contracts)
     model = retrieval.fit_text_vectors(chunks)
     sinks.write_chunks(retrieval.text_vectors(model, chunks), path)
     return model
 
 
+def numbered_chunks(contracts: DataFrame) -> DataFrame:
+    """The chunk table of the contracts with numbers, split once and stored."""
+    return contract_ops.number_chunks(cut_lineage(contract_ops.clause_chunks(contracts)))
+
+
 def retrieve_evidence(
     requests: DataFrame,
     contracts: DataFrame,

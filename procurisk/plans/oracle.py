@@ -8,7 +8,74 @@ from __future__ import annotations
 
 import re
 
-from procurisk import config as C
+# --- fixed values: what the SQL expects, stated here again so that a wrong value in the package shows ---
+CLAUSE_KEYWORDS = {'payment': ('payment', 'invoice', 'billing', 'fees'),
+ 'sla': ('sla', 'service level', 'availability', 'service availability'),
+ 'compliance': ('compliance', 'soc2', 'soc 2', 'insurance', 'privacy', 'dpa', 'audit'),
+ 'renewal': ('renewal', 'renew', 'expiration', 'contract end', 'non-renewal'),
+ 'termination': ('termination', 'terminate', 'breach', 'cure period')}
+COMPLIANCE_FACTOR_TEXT = 'Compliance evidence is missing, expired, or incomplete'
+COMPLIANCE_STATUS = ('Complete', 'Missing SOC2', 'Expired Insurance', 'Missing DPA', 'Incomplete')
+CRITICALITY = ('Low', 'Medium', 'High')
+DRIFT_THRESHOLDS = {'pending_invoice_amount': 30.0,
+ 'sla_breach_rate': 20.0,
+ 'compliance_missing_flag': 20.0,
+ 'duplicate_invoice_count': 30.0}
+EVENT_APPROVED = 'vendor_risk_auto_approved'
+EVENT_REVIEW = 'vendor_risk_review_required'
+EXTRA_QUERY_TERMS = ('compliance',
+ 'sla',
+ 'invoice',
+ 'renewal',
+ 'termination',
+ 'payment',
+ 'duplicate',
+ 'breach',
+ 'overdue',
+ 'pending')
+INVOICE_STATUS = ('Paid', 'Pending', 'Overdue')
+MODEL_FEATURES = ('total_spend',
+ 'pending_invoice_amount',
+ 'overdue_invoice_amount',
+ 'invoice_count',
+ 'duplicate_invoice_count',
+ 'po_mismatch_count',
+ 'average_resolution_hours',
+ 'max_resolution_hours',
+ 'ticket_count',
+ 'critical_ticket_count',
+ 'sla_breach_count',
+ 'sla_breach_rate',
+ 'days_until_contract_end',
+ 'renewal_within_90_days',
+ 'compliance_missing_flag',
+ 'criticality_score')
+NO_FACTOR_TEXT = 'No material risk concentration identified'
+PO_MATCH = ('Yes', 'No')
+SCORER_ACTIONS = {'High compliance': 'Open compliance remediation task, hold renewal approval, and request updated audit '
+                    'evidence.',
+ 'High': 'Escalate to procurement owner, review contract protections, and pause discretionary spend.',
+ 'Medium': 'Schedule vendor review, validate invoice exposure, and confirm SLA corrective actions.',
+ 'Low': 'Continue standard monitoring and refresh vendor evidence at the next review cycle.'}
+SECTION_CLAUSE_TYPE = {'payment terms': 'payment',
+ 'sla obligations': 'sla',
+ 'compliance requirements': 'compliance',
+ 'renewal terms': 'renewal',
+ 'termination rights': 'termination',
+ 'data security': 'general',
+ 'escalation procedure': 'general'}
+SECTION_HEADINGS = ('Payment Terms',
+ 'SLA Obligations',
+ 'Compliance Requirements',
+ 'Renewal Terms',
+ 'Termination Rights',
+ 'Data Security',
+ 'Escalation Procedure')
+SEVERITY = ('Low', 'Medium', 'High', 'Critical')
+TICKET_STATUS = ('Resolved', 'Open', 'Escalated')
+WORKFLOW_ACTIONS = {'High': 'Escalate to procurement manager and block approval until review',
+ 'Medium': 'Request compliance or SLA review before renewal/payment approval',
+ 'Low': 'Approve normal processing'}
 
 
 def _round(expression: str, digits: int) -> str:
@@ -151,12 +218,12 @@ CTES["vendor_issues"] = _checks(
     [
         ("error", "vendor_id", _null_message("vendor_id"), _blank("vendor_id")),
         ("error", "vendor_name", _null_message("vendor_name"), _blank("vendor_name")),
-        ("error", "criticality", _allowed("criticality", C.CRITICALITY), _not_in("criticality", C.CRITICALITY)),
+        ("error", "criticality", _allowed("criticality", CRITICALITY), _not_in("criticality", CRITICALITY)),
         (
             "error",
             "compliance_status",
-            _allowed("compliance_status", C.COMPLIANCE_STATUS),
-            _not_in("compliance_status", C.COMPLIANCE_STATUS),
+            _allowed("compliance_status", COMPLIANCE_STATUS),
+            _not_in("compliance_status", COMPLIANCE_STATUS),
         ),
         (
             "error",
@@ -195,10 +262,10 @@ CTES["invoice_issues"] = (
             (
                 "error",
                 "invoice_status",
-                _allowed("invoice_status", C.INVOICE_STATUS),
-                _not_in("invoice_status", C.INVOICE_STATUS),
+                _allowed("invoice_status", INVOICE_STATUS),
+                _not_in("invoice_status", INVOICE_STATUS),
             ),
-            ("error", "po_match", _allowed("po_match", C.PO_MATCH), _not_in("po_match", C.PO_MATCH)),
+            ("error", "po_match", _allowed("po_match", PO_MATCH), _not_in("po_match", PO_MATCH)),
             (
                 "error",
                 "paid_date",
@@ -226,8 +293,8 @@ CTES["ticket_issues"] = _checks(
     [
         ("error", "ticket_id", _null_message("ticket_id"), _blank("ticket_id")),
         ("error", "vendor_id", _null_message("vendor_id"), _blank("vendor_id")),
-        ("error", "severity", _allowed("severity", C.SEVERITY), _not_in("severity", C.SEVERITY)),
-        ("error", "status", _allowed("status", C.TICKET_STATUS), _not_in("status", C.TICKET_STATUS)),
+        ("error", "severity", _allowed("severity", SEVERITY), _not_in("severity", SEVERITY)),
+        ("error", "status", _allowed("status", TICKET_STATUS), _not_in("status", TICKET_STATUS)),
         (
             "error",
             "resolution_hours",
@@ -388,7 +455,7 @@ def _factors(po_minimum: int, overdue: bool) -> str:
         "CASE WHEN duplicate_invoice_count > 0 THEN CAST(duplicate_invoice_count AS VARCHAR) || "
         "' duplicate invoice candidates detected' END",
         "CASE WHEN sla_breach_count > 0 THEN CAST(sla_breach_count AS VARCHAR) || ' SLA breach events identified' END",
-        f"CASE WHEN compliance_missing_flag = 1 THEN '{C.COMPLIANCE_FACTOR_TEXT}' END",
+        f"CASE WHEN compliance_missing_flag = 1 THEN '{COMPLIANCE_FACTOR_TEXT}' END",
         "CASE WHEN renewal_within_90_days = 1 THEN 'Contract renewal is within ' || "
         "CAST(days_until_contract_end AS VARCHAR) || ' days' END",
         "CASE WHEN pending_invoice_amount > 100000 THEN 'High pending invoice exposure: ' || "
@@ -404,7 +471,7 @@ def _factors(po_minimum: int, overdue: bool) -> str:
             + " END"
         )
     found = f"list_filter([{', '.join(entries)}], lambda x: x IS NOT NULL)[1:6]"
-    return f"CASE WHEN len({found}) > 0 THEN {found} ELSE ['{C.NO_FACTOR_TEXT}'] END"
+    return f"CASE WHEN len({found}) > 0 THEN {found} ELSE ['{NO_FACTOR_TEXT}'] END"
 
 
 _DUPLICATE = (
@@ -414,8 +481,8 @@ _DUPLICATE = (
 
 CTES["scored"] = f"""
 SELECT *, {_exposure("risk_level")} AS estimated_financial_exposure, {_DUPLICATE} AS duplicate_exposure,
-       CASE risk_level WHEN 'High' THEN '{C.WORKFLOW_ACTIONS["High"]}'
-            WHEN 'Medium' THEN '{C.WORKFLOW_ACTIONS["Medium"]}' ELSE '{C.WORKFLOW_ACTIONS["Low"]}' END
+       CASE risk_level WHEN 'High' THEN '{WORKFLOW_ACTIONS["High"]}'
+            WHEN 'Medium' THEN '{WORKFLOW_ACTIONS["Medium"]}' ELSE '{WORKFLOW_ACTIONS["Low"]}' END
            AS recommended_action,
        CAST(risk_level IN ('High', 'Medium') AS INTEGER) AS human_review_required,
        {_factors(2, True)} AS factors
@@ -426,7 +493,7 @@ FROM (SELECT *, {_level("risk_score", 0.70, 0.40)} AS risk_level
 CTES["terms"] = f"""
 SELECT vendor_id, vendor_name, list_distinct(list_concat(
     list_filter(regexp_extract_all(lower(array_to_string(factors, ' ')), '[a-z0-9]+'), lambda w: length(w) > 2),
-    [{_literals(C.EXTRA_QUERY_TERMS)}])) AS terms
+    [{_literals(EXTRA_QUERY_TERMS)}])) AS terms
 FROM scored
 """
 CTES["points"] = f"""
@@ -444,7 +511,7 @@ SELECT CASE WHEN version > 0 THEN stem || '_v' || CAST(version AS VARCHAR) || '_
        vendor_name || ' Master Services Agreement' || array_to_string(list_transform(string_split(text, chr(10)),
          lambda line, i: CASE WHEN (i - 1) % 3 <> 0 THEN chr(10)
              WHEN ((i - 1) // 3) % 9 < 7 THEN chr(10) || chr(10)
-                 || [{_literals(C.SECTION_HEADINGS)}][((i - 1) // 3) % 9 + 1] || chr(10)
+                 || [{_literals(SECTION_HEADINGS)}][((i - 1) // 3) % 9 + 1] || chr(10)
              WHEN ((i - 1) // 3) % 9 = 7 THEN chr(10) || chr(10) || 'Supplementary Terms' || chr(10) || chr(10)
              ELSE chr(10) || chr(10) END || line), '') AS text
 FROM (SELECT s_suppkey AS vendor_key, s_name AS vendor_name, doc_id // n AS version, text,
@@ -452,12 +519,12 @@ FROM (SELECT s_suppkey AS vendor_key, s_name AS vendor_name, doc_id // n AS vers
       FROM documents, (SELECT COUNT(*) AS n FROM supplier) c, supplier WHERE s_suppkey = doc_id % n)
 """
 CTES["contract_lines"] = f"""
-SELECT contract_file, vendor_name, position, line, CAST(line IN ({_literals(C.SECTION_HEADINGS)}) AS INTEGER) AS is_heading
+SELECT contract_file, vendor_name, position, line, CAST(line IN ({_literals(SECTION_HEADINGS)}) AS INTEGER) AS is_heading
 FROM (SELECT contract_file, vendor_name, unnest(range(len(l))) AS position, trim(unnest(l)) AS line
       FROM (SELECT contract_file, vendor_name, string_split(text, chr(10)) AS l FROM contracts))
 WHERE line <> ''
 """
-_SECTION_TYPES = " ".join(f"WHEN '{h}' THEN '{t}'" for h, t in C.SECTION_CLAUSE_TYPE.items())
+_SECTION_TYPES = " ".join(f"WHEN '{h}' THEN '{t}'" for h, t in SECTION_CLAUSE_TYPE.items())
 CTES["sections"] = f"""
 SELECT contract_file, vendor_name, row_number() OVER (PARTITION BY contract_file ORDER BY part) - 1 AS section_no,
        heading, text, CASE lower(heading) {_SECTION_TYPES} ELSE 'general' END AS clause_type
@@ -507,7 +574,7 @@ FROM (
 """
 CTES["chunks"] = f"""
 SELECT contract_file, row_number() OVER (PARTITION BY contract_file ORDER BY position) - 1 AS chunk_no, text,
-       vendor_name, {_clause_type("lower(text)", C.CLAUSE_KEYWORDS)} AS clause_type, contract_file AS source
+       vendor_name, {_clause_type("lower(text)", CLAUSE_KEYWORDS)} AS clause_type, contract_file AS source
 FROM chunk_texts
 """
 _WORDS = {"payment": ("tion",), "sla": ("ung", "sch"), "compliance": ("ció",), "renewal": ("eau",)}
@@ -522,6 +589,24 @@ FROM (SELECT vendor_id, vendor_name,
                                replace(lower(f.vendor_name), ' ', '_')))) AS contained
       FROM features f)
 """
+CTES["requests"] = """
+SELECT s.* REPLACE (CASE WHEN version > 0 THEN s.vendor_id || '-v' || CAST(version AS VARCHAR) ELSE s.vendor_id END AS vendor_id,
+                    CASE WHEN version > 0 THEN s.vendor_name || ' v' || CAST(version AS VARCHAR) ELSE s.vendor_name END AS vendor_name)
+FROM scored s LEFT JOIN (SELECT CAST(doc_id % n AS VARCHAR) AS of_vendor, doc_id // n AS version
+                         FROM documents, (SELECT COUNT(*) AS n FROM supplier) c) d ON of_vendor = s.vendor_id
+"""
+CTES["request_terms"] = CTES["terms"].replace("FROM scored", "FROM requests")
+CTES["contract_names"] = """
+SELECT DISTINCT contract_file, lower(regexp_replace(contract_file, '\\.[^.]*$', '')) AS stem FROM contracts
+"""
+CTES["request_contract"] = """
+SELECT r.vendor_id, coalesce(MIN(d.contract_file), MIN(c.contract_file)) AS contract_file
+FROM (SELECT vendor_id, vendor_name, trim(regexp_replace(lower(vendor_name), '[^a-z0-9]+', '_', 'g'), '_') AS stem FROM requests) r
+LEFT JOIN contract_names d ON d.contract_file = r.stem || '_contract.txt'
+LEFT JOIN contract_names c ON d.contract_file IS NULL AND c.contract_file LIKE '%@_contract.txt' ESCAPE '@'
+      AND (contains(c.stem, r.stem) OR contains(c.stem, replace(lower(r.vendor_name), ' ', '_')))
+GROUP BY r.vendor_id
+"""
 CTES["keyword_ranked"] = f"""
 SELECT vendor_id, rank, text, source_vendor AS vendor_name, clause_type, source, score
 FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY score DESC, section_no) AS rank
@@ -529,7 +614,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY score DESC, s
                    CASE WHEN s.heading = 'general' THEN s.text ELSE s.heading || chr(10) || s.text END AS text,
                    {_round("CAST(len(list_filter(t.terms, lambda w: contains(lower(s.heading || ' ' || s.text), w))) "
                            "AS DOUBLE) / len(t.terms)", 4)} AS score
-            FROM terms t JOIN contract_of c USING (vendor_id) JOIN sections s ON s.contract_file = c.contract_file))
+            FROM request_terms t JOIN request_contract c USING (vendor_id) JOIN sections s ON s.contract_file = c.contract_file))
 """
 CTES["keyword_hits"] = "SELECT * FROM keyword_ranked WHERE rank <= 5"
 
@@ -550,7 +635,7 @@ SELECT s.vendor_id,
                  || array_to_string(s.factors, '; ') || ' manually.'
             ELSE 'For ' || s.vendor_name || ', retrieved contract evidence was compared against: '
                  || array_to_string(s.factors, '; ') || '. ' || g.parts END AS explanation
-FROM scored s LEFT JOIN (
+FROM requests s LEFT JOIN (
   SELECT vendor_id, string_agg(clause_type || ': ' || CASE WHEN length(text) > 180
              THEN regexp_replace(substr(text, 1, 177), '\\s+$', '') || '...' ELSE text END
              || ' Source: ' || sources || '.', ' ' ORDER BY group_no) AS parts
@@ -561,6 +646,7 @@ SELECT vendor_id, string_agg(text, ' | ' ORDER BY rank) AS texts, string_agg(DIS
 FROM keyword_hits GROUP BY vendor_id
 """
 CTES["requested"] = "SELECT DISTINCT vendor_id FROM tickets"
+CTES["asked"] = "SELECT vendor_id FROM tickets UNION SELECT vendor_id FROM requests"
 
 # --- vectors --------------------------------------------------------------------------------------
 
@@ -620,7 +706,7 @@ def _ratio(a: str, b: str) -> str:
 def _means(table: str) -> str:
     return " UNION ALL ".join(
         f"SELECT '{m}' AS metric, {_round(f'SUM(CAST({m} AS DOUBLE)) / COUNT({m})', 6)} AS value, {t} AS threshold FROM {table}"
-        for m, t in C.DRIFT_THRESHOLDS.items()
+        for m, t in DRIFT_THRESHOLDS.items()
     )
 
 
@@ -639,6 +725,19 @@ QUERIES["dq_vendors"] = _ISSUE_LIST.format("vendor_issues")
 QUERIES["dq_invoices"] = _ISSUE_LIST.format("invoice_issues")
 QUERIES["dq_tickets"] = _ISSUE_LIST.format("ticket_issues")
 _LISTED = "coalesce(string_agg(message || ' (' || CAST(affected_rows AS VARCHAR) || ')', '; ' ORDER BY position) FILTER (WHERE severity = '{0}'), '')"
+QUERIES["dq_missing_columns"] = """
+SELECT 'vendor_master.csv' AS dataset, 'error' AS severity, '' AS field,
+       'Missing columns: [''contract_end'', ''criticality'']' AS message, COUNT(*) AS affected_rows FROM raw_vendors
+UNION ALL SELECT 'invoices.csv', 'error', '', 'Missing columns: [''amount'', ''po_match'']', COUNT(*) FROM raw_invoices
+UNION ALL SELECT 'support_tickets.csv', 'error', '', 'Missing columns: [''severity'']', COUNT(*) FROM raw_tickets
+"""
+QUERIES["dq_empty"] = (
+    _ISSUE_LIST.format("vendor_issues")
+    + """
+UNION ALL SELECT 'invoices.csv', 'error', '', 'Dataset is empty', COUNT(*) FROM raw_invoices WHERE vendor_id = 'nobody'
+UNION ALL SELECT 'support_tickets.csv', 'error', '', 'Dataset is empty', COUNT(*) FROM raw_tickets WHERE vendor_id = 'nobody'
+"""
+)
 QUERIES["dq_report"] = f"""
 SELECT CAST(COUNT(*) FILTER (WHERE severity = 'error') = 0 AS INTEGER) AS passed,
        {_LISTED.format("error")} AS errors, {_LISTED.format("warning")} AS warnings,
@@ -699,12 +798,12 @@ QUERIES["actions"] = f"""
 SELECT vendor_id, 'rule_based' AS model_name, {_round("risk_score_rule / 100.0", 4)} AS risk_score,
        portfolio_risk_level AS risk_level,
        CASE WHEN portfolio_risk_level = 'High' AND contains(lower(array_to_string({_factors(1, False)}, ' ')), 'compliance')
-            THEN '{C.SCORER_ACTIONS["High compliance"]}'
-            WHEN portfolio_risk_level = 'High' THEN '{C.SCORER_ACTIONS["High"]}'
-            WHEN portfolio_risk_level = 'Medium' THEN '{C.SCORER_ACTIONS["Medium"]}'
-            ELSE '{C.SCORER_ACTIONS["Low"]}' END AS scorer_action,
-       CASE portfolio_risk_level WHEN 'High' THEN '{C.WORKFLOW_ACTIONS["High"]}'
-            WHEN 'Medium' THEN '{C.WORKFLOW_ACTIONS["Medium"]}' ELSE '{C.WORKFLOW_ACTIONS["Low"]}' END AS workflow_action,
+            THEN '{SCORER_ACTIONS["High compliance"]}'
+            WHEN portfolio_risk_level = 'High' THEN '{SCORER_ACTIONS["High"]}'
+            WHEN portfolio_risk_level = 'Medium' THEN '{SCORER_ACTIONS["Medium"]}'
+            ELSE '{SCORER_ACTIONS["Low"]}' END AS scorer_action,
+       CASE portfolio_risk_level WHEN 'High' THEN '{WORKFLOW_ACTIONS["High"]}'
+            WHEN 'Medium' THEN '{WORKFLOW_ACTIONS["Medium"]}' ELSE '{WORKFLOW_ACTIONS["Low"]}' END AS workflow_action,
        CAST(portfolio_risk_level IN ('High', 'Medium') AS INTEGER) AS human_review_required,
        points_exposure AS estimated_financial_exposure
 FROM points
@@ -717,7 +816,7 @@ FROM (SELECT vendor_id, (risk_score_rule - CAST(50 AS DOUBLE)) / CAST(10 AS DOUB
 """
 QUERIES["review_queue"] = f"""
 SELECT vendor_id, vendor_name, risk_score_rule, high_risk_vendor, pending_invoice_amount, sla_breach_count,
-       duplicate_invoice_count, days_until_contract_end, '{C.WORKFLOW_ACTIONS["High"]}' AS recommended_action
+       duplicate_invoice_count, days_until_contract_end, '{WORKFLOW_ACTIONS["High"]}' AS recommended_action
 FROM points WHERE high_risk_vendor = 1 OR portfolio_risk_level = 'High'
 """
 
@@ -827,14 +926,81 @@ FROM (SELECT *, bool_or(fits) OVER (PARTITION BY vendor_id) AS any_fits
             FROM vector_hits WHERE rank <= 4))
 WHERE fits OR NOT any_fits
 """
+
+def _places(table: str, key: str) -> str:
+    """How often a text has a word of each place of the vector."""
+    return f"""
+SELECT {key}, CAST('0x' || substr(md5(word), 1, 7) AS BIGINT) % 384 AS place, COUNT(*) AS n
+FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS word FROM {table}) WHERE length(word) > 1
+GROUP BY ALL
+"""
+
+
+def _unit(table: str, key: str) -> str:
+    """The weights of unit length."""
+    return f"""
+SELECT {key}, place, w / sqrt(SUM(w * w) OVER (PARTITION BY {key})) AS w
+FROM (SELECT {key}, place, CAST(n AS DOUBLE) * coalesce(idf, ln(CAST((SELECT COUNT(*) FROM chunks) + 1 AS DOUBLE))) AS w
+      FROM {table} LEFT JOIN place_weights USING (place))
+"""
+
+
+CTES["chunk_places"] = _places("chunks", "contract_file, chunk_no")
+CTES["place_weights"] = """
+SELECT place, ln(CAST((SELECT COUNT(*) FROM chunks) + 1 AS DOUBLE) / CAST(COUNT(*) + 1 AS DOUBLE)) AS idf
+FROM chunk_places GROUP BY place
+"""
+CTES["chunk_unit"] = _unit("chunk_places", "contract_file, chunk_no")
+QUERIES["text_vectors"] = """
+SELECT c.contract_file, c.chunk_no, coalesce(string_agg(CAST(place AS VARCHAR) || ':' || CAST(x AS VARCHAR), ' ' ORDER BY place), '') AS weights
+FROM chunks c LEFT JOIN (SELECT contract_file, chunk_no, place, CAST(floor(w * 1e6 + 0.5) AS BIGINT) AS x FROM chunk_unit) u
+     ON u.contract_file = c.contract_file AND u.chunk_no = c.chunk_no AND x > 0
+GROUP BY c.contract_file, c.chunk_no
+"""
+CTES["text_queries"] = """
+SELECT vendor_id, vendor_name, vendor_name || ' ' || array_to_string(factors, ' ') AS text
+FROM (SELECT * REPLACE (CASE WHEN CAST(vendor_id AS BIGINT) % 25 = 0 THEN 'Unlisted ' || vendor_id ELSE vendor_name END AS vendor_name)
+      FROM scored)
+"""
+CTES["query_places"] = _places("text_queries", "vendor_id")
+CTES["query_unit"] = _unit("query_places", "vendor_id")
+CTES["numbered"] = """
+SELECT *, row_number() OVER (ORDER BY contract_file, chunk_no) - 1 AS chunk_id FROM chunks
+"""
+CTES["text_pairs"] = """
+SELECT DISTINCT q.vendor_id, c.vendor_name
+FROM text_queries q, (SELECT DISTINCT vendor_name FROM chunks) c
+WHERE contains(trim(lower(q.vendor_name)), trim(lower(c.vendor_name)))
+   OR contains(trim(lower(c.vendor_name)), trim(lower(q.vendor_name)))
+"""
+CTES["text_candidates"] = """
+SELECT p.vendor_id, n.chunk_id, n.contract_file, n.chunk_no, n.source, n.clause_type, 'vendor' AS scope
+FROM text_pairs p JOIN numbered n USING (vendor_name)
+UNION ALL
+SELECT q.vendor_id, n.chunk_id, n.contract_file, n.chunk_no, n.source, n.clause_type, 'all'
+FROM text_queries q, numbered n WHERE q.vendor_id NOT IN (SELECT vendor_id FROM text_pairs)
+"""
+CTES["text_scores"] = """
+SELECT q.vendor_id, u.contract_file, u.chunk_no, SUM(q.w * u.w) AS score
+FROM query_unit q JOIN chunk_unit u USING (place)
+JOIN text_candidates c ON c.vendor_id = q.vendor_id AND c.contract_file = u.contract_file AND c.chunk_no = u.chunk_no
+GROUP BY ALL
+"""
+QUERIES["text_topk"] = f"""
+SELECT vendor_id, rank, chunk_id, source, clause_type, scope, {_round("score", 4)} AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY round(score, 9) DESC, chunk_id) AS rank
+      FROM (SELECT c.*, coalesce(s.score, 0) AS score FROM text_candidates c LEFT JOIN text_scores s
+            ON s.vendor_id = c.vendor_id AND s.contract_file = c.contract_file AND s.chunk_no = c.chunk_no))
+WHERE rank <= 5
+"""
 QUERIES["evidence_groups"] = _groups(12)
-QUERIES["explanations"] = "SELECT e.vendor_id, explanation FROM explained e JOIN requested USING (vendor_id)"
+QUERIES["explanations"] = "SELECT vendor_id, explanation FROM explained"
 QUERIES["payloads"] = f"""
-SELECT CASE WHEN human_review_required = 1 THEN '{C.EVENT_REVIEW}' ELSE '{C.EVENT_APPROVED}' END AS event_type,
+SELECT CASE WHEN human_review_required = 1 THEN '{EVENT_REVIEW}' ELSE '{EVENT_APPROVED}' END AS event_type,
        s.vendor_id, s.vendor_name, risk_score, risk_level, recommended_action, human_review_required, business_owner,
        account_manager, estimated_financial_exposure, array_to_string(factors, '; ') AS top_risk_factors,
        coalesce(e.sources, '') AS evidence_sources
-FROM scored s JOIN requested USING (vendor_id) LEFT JOIN evidence_lists e ON e.vendor_id = s.vendor_id
+FROM requests s LEFT JOIN evidence_lists e ON e.vendor_id = s.vendor_id
 """
 QUERIES["analysis"] = f"""
 SELECT r.vendor_id, coalesce(s.vendor_name, '') AS vendor_name, coalesce(risk_score, -1) AS risk_score,
@@ -842,10 +1008,10 @@ SELECT r.vendor_id, coalesce(s.vendor_name, '') AS vendor_name, coalesce(risk_sc
        coalesce(e.texts, '') AS evidence_texts, coalesce(recommended_action, '') AS recommended_action,
        coalesce(estimated_financial_exposure, -1) AS estimated_financial_exposure,
        coalesce(human_review_required, -1) AS human_review_required,
-       CASE human_review_required WHEN 1 THEN '{C.EVENT_REVIEW}' WHEN 0 THEN '{C.EVENT_APPROVED}' ELSE '' END AS event_type,
+       CASE human_review_required WHEN 1 THEN '{EVENT_REVIEW}' WHEN 0 THEN '{EVENT_APPROVED}' ELSE '' END AS event_type,
        coalesce(business_owner, '') AS owner,
        CASE WHEN s.vendor_id IS NULL THEN 'Unknown vendor_id: ' || r.vendor_id ELSE '' END AS errors
-FROM requested r LEFT JOIN scored s ON s.vendor_id = r.vendor_id LEFT JOIN evidence_lists e ON e.vendor_id = s.vendor_id
+FROM asked r LEFT JOIN requests s ON s.vendor_id = r.vendor_id LEFT JOIN evidence_lists e ON e.vendor_id = s.vendor_id
 """
 QUERIES["routed_reviews"] = f"""
 SELECT s.vendor_id, s.vendor_name, risk_score, risk_level, recommended_action,
@@ -854,11 +1020,11 @@ SELECT s.vendor_id, s.vendor_name, risk_score, risk_level, recommended_action,
        || risk_level || chr(10) || 'Risk Score: ' || {_plain("risk_score", 4)} || chr(10) || 'Estimated Exposure: $'
        || {_plain("estimated_financial_exposure", 2)} || chr(10) || chr(10) || 'Recommended Action:' || chr(10)
        || recommended_action AS alert_text
-FROM scored s JOIN requested USING (vendor_id) WHERE risk_level = 'High'
+FROM requests s WHERE risk_level = 'High'
 """
 QUERIES["training_baseline"] = (
     "SELECT COUNT(*) AS row_count, "
-    + ", ".join(f"{_round(f'SUM(CAST({m} AS DOUBLE)) / COUNT({m})', 6)} AS {m}" for m in C.DRIFT_THRESHOLDS)
+    + ", ".join(f"{_round(f'SUM(CAST({m} AS DOUBLE)) / COUNT({m})', 6)} AS {m}" for m in DRIFT_THRESHOLDS)
     + " FROM features"
 )
 QUERIES["drift_report"] = f"""
@@ -890,13 +1056,18 @@ SELECT CAST(is_test AS INTEGER) AS is_test, high_risk_vendor, COUNT(*) AS n FROM
 QUERIES["split_rows"] = "SELECT vendor_id, CAST(is_test AS INTEGER) AS is_test FROM split"
 QUERIES["model_inputs"] = (
     "SELECT vendor_id, "
-    + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in C.MODEL_FEATURES)
+    + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in MODEL_FEATURES)
     + ", high_risk_vendor FROM features"
 )
 QUERIES["class_weights"] = """
 SELECT high_risk_vendor, COUNT(*) AS n, CAST(SUM(COUNT(*)) OVER () AS DOUBLE) / CAST(COUNT(*) * 2 AS DOUBLE) AS weight
 FROM features GROUP BY high_risk_vendor
 """
+QUERIES["model_checks"] = """
+SELECT COUNT(*) AS scored, 0 AS out_of_range, 0 AS wrong_level, 0 AS without_factor, 0 AS logistic_apart, COUNT(*) AS split_rows,
+       2 AS models, 1 AS champion_is_best, 0 AS odd_metrics
+FROM features
+"""
 QUERIES["confusion_matrix"] = """
 SELECT label, COUNT(*) FILTER (WHERE prediction = 0) AS predicted_0, COUNT(*) FILTER (WHERE prediction = 1) AS predicted_1
 FROM predictions GROUP BY label
@@ -934,6 +1105,9 @@ _TYPES: dict[str, dict[str, str]] = {
     "chunk_numbers": {"chunk_no": "INTEGER"},
     "clause_types": {"characters": "BIGINT"},
     "keyword_topk": {"rank": "INTEGER"},
+    "text_vectors": {"chunk_no": "INTEGER"},
+    "text_topk": {"rank": "INTEGER"},
+    "model_checks": {c: "BIGINT" for c in ("out_of_range", "wrong_level", "without_factor", "logistic_apart", "models", "odd_metrics")},
     "vector_topk": {"rank": "INTEGER"},
     "vendor_preferred_topk": {"rank": "INTEGER"},
     "evidence_groups": {"group_no": "INTEGER"},

@@ -14,6 +14,7 @@ from procurisk.functions.text import query_terms
 from procurisk.operators import contracts as contract_ops
 from procurisk.operators import drift, evidence, features, portfolio, quality, retrieval, scoring, training
 from procurisk.plans import jobs
+from procurisk.session import cut_lineage
 from procurisk.sources import roles, sinks
 from procurisk.sources.schemas import INVOICES, TICKETS, VENDORS
 
@@ -75,9 +76,16 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.score_portfolio_rules(portfolio_features(spark, sf_dir))
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scored row for every contract text; the scores are stored, since ids, names and rows are read apart."""
+    return roles.contract_requests(cut_lineage(_scored(spark, sf_dir)), spark, sf_dir)
+
+
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requested = roles.tickets(spark, sf_dir).select("vendor_id")
-    return jobs.analyze_portfolio(_scored(spark, sf_dir), roles.contracts(spark, sf_dir), requested)
+    requests = _requests(spark, sf_dir)
+    # ids of tickets too: some of them nobody knows
+    requested = roles.tickets(spark, sf_dir).select("vendor_id").unionByName(requests.select("vendor_id"))
+    return jobs.analyze_portfolio(requests, roles.contracts(spark, sf_dir), requested)
 
 
 # --- data quality ---------------------------------------------------------------------------------
@@ -128,6 +136,22 @@ def dq_report(spark, sf_dir):
     )
 
 
+@_query
+def dq_missing_columns(spark, sf_dir):
+    """Tables that lack columns: one issue each, and no other check."""
+    gone = {VENDORS: ["contract_end", "criticality"], INVOICES: ["po_match", "amount"], TICKETS: ["severity"]}
+    return _issues_plain(quality.issues({name: df.drop(*gone[name]) for name, df in raw_tables(spark, sf_dir).items()}))
+
+
+@_query
+def dq_empty(spark, sf_dir):
+    """Invoices and tickets of a vendor that has none."""
+    tables = raw_tables(spark, sf_dir)
+    for name in (INVOICES, TICKETS):
+        tables[name] = tables[name].where("vendor_id = 'nobody'")
+    return _issues_plain(quality.issues(tables))
+
+
 @_query
 def dq_unknown_vendors(spark, sf_dir):
     return quality.unknown_vendor_rows(roles.tickets(spark, sf_dir), roles.vendors(spark, sf_dir))
@@ -319,7 +343,8 @@ def vendor_list(spark, sf_dir):
 @_query
 def vendor_lookup(spark, sf_dir):
     requested = roles.tickets(spark, sf_dir).select("vendor_id")
-    found = scoring.look_up_vendors(portfolio_features(spark, sf_dir), requested)
+    names = portfolio_features(spark, sf_dir).select("vendor_id", "vendor_name")
+    found = scoring.look_up_vendors(names, requested)
     return found.select(
         "vendor_id",
         F.col("exists").cast("int").alias("is_known"),
@@ -388,7 +413,7 @@ def vendor_name_pairs(spark, sf_dir):
 
 @_query
 def keyword_topk(spark, sf_dir):
-    requests = _scored(spark, sf_dir).select("vendor_id", "vendor_name", "top_risk_factors")
+    requests = _requests(spark, sf_dir).select("vendor_id", "vendor_name", "top_risk_factors")
     found = jobs.retrieve_evidence(requests, roles.contracts(spark, sf_dir))
     return found.select("vendor_id", F.posexplode("evidence").alias("rank", "e")).select(
         "vendor_id",
@@ -433,9 +458,33 @@ def evidence_filter(spark, sf_dir):
 
 @_query
 def text_vectors(spark, sf_dir):
-    chunks = contract_ops.clause_chunks(roles.contracts(spark, sf_dir))
+    """The vectors as text: place and weight in millionths of every word place that is not empty."""
+    chunks = cut_lineage(contract_ops.clause_chunks(roles.contracts(spark, sf_dir)))
+    vectors = retrieval.text_vectors(retrieval.fit_text_vectors(chunks), chunks, kind="float64")
+    places = F.transform("vector", lambda x, i: F.struct(i.alias("i"), F.floor(x * 1e6 + 0.5).alias("x")))
+    shown = F.transform(
+        F.filter(places, lambda p: p["x"] > 0), lambda p: F.concat_ws(":", p["i"].cast("string"), p["x"].cast("string"))
+    )
+    return vectors.select("contract_file", "chunk_no", F.array_join(shown, " ").alias("weights"))
+
+
+@_query
+def text_topk(spark, sf_dir):
+    """Clauses by text vectors: name and factors of every vendor against the chunks of all contract texts."""
+    chunks = jobs.numbered_chunks(roles.contracts(spark, sf_dir))
     model = retrieval.fit_text_vectors(chunks)
-    return retrieval.text_vectors(model, chunks).select("contract_file", "chunk_no", "vector")
+    stored = cut_lineage(retrieval.text_vectors(model, chunks, kind="float64"))
+    # every 25th vendor asks under a name that no contract has: it searches everything
+    number = F.col("vendor_id").cast("bigint")
+    name = F.when(number % 25 == 0, F.concat(F.lit("Unlisted "), "vendor_id")).otherwise(F.col("vendor_name"))
+    requests = _scored(spark, sf_dir).select("vendor_id", name.alias("vendor_name"), "top_risk_factors")
+    text = F.concat_ws(" ", "vendor_name", F.array_join("top_risk_factors", " "))
+    asked = cut_lineage(requests.select("vendor_id", "vendor_name", text.alias("text")))
+    queries = retrieval.text_vectors(model, asked, kind="float64").drop("text")
+    hits = retrieval.vendor_preferred_top_k(queries, stored)
+    return retrieval.attach_clauses(hits, stored).select(
+        "vendor_id", "rank", "chunk_id", "source", "clause_type", "scope", "score"
+    )
 
 
 # --- analysis -------------------------------------------------------------------------------------
@@ -443,7 +492,7 @@ def text_vectors(spark, sf_dir):
 
 @_query
 def evidence_groups(spark, sf_dir):
-    requests = _scored(spark, sf_dir).select("vendor_id", "vendor_name", "top_risk_factors")
+    requests = _requests(spark, sf_dir).select("vendor_id", "vendor_name", "top_risk_factors")
     # twelve clauses, so that several share a type
     found = jobs.retrieve_evidence(requests, roles.contracts(spark, sf_dir), k=12)
     groups = found.select(
@@ -522,7 +571,7 @@ def drift_report(spark, sf_dir):
 @_query
 def drift_overall(spark, sf_dir):
     # one metric falls out of the baseline: it counts as 0 there
-    current = portfolio_features(spark, sf_dir)
+    current = cut_lineage(portfolio_features(spark, sf_dir).select(*DRIFT_THRESHOLDS))
     baseline = drift.metric_means(current, {m: t for m, t in DRIFT_THRESHOLDS.items() if m != "sla_breach_rate"})
     overall = drift.overall_drift(drift.drift_report(current, baseline))
     return overall.withColumn("drift_detected", F.col("drift_detected").cast("int"))
@@ -530,13 +579,13 @@ def drift_overall(spark, sf_dir):
 
 @_query
 def split_counts(spark, sf_dir):
-    rows = training.with_split(training.model_input(portfolio_features(spark, sf_dir)))
+    rows = training.with_split(cut_lineage(training.model_input(portfolio_features(spark, sf_dir))))
     return rows.groupBy(F.col("is_test").cast("int").alias("is_test"), MODEL_TARGET).agg(F.count("*").alias("n"))
 
 
 @_query
 def split_rows(spark, sf_dir):
-    rows = training.with_split(training.model_input(portfolio_features(spark, sf_dir)))
+    rows = training.with_split(cut_lineage(training.model_input(portfolio_features(spark, sf_dir))))
     return rows.select("vendor_id", F.col("is_test").cast("int").alias("is_test"))
 
 
@@ -584,12 +633,41 @@ def auc_histogram(spark, sf_dir):
 
 @_query
 def model_compare(spark, sf_dir):
-    return training.train_and_compare(spark, portfolio_features(spark, sf_dir)).results.drop("parameters")
+    return training.train_and_compare(spark, cut_lineage(portfolio_features(spark, sf_dir))).results.drop("parameters")
+
+
+@_query
+def model_checks(spark, sf_dir):
+    """What must hold for any fitted models: counts of rows and of rows that break a rule."""
+    table = cut_lineage(portfolio_features(spark, sf_dir))
+    trained = training.train_and_compare(spark, table)
+    scored = jobs.score_portfolio_model(table, trained.models[trained.champion], trained.champion)
+    logistic = training.predict(trained.models["LogisticRegression"], table)
+    apart = F.abs(training.logistic_probability(trained.models["LogisticRegression"]) - F.col("probability_1"))
+    other_level = F.when(F.col("risk_score") >= 0.75, "High").when(F.col("risk_score") >= 0.45, "Medium").otherwise("Low")
+    rules = scored.agg(
+        F.count("*").alias("scored"),
+        F.count_if(~F.col("risk_score").between(0.0, 1.0)).alias("out_of_range"),
+        F.count_if(F.col("risk_level") != other_level).alias("wrong_level"),
+        F.count_if(F.size("top_risk_factors") == 0).alias("without_factor"),
+    )
+    apart_rows = logistic.agg(F.count_if(~(apart < 1e-9)).alias("logistic_apart"))
+    best = F.max(F.struct("f1", "accuracy", -F.col("position"))) == F.max(
+        F.when(F.col("model_name") == trained.champion, F.struct("f1", "accuracy", -F.col("position")))
+    )
+    lines = trained.results.agg(
+        F.min(F.col("train_size") + F.col("test_size")).alias("split_rows"),
+        F.count("*").alias("models"),
+        best.cast("int").alias("champion_is_best"),
+        F.count_if(~F.least("accuracy", "precision", "recall", "f1", "roc_auc").between(0.0, 1.0)).alias("odd_metrics"),
+    )
+    # three tables of one row
+    return rules.join(apart_rows, F.lit(True)).join(lines, F.lit(True))
 
 
 @_query
 def model_scores(spark, sf_dir):
-    table = portfolio_features(spark, sf_dir)
+    table = cut_lineage(portfolio_features(spark, sf_dir))
     trained = training.train_and_compare(spark, table)
     scored = jobs.score_portfolio_model(table, trained.models[trained.champion], trained.champion)
     return _plain(

@@ -231,6 +231,26 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def contract_requests(scored: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored vendors, one row per contract text, so that every text is asked for.
+
+    Version 0 (and a vendor without texts) keeps the vendor's id and name; later versions carry their number in both, and the
+    name leads to the file of that version.
+    """
+    vendor_count = table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
+    versions = table(spark, sf_dir, "documents").select(
+        F.pmod(F.col("doc_id"), vendor_count).cast("string").alias("_key"),
+        F.floor(F.col("doc_id") / vendor_count).cast("string").alias("_version"),
+    )
+    later = F.coalesce(F.col("_version") != "0", F.lit(False))
+    named = {
+        "vendor_id": F.when(later, F.concat_ws("-v", "vendor_id", "_version")).otherwise(F.col("vendor_id")),
+        "vendor_name": F.when(later, F.concat_ws(" v", "vendor_name", "_version")).otherwise(F.col("vendor_name")),
+    }
+    joined = scored.join(versions, F.col("vendor_id") == F.col("_key"), "left")
+    return joined.select(*[named.get(c, F.col(c)).alias(c) for c in scored.columns])
+
+
 def clause_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored vector as a clause: the label names the vendor, the key spreads the contract files."""
     return table(spark, sf_dir, "embeddings").select(

@@ -1,9 +1,9 @@
 import pytest
 from fixtures import INVOICE_COLUMNS, invoice, raw_tables, table, ticket, vendor
 
-from procurisk.operators import quality
+from procurisk.operators import features, quality
 from procurisk.plans import jobs
-from procurisk.sources.schemas import INVOICES, TICKETS, VENDORS
+from procurisk.sources.schemas import INVOICES, TICKETS, VENDORS, typed
 
 
 def found(df):
@@ -139,3 +139,28 @@ def test_gate(spark):
     quality.gate(raw_tables(spark))
     with pytest.raises(quality.DataQualityError, match="amount must be greater than 0"):
         quality.gate(raw_tables(spark, invoices=[invoice(amount="0")]))
+
+
+def test_amounts_are_grouped_before_they_are_rounded(spark):
+    tables = raw_tables(spark, invoices=[invoice(amount="10.001"), invoice(amount="10.004", invoice_id="INV-2")])
+    assert jobs.validate(tables).first()["duplicate_invoice_rows"] == 0
+    row = features.invoice_features(typed(tables[INVOICES])).first()
+    assert (row["duplicate_invoice_count"], float(row["total_spend"])) == (0, 20.01)
+    copies = raw_tables(spark, invoices=[invoice(amount="1e1"), invoice(amount=" 10.000 ", invoice_id="INV-2")])
+    assert jobs.validate(copies).first()["duplicate_invoice_rows"] == 2
+    assert features.invoice_features(typed(copies[INVOICES])).first()["duplicate_invoice_count"] == 2
+
+
+@pytest.mark.parametrize("amount", ["1e15", "1e17", "1e300", "1e999"])
+def test_amounts_too_large_stop_the_build(spark, amount):
+    with pytest.raises(quality.DataQualityError, match="amount must be less than 1e\\+15"):
+        quality.gate(raw_tables(spark, invoices=[invoice(amount=amount)]))
+
+
+def test_largest_amounts_and_hours_keep_their_value(spark):
+    tables = raw_tables(spark, invoices=[invoice(amount="999999999999999.25")] * 2, tickets=[ticket(resolution_hours="1e13")])
+    quality.gate(tables)
+    assert str(features.invoice_features(typed(tables[INVOICES])).first()["total_spend"]) == "1999999999999998.50"
+    assert features.ticket_features(typed(tables[TICKETS])).first()["average_resolution_hours"] == 1e13
+    with pytest.raises(quality.DataQualityError, match="hours must be less than"):
+        quality.gate(raw_tables(spark, tickets=[ticket(sla_hours="1e15")]))

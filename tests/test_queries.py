@@ -9,7 +9,7 @@ import check_queries
 from procurisk.plans.queries import registry
 
 SF_DIR = "/root/testdata/sf0.001"
-ROWS_ONLY = {"text_vectors", "model_compare", "model_scores"}
+ROWS_ONLY = {"model_compare", "model_scores"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
 
 
