@@ -5,13 +5,14 @@ A sequence is one piece, so it never crosses documents and needs no padding; bat
 
 from __future__ import annotations
 
-import itertools
+import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -21,72 +22,67 @@ from procurisk.llm import batches
 #: Tokens of the longest sequence, a power of two, and the id that ends a document.
 SEQUENCE_TOKENS = 1024
 END_ID = 0
-#: Distinct words that a task remembers before it starts anew.
-REMEMBERED = 400_000
-#: White space (the tokenizer's) next to a blank, or a blank at an end of the text: such texts are encoded as a whole,
-#: as are those with what may be a special token.
-SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-IRREGULAR = rf"{SPACE} | {SPACE}|^ | $|<\|"
-
-
-class WordEncoder:
-    """Ids of texts under a byte-level BPE tokenizer, which never merges across the start of a blank before a word."""
+# Fixed value: how byte-level BPE cuts a text before it merges.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that every library takes for the same kind: texts with others, or with what may be a special token, and texts with
+#: a run of more than ``LONG_RUN`` bytes without a blank or of ``LONG_GAP`` blanks go to the tokenizer itself.
+COMMON = (
+    r"\t\n\r -~\x{a1}-\x{ac}\x{ae}-\x{21f}\x{391}-\x{3a1}\x{3a3}-\x{3ce}\x{401}-\x{40c}\x{40e}-\x{44f}\x{451}-\x{45c}"
+    r"\x{2013}-\x{2014}\x{2018}-\x{201a}\x{201c}-\x{201e}\x{2022}\x{2026}\x{20ac}\x{3001}-\x{3002}\x{3041}-\x{3094}"
+    r"\x{30a1}-\x{30fa}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}"
+)
+LONG_RUN, LONG_GAP = 2000, 100
+OTHER = rf"[^{COMMON}]|<\||[\t\n\r ]{{{LONG_GAP}}}"
+
+
+def merge_ranks(tokenizer: bytes) -> dict[bytes, int] | None:
+    """The bytes of each token and its id, if ids follow the order of the merges; else None.
+
+    A byte-level vocabulary writes a byte as the character of that number if it is printable, else as one from 256 on.
+    """
+    model = json.loads(tokenizer)["model"]
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = sorted(set(range(256)) - set(printable))
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+    vocabulary = model["vocab"]
+    merged = ["".join(pair.split(" ") if isinstance(pair, str) else pair) for pair in model["merges"]]
+    if any(vocabulary[token] != 256 + i for i, token in enumerate(merged)):
+        return None
+    return {bytes(byte_of[c] for c in token): vocabulary[token] for token in [*byte_of, *merged]}
+
+
+def long_runs(column: pa.Array) -> np.ndarray:
+    """Which texts hold a run of more than ``LONG_RUN`` bytes without a blank."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = batches.bounds(sizes)
+    joined = np.frombuffer(b"".join(column.cast(pa.binary()).to_pylist()), dtype=np.uint8)
+    stops = np.unique(np.concatenate([np.flatnonzero(joined <= 0x20), edges]))
+    ends = stops[1:][np.diff(stops) > LONG_RUN]
+    found = np.zeros(len(sizes), dtype=bool)
+    found[np.searchsorted(edges, ends - 1, side="right") - 1] = True
+    return found
+
+
+class Encoder:
+    """Ids of texts under a byte-level BPE tokenizer; common texts take the faster library for the same merges."""
 
     def __init__(self, tokenizer: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_buffer(tokenizer)
-        self.forget()
-
-    def forget(self) -> None:
-        #: Place of each remembered word; its ids are stock[starts[place]:starts[place + 1]].
-        self.known: dict[str, int] = {}
-        self.starts = np.zeros(1, dtype=np.int64)
-        self.stock = np.zeros(0, dtype=np.uint32)
-
-    def add(self, texts: list[str]) -> np.ndarray:
-        """Encode ``texts`` and put their ids behind the stock; their places."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ids = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(lengths.sum()))
-        places = len(self.starts) - 1 + np.arange(len(found))
-        self.stock = np.concatenate([self.stock, ids])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        return places
-
-    def of_words(self, distinct: list[str]) -> np.ndarray:
-        """The places of some words."""
-        get = self.known.get
-        places = np.fromiter((get(word, -1) for word in distinct), dtype=np.int64, count=len(distinct))
-        new = np.flatnonzero(places < 0)
-        if new.size:
-            fresh = [distinct[i] for i in new.tolist()]
-            places[new] = self.add(fresh)
-            self.known.update(zip(fresh, places[new].tolist()))
-        return places
+        ranks = merge_ranks(tokenizer)
+        self.fast = ranks and tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and their number per text."""
-        odd = pc.match_substring_regex(column, IRREGULAR)
-        words, counts = batches.flat(pc.split_pattern(pc.if_else(odd, "", column), " "))
-        first = np.zeros(len(words), dtype=bool)
-        first[batches.bounds(counts)[:-1]] = True
-        code, distinct = batches.codes(
-            pc.binary_join_element_wise(pc.if_else(pa.array(first), "", " "), words, "")
-        )
-        place = self.of_words(distinct.to_pylist())[code]
-        known = len(self.starts)
-        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-        place[batches.bounds(counts)[whole]] = self.add(column.take(pa.array(whole)).to_pylist())
-        begin = self.starts[place]
-        n = self.starts[place + 1] - begin
-        edges = batches.bounds(n)
-        ids = self.stock[np.repeat(begin - edges[:-1], n) + np.arange(edges[-1])]
-        # only words are remembered
-        self.starts = self.starts[:known]
-        self.stock = self.stock[: self.starts[-1]]
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        return ids, batches.per_row(n, counts)
+        odd = pc.match_substring_regex(column, OTHER).to_numpy(zero_copy_only=False) | long_runs(column)
+        found = [
+            self.fast.encode_to_numpy(text, disallowed_special=())
+            if self.fast and not whole
+            else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            for text, whole in zip(column.to_pylist(), odd.tolist())
+        ]
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.concatenate([np.zeros(0, dtype=np.uint32), *found]), counts
 
 
 def binary_pieces(lengths: np.ndarray, longest: int = SEQUENCE_TOKENS) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +98,11 @@ def pack(docs: DataFrame, tokenizer: bytes, text: str = "text", id_column: str =
 
     Null and empty texts hold ``END_ID`` only. A null id stays null; a repeated row is packed again. ``bucket`` is the
     binary logarithm of ``length``. ``sequence_id`` numbers the pieces by partition and place. No shuffle; a task holds
-    about 4 MB of text at a time, or one longer text, and ``REMEMBERED`` words.
+    about 4 MB of text at a time, or one longer text.
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = Encoder(tokenizer)
         for batch in stream:
             for piece in batches.pieces(batch, "text"):
                 ids, counts = encoder.ids(batches.texts(piece))

@@ -332,6 +332,19 @@ def test_packing(spark, sample_texts, empty):
     assert packing.pack(documents(spark, AWKWARD), data).where("doc_id IS NULL").count() > 0
 
 
+def test_ids_of_every_common_character():
+    data = queries.vocabulary(queries.PACK_TOKENIZER)
+    encoder, direct = packing.Encoder(data), Tokenizer.from_buffer(data)
+    assert encoder.fast
+    characters = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}1{c} {c}b {c}{c}  {c}\n{c}'s" for c in characters[::3]]
+    # what goes to the tokenizer itself: special strings, odd blanks, long runs
+    texts += ["", " ", "<|endoftext|>x", "a<|b", "x" * 5000, " " * 500, "a\x1cb", "a" * 1999 + " " + "b" * 2500, "😀 ok", "\n" * 99]
+    ids, counts = encoder.ids(pa.array(texts))
+    wanted = [x.ids for x in direct.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, wanted)) and ids.tolist() == [i for ids in wanted for i in ids]
+
+
 # mixing
 
 
