@@ -2,7 +2,8 @@
 
 Every distinct set of shingles has a MinHash signature. Several orders (permutations of the signature) sort the sets; sets that
 share a prefix of an order lie next to each other, in a region. A region that is too large is read at a greater depth, others at
-the least one. Inside a region short sketches drop pairs that cannot be close enough; whoever is left comes back with the
+the least one. What the depth would part, pivots hold together: some members of the large region meet all others of it, cell by
+cell. Inside a region short sketches drop pairs that cannot be close enough; whoever is left comes back with the
 whole text, and links are confirmed on the full sets. A region hands out a spanning forest of its links, so a group of copies
 never becomes all its pairs, and connected components of the links are the result.
 """
@@ -11,11 +12,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procurisk.llm import batches, shared
@@ -30,6 +32,8 @@ ORDERS = 16
 DEPTHS = (3, 5, 8, 12, 20, 48)
 #: Members of a region; beyond it the next depth is taken.
 REGION = 2048
+#: Members of a larger region that meet all its others, about.
+PIVOTS = 256
 #: Bins of the sketch (one hash per bin, kept as a byte) and the margin by which its estimate may fall below the limit.
 SKETCH = 256
 MARGIN = 3.5
@@ -178,32 +182,65 @@ def prefix_rows(sets: DataFrame, level: int) -> DataFrame:
     return sets.select("set_key", "signature").mapInArrow(run, "set_key binary, t int, region long")
 
 
-def regions(sets: DataFrame) -> DataFrame:
-    """set_key, t, region: the regions with more than one member that a set lies in, one per order at most.
+def regions(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The regions with more than one member that a set lies in: those to be searched, and the larger ones that need pivots.
 
-    Counting starts at the least depth; only the members of regions over ``REGION`` go on to the next one. Sets that still share
-    the whole signature in such a number are all but equal; each order deals them anew into cells, so that together
-    the orders tie them to one another.
+    The first table has set_key, t, region, one row per order at most. Counting starts at the least depth; only the members of regions
+    over ``REGION`` go on to the next one. Sets that still share the whole signature in such a number are all but equal; each order
+    deals them anew into cells, so that together the orders tie them to one another. The second table adds level, members and
+    pivoted, the members of the region around that has pivots already: a region gets its own at half of that size.
     """
-    left, done, kept = None, [], None
+    left, done, kept, large = None, [], None, []
     for level, depth in enumerate(DEPTHS):
         keyed = prefix_rows(sets, level)
-        if left is not None:
-            keyed = keyed.join(left, ["set_key", "t"], "left_semi")
+        if left is None:
+            keyed = keyed.withColumn("pivoted", F.lit(None).cast("long"))
+        else:
+            keyed = keyed.join(left, ["set_key", "t"])
         counted = keyed.groupBy("t", "region").agg(F.count("*").alias("members")).where("members > 1")
         kept = shared.stored(keyed.join(counted, ["t", "region"]), f"forest-depth-{depth}")
         done.append(kept.where(F.col("members") <= REGION).select("set_key", "t", "region"))
-        left = kept.where(F.col("members") > REGION).select("set_key", "t")
+        over = kept.where(F.col("members") > REGION)
+        smaller = F.expr("pivoted IS NULL OR 2 * members <= pivoted")
+        large.append(over.where(smaller).select("set_key", "t", "region", F.lit(level).alias("level"), "members", "pivoted"))
+        left = over.select("set_key", "t", F.when(smaller, F.col("members")).otherwise(F.col("pivoted")).alias("pivoted"))
         if left.isEmpty():
             break
     else:
         cell = F.pmod(F.xxhash64("set_key", "t"), F.ceil(F.col("members") / (REGION // 2)))
         cells = kept.where(F.col("members") > REGION).select("set_key", "t", F.xxhash64("region", cell).alias("region"))
         done.append(cells)
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
-    return found
+    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, large)
+
+
+def slots(places: Column) -> Column:
+    """The regions of a map from order to region, as an array over the orders; 0 for none."""
+    return F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda t: F.coalesce(places[t], F.lit(0).cast("long")))
+
+
+def pivot_cells(large: DataFrame) -> DataFrame:
+    """t, region, set_key, slots, pivot: large regions dealt into cells of about ``REGION`` sets, with all pivots in each.
+
+    Pivots are the sets with the least hashes, the same ones in every order, so a set and a pivot meet once, in the first order that
+    they share. Those of the region around are left out. The cells of level l are numbered as orders of their own.
+    """
+    at = F.struct("t", "region", "members", "pivoted")
+    by_set = large.groupBy("set_key", "level").agg(F.collect_list(at).alias("at"))
+    placed = by_set.select(
+        "set_key",
+        "level",
+        slots(F.map_from_entries(F.transform("at", lambda x: F.struct(x["t"], x["region"])))).alias("slots"),
+        F.inline("at"),
+    )
+    turn = F.pmod(F.xxhash64("set_key", F.lit("pivot")), F.lit(1 << 31)) / float(1 << 31)
+    pivot = (turn < PIVOTS / F.col("members")) & (F.col("pivoted").isNull() | (turn >= PIVOTS / F.col("pivoted")))
+    number = F.ceil(F.col("members") / REGION)
+    own = F.array(F.pmod(F.xxhash64("set_key", "t", "level"), number))
+    cells = placed.withColumn("pivot", pivot).withColumn(
+        "cell", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), number - 1)).otherwise(own))
+    )
+    order = (F.col("t") + ORDERS * (F.col("level") + 1)).cast("int")
+    return cells.select(order.alias("t"), F.xxhash64("region", "cell").alias("region"), "set_key", "slots", "pivot")
 
 
 def whole_regions(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -226,28 +263,32 @@ def whole_regions(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def close_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of pairs that lie in one region, for the first time in the order of the orders, and may be links."""
+    """Row numbers of pairs that lie in one region, for the first time in the order of the orders, and may be links.
+
+    In the cells of large regions, whose numbers follow those of the orders, one of the pair is a pivot; pivots come first there.
+    """
     t, region, size = (table[name].to_numpy() for name in ("t", "region", "n_shingles"))
-    slots = table["slots"].combine_chunks().flatten().to_numpy().reshape(-1, ORDERS)
+    held = table["slots"].combine_chunks().flatten().to_numpy().reshape(-1, ORDERS)
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
     fresh = np.concatenate([[True], (region[1:] != region[:-1]) | (t[1:] != t[:-1])])
     starts = np.flatnonzero(fresh)
     last = np.repeat(np.append(starts[1:], len(t)), np.diff(np.append(starts, len(t)))) - 1
-    rows = np.arange(len(t))
-    for step in range(1, int((last - rows).max()) + 1):
-        for one in np.array_split(rows[last - rows >= step], max(1, len(rows) // 20_000)):
+    rows = np.flatnonzero((t < ORDERS) | table["pivot"].to_numpy())
+    ahead = last[rows] - rows
+    for step in range(1, int(ahead.max(initial=0)) + 1):
+        for one in np.array_split(rows[ahead >= step], max(1, len(rows) // 20_000)):
             two = one + step
             fit = 100 * np.minimum(size[one], size[two]) >= SIMILAR_PERCENT * np.maximum(size[one], size[two])
             one, two = one[fit], two[fit]
-            shared_orders = (slots[one] == slots[two]) & (slots[one] != 0)
-            first = shared_orders.argmax(axis=1) == t[one]
+            shared_orders = (held[one] == held[two]) & (held[one] != 0)
+            first = shared_orders.argmax(axis=1) == t[one] % ORDERS
             one, two = one[first], two[first]
             near = close(sketch[one], sketch[two]) >= SIMILAR_PERCENT / 100
             if near.any():
                 yield one[near], two[near]
 
 
-KEPT = "t int, region long, set_key binary, rep long, n_shingles long, slots array<long>, sketch binary"
+KEPT = "t int, region long, set_key binary, rep long, n_shingles long, slots array<long>, sketch binary, pivot boolean"
 
 
 def close_members(members: DataFrame) -> DataFrame:
@@ -260,7 +301,7 @@ def close_members(members: DataFrame) -> DataFrame:
                 near[one] = near[two] = True
             yield from table.filter(pa.array(near)).combine_chunks().to_batches()
 
-    return members.repartition("t", "region").sortWithinPartitions("t", "region", "set_key").mapInArrow(run, KEPT)
+    return members.repartition("t", "region").sortWithinPartitions("t", "region", F.desc("pivot"), "set_key").mapInArrow(run, KEPT)
 
 
 def links(members: DataFrame) -> DataFrame:
@@ -304,7 +345,7 @@ def links(members: DataFrame) -> DataFrame:
                 columns = [pa.array(column, type=pa.binary()) for column in zip(*found)]
                 yield pa.RecordBatch.from_arrays(columns, names=["one", "two"])
 
-    placed = members.repartition("t", "region").sortWithinPartitions("t", "region", "set_key")
+    placed = members.repartition("t", "region").sortWithinPartitions("t", "region", F.desc("pivot"), "set_key")
     return placed.mapInArrow(run, "one binary, two binary")
 
 
@@ -349,13 +390,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
         F.first("sketch").alias("sketch"),
     )
     sets = shared.stored(sets, "sets")
+    searched, large = regions(sets)
     entries = F.map_from_entries(F.collect_list(F.struct("t", "region")))
-    in_order = F.transform(F.sequence(F.lit(0), F.lit(ORDERS - 1)), lambda t: F.coalesce(F.col("places")[t], F.lit(0).cast("long")))
-    placed = regions(sets).groupBy("set_key").agg(entries.alias("places"))
+    placed = searched.groupBy("set_key").agg(entries.alias("places")).select(
+        F.explode("places").alias("t", "region"), "set_key", slots(F.col("places")).alias("slots"), F.lit(False).alias("pivot")
+    )
     members = (
         sets.drop("signature")
-        .join(placed, "set_key")
-        .select(F.explode("places").alias("t", "region"), "set_key", "rep", "n_shingles", in_order.alias("slots"), "sketch")
+        .join(placed.unionByName(pivot_cells(large)), "set_key")
+        .select("t", "region", "set_key", "rep", "n_shingles", "slots", "sketch", "pivot")
     )
     near = shared.stored(close_members(members), "close")
     texts = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].cast("string").alias("text"))

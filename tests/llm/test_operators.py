@@ -268,6 +268,22 @@ def test_near_copies(spark, monkeypatch, region):
     assert all(got[i]["n_shingles"] == len(word_sets(t)) and got[i]["kept"] == (got[i]["component_id"] == i) for i, t in rows)
 
 
+def test_edge_of_a_large_group(spark, monkeypatch):
+    """A tight group larger than a region, and texts that are close to it but not to one another."""
+    monkeypatch.setattr(forest, "REGION", 32)
+    monkeypatch.setattr(forest, "PIVOTS", 8)
+    choose = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(240):
+        text = list(base)
+        for place in choose.sample(range(390), 1 if i < 200 else 9):
+            text[place] = f"v{i}_{place}"
+        rows.append((i, " ".join(text)))
+    got = {r["doc_id"]: r["component_id"] for r in forest.near_copies(documents(spark, rows)).collect()}
+    assert got == brute_components(rows) and set(got.values()) == {0}
+
+
 def test_near_copies_awkward(spark, awkward, empty):
     rows = forest.near_copies(awkward).collect()
     assert len(rows) == len(AWKWARD)
