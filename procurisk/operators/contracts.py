@@ -28,8 +28,6 @@ from procurisk.functions.text import (
 from procurisk.session import cut_lineage
 
 _NO_LIMIT = 2_000_000_000
-# most files whose offsets are broadcast: a name and a number each, some tens of megabytes
-BROADCAST_FILES = 200_000
 
 # Inside a tidied text blanks are single, lines end in one \n and blocks in two.
 # A heading is a line of up to five words: the first of several lines of its block, or a whole block that
@@ -111,7 +109,7 @@ def number_chunks(chunks: DataFrame, ranges: int | None = None) -> DataFrame:
 
     Files are counted, sorted into name ranges and written once; the offset of a file is the total of the
     ranges before it plus the files before it in its own range. Only the totals of the ranges pass
-    through one task. The offsets are broadcast when there are few files, which spares the texts a shuffle.
+    through one task. The offsets meet the chunks by file name; how, Spark decides by their size.
     """
     partitions = ranges or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = chunks.groupBy("contract_file").agg(F.count("*").alias("n"))
@@ -127,8 +125,6 @@ def number_chunks(chunks: DataFrame, ranges: int | None = None) -> DataFrame:
         .join(F.broadcast(starts), "part")  # one row per range
         .select("contract_file", (F.col("start") + F.col("inner")).alias("offset"))
     )
-    if ranged.count() <= BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
     return chunks.join(offsets, "contract_file").select(
         (F.col("offset") + F.col("chunk_no")).alias("chunk_id"), *chunks.columns
     )

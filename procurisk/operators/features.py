@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +16,6 @@ from procurisk.session import cut_lineage
 DUPLICATE_KEY = ("vendor_id", "invoice_date", "amount")
 TOTAL = "decimal(28,2)"
 HOURS = "decimal(30,6)"
-# most repeated keys that are broadcast: three short values and a count each, some tens of megabytes
-BROADCAST_KEYS = 500_000
 
 _INVOICE_MEASURES = (
     "total_spend",
@@ -147,27 +143,17 @@ def ticket_features(tickets: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_flags(
-    invoices: DataFrame, broadcast_keys: int = BROADCAST_KEYS, rows_per_salt: int = ROWS_PER_SALT
-) -> DataFrame:
+def duplicate_flags(invoices: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Every invoice with a flag telling whether its (vendor, date, amount) occurs more than once.
 
     No window over the key: a key shared by very many invoices would sit in one task. The repeated keys
-    come from an aggregation and are stored. Up to ``broadcast_keys`` of them are broadcast, and the
-    invoices are not shuffled at all; beyond that both sides are joined by key, with the rows of large
-    groups salted.
+    come from an aggregation and are stored; the invoices meet them by key, with the rows of large groups
+    salted. Spark broadcasts the keys when the stored table is small.
     """
     repeated = cut_lineage(
         invoices.groupBy(*DUPLICATE_KEY).agg(F.count("*").alias("n")).where(F.col("n") > 1)
     )
-    if repeated.count() <= broadcast_keys:
-        keys = F.broadcast(repeated.select(*[F.col(k).alias(f"_{k}") for k in DUPLICATE_KEY], "n"))
-        condition = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in DUPLICATE_KEY])
-        flagged = invoices.join(keys, condition, "left")
-    else:
-        flagged = join_salted(
-            invoices, repeated, DUPLICATE_KEY, "left", sizes=repeated, rows_per_salt=rows_per_salt
-        )
+    flagged = join_salted(invoices, repeated, DUPLICATE_KEY, "left", sizes=repeated, rows_per_salt=rows_per_salt)
     return flagged.withColumn("duplicate_invoice_flag", F.col("n").isNotNull()).select(
         *invoices.columns, "duplicate_invoice_flag"
     )

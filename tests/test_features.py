@@ -93,12 +93,12 @@ def hot_invoices(spark):
     )
 
 
-@pytest.mark.parametrize("broadcast_keys, rows_per_salt", [(10_000, 1), (0, 1), (0, 7), (0, 100), (0, 1_000_000)])
-def test_flags_agree_with_a_window_whatever_the_join(spark, broadcast_keys, rows_per_salt):
+@pytest.mark.parametrize("rows_per_salt", [1, 7, 100, 1_000_000])
+def test_flags_agree_with_a_window_whatever_the_salts(spark, rows_per_salt):
     from pyspark.sql import Window as W
 
     invoices = hot_invoices(spark)
-    flagged = features.duplicate_flags(invoices, broadcast_keys, rows_per_salt)
+    flagged = features.duplicate_flags(invoices, rows_per_salt)
     got = {(r["invoice_id"], r["duplicate_invoice_flag"]) for r in flagged.collect()}
     window = W.partitionBy(*features.DUPLICATE_KEY)
     wanted = invoices.withColumn("flag", F.count("*").over(window) > 1).select("invoice_id", "flag").collect()
