@@ -219,28 +219,31 @@ def slots(places: Column) -> Column:
 
 
 def pivot_cells(large: DataFrame) -> DataFrame:
-    """t, region, set_key, slots, pivot: large regions dealt into cells of about ``REGION`` sets, with all pivots in each.
+    """t, region, set_key, slots, marks, pivot: large regions dealt into cells of about ``REGION`` sets, with all pivots in each.
 
-    Pivots are the sets with the least hashes, the same ones in every order, so a set and a pivot meet once, in the first order that
-    they share. Those of the region around are left out. The cells of level l are numbered as orders of their own.
+    Pivots are the sets with the least hashes; how many depends on the region, so ``marks`` has a bit for each order in which the set is
+    one. A set and a pivot meet once, in the first order that they share and where one of the two is a pivot. Those of the region
+    around are left out. The cells of level l are numbered as orders of their own.
     """
-    at = F.struct("t", "region", "members", "pivoted")
+    turn = F.pmod(F.xxhash64("set_key", F.lit("pivot")), F.lit(1 << 31)) / float(1 << 31)
+    pivot = (turn < PIVOTS / F.col("members")) & (F.col("pivoted").isNull() | (turn >= PIVOTS / F.col("pivoted")))
+    at = F.struct("t", "region", "members", F.coalesce(pivot, F.lit(False)).alias("pivot"))
     by_set = large.groupBy("set_key", "level").agg(F.collect_list(at).alias("at"))
+    marks = F.expr("aggregate(at, 0, (bits, x) -> bits + IF(x.pivot, shiftleft(1, x.t), 0))")
     placed = by_set.select(
         "set_key",
         "level",
         slots(F.map_from_entries(F.transform("at", lambda x: F.struct(x["t"], x["region"])))).alias("slots"),
+        marks.alias("marks"),
         F.inline("at"),
     )
-    turn = F.pmod(F.xxhash64("set_key", F.lit("pivot")), F.lit(1 << 31)) / float(1 << 31)
-    pivot = (turn < PIVOTS / F.col("members")) & (F.col("pivoted").isNull() | (turn >= PIVOTS / F.col("pivoted")))
     number = F.ceil(F.col("members") / REGION)
     own = F.array(F.pmod(F.xxhash64("set_key", "t", "level"), number))
-    cells = placed.withColumn("pivot", pivot).withColumn(
+    cells = placed.withColumn(
         "cell", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), number - 1)).otherwise(own))
     )
     order = (F.col("t") + ORDERS * (F.col("level") + 1)).cast("int")
-    return cells.select(order.alias("t"), F.xxhash64("region", "cell").alias("region"), "set_key", "slots", "pivot")
+    return cells.select(order.alias("t"), F.xxhash64("region", "cell").alias("region"), "set_key", "slots", "marks", "pivot")
 
 
 def whole_regions(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -269,6 +272,7 @@ def close_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """
     t, region, size = (table[name].to_numpy() for name in ("t", "region", "n_shingles"))
     held = table["slots"].combine_chunks().flatten().to_numpy().reshape(-1, ORDERS)
+    marks = (table["marks"].to_numpy()[:, None] >> np.arange(ORDERS)) & 1 == 1
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
     fresh = np.concatenate([[True], (region[1:] != region[:-1]) | (t[1:] != t[:-1])])
     starts = np.flatnonzero(fresh)
@@ -280,7 +284,7 @@ def close_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             two = one + step
             fit = 100 * np.minimum(size[one], size[two]) >= SIMILAR_PERCENT * np.maximum(size[one], size[two])
             one, two = one[fit], two[fit]
-            shared_orders = (held[one] == held[two]) & (held[one] != 0)
+            shared_orders = (held[one] == held[two]) & (held[one] != 0) & (marks[one] | marks[two])
             first = shared_orders.argmax(axis=1) == t[one] % ORDERS
             one, two = one[first], two[first]
             near = close(sketch[one], sketch[two]) >= SIMILAR_PERCENT / 100
@@ -288,7 +292,7 @@ def close_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield one[near], two[near]
 
 
-KEPT = "t int, region long, set_key binary, rep long, n_shingles long, slots array<long>, sketch binary, pivot boolean"
+KEPT = "t int, region long, set_key binary, rep long, n_shingles long, slots array<long>, marks int, sketch binary, pivot boolean"
 
 
 def close_members(members: DataFrame) -> DataFrame:
@@ -393,12 +397,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     searched, large = regions(sets)
     entries = F.map_from_entries(F.collect_list(F.struct("t", "region")))
     placed = searched.groupBy("set_key").agg(entries.alias("places")).select(
-        F.explode("places").alias("t", "region"), "set_key", slots(F.col("places")).alias("slots"), F.lit(False).alias("pivot")
+        F.explode("places").alias("t", "region"),
+        "set_key",
+        slots(F.col("places")).alias("slots"),
+        F.lit((1 << ORDERS) - 1).alias("marks"),
+        F.lit(False).alias("pivot"),
     )
     members = (
         sets.drop("signature")
         .join(placed.unionByName(pivot_cells(large)), "set_key")
-        .select("t", "region", "set_key", "rep", "n_shingles", "slots", "sketch", "pivot")
+        .select("t", "region", "set_key", "rep", "n_shingles", "slots", "marks", "sketch", "pivot")
     )
     near = shared.stored(close_members(members), "close")
     texts = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].cast("string").alias("text"))

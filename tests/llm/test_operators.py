@@ -284,6 +284,19 @@ def test_edge_of_a_large_group(spark, monkeypatch):
     assert got == brute_components(rows) and set(got.values()) == {0}
 
 
+def test_pivots_of_unequal_regions(spark):
+    """A set that is a pivot only in the smaller region of a later order meets the sets that share an earlier order too."""
+    at = [(t, 100 + t, members) for t, members in ((0, 1 << 30), (1, forest.PIVOTS))]
+    large = spark.createDataFrame(
+        [(name, t, region, 0, members, None) for name in (b"a", b"b") for t, region, members in at],
+        "set_key binary, t int, region long, level int, members long, pivoted long",
+    )
+    sets = spark.createDataFrame([(b"a", 1, 9, b"\1" * 256), (b"b", 2, 9, b"\1" * 256)], "set_key binary, rep long, n_shingles long, sketch binary")
+    order = [part.split()[0] for part in forest.KEPT.split(", ")]
+    near = forest.close_members(forest.pivot_cells(large).join(sets, "set_key").select(*order)).collect()
+    assert {bytes(r["set_key"]) for r in near} == {b"a", b"b"}
+
+
 def test_near_copies_awkward(spark, awkward, empty):
     rows = forest.near_copies(awkward).collect()
     assert len(rows) == len(AWKWARD)
