@@ -3,7 +3,7 @@
 Every distinct set of shingles has a MinHash signature. Several orders (permutations of the signature) sort the sets; sets that
 share a prefix of an order lie next to each other, in a region. A region that is too large is read at a greater depth, others at
 the least one. What the depth would part, pivots hold together: some members of the large region meet all others of it, cell by
-cell. Inside a region short sketches drop pairs that cannot be close enough; whoever is left comes back with the
+cell. Members of a large region that are not in one component by then meet too, block by block, so no pair of it is left out. Inside a region short sketches drop pairs that cannot be close enough; whoever is left comes back with the
 whole text, and links are confirmed on the full sets. A region hands out a spanning forest of its links, so a group of copies
 never becomes all its pairs, and connected components of the links are the result.
 """
@@ -219,7 +219,7 @@ def slots(places: Column) -> Column:
 
 
 def pivot_cells(large: DataFrame) -> DataFrame:
-    """t, region, set_key, slots, marks, pivot: large regions dealt into cells of about ``REGION`` sets, with all pivots in each.
+    """t, region, set_key, slots, marks, side, root: large regions dealt into cells of about ``REGION`` sets, with all pivots in each.
 
     Pivots are the sets with the least hashes; how many depends on the region, so ``marks`` has a bit for each order in which the set is
     one. A set and a pivot meet once, in the first order that they share and where one of the two is a pivot. Those of the region
@@ -243,7 +243,49 @@ def pivot_cells(large: DataFrame) -> DataFrame:
         "cell", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0).cast("long"), number - 1)).otherwise(own))
     )
     order = (F.col("t") + ORDERS * (F.col("level") + 1)).cast("int")
-    return cells.select(order.alias("t"), F.xxhash64("region", "cell").alias("region"), "set_key", "slots", "marks", "pivot")
+    side = F.when(F.col("pivot"), 0).otherwise(2)
+    return cells.select(order.alias("t"), F.xxhash64("region", "cell").alias("region"), "set_key", "slots", "marks", side.alias("side"), F.col("set_key").alias("root"))
+
+
+def block_cells(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """t, region, set_key, slots, marks, side, root: every pair of members of a large region that ``roots`` does not join, in a cell.
+
+    ``large`` has the regions of the least depth. Members are dealt into blocks of about half of ``REGION``, those of a component with
+    more members than that into blocks of their own; each block meets each other one, except those of its own component. So the rows
+    grow with the square of a region only where it has no large components, and a cell stays bounded.
+    """
+    block = REGION // 2
+    named = large.join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left").select(
+        "set_key", "t", "region", F.coalesce("root", "set_key").alias("root")
+    )
+    counted = named.groupBy("t", "region", "root").agg(F.count("*").alias("n"))
+    # the empty name stands for all small components of a region
+    group = F.when(F.col("n") > block, F.col("root")).otherwise(F.lit(b""))
+    groups = counted.groupBy("t", "region", group.alias("name")).agg(F.ceil(F.sum("n") / block).alias("blocks"))
+    groups = shared.stored(groups, "forest-blocks")
+    every = groups.groupBy("t", "region").agg(F.collect_list(F.struct("name", "blocks")).alias("every"))
+    by_set = large.groupBy("set_key").agg(F.map_from_entries(F.collect_list(F.struct("t", "region"))).alias("places"))
+    dealt = (
+        named.join(every, ["t", "region"])
+        .join(by_set.select("set_key", slots(F.col("places")).alias("slots")), "set_key")
+        .withColumn("own", F.expr("coalesce(get(filter(every, x -> x.name = root), 0), get(filter(every, x -> x.name = X''), 0))"))
+        .withColumn("own", F.struct("own.name", F.pmod(F.xxhash64("set_key", F.lit("block")), F.col("own.blocks")).alias("number")))
+    )
+    others = F.expr(
+        "flatten(transform(filter(every, x -> x.name = X'' OR x.name <> own.name),"
+        " x -> transform(sequence(0L, x.blocks - 1), j -> struct(x.name AS name, j AS number))))"
+    )
+    met = dealt.withColumn("other", F.explode(others))
+    own, other = F.col("own"), F.col("other")
+    return met.select(
+        "t",
+        F.xxhash64("region", F.least(own, other), F.greatest(own, other)).alias("region"),
+        "set_key",
+        "slots",
+        F.lit((1 << ORDERS) - 1).alias("marks"),
+        F.when(own == other, 0).when(own < other, 1).otherwise(2).alias("side"),
+        "root",
+    )
 
 
 def whole_regions(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -265,10 +307,16 @@ def whole_regions(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def root_codes(table: pa.Table) -> np.ndarray:
+    """A number for the root of each row."""
+    return table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+
+
 def close_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of pairs that lie in one region, for the first time in the order of the orders, and may be links.
 
-    In the cells of large regions, whose numbers follow those of the orders, one of the pair is a pivot; pivots come first there.
+    Rows come by side. Those of side 0 (all of a small region, pivots, a block with itself) meet all rows after them, those of side 1
+    only side 2, and side 2 does not meet itself. Rows of one root are joined already.
     """
     t, region, size = (table[name].to_numpy() for name in ("t", "region", "n_shingles"))
     held = table["slots"].combine_chunks().flatten().to_numpy().reshape(-1, ORDERS)
@@ -277,12 +325,14 @@ def close_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     fresh = np.concatenate([[True], (region[1:] != region[:-1]) | (t[1:] != t[:-1])])
     starts = np.flatnonzero(fresh)
     last = np.repeat(np.append(starts[1:], len(t)), np.diff(np.append(starts, len(t)))) - 1
-    rows = np.flatnonzero((t < ORDERS) | table["pivot"].to_numpy())
+    side, root = table["side"].to_numpy(), root_codes(table)
+    rows = np.flatnonzero(side < 2)
     ahead = last[rows] - rows
     for step in range(1, int(ahead.max(initial=0)) + 1):
         for one in np.array_split(rows[ahead >= step], max(1, len(rows) // 20_000)):
             two = one + step
             fit = 100 * np.minimum(size[one], size[two]) >= SIMILAR_PERCENT * np.maximum(size[one], size[two])
+            fit &= ((side[one] == 0) | (side[one] < side[two])) & (root[one] != root[two])
             one, two = one[fit], two[fit]
             shared_orders = (held[one] == held[two]) & (held[one] != 0) & (marks[one] | marks[two])
             first = shared_orders.argmax(axis=1) == t[one] % ORDERS
@@ -292,7 +342,7 @@ def close_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield one[near], two[near]
 
 
-KEPT = "t int, region long, set_key binary, rep long, n_shingles long, slots array<long>, marks int, sketch binary, pivot boolean"
+KEPT = "t int, region long, set_key binary, rep long, n_shingles long, slots array<long>, marks int, sketch binary, side int, root binary"
 
 
 def close_members(members: DataFrame) -> DataFrame:
@@ -305,7 +355,7 @@ def close_members(members: DataFrame) -> DataFrame:
                 near[one] = near[two] = True
             yield from table.filter(pa.array(near)).combine_chunks().to_batches()
 
-    return members.repartition("t", "region").sortWithinPartitions("t", "region", F.desc("pivot"), "set_key").mapInArrow(run, KEPT)
+    return members.repartition("t", "region").sortWithinPartitions("t", "region", "side", "set_key").mapInArrow(run, KEPT)
 
 
 def links(members: DataFrame) -> DataFrame:
@@ -323,7 +373,8 @@ def links(members: DataFrame) -> DataFrame:
                 held = shingle_sets(pa.array([texts[row].as_py() or ""], type=pa.string()))[0]
                 if hashlib.blake2b(held.astype("<u8").tobytes(), digest_size=16).digest() == keys[row]:
                     sets[row] = held
-            parent = list(range(table.num_rows))
+            _, first, code = np.unique(root_codes(table), return_index=True, return_inverse=True)
+            parent = first[code].tolist()
 
             def root(row: int) -> int:
                 while parent[row] != row:
@@ -349,7 +400,7 @@ def links(members: DataFrame) -> DataFrame:
                 columns = [pa.array(column, type=pa.binary()) for column in zip(*found)]
                 yield pa.RecordBatch.from_arrays(columns, names=["one", "two"])
 
-    placed = members.repartition("t", "region").sortWithinPartitions("t", "region", F.desc("pivot"), "set_key")
+    placed = members.repartition("t", "region").sortWithinPartitions("t", "region", "side", "set_key")
     return placed.mapInArrow(run, "one binary, two binary")
 
 
@@ -401,17 +452,26 @@ def near_copies(docs: DataFrame) -> DataFrame:
         "set_key",
         slots(F.col("places")).alias("slots"),
         F.lit((1 << ORDERS) - 1).alias("marks"),
-        F.lit(False).alias("pivot"),
+        F.lit(0).alias("side"),
+        F.col("set_key").alias("root"),
     )
-    members = (
-        sets.drop("signature")
-        .join(placed.unionByName(pivot_cells(large)), "set_key")
-        .select("t", "region", "set_key", "rep", "n_shingles", "slots", "marks", "sketch", "pivot")
-    )
-    near = shared.stored(close_members(members), "close")
     texts = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].cast("string").alias("text"))
-    edges = links(near.join(texts, "rep"))
+
+    def confirmed(cells: DataFrame) -> DataFrame:
+        members = (
+            sets.drop("signature")
+            .join(cells, "set_key")
+            .select("t", "region", "set_key", "rep", "n_shingles", "slots", "marks", "sketch", "side", "root")
+        )
+        near = shared.stored(close_members(members), "close")
+        return shared.stored(links(near.join(texts, "rep")), "edges")
+
+    edges = confirmed(placed.unionByName(pivot_cells(large)))
     roots = components(edges)
+    unread = large.where("level = 0").select("set_key", "t", "region")
+    if not unread.isEmpty():
+        edges = edges.unionByName(confirmed(block_cells(unread, roots)))
+        roots = components(edges)
     named = (
         sets.select("set_key", "rep")
         .join(roots.select(F.col("node").alias("set_key"), "root"), "set_key", "left")

@@ -284,6 +284,22 @@ def test_edge_of_a_large_group(spark, monkeypatch):
     assert got == brute_components(rows) and set(got.values()) == {0}
 
 
+def test_large_regions_lose_no_pair(spark, monkeypatch):
+    """Copies among texts that share boilerplate, and tight groups, in regions far over the limit and with hardly a pivot."""
+    monkeypatch.setattr(forest, "REGION", 8)
+    monkeypatch.setattr(forest, "PIVOTS", 1)
+    choose = random.Random(11)
+    boilerplate = [f"b{i}" for i in range(80)]
+    texts = [text for _, text in copies(groups=12) + copies(seed=2, groups=1, size=40, words=80)]
+    for i in range(60):
+        own = [f"o{i}_{j}" for j in range(20)]
+        texts += [" ".join(boilerplate + own), " ".join(boilerplate + own[:-1] + [f"v{choose.randrange(900)}"])]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["component_id"] for r in forest.near_copies(documents(spark, rows)).collect()}
+    want = brute_components(rows)
+    assert len(set(want.values())) > 60 and got == want
+
+
 def test_pivots_of_unequal_regions(spark):
     """A set that is a pivot only in the smaller region of a later order meets the sets that share an earlier order too."""
     at = [(t, 100 + t, members) for t, members in ((0, 1 << 30), (1, forest.PIVOTS))]
