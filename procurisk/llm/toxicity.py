@@ -1,7 +1,8 @@
 """Toxicity: multiple-instance learning. A document is toxic if one of its sentences is, and only documents have labels.
 
 A sentence has the probability s = sigmoid(bias + sum of the weights of its words); its document has 1 - prod(1 - s)
-(noisy-or). The likelihood of the document labels trains the weights, so sentences learn their part without labels.
+(noisy-or). The likelihood of the document labels trains the weights, so sentences learn their part without labels. Sentences
+without evidence (no word that is a feature) take no part, so the length of a text alone does not make it toxic.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def sentence_words(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray,
 
 
 def sentence_logits(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Log-odds of each sentence, sentences per text, and the sentences. A sentence without words has none (-inf)."""
+    """Log-odds of each sentence, sentences per text, and the sentences. A sentence whose words do not speak for toxicity has none (-inf)."""
     code, distinct, counts, per_text, sentences = sentence_words(column)
     weights = model.word_weights(distinct)
     telling = np.flatnonzero((weights != 0)[code])
@@ -86,8 +87,8 @@ def sentence_logits(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndar
     # a word counts once per sentence
     pair = np.unique(sentence * max(1, len(weights)) + code[telling])
     owner, word = pair // max(1, len(weights)), pair % max(1, len(weights))
-    logits = model.bias + np.bincount(owner, weights[word], minlength=len(counts))
-    return np.where(counts > 0, logits, -np.inf), per_text, sentences
+    evidence = np.bincount(owner, weights[word], minlength=len(counts))
+    return np.where(evidence > 0, model.bias + evidence, -np.inf), per_text, sentences
 
 
 def noisy_or(logits: np.ndarray, per_text: np.ndarray) -> np.ndarray:
@@ -125,7 +126,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     row, column = (np.concatenate([e[i] for e in entries]) for i in (0, 1))
     weights, bias = np.zeros(len(names)), FIRST_BIAS
     squares, bias_square = np.full(len(names), 1e-6), 1e-6
-    full = counts > 0
+    full = np.bincount(row, minlength=len(counts)) > 0
     share = 1 / len(texts)
     for _ in range(STEPS):
         logits = bias + np.bincount(row, weights[column], minlength=len(counts))

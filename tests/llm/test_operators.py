@@ -215,6 +215,14 @@ def test_toxicity_awkward(spark, awkward, empty):
     assert located["sentences"][0]["place"] == 1
 
 
+def test_long_clean_text_is_not_toxic():
+    fitted = toxicity.fit(["Good words here. You fool.", "fool again", "Good words here.", "fine words"] * 9, np.array([1, 1, 0, 0] * 9))
+    for model in (fitted, toxicity.Model(["fool"], np.array([12.0]), -9.0)):
+        for sentence, toxic in (("Nothing to see, good day.\n" * 50_000, False), ("Nothing to see.\n" * 50_000 + "You fool.", True)):
+            logits, per_text, _ = toxicity.sentence_logits(model, pa.array([sentence]))
+            assert (toxicity.noisy_or(logits, per_text)[0] >= toxicity.DOCUMENT_SCORE) == toxic
+
+
 # near copies
 
 
