@@ -97,57 +97,100 @@ def parse(data: bytes, start: int) -> tuple[dict, int] | str:
     return found, begin + length + 4
 
 
-def inflate(data: bytes, start: int) -> tuple[bytes, int] | str:
-    """The gzip member at ``start`` and where it ends, or what is wrong with it."""
+def inflate(data: bytes, start: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at ``start`` holds up to its end or its fault, where that is, and what is wrong with it."""
+    rest = memoryview(data)[start:]
     opener = zlib.decompressobj(31)
     try:
-        plain = opener.decompress(memoryview(data)[start:])
+        plain = opener.decompress(rest)
     except zlib.error as error:
-        return str(error)
-    return (plain, len(data) - len(opener.unused_data)) if opener.eof else "member not ended"
+        return *inflated_until_fault(rest, start), str(error)
+    return plain, len(data) - len(opener.unused_data), None if opener.eof else "member not ended"
+
+
+def inflated_until_fault(rest: memoryview, start: int) -> tuple[bytes, int]:
+    """The bytes of a faulty member that come out before its fault, and where that is: by pieces, the last one byte by byte."""
+    opener, found, at, step = zlib.decompressobj(31), [], 0, 1 << 14
+    while at < len(rest):
+        before = opener.copy()
+        try:
+            found.append(opener.decompress(rest[at : at + step]))
+        except zlib.error:
+            if step == 1:
+                break
+            opener, step = before, 1
+            continue
+        at += step
+    return b"".join(found), start + at
+
+
+def records_of(plain: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """The valid records of inflated bytes, and the gaps between them: first byte, end and fault."""
+    good: list[dict] = []
+    gaps: list[tuple[int, int, str]] = []
+    inner, bad_from, fault = 0, None, ""
+    while inner < len(plain):
+        got = parse(plain, inner)
+        if not isinstance(got, str):
+            if bad_from is not None:
+                gaps.append((bad_from, inner, fault))
+                bad_from = None
+            good.append(got[0])
+            inner = got[1]
+            continue
+        if bad_from is None:
+            bad_from, fault = inner, got
+        version = VERSION.search(plain, inner + 1)
+        inner = version.start() if version else len(plain)
+    if bad_from is not None:
+        gaps.append((bad_from, len(plain), fault))
+    return good, gaps
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
     """First byte, length, fault and record of all parts of an archive, in order.
 
     After a failed check the search goes on for the next gzip member or version line that holds a whole valid record; the
-    bytes up to there are one quarantined part. So the parts cover the archive without gaps or overlaps.
+    bytes up to there are one quarantined part. So the parts cover the archive without gaps or overlaps, but for the parts of one
+    gzip member, which all have its place: its valid records, and its gaps, whose faults name the inflated bytes. A damaged member
+    gives the valid records before its fault; its place ends there.
     """
     at, bad_from, fault = 0, None, ""
     while at < len(data):
         good: list[dict] = []
+        gaps: list[tuple[int, int, str]] = []
+        wrong = None
         if data.startswith(GZIP, at):
-            opened = inflate(data, at)
-            wrong = opened if isinstance(opened, str) else None
-            if wrong is None:
-                plain, end = opened
-                inner = 0
-                while inner < len(plain) and wrong is None:
-                    got = parse(plain, inner)
-                    if isinstance(got, str):
-                        wrong = got
-                    else:
-                        good.append(got[0])
-                        inner = got[1]
+            plain, end, wrong = inflate(data, at)
+            good, gaps = records_of(plain)
+            if not good and gaps:
+                wrong = wrong or gaps[0][2]
         else:
             got = parse(data, at)
-            wrong = got if isinstance(got, str) else None
-            if wrong is None:
+            if isinstance(got, str):
+                wrong = got
+            else:
                 good, end = [got[0]], got[1]
-        if wrong is None:
+        if wrong is None or good:
             if bad_from is not None:
                 yield bad_from, at - bad_from, fault, {}
                 bad_from = None
             for found in good:
                 yield at, end - at, None, found
+            for first, last, reason in gaps:
+                yield at, end - at, f"{reason} (inflated bytes {first} to {last})", {}
             at = end
-            continue
+            if wrong is None:
+                continue
+            bad_from, fault, start = at, wrong, at
+        else:
+            start = at + 1
         if bad_from is None:
             bad_from, fault = at, wrong
-        version = VERSION.search(data, at + 1)
-        places = [x for x in (data.find(GZIP, at + 1), version.start() if version else -1) if x >= 0]
+        version = VERSION.search(data, start)
+        places = [x for x in (data.find(GZIP, start), version.start() if version else -1) if x >= 0]
         at = min(places, default=len(data))
-    if bad_from is not None:
+    if bad_from is not None and bad_from < len(data):
         yield bad_from, len(data) - bad_from, fault, {}
 
 
@@ -238,7 +281,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 
 def through_archives(pages: DataFrame) -> DataFrame:
-    """The records of all pages as an archive in the shared folder gives them back."""
+    """The records of all pages as an archive in the shared folder gives them back; an error if a part of it is damaged."""
     path = shared.new_folder(pages.sparkSession, "warc")
     write_archives(pages, path)
-    return read_archives(pages.sparkSession, path, payloads=False).where("quarantined IS NULL")
+    intact = F.expr("IF(quarantined IS NULL, true, raise_error(concat('damaged: ', archive, ' at ', first_byte, ': ', quarantined)))")
+    return read_archives(pages.sparkSession, path, payloads=False).where(intact)

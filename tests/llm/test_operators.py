@@ -166,6 +166,34 @@ def test_salvage():
     assert list(warc.salvage(b"")) == [] and [p[:2] for p in warc.salvage(b"junk")] == [(0, 4)]
 
 
+def test_salvage_inside_a_member():
+    choose = random.Random(3)
+    texts = [" ".join(str(choose.random()) for _ in range(4000)).encode() for _ in range(6)]
+    records = [warc.record(str(i), None, text, None) for i, text in enumerate(texts)]
+    page = "<urn:page:{}>".format
+
+    def read(data):
+        parts = list(warc.salvage(data))
+        return [p[3]["record_id"] for p in parts if p[2] is None], [p for p in parts if p[2] is not None]
+
+    # one bad record among good ones of a member that is whole
+    bad = records[2].replace(texts[2][:9], b"#" * 9)
+    last = warc.member(warc.record("9", None, b"x", None))
+    one = warc.member(b"".join([*records[:2], bad, *records[3:]]))
+    good, gaps = read(one + last)
+    assert good == [page(i) for i in (0, 1, 3, 4, 5, 9)] and len(gaps) == 1
+    first = len(records[0]) + len(records[1])
+    assert f"(inflated bytes {first} to {first + len(bad)})" in gaps[0][2] and gaps[0][:2] == (0, len(one))
+    # a member that is cut off, one with a wrong check sum, and one with damaged compressed bytes, each before a good member
+    whole = warc.member(b"".join(records))
+    assert read(whole[: len(whole) * 5 // 12])[0] == [page(0), page(1)]
+    assert read(whole[:-8] + bytes(4) + whole[-4:] + last)[0] == [*(page(i) for i in range(6)), page(9)]
+    damaged = bytearray(whole)
+    damaged[len(whole) * 5 // 12 : len(whole) * 5 // 12 + 400] = b"\xff" * 400
+    good, gaps = read(bytes(damaged) + last)
+    assert good[:2] == [page(0), page(1)] and good[-1] == page(9) and gaps
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "http://a b", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (None, "u", "x"), (5, "u", "é" * 70_000), (5, "u", "y")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
