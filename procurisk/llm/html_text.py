@@ -29,8 +29,9 @@ SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
 }
-#: Elements and names that never hold the article's own text.
-ASIDE = frozenset("nav footer aside form menu dialog head".split())
+#: Elements that never hold the article's own text, and elements and names that hold it only if the rest of the page says so.
+ASIDE = frozenset("nav footer aside menu dialog head".split())
+ASIDE_PERHAPS = frozenset(["form"])
 ASIDE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notices?|popup|modal|alert|"
     r"menu|nav|navbar|navigation|breadcrumbs?|side-?bar|widgets?|footer|masthead|site-header|page-header|comments?|"
@@ -38,6 +39,7 @@ ASIDE_NAMES = re.compile(
     r"toolbar|pagination|pager|skip-link)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?<!no[_-])(?<!has[_-])(?:comments?|disqus|repl(?:y|ies))(?=$|[\s_-])", re.IGNORECASE)
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
@@ -49,27 +51,37 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；]")
 SMOOTH = (0.15, 0.7, 0.15)
 LEAST_SHARE = 0.4
 MOST_LINKED = 0.5
+#: Shares of the page's unlinked text: what an element with an aside name must exceed to be kept, what it needs besides an h1, and
+#: what may stand outside one that is named for comments.
+MOST_TEXT, H1_TEXT, OUTSIDE_COMMENTS = 0.5, 0.1, 0.1
 
 
 class Block:
     """A run of text between block tags: its path, the elements around it, and whether one of them is aside."""
 
-    __slots__ = ("path", "around", "tag", "aside", "text", "linked")
+    __slots__ = ("path", "around", "tag", "aside", "doubtful", "text", "linked")
 
-    def __init__(self, stack: list[tuple[str, int, str, bool]], text: str, linked: int):
+    def __init__(self, stack: list[tuple[str, int, str, bool | None]], text: str, linked: int):
         outer = [x for x in stack if x[0] in BLOCKS]
         self.path = "/".join(x[2] for x in outer)
         self.around = {x[1]: x[0] for x in outer}
         self.tag = outer[-1][0] if outer else ""
         self.aside = any(x[3] for x in stack)
+        self.doubtful = [x[1] for x in stack if x[3] is None]
         self.text = text
         self.linked = linked
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, character references decoded and white space made one blank."""
+    """The blocks of a page in order, character references decoded and white space made one blank.
+
+    An element with a name of ``ASIDE_NAMES`` (or a form) is in doubt until all is read: see ``kept_elements``.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, int, str, bool]] = []
+    stack: list[tuple[str, int, str, bool | None]] = []
+    #: the doubtful elements around each main, h1 and article (its own number first), and those named for comments
+    holders: dict[str, list[tuple[int, list[int]]]] = {"main": [], "h1": [], "article": []}
+    of_comments: set[int] = set()
     parts: list[str] = []
     linked = 0
     number = 0
@@ -120,13 +132,50 @@ def blocks(page: str) -> list[Block]:
                     break
         names = " ".join(a or b or c for a, b, c in NAMES.findall(token[4])) if "=" in token[4] else ""
         inside = any(x[0] in ("article", "main") for x in stack)
-        aside = name in ASIDE or (name == "header" and not inside) or bool(names and ASIDE_NAMES.search(names))
+        aside: bool | None = name in ASIDE or (name == "header" and not inside)
+        if not aside and (name in ASIDE_PERHAPS or (names and ASIDE_NAMES.search(names))):
+            aside = None
+        if name in ("html", "body"):
+            aside = False
         number += 1
-        stack.append((name, number, f"{name}.{names}" if names else name, aside and name not in ("html", "body")))
+        if aside is None and COMMENT_NAMES.search(names):
+            of_comments.add(number)
+        stack.append((name, number, f"{name}.{names}" if names else name, aside))
+        if name in holders and not any(x[3] for x in stack):
+            holders[name].append((number, [x[1] for x in stack if x[3] is None]))
     close_block()
+    kept = kept_elements(found, holders, of_comments)
+    for block in found:
+        block.aside = block.aside or not kept.issuperset(block.doubtful)
     return found
 
 
+def kept_elements(page: list[Block], holders: dict[str, list[tuple[int, list[int]]]], of_comments: set[int]) -> set[int]:
+    """The doubtful elements that hold the page's main, its longest article that is not in doubt itself, or much of its unlinked text."""
+    inside: dict[int, int] = {}
+    total = 0
+    for block in page:
+        if not block.aside:
+            size = max(0, len(block.text) - block.linked)
+            total += size
+            for element in {*block.around, *block.doubtful}:
+                inside[element] = inside.get(element, 0) + size
+    # beside a main or an article that is not in doubt itself, the size of an element says nothing: a short page has a long ad
+    sure = {number for name in ("main", "article") for number, around in holders[name] if number not in around}
+    doubtful = {x for block in page if not sure or not sure.isdisjoint(block.around) for x in block.doubtful}
+    kept = {
+        x
+        for x in doubtful
+        if inside.get(x, 0) > ((1 - OUTSIDE_COMMENTS) if x in of_comments else MOST_TEXT) * total
+    }
+    kept.update(x for _, around in holders["main"] for x in around)
+    kept.update(x for _, around in holders["h1"] for x in around if inside.get(x, 0) >= H1_TEXT * total)
+    plain = [(inside.get(number, 0), around) for number, around in holders["article"] if number not in around]
+    if plain:
+        kept.update(max(plain, key=lambda x: x[0])[1])
+    return kept
+
+
 def path_values(page: list[Block]) -> np.ndarray:
     """The fused value of each block: smoothed ratios of text and of punctuation of its path."""
     paths = {path: i for i, path in enumerate(dict.fromkeys(block.path for block in page))}
@@ -159,12 +208,19 @@ def main_text(page: str) -> str:
     articles = [x for x in held if kinds[x] in ("article", "main") and 2 * held[x] > total]
     # the innermost element that holds most of the chosen text, else the innermost that holds all of it
     inner = max(articles or [x for x in held if held[x] >= total], default=0)
+    parts = {inner} if articles else set()
+    if articles and kinds[inner] == "article":
+        # with the other articles that hold chosen text, the innermost element that holds them all
+        parts |= {x for x in held if kinds[x] == "article" and held[x] > 0}
+        within = [set(block.around) for block, good in zip(found, chosen) if good and not parts.isdisjoint(block.around)]
+        inner = max(set.intersection(*within) if len(parts) > 1 else parts, default=0)
     kept = []
     for block, good in zip(found, chosen):
         if inner and inner not in block.around:
             continue
         menu = block.linked > MOST_LINKED * len(block.text) and block.tag in ("li", "ul", "ol", "div", "td")
-        if good or ((articles or block.tag in HEADINGS or block.tag not in ("div", "body", "html", "section")) and not menu):
+        part = not parts.isdisjoint(block.around)
+        if good or ((part or block.tag in HEADINGS or block.tag not in ("div", "body", "html", "section")) and not menu):
             kept.append(block.text)
     return "\n\n".join(kept)
 

@@ -485,6 +485,21 @@ def test_main_text(spark):
     assert found[2]["text"] == "" and found[3]["n_chars"] == len(LONG) - 1 and html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_names_of_wrappers_do_not_drop_the_article():
+    want = html_text.main_text(PAGE)
+    for name in ("content-sidebar-wrap", "has-sidebar", "elementor-widget-container", "no-comments", "share-enabled"):
+        assert html_text.main_text(PAGE.replace('<div id="content">', f'<div id="content"><div class="{name}">', 1)) == want, name
+        assert html_text.main_text(PAGE.replace('<div id="content">', f'<article class="{name}"><h1>Title</h1>', 1)).endswith(want), name
+    whole = PAGE.replace("<body>", "<body><form action=x>").replace("<form>Name: <input></form>", "")
+    assert html_text.main_text(whole) == want
+    comments = '<div class="comments">' + "<article class='comment-body'><p>Long, long reply. Really, it is.</p></article>" * 9
+    assert html_text.main_text(PAGE.replace('<div class="comments">', comments, 1)) == want
+    assert html_text.main_text("<div class='ad'>Buy, now. Cheap, good, and long.</div><article><h1>A</h1><p>Short.</article>") == "A\n\nShort."
+    parts = ["One part, with text. It has marks, too, as text of its kind does.", "The other part, with text. It has marks, and ends."]
+    page = "<body><main>" + "".join(f"<article><p>{p}</p><p>{p}</p></article>" for p in [parts[0] * 3, parts[1]]) + "</main>"
+    assert parts[0] * 3 in html_text.main_text(page) and parts[1] in html_text.main_text(page)
+
+
 # pipeline
 
 
