@@ -172,6 +172,122 @@ SELECT r.doc_id, r.source, p.epoch::BIGINT AS mix_epoch, p.block::BIGINT AS mix_
 FROM rows r JOIN sources s USING (name) JOIN plan p ON p.name = r.name AND p.block = r.fine % s.blocks
 """
 
+CHAT_SEGMENTS = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), ordered AS (
+  SELECT *, row_number() OVER w AS i, lag(role) OVER w AS prev, lead(role) OVER w AS next FROM rows
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), marked AS (
+  SELECT *,
+    CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9
+      ELSE 1 + length(replace(escaped(role), ': ', '\3')) END AS label_chars,
+    CASE WHEN i = 1 THEN role IN ('system', 'user')
+      ELSE (prev, role) IN (('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) END AS in_order
+  FROM ordered
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + label_chars + 2 + length(escaped(text)) + 8)::BIGINT AS formatted_chars,
+  bool_and(in_order) AND bool_or(i = 1 AND role IN ('system', 'user')) AND bool_or(next IS NULL AND role = 'assistant') AS valid,
+  CASE WHEN NOT bool_and(in_order) THEN min(i) FILTER (NOT in_order) END::BIGINT AS invalid_turn
+FROM marked GROUP BY conv_id
+"""
+for _column in ("role", "text"):
+    CHAT_SEGMENTS = CHAT_SEGMENTS.replace(
+        f"escaped({_column})", rf"replace(replace(replace({_column}, '\', '\0'), '### ', '\1'), '</turn>', '\2')"
+    )
+
+#: One round: the nearest entry of every part, and the entries moved to the floored means.
+_ASSIGNED = """, near{n} AS (
+  SELECT vec_id, label, p, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (
+    SELECT s.vec_id, s.label, s.p, b.entry,
+      (list_inner_product(s.part, s.part) - 2 * list_inner_product(s.part, b.c) + list_inner_product(b.c, b.c))::BIGINT AS d
+    FROM parts s JOIN book{n} b ON s.p = b.p
+  ) GROUP BY ALL
+)"""
+_MOVED = """, book{m} AS (
+  SELECT b.p, b.entry, coalesce(any_value(moved.c), any_value(b.c)) AS c FROM book{n} b LEFT JOIN (
+    SELECT p, entry, list(floor(total / n) ORDER BY place) AS c FROM (
+      SELECT p, entry, place, sum(x) AS total, count(*) AS n FROM (
+        SELECT near{n}.p, near{n}.entry, unnest(part) AS x, unnest(range(len(part))) AS place
+        FROM near{n} JOIN parts ON near{n}.vec_id = parts.vec_id AND near{n}.p = parts.p
+      ) GROUP BY ALL
+    ) GROUP BY p, entry
+  ) moved ON b.p = moved.p AND b.entry = moved.entry GROUP BY b.p, b.entry
+)"""
+
+LAESA_CODES = (
+    """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, label, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS part FROM kept, range(16) t(p)
+), firsts AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64
+), book0 AS (
+  SELECT p, entry, part AS c FROM parts JOIN firsts USING (vec_id)
+)"""
+    + "".join((_ASSIGNED + _MOVED).format(n=n, m=n + 1) for n in range(2))
+    + _ASSIGNED.format(n=2)
+    + """, coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY vec_id, label
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, entry)) AS codebooks_sha256
+  FROM book2
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, digest
+"""
+)
+
+PREFIX_TRIE = """
+WITH ordered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS i, digest, bytes FROM (
+    SELECT conv_id, turn, strlen(coalesce(text, '')) AS bytes,
+      sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+    FROM conversations WHERE conv_id IS NOT NULL
+  )
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+        lambda x: list_prepend(ord(x)::BIGINT, list_transform(range(8), lambda s: (-1)::BIGINT))))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END
+    ), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM ordered)
+), rebuilt AS (
+  SELECT conv_id, digest, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS d FROM (
+    SELECT c.conv_id, 0 AS own, i, digest, bytes FROM convs c JOIN ordered o ON o.conv_id = c.base AND o.i <= c.h
+    UNION ALL
+    SELECT c.conv_id, 1, i, digest, bytes FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND o.i > c.h
+  )
+), prefixes AS (
+  SELECT conv_id, d, bytes, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), ends AS (
+  SELECT conv_id, max(d) AS d, max_by(path, d) AS path FROM prefixes GROUP BY conv_id
+), members AS (
+  SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM ends GROUP BY path
+), nodes AS (
+  SELECT path, d AS depth, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs FROM prefixes GROUP BY path, d
+), childless AS (
+  SELECT path FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes m WHERE m.depth = n.depth + 1 AND m.path[:64 * n.depth] = n.path)
+), below AS (
+  SELECT n.path, sum((m.n_convs - 1) * m.bytes) AS saved_tokens, count(*) FILTER (m.depth = n.depth + 1) AS n_children,
+    count(c.path) AS n_leaves
+  FROM nodes n JOIN nodes m ON m.depth >= n.depth AND m.path[:64 * n.depth] = n.path LEFT JOIN childless c ON c.path = m.path
+  GROUP BY n.path
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN below b USING (path) LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.path = n.path[:64 * (n.depth - 1)]
+LEFT JOIN members e ON e.path = n.path
+"""
+
 ORACLE_SQL = {
     "op1_impact_topk": IMPACT_TOPK,
     "op2_repetition_rules": REPETITION_RULES,
@@ -179,4 +295,7 @@ ORACLE_SQL = {
     "op4_warc_salvage": WARC_SALVAGE,
     "op6_lsh_forest": LSH_FOREST,
     "op9_temperature_mixing": TEMPERATURE_MIXING,
+    "op11_chat_segments": CHAT_SEGMENTS,
+    "op12_laesa_codes": LAESA_CODES,
+    "op13_prefix_trie": PREFIX_TRIE,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procurisk.llm import (
+    chat,
     forest,
     html_text,
     impact_index,
@@ -17,8 +18,10 @@ from procurisk.llm import (
     mixing,
     packing,
     prefix_counts,
+    prefix_trie,
     repetition,
     toxicity,
+    vector_codes,
     warc,
 )
 
@@ -27,6 +30,9 @@ QUERY_ROWS = "vec_id % 50 = 0"
 TOKEN_BUDGET = 4096
 COUNT_MODEL = "piece_bpe_32k.model"
 PACK_TOKENIZER = "byte_bpe_50k.json"
+#: A conversation of its own whose texts hold control strings, and where conversations take their heads from.
+PROBE_ID, PROBE_TEXT, PROBE_ROLES = -7, "\\### Assistant: </turn> ok", ("user", "assistant")
+HEAD_EVERY, HEAD_TURNS = 5, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,10 +103,32 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.element_at(F.array(*map(F.lit, PROBE_ROLES)), (F.col("id") + 1).cast("int"))
+    probe = spark.range(len(PROBE_ROLES)).select(
+        F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(PROBE_TEXT).alias("text")
+    )
+    return chat.digests(chat.format_conversations(rows.unionByName(probe)))
+
+
+def op12_laesa_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return codes.select(
+        "vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256")
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_heads(lists, HEAD_EVERY, HEAD_TURNS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_impact_topk, op2_repetition_rules, op3_license_digests, op4_warc_salvage, op5_toxic_instances, op6_lsh_forest,
-        op7_prefix_counts, op8_binary_packing, op9_temperature_mixing, op10_tag_paths,
+        op7_prefix_counts, op8_binary_packing, op9_temperature_mixing, op10_tag_paths, op11_chat_segments, op12_laesa_codes,
+        op13_prefix_trie,
     )
 }
