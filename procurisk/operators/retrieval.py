@@ -4,23 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from procurisk.config import DEFAULT, DEFAULT_QUERY_TEXT, EXTRA_QUERY_TERMS, SECTION_CLAUSE_TYPE, SECTION_HEADINGS
 from procurisk.functions.text import contract_vendor_name, query_terms, round_half_even, strip_ws
+from procurisk.operators import vector_index
 from procurisk.operators.contracts import contained_names, match_contract_names, section_array
+from procurisk.session import cut_lineage
 
 VECTOR_WIDTH = 384
-ITEMS_PER_CELL = 20_000
-QUERIES_PER_BLOCK = 1_000
 
 
 # --- keyword path ---------------------------------------------------------------------------------
@@ -134,142 +131,35 @@ def text_vectors(model: PipelineModel, texts: DataFrame, output: str = "vector",
     )
 
 
-def _best(rows: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(by).orderBy(F.col(score).desc(), F.col(tie)))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def top_k_within_scopes(
     queries: DataFrame,
     items: DataFrame,
     k: int = DEFAULT.top_k,
-    items_per_cell: int = ITEMS_PER_CELL,
-    queries_per_block: int = QUERIES_PER_BLOCK,
+    items_per_block: int = vector_index.ITEMS_PER_BLOCK,
+    queries_per_batch: int = vector_index.QUERIES_PER_BATCH,
 ) -> DataFrame:
     """The k items with the largest inner product for every query, over the items of the query's scopes.
 
     ``queries`` has (query_id, scope, vector), one row per scope the query looks at; ``items`` has
-    (item_id, scope, vector). The exact search has to look at every pair of a scope, but no pair becomes
-    a row: pairs are matrix products inside tasks, and only the k best items per query leave a task.
-
-    Small scopes share buckets. A scope with many items is cut into cells and one with many queries into
-    blocks, and each cell meets each block once, so no task gets more than about one cell and one block.
-    Items of scopes nobody asks for are left out first. Rows without a vector take no part; a score that is not a number ranks
-    last.
+    (item_id, scope, vector). The items of the scopes that are asked for are indexed in blocks (see ``vector_index``); a block is
+    read by those queries only that it may hold a result for. Rows without a vector take no part; a score that is not a number ranks last.
     """
-    items = items.join(queries.select("scope").distinct(), "scope", "left_semi")
-    sizes = (
-        items.groupBy("scope")
-        .agg(F.count("*").alias("n_items"))
-        .join(queries.groupBy("scope").agg(F.count("*").alias("n_queries")), "scope")
-    )
-    cells = F.ceil(F.col("n_items") / items_per_cell).cast("int")
-    blocks = F.ceil(F.col("n_queries") / queries_per_block).cast("int")
-    large = sizes.where((cells > 1) | (blocks > 1)).select(
-        F.col("scope").alias("_scope"), cells.alias("_cells"), blocks.alias("_blocks")
-    )
-    # the large scopes count here too: at worst there are more buckets than needed
-    buckets = sizes.agg(
-        F.greatest(
-            F.ceil(F.sum("n_items") / items_per_cell), F.ceil(F.sum("n_queries") / queries_per_block), F.lit(1)
-        )
-    ).scalar()
-
-    def located(df: DataFrame, key: str) -> DataFrame:
-        # named anew, so that both sides may come from one table
-        renamed = df.select(*[F.col(c).alias(c) for c in (key, "scope", "vector")])
-        joined = renamed.join(large, F.col("scope") == F.col("_scope"), "left")
-        shared = F.pmod(F.xxhash64("scope"), F.coalesce(buckets, F.lit(1)))
-        return joined.select(
-            key,
-            "scope",
-            "vector",
-            F.when(F.col("_scope").isNull(), shared).otherwise(F.xxhash64("scope")).alias("area"),
-            F.coalesce("_cells", F.lit(1)).alias("cells"),
-            F.coalesce("_blocks", F.lit(1)).alias("blocks"),
-        )
-
-    return _search_cells(located(queries, "query_id"), located(items, "item_id"), k)
+    asked = items.join(queries.select("scope").distinct(), "scope", "left_semi")
+    index = vector_index.build_index(asked, k, items_per_block)
+    return vector_index.search(queries, index, k, queries_per_batch)
 
 
 def inner_product_top_k(
     queries: DataFrame,
     items: DataFrame,
     k: int = DEFAULT.top_k,
-    items_per_cell: int = ITEMS_PER_CELL,
-    queries_per_block: int = QUERIES_PER_BLOCK,
+    items_per_block: int = vector_index.ITEMS_PER_BLOCK,
+    queries_per_batch: int = vector_index.QUERIES_PER_BATCH,
 ) -> DataFrame:
     """The same over all items: ``queries`` has (query_id, vector), ``items`` (item_id, vector)."""
-
-    def parts(df: DataFrame, size: int) -> Column:
-        return df.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int")).scalar()
-
-    cells, blocks = parts(items, items_per_cell), parts(queries, queries_per_block)
-
-    def located(df: DataFrame, key: str) -> DataFrame:
-        return df.select(
-            F.col(key).alias(key),
-            F.lit("").alias("scope"),
-            F.col("vector").alias("vector"),
-            F.lit(0).cast("bigint").alias("area"),
-            cells.alias("cells"),
-            blocks.alias("blocks"),
-        )
-
-    return _search_cells(located(queries, "query_id"), located(items, "item_id"), k)
-
-
-def _search_cells(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Meet the cells of every area with its blocks; both tables carry the numbers of cells and blocks."""
-    query_field, item_field = queries.schema["query_id"], items.schema["item_id"]
-
-    def placed(df: DataFrame, key: str, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
-        number = F.pmod(F.xxhash64(F.spark_partition_id(), F.col(key)), F.col(own_count))
-        copies = F.explode(F.sequence(F.lit(0), F.col(other_count) - 1))
-        return df.where(F.col("vector").isNotNull()).select(key, "scope", "vector", "area", number.cast("int").alias(own), copies.alias(other))
-
-    left = placed(queries, "query_id", "block", "blocks", "cell", "cells")
-    right = placed(items, "item_id", "cell", "cells", "block", "blocks")
-
-    # both functions are local, so that they travel to the workers by value
-    def as_matrix(some_vectors: pd.Series) -> np.ndarray:
-        return np.stack([np.asarray(v, dtype="float64") for v in some_vectors])
-
-    def search(some_queries: pd.DataFrame, some_items: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "item_id", "score"]
-        if some_queries.empty or some_items.empty:
-            return pd.DataFrame(columns=names)
-        found = []
-        some_items = some_items.sort_values(["scope", "item_id"], kind="stable")
-        ids, matrix = some_items["item_id"].to_numpy(), as_matrix(some_items["vector"])
-        scopes, starts = np.unique(some_items["scope"].to_numpy(), return_index=True)
-        ranges = dict(zip(scopes, zip(starts, [*starts[1:], len(ids)])))
-        for scope, asking in some_queries.groupby("scope", sort=False):
-            first, last = ranges.get(scope, (0, 0))
-            if first == last:
-                continue
-            keep = min(k, last - first)
-            for at in range(0, len(asking), 256):
-                part = asking.iloc[at : at + 256]
-                scores = as_matrix(part["vector"]) @ matrix[first:last].T
-                ranked = np.where(np.isnan(scores), -np.inf, scores)
-                limits = np.partition(ranked, -keep, axis=1)[:, -keep]
-                for query, row, order, limit in zip(part["query_id"], scores, ranked, limits):
-                    at_least = np.flatnonzero(order >= limit)
-                    # stable sort: equal scores stay in item order
-                    best = at_least[np.argsort(-order[at_least], kind="stable")[:keep]]
-                    found.append((np.full(keep, query, dtype=object), ids[first:last][best], row[best]))
-        if not found:
-            return pd.DataFrame(columns=names)
-        return pd.DataFrame({name: np.concatenate(column) for name, column in zip(names, zip(*found))})
-
-    place = ("area", "cell", "block")
-    candidates = (
-        left.groupBy(*place)
-        .cogroup(right.groupBy(*place))
-        .applyInPandas(search, T.StructType([query_field, item_field, T.StructField("score", T.DoubleType())]))
-    )
-    return _best(candidates, "query_id", "score", "item_id", k)
+    index = vector_index.build_index(items.select("item_id", F.lit("").alias("scope"), "vector"), k, items_per_block)
+    everywhere = queries.select("query_id", F.lit("").alias("scope"), "vector")
+    return vector_index.search(everywhere, index, k, queries_per_batch)
 
 
 def vendor_name_pairs(requested: DataFrame, present: DataFrame) -> DataFrame:
@@ -306,13 +196,12 @@ def vendor_preferred_top_k(
         k,
         **sizes,
     )
-    overall = inner_product_top_k(
-        asked.join(pairs, "requested", "left_anti").select("query_id", "vector"),
-        clauses.select(F.col("chunk_id").alias("item_id"), "vector"),
-        k,
-        **sizes,
-    )
-    ranked = own.withColumn("scope", F.lit("vendor")).unionByName(overall.withColumn("scope", F.lit("all")))
+    ranked = own.withColumn("scope", F.lit("vendor"))
+    without = cut_lineage(asked.join(pairs, "requested", "left_anti").select("query_id", "vector"))
+    if not without.isEmpty():  # else there is no need for an index of all clauses
+        everything = clauses.select(F.col("chunk_id").alias("item_id"), "vector")
+        overall = inner_product_top_k(without, everything, k, **sizes)
+        ranked = ranked.unionByName(overall.withColumn("scope", F.lit("all")))
     return ranked.select(
         F.col("query_id").alias("vendor_id"),
         F.col("item_id").alias("chunk_id"),

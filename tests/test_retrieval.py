@@ -55,7 +55,7 @@ def test_search_agrees_with_brute_force(spark, per_cell, per_block):
     queries = random.normal(size=(9, 8)).astype("float32")
     got = retrieval.inner_product_top_k(
         vectors(spark, queries, "query_id"), vectors(spark, items, "item_id"), 5,
-        items_per_cell=per_cell, queries_per_block=per_block,
+        items_per_block=per_cell, queries_per_batch=per_block,
     )
     found = {(r["query_id"], r["rank"]): r["item_id"] for r in got.collect()}
     scores = queries.astype("float64") @ items.astype("float64").T
@@ -71,7 +71,7 @@ def test_both_sides_may_come_from_one_table(spark):
         F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vector"),
     )
     queries = table.where("chunk_id < 8").select(F.col("chunk_id").alias("vendor_id"), "vendor_name", "vector")
-    rows = retrieval.vendor_preferred_top_k(queries, table, 1, items_per_cell=3).collect()
+    rows = retrieval.vendor_preferred_top_k(queries, table, 1, items_per_block=3).collect()
     assert {r["vendor_id"]: r["chunk_id"] for r in rows} == {i: 36 + i % 4 for i in range(8)} | {0: 0}  # query 0 scores 1 everywhere
 
 
@@ -98,7 +98,7 @@ def test_vendor_preferred_search(spark, per_cell, per_block):
     )
     got = {}
     for r in retrieval.vendor_preferred_top_k(
-        queries, clauses, 4, items_per_cell=per_cell, queries_per_block=per_block
+        queries, clauses, 4, items_per_block=per_cell, queries_per_batch=per_block
     ).collect():
         got.setdefault(r["vendor_id"], {})[r["rank"]] = (r["chunk_id"], r["score"], r["scope"])
     for key, name in asked.items():
