@@ -25,6 +25,8 @@ from procurisk.functions.text import (
     slug,
     strip_ws,
 )
+from procurisk.operators.containment import first_containing
+from procurisk.operators.skew import left_join_spread
 from procurisk.session import cut_lineage
 
 _NO_LIMIT = 2_000_000_000
@@ -178,33 +180,6 @@ def clause_sections(
     ).where(F.col("section_no").isNotNull()).select("contract_file", "vendor_name", "section_no", "section.*")
 
 
-def _substrings(names: DataFrame, column: str, needles: DataFrame) -> DataFrame:
-    """Every name with its substrings (``key``) of the lengths that needles have.
-
-    Names are short, so both the list of lengths and the substrings of one name have a small bound.
-    """
-    needle = needles.columns[0]
-    lengths = needles.agg(F.array_sort(F.collect_set(F.length(needle)))).scalar()
-    sized = names.select("*", F.explode(lengths).alias("_n")).where(F.col("_n") <= F.length(column))
-    starts = F.when(F.col("_n") == 0, F.array(F.lit(1))).otherwise(
-        F.sequence(F.lit(1), F.length(column) - F.col("_n") + 1)
-    )
-    placed = sized.select("*", F.explode(starts).alias("_at"))
-    return placed.select(*names.columns, F.substr(F.col(column), F.col("_at"), F.col("_n")).alias("key"))
-
-
-def contained_names(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
-    """Distinct pairs (needle, haystack) where the needle occurs inside the haystack.
-
-    Both inputs have one text column. Haystacks give their substrings of the lengths that needles have,
-    and these meet the needles by equality: an equi join, where a containment condition would compare
-    every pair.
-    """
-    needle, haystack = needles.columns[0], haystacks.columns[0]
-    keyed = _substrings(haystacks, haystack, needles)
-    return needles.join(keyed, F.col(needle) == F.col("key")).select(needle, haystack).distinct()
-
-
 def match_contract_names(names: DataFrame, files: DataFrame) -> DataFrame:
     """The contract file of each distinct vendor name that has one: (vendor_name, contract_file).
 
@@ -227,22 +202,15 @@ def match_contract_names(names: DataFrame, files: DataFrame) -> DataFrame:
             )
         ).alias("key"),
     )
-    # one row per substring with its first file, before anything is joined
-    stems = file_names.where(F.col("contract_file").endswith("_contract.txt")).withColumn(
-        "stem", F.lower(file_stem(F.col("contract_file")))
-    )
-    first_file = (
-        _substrings(stems, "stem", keys.select("key"))
-        .groupBy("key")
-        .agg(F.min("contract_file").alias("contract_file"))
-    )
-    contained = keys.join(first_file, "key").groupBy("vendor_name").agg(
-        F.min("contract_file").alias("contract_file")
+    stems = file_names.where(F.col("contract_file").endswith("_contract.txt")).select(
+        F.lower(file_stem(F.col("contract_file"))).alias("stem"), "contract_file"
     )
-    return found.unionByName(contained)
+    contained = first_containing(keys.select("key"), stems, "contract_file")
+    by_stem = keys.join(contained, "key").groupBy("vendor_name").agg(F.min("contract_file").alias("contract_file"))
+    return found.unionByName(by_stem)
 
 
 def match_contract_files(vendors: DataFrame, files: DataFrame) -> DataFrame:
     """The contract file of each vendor row of (vendor_id, vendor_name), null when there is none."""
     matches = match_contract_names(vendors, files)
-    return vendors.join(matches, "vendor_name", "left").select("vendor_id", "vendor_name", "contract_file")
+    return left_join_spread(vendors, matches, "vendor_name", ["vendor_id"]).select("vendor_id", "vendor_name", "contract_file")

@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from procurisk.config import DEFAULT, DEFAULT_QUERY_TEXT, EXTRA_QUERY_TERMS, SECTION_CLAUSE_TYPE, SECTION_HEADINGS
 from procurisk.functions.text import contract_vendor_name, query_terms, round_half_even, strip_ws
 from procurisk.operators import vector_index
-from procurisk.operators.contracts import contained_names, match_contract_names, section_array
+from procurisk.operators.containment import contains_or_is_contained
+from procurisk.operators.contracts import match_contract_names, section_array
+from procurisk.operators.skew import left_join_spread
 from procurisk.session import cut_lineage
 
 VECTOR_WIDTH = 384
@@ -50,7 +52,8 @@ def keyword_evidence(
     matches = match_contract_names(requests if names is None else names, contracts)
     files = matches.select("vendor_name", F.col("contract_file").alias("_file"))
     texts = contracts.select(F.col("contract_file").alias("_file"), F.col("text").alias("_text"))
-    found = requests.join(files, "vendor_name", "left").join(texts, "_file", "left").withColumns(
+    named = left_join_spread(requests, files, "vendor_name", ["vendor_id"])
+    found = left_join_spread(named, texts, "_file", ["vendor_id"]).withColumns(
         {
             "_terms": query_terms(F.col("top_risk_factors"), extra_terms),
             "_vendor": contract_vendor_name(F.col("_text"), F.col("_file")),
@@ -158,8 +161,7 @@ def inner_product_top_k(
 ) -> DataFrame:
     """The same over all items: ``queries`` has (query_id, vector), ``items`` (item_id, vector)."""
     index = vector_index.build_index(items.select("item_id", F.lit("").alias("scope"), "vector"), k, items_per_block)
-    everywhere = queries.select("query_id", F.lit("").alias("scope"), "vector")
-    return vector_index.search(everywhere, index, k, queries_per_batch)
+    return vector_index.search(queries, index, k, queries_per_batch, everywhere=True)
 
 
 def vendor_name_pairs(requested: DataFrame, present: DataFrame) -> DataFrame:
@@ -170,38 +172,41 @@ def vendor_name_pairs(requested: DataFrame, present: DataFrame) -> DataFrame:
 
     asked = requested.select(F.col("vendor_name").alias("requested"), plain("vendor_name").alias("asked")).distinct()
     held = present.select(F.col("vendor_name").alias("present"), plain("vendor_name").alias("held")).distinct()
-    asked_names, held_names = asked.select("asked").distinct(), held.select("held").distinct()
-    pairs = (
-        contained_names(asked_names, held_names)
-        .unionByName(contained_names(held_names, asked_names).select("asked", "held"))
-        .distinct()
-    )
+    pairs = contains_or_is_contained(asked.select("asked"), held.select("held"))
     return pairs.join(asked, "asked").join(held, "held").select("requested", "present")
 
 
 def vendor_preferred_top_k(
-    queries: DataFrame, clauses: DataFrame, k: int = DEFAULT.top_k, **sizes: int
+    queries: DataFrame,
+    clauses: DataFrame,
+    k: int = DEFAULT.top_k,
+    items_per_block: int = vector_index.ITEMS_PER_BLOCK,
+    queries_per_batch: int = vector_index.QUERIES_PER_BATCH,
 ) -> DataFrame:
     """The k best clauses of the vendor itself, or of all clauses where the vendor has none.
 
     ``queries`` has (vendor_id, vendor_name, vector), ``clauses`` (chunk_id, vendor_name, vector). A
     vendor looks at the clauses of every name that contains its own or is contained in it; only vendors
-    without such clauses search everything.
+    without such clauses search everything. One index, scoped by vendor name, serves both. A blank name is contained in
+    every name: such vendors look at all clauses that have one.
     """
-    pairs = vendor_name_pairs(queries, clauses)
-    asked = queries.select(F.col("vendor_id").alias("query_id"), F.col("vendor_name").alias("requested"), "vector")
-    own = top_k_within_scopes(
-        asked.join(pairs, "requested").select("query_id", F.col("present").alias("scope"), "vector"),
-        clauses.select(F.col("chunk_id").alias("item_id"), F.col("vendor_name").alias("scope"), "vector"),
-        k,
-        **sizes,
-    )
-    ranked = own.withColumn("scope", F.lit("vendor"))
-    without = cut_lineage(asked.join(pairs, "requested", "left_anti").select("query_id", "vector"))
-    if not without.isEmpty():  # else there is no need for an index of all clauses
-        everything = clauses.select(F.col("chunk_id").alias("item_id"), "vector")
-        overall = inner_product_top_k(without, everything, k, **sizes)
-        ranked = ranked.unionByName(overall.withColumn("scope", F.lit("all")))
+    named = cut_lineage(queries.select(F.col("vendor_id").alias("query_id"), F.col("vendor_name").alias("requested"), "vector"))
+    blank = F.coalesce(strip_ws(F.col("requested")) == "", F.lit(False))
+    asked = named.where(~blank)
+    pairs = cut_lineage(vendor_name_pairs(asked.withColumnRenamed("requested", "vendor_name"), clauses))
+    items = clauses.select(F.col("chunk_id").alias("item_id"), F.col("vendor_name").alias("scope"), "vector")
+    index = vector_index.build_index(items, k, items_per_block)
+    scoped = asked.join(pairs, "requested").select("query_id", F.col("present").alias("scope"), "vector")
+    ranked = vector_index.search(scoped, index, k, queries_per_batch).withColumn("scope", F.lit("vendor"))
+    without = left_join_spread(asked, pairs.select("requested", F.lit(1).alias("found")).distinct(), "requested", ["query_id"])
+    for scope, some, pool in (
+        ("all", without.where("found IS NULL"), index),
+        ("vendor", named.where(blank), index.named()),
+    ):
+        some = cut_lineage(some.select("query_id", "vector"))
+        if not some.isEmpty():
+            found = vector_index.search(some, pool, k, queries_per_batch, everywhere=True)
+            ranked = ranked.unionByName(found.withColumn("scope", F.lit(scope)))
     return ranked.select(
         F.col("query_id").alias("vendor_id"),
         F.col("item_id").alias("chunk_id"),

@@ -58,3 +58,11 @@ def join_salted(
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     return left.join(right, condition, how).drop("_salt", "_copy", *[f"_key_{k}" for k in keys])
+
+
+def left_join_spread(big: DataFrame, small: DataFrame, on: str, by: Sequence[str]) -> DataFrame:
+    """A left join on one key, whose rows with a null key go to tasks by a hash of the columns ``by`` instead of all to one."""
+    spread = F.when(F.col(on).isNull(), F.xxhash64(*by)).otherwise(0)
+    # 0, but not a literal: Spark would take that out of the join keys
+    right = small.withColumn("_spread", F.pmod(F.xxhash64(on), F.lit(1)))
+    return big.withColumn("_spread", spread).join(right, [on, "_spread"], "left").drop("_spread")

@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +44,24 @@ QUERIES_PER_BATCH = 256
 SUMMARIES_PER_GROUP = 512
 #: Centres that large scopes are cut along: a scope of n blocks uses the first 4, 16, 64 or 256, or pairs of them.
 LEVELS = (4, 16, 64, 256)
+#: What a query and a block have in common, unless the query looks everywhere.
+BY_SCOPE = ("scope", "dims")
 #: Bounds give way by this share: scores are added in floating point.
 SLACK = 1e-9
 
 
 @dataclass
 class VectorIndex:
-    """``blocks``: block, scope, dims, members (item_id, vector). ``summaries``: block, scope, dims, n, centre, radius, norm, part."""
+    """``blocks``: block, scope, dims, members (item_id, vector). ``summaries``: block, scope, dims, n, centre, radius, norm."""
 
     blocks: DataFrame
     summaries: DataFrame
     deepest: int
 
+    def named(self) -> VectorIndex:
+        """The same index without the blocks of the null scope."""
+        return replace(self, summaries=self.summaries.where("scope IS NOT NULL"))
+
     def write(self, path: str) -> None:
         """Both tables under ``path``, the blocks bucketed as they are here."""
         buckets = self.blocks.rdd.getNumPartitions()
@@ -139,13 +145,13 @@ def _summarised(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, centre, radius, norm = zip(*found) if found else ((),) * 4
         yield pa.RecordBatch.from_arrays(
             [
-                *(batch.column(c) for c in ("block", "scope", "dims", "part")),
+                *(batch.column(c) for c in ("block", "scope", "dims")),
                 pa.array(n, pa.int64()),
                 pa.array(centre, pa.list_(pa.float64())),
                 pa.array(radius, pa.float64()),
                 pa.array(norm, pa.float64()),
             ],
-            ["block", "scope", "dims", "part", "n", "centre", "radius", "norm"],
+            ["block", "scope", "dims", "n", "centre", "radius", "norm"],
         )
 
 
@@ -194,11 +200,9 @@ def build_index(items: DataFrame, deepest: int, items_per_block: int = ITEMS_PER
     spark = items.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
     stored = _bucketed(blocks, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kinds = "part long, n long, centre array<double>, radius double, norm double"
+    kinds = "n long, centre array<double>, radius double, norm double"
     schema = T.StructType([stored.schema[c] for c in ("block", "scope", "dims")] + list(T._parse_datatype_string(kinds)))
-    groups = _in_parts(stored.select("block", "scope", "dims"), "block", SUMMARIES_PER_GROUP)
-    grouped = stored.join(groups, ["block", "scope", "dims"]).select(*stored.columns, "part")  # a null scope is asked by nobody
-    return VectorIndex(stored, cut_lineage(grouped.mapInArrow(_summarised, schema)), deepest)
+    return VectorIndex(stored, cut_lineage(stored.mapInArrow(_summarised, schema)), deepest)
 
 
 def _bounds(asked: np.ndarray, centre: np.ndarray, radius: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -210,26 +214,27 @@ def _bounds(asked: np.ndarray, centre: np.ndarray, radius: np.ndarray, norm: np.
     return np.where(np.isnan(bound), np.inf, bound)
 
 
-def _in_parts(rows: DataFrame, key: str, per: int, by: tuple[str, ...] = ("scope", "dims")) -> DataFrame:
+def _in_parts(rows: DataFrame, key: str, per: int, by: Sequence[str]) -> DataFrame:
     """Add ``part``: rows of equal ``by`` are dealt into parts of about ``per``. The sizes are one narrow row a group."""
     parts = rows.groupBy(*by).agg(F.ceil(F.count("*") / per).cast("long").alias("_parts"))
     dealt = rows.join(parts, list(by)).withColumn("part", F.pmod(F.xxhash64(key), F.col("_parts")))
     return dealt.drop("_parts")
 
 
-def _met(queries: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Batches of queries and groups of summaries of their scope, a row for each of both: the summaries stay whole and few."""
-    both = ["scope", "dims"]
+def _met(queries: DataFrame, summaries: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Batches of queries and groups of summaries with equal ``by``, a row for each of both: the summaries stay whole and few."""
 
     def packed(df: DataFrame, entry: Column, name: str) -> DataFrame:
-        return df.groupBy(*both, "part").agg(F.collect_list(entry).alias(name)).drop("part")
+        return df.groupBy(*by, "part").agg(F.collect_list(entry).alias(name)).drop("part")
 
     asked = packed(queries, F.struct("query_id", "vector", "floor", "seen"), "asked")
-    return asked.join(packed(summaries, F.struct("block", "n", "centre", "radius", "norm"), "known"), both)
+    groups = _in_parts(summaries, "block", SUMMARIES_PER_GROUP, by)
+    known = packed(groups, F.struct("block", "scope", "n", "centre", "radius", "norm"), "known")
+    return asked.join(known, list(by))
 
 
-def blocks_to_read(queries: DataFrame, index: VectorIndex, k: int, first: bool) -> DataFrame:
-    """(query_id, scope, dims, block, bound, n). ``first``: the best blocks of each group that hold k items; else all that reach the query's floor.
+def blocks_to_read(queries: DataFrame, index: VectorIndex, k: int, first: bool, by: Sequence[str] = BY_SCOPE) -> DataFrame:
+    """(query_id, dims, block, scope, bound, n). ``first``: the best blocks of each group that hold k items; else all that reach the floor.
 
     ``queries`` has query_id, scope, dims, part, vector, ``floor`` (null: none known) and ``seen`` (blocks that were read before).
     """
@@ -255,31 +260,42 @@ def blocks_to_read(queries: DataFrame, index: VectorIndex, k: int, first: bool)
                     seen = asked.field("seen").to_pylist()
                     new = np.array([b not in seen[r] for r, b in zip(row.tolist(), block[column].tolist())], dtype=bool)
                     row, column = row[new], column[new]
-                same = [pa.repeat(batch.column(c)[i], len(row)) for c in ("scope", "dims")]
-                found = [pa.array(block[column]), pa.array(bound[row, column]), pa.array(n[column])]
-                yield pa.RecordBatch.from_arrays([asked.field("query_id").take(pa.array(row)), *same, *found], names)
-
-    schema = T.StructType(
-        [*(queries.schema[c] for c in ("query_id", "scope", "dims")), *T._parse_datatype_string("block long, bound double, n long")]
-    )
-    names = schema.names
-    return _met(queries, index.summaries).mapInArrow(chosen, schema)
-
-
-def scored(queries: DataFrame, pairs: DataFrame, index: VectorIndex, k: int, queries_per_batch: int = QUERIES_PER_BATCH) -> DataFrame:
+                found = [
+                    asked.field("query_id").take(pa.array(row)),
+                    pa.repeat(batch.column("dims")[i], len(row)),
+                    pa.array(block[column]),
+                    known.field("scope").take(pa.array(column)),
+                    pa.array(bound[row, column]),
+                    pa.array(n[column]),
+                ]
+                yield pa.RecordBatch.from_arrays(found, ["query_id", "dims", "block", "scope", "bound", "n"])
+
+    kinds = T._parse_datatype_string("block long, bound double, n long")
+    fields = [queries.schema["query_id"], queries.schema["dims"], kinds["block"], index.summaries.schema["scope"], kinds["bound"], kinds["n"]]
+    schema = T.StructType(fields)
+    return _met(queries, index.summaries, by).mapInArrow(chosen, schema)
+
+
+def scored(
+    queries: DataFrame,
+    pairs: DataFrame,
+    index: VectorIndex,
+    k: int,
+    queries_per_batch: int = QUERIES_PER_BATCH,
+    by: Sequence[str] = BY_SCOPE,
+) -> DataFrame:
     """(query_id, item_id, score): the k best items of each block for each query that reads it.
 
     The queries of a block come in batches, and each batch meets the block's one row; the table of blocks is not shuffled.
     """
-    vectors = queries.select("query_id", "scope", "dims", "vector")
-    reading = pairs.select("query_id", "scope", "dims", "block").join(vectors, ["query_id", "scope", "dims"])
+    reading = pairs.select("query_id", "scope", "dims", "block").join(queries.select("query_id", *by, "vector"), ["query_id", *by])
     batches = (
         _in_parts(reading, "query_id", queries_per_batch, ("block",))
         .groupBy(F.col("block").alias("_block"), F.col("scope").alias("_scope"), F.col("dims").alias("_dims"), "part")
         .agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
     )
     # only the block is a join key, since the table is bucketed by it; two blocks with one number would differ in the rest
-    same = (F.col("scope") == F.col("_scope")) & (F.col("dims") == F.col("_dims"))
+    same = F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("dims") == F.col("_dims"))
     met = index.blocks.join(batches, F.col("block") == F.col("_block")).select("members", "asked", same.alias("same"))
 
     def best(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,26 +333,29 @@ def ranked(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, index: VectorIndex, k: int, queries_per_batch: int = QUERIES_PER_BATCH) -> DataFrame:
+def search(
+    queries: DataFrame, index: VectorIndex, k: int, queries_per_batch: int = QUERIES_PER_BATCH, everywhere: bool = False
+) -> DataFrame:
     """(query_id, item_id, score, rank) of the k best items over the scopes that each query names: a row per (query_id, scope, vector).
 
-    The queries and what the first look finds (k rows a query) are stored, because they are read several times.
+    With ``everywhere`` the queries are rows (query_id, vector) that look at all scopes. The queries and what the first look finds (k
+    rows a query) are stored, because they are read several times.
     """
     if k > index.deepest:
         raise ValueError(f"the index was built for searches up to {index.deepest}")
-    asked = queries.select("query_id", "scope", "vector").where("vector IS NOT NULL").withColumn("dims", F.size("vector"))
-    asked = cut_lineage(_in_parts(asked, "query_id", queries_per_batch))
+    by = ("dims",) if everywhere else BY_SCOPE
+    sized = queries.where("vector IS NOT NULL").withColumn("dims", F.size("vector")).select("query_id", *by, "vector")
+    asked = cut_lineage(_in_parts(sized, "query_id", queries_per_batch, by))
     open_ = asked.withColumns({"floor": F.lit(None).cast("double"), "seen": F.array().cast("array<long>")})
     order = W.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    looked = cut_lineage(
-        blocks_to_read(open_, index, k, True).withColumn("_before", before).where(F.col("_before") < k).drop("_before", "bound", "n")
-    )
-    found = cut_lineage(ranked(scored(asked, looked, index, k, queries_per_batch), k))
+    first = blocks_to_read(open_, index, k, True, by).withColumn("_before", before).where(F.col("_before") < k)
+    looked = cut_lineage(first.drop("_before", "bound", "n"))
+    found = cut_lineage(ranked(scored(asked, looked, index, k, queries_per_batch, by), k))
     floors = found.where(F.col("rank") == k).select(
         "query_id", F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score")).alias("floor")
     )
     seen = looked.groupBy("query_id").agg(F.collect_list("block").alias("seen"))
     bounded = asked.join(floors, "query_id", "left").join(seen, "query_id")
-    rest = blocks_to_read(bounded, index, k, False)
-    return ranked(found.drop("rank").unionByName(scored(asked, rest, index, k, queries_per_batch)), k)
+    rest = blocks_to_read(bounded, index, k, False, by)
+    return ranked(found.drop("rank").unionByName(scored(asked, rest, index, k, queries_per_batch, by)), k)

@@ -142,16 +142,3 @@ def test_contract_match(spark):
         "5": "ärger_ag_contract.txt",
         "6": None,
     }
-
-
-_NAME = st.text(alphabet="ab _", max_size=6)
-
-
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.sets(_NAME, min_size=3, max_size=12), st.sets(_NAME, min_size=3, max_size=12))
-def test_contained_names_agree_with_brute_force(spark, needles, haystacks):
-    got = ops.contained_names(
-        spark.createDataFrame([(x,) for x in needles], "needle string"),
-        spark.createDataFrame([(x,) for x in haystacks], "haystack string"),
-    )
-    assert sorted(tuple(r) for r in got.collect()) == sorted((n, h) for n in needles for h in haystacks if n in h)

@@ -50,7 +50,7 @@ def test_exact_and_bounded(clustered):
 
 def test_most_blocks_are_skipped(clustered):
     items, queries, index, asked = clustered
-    sized = vector_index._in_parts(asked.withColumn("dims", F.size("vector")), "query_id", 7)
+    sized = vector_index._in_parts(asked.withColumn("dims", F.size("vector")), "query_id", 7, vector_index.BY_SCOPE)
     found = got(vector_index.search(asked, index, 5))
     score = {(q, i): np.dot(np.float32(a).astype(float), np.float32(v).astype(float)) for q, s, a in queries for i, t, v in items if s == t}
     floors = asked.sparkSession.createDataFrame([(q, float(score[q, i])) for q, i, rank in found if rank == 5], "query_id long, floor double")
@@ -79,7 +79,7 @@ def ancestors(plan, leaf):
 def test_blocks_stay_in_place(spark, clustered):
     _, _, index, asked = clustered
     sized = asked.withColumn("dims", F.size("vector"))
-    pairs = sized.crossJoin(F.broadcast(index.summaries.select("block"))).select("query_id", "scope", "dims", "block")
+    pairs = sized.join(index.summaries.select("scope", "block"), "scope").select("query_id", "scope", "dims", "block")
     key = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(key)
     spark.conf.set(key, "-1")
@@ -117,6 +117,10 @@ def test_awkward_vectors(spark):
         found.setdefault(r["query_id"], []).append((r["rank"], r["item_id"], r["score"]))
     ranks = {q: [(i, s) for _, i, s in sorted(rows)] for q, rows in found.items()}
     assert [i for i, _ in ranks[1]] == [3, 7, 1, 1, 2, 8] and [s for _, s in ranks[1]][:4] == [inf, 4.0, 1.0, 0.5]
+    everywhere = vector_index.search(asked.where("query_id = 4 OR query_id = 5"), index, 10, everywhere=True)
+    assert [r["item_id"] for r in everywhere.orderBy("rank").collect()] == [3, 9, 7, 1, 1, 2, 8]
+    inside = vector_index.search(asked.where("query_id = 5"), index.named(), 10, everywhere=True)
+    assert [r["item_id"] for r in inside.orderBy("rank").collect()] == [3, 7, 1, 1, 2, 8]
     assert sorted(i for i, _ in ranks[2]) == [1, 1, 2, 3, 8] and set(ranks) == {1, 2, 3}
     assert ranks[3] == [(6, 0.0)]
     assert vector_index.search(asked, vector_index.build_index(table.limit(0), 3), 3).count() == 0
