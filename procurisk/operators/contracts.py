@@ -10,7 +10,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from procurisk.config import CLAUSE_KEYWORDS, SECTION_CLAUSE_TYPE, SECTION_HEADINGS
 from procurisk.functions.text import (
@@ -26,8 +25,8 @@ from procurisk.functions.text import (
     strip_ws,
 )
 from procurisk.operators.containment import first_containing
-from procurisk.operators.skew import left_join_spread
-from procurisk.session import cut_lineage
+from procurisk.operators.ranks import running_totals
+from procurisk.operators.skew import join_salted, left_join_spread
 
 _NO_LIMIT = 2_000_000_000
 
@@ -109,27 +108,13 @@ def clause_chunks(
 def number_chunks(chunks: DataFrame, ranges: int | None = None) -> DataFrame:
     """Add ``chunk_id``: 0, 1, 2, ... over all contracts in file-name order.
 
-    Files are counted, sorted into name ranges and written once; the offset of a file is the total of the
-    ranges before it plus the files before it in its own range. Only the totals of the ranges pass
-    through one task. The offsets meet the chunks by file name; how, Spark decides by their size.
+    Files are counted, and their offsets are running totals in name order. They meet the chunks by file name; a file with
+    a large share of the chunks is salted.
     """
-    partitions = ranges or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = chunks.groupBy("contract_file").agg(F.count("*").alias("n"))
-    ranged = cut_lineage(
-        counts.repartitionByRange(partitions, "contract_file").withColumn("part", F.spark_partition_id())
-    )
-    totals = ranged.groupBy("part").agg(F.sum("n").alias("total"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
-    inside = W.partitionBy("part").orderBy("contract_file").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ranged.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(F.broadcast(starts), "part")  # one row per range
-        .select("contract_file", (F.col("start") + F.col("inner")).alias("offset"))
-    )
-    return chunks.join(offsets, "contract_file").select(
-        (F.col("offset") + F.col("chunk_no")).alias("chunk_id"), *chunks.columns
-    )
+    offsets = running_totals(counts, ["contract_file"], {"offset": F.col("n")}, ranges)
+    joined = join_salted(chunks, offsets.select("contract_file", "offset"), ["contract_file"], sizes=offsets.select("contract_file", "n"))
+    return joined.select((F.col("offset") + F.col("chunk_no")).alias("chunk_id"), *chunks.columns)
 
 
 def section_array(

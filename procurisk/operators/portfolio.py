@@ -119,6 +119,13 @@ def top_vendors(features: DataFrame, measure: str, n: int | None = None) -> Data
     )
 
 
+RENEWAL_ORDER = ("days_until_contract_end", "vendor_id")
+
+
+def review_order() -> list[Column]:
+    return [F.col("risk_score_rule").desc(), F.col("pending_invoice_amount").desc(), F.col("vendor_id")]
+
+
 def renewal_timeline(features: DataFrame, config: RiskConfig = DEFAULT) -> DataFrame:
     return (
         with_portfolio_level(features, config)
@@ -130,7 +137,7 @@ def renewal_timeline(features: DataFrame, config: RiskConfig = DEFAULT) -> DataF
             "portfolio_risk_level",
             "annual_contract_value",
         )
-        .orderBy("days_until_contract_end", "vendor_id")
+        .orderBy(*RENEWAL_ORDER)
     )
 
 
@@ -149,7 +156,7 @@ def review_queue(features: DataFrame, config: RiskConfig = DEFAULT) -> DataFrame
         "duplicate_invoice_count",
         "days_until_contract_end",
         F.lit(WORKFLOW_ACTIONS["High"]).alias("recommended_action"),
-    ).orderBy(F.col("risk_score_rule").desc(), F.col("pending_invoice_amount").desc(), "vendor_id")
+    ).orderBy(*review_order())
 
 
 def vendor_list(features: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Training, evaluation and batch scoring of the risk classifiers with MLlib."""
+"""Training, evaluation and batch scoring of the risk classifiers: logistic regression of MLlib, and the forest as a relation."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -18,10 +17,15 @@ from pyspark.sql import Window as W
 
 from procurisk.config import DRIFT_THRESHOLDS, MODEL_FEATURES, MODEL_TARGET
 from procurisk.functions.text import round_half_even
+from procurisk.operators.forest import ForestModel
+from procurisk.operators.forest import fit as fit_forest
+from procurisk.operators.ranks import area_under_roc
+from procurisk.session import cut_lineage
 
 SEED = 42
 TEST_TENTHS = 3
 MODEL_NAMES = ("LogisticRegression", "RandomForestClassifier")
+Model = PipelineModel | ForestModel
 
 
 def split_bucket(key: Column) -> Column:
@@ -98,13 +102,13 @@ def check_both_classes(rows: DataFrame, label: str = MODEL_TARGET) -> None:
         raise ValueError("Training target must contain both high-risk and non-high-risk vendors.")
 
 
-def _pipelines(n_train: int) -> dict[str, Pipeline]:
+def _logistic(n_train: int) -> Pipeline:
     def assembler(output: str) -> VectorAssembler:
         return VectorAssembler(inputCols=list(MODEL_FEATURES), outputCol=output)
 
     # scaling by the population deviation, while the scaler divides by the sample deviation
     correction = math.sqrt(n_train / (n_train - 1)) if n_train > 1 else 1.0
-    logistic = Pipeline(
+    return Pipeline(
         stages=[
             assembler("_raw"),
             StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
@@ -122,29 +126,17 @@ def _pipelines(n_train: int) -> dict[str, Pipeline]:
                 regParam=1.0 / n_train,
                 elasticNetParam=0.0,
                 standardization=False,
+                # far below what four decimals of a score can show
+                tol=1e-12,
             ),
         ]
     )
-    forest = Pipeline(
-        stages=[
-            assembler("_features"),
-            RandomForestClassifier(
-                featuresCol="_features",
-                labelCol=MODEL_TARGET,
-                weightCol="weight",
-                numTrees=200,
-                maxDepth=6,
-                minInstancesPerNode=1,
-                featureSubsetStrategy="sqrt",
-                seed=SEED,
-            ),
-        ]
-    )
-    return dict(zip(MODEL_NAMES, (logistic, forest)))
 
 
-def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
+def predict(model: Model, features: DataFrame) -> DataFrame:
     """Add ``probability_1`` and ``prediction`` to rows that have the model columns; nulls count as 0."""
+    if isinstance(model, ForestModel):
+        return model.transform(features)
     kept = features.columns
     inputs = features.withColumn("_kept", F.struct(*kept)).withColumns(
         {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in MODEL_FEATURES}
@@ -157,18 +149,44 @@ def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
     )
 
 
-def logistic_probability(model: PipelineModel) -> Column:
-    """The probability of the fitted logistic model in plain arithmetic: scale, weigh, add, squash."""
+def _scaled(model: PipelineModel) -> list[tuple[str, Column, float]]:
+    """Each feature with its scaled value and its weight; features that do not vary are 0."""
     scaler, correction, logistic = model.stages[1], model.stages[2], model.stages[3]
-    total = F.lit(float(logistic.intercept))
     fitted = zip(MODEL_FEATURES, scaler.mean, scaler.std, correction.getScalingVec(), logistic.coefficients)
+    found = []
     for name, mean_, deviation, factor, weight in fitted:
         value = F.coalesce(F.col(name).cast("double"), F.lit(0.0))
-        if deviation > 0:
-            total = total + (value - float(mean_)) / float(deviation) * float(factor) * float(weight)
+        scaled = (value - float(mean_)) / float(deviation) * float(factor) if deviation > 0 else F.lit(0.0)
+        found.append((name, scaled, float(weight)))
+    return found
+
+
+def logistic_probability(model: PipelineModel) -> Column:
+    """The probability of the fitted logistic model in plain arithmetic: scale, weigh, add, squash."""
+    total = F.lit(float(model.stages[3].intercept))
+    for _, scaled, weight in _scaled(model):
+        total = total + scaled * weight
     return 1.0 / (1.0 + F.exp(-total))
 
 
+def logistic_gradient(model: PipelineModel, rows: DataFrame, label: str = MODEL_TARGET, weight: str = "weight") -> DataFrame:
+    """(feature, gradient, scale): the slope of the penalised weighted loss at the fitted weights, in one aggregation over the training rows.
+
+    At the optimum every slope is 0, and only there, since the loss is strictly convex: the proof of a fit that needs no second fit.
+    ``scale`` is the sum of the absolute terms, which a slope is to be measured by. The intercept has no penalty.
+    """
+    apart = F.col(weight) * (logistic_probability(model) - F.col(label))
+    terms = [("intercept", F.lit(1.0), 0.0), *_scaled(model)]
+    sums = []
+    for i, (_, scaled, penalty) in enumerate(terms):
+        sums += [(F.sum(apart * scaled) + penalty).alias(f"g{i}"), (F.sum(F.abs(apart * scaled)) + abs(penalty)).alias(f"s{i}")]
+    entries = [
+        F.struct(F.lit(name).alias("feature"), F.col(f"g{i}").alias("gradient"), F.col(f"s{i}").alias("scale"))
+        for i, (name, _, _) in enumerate(terms)
+    ]
+    return rows.agg(*sums).select(F.inline(F.array(*entries)))
+
+
 def confusion_matrix(predictions: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
     """Rows: true class; columns: number of rows predicted 0 and 1."""
     return predictions.groupBy(F.col(label).alias("label")).agg(
@@ -226,29 +244,16 @@ def class_report(predictions: DataFrame, label: str, prediction: str = "predicti
 
 
 def score_histogram(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives per score; scores have four decimals, so at most 10,001 rows."""
-    return rows.groupBy(round_half_even(F.col(score), 4).alias("score")).agg(
+    """Positives and negatives per distinct score."""
+    return rows.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("positives"),
         F.count_if(F.col(label) == 0).alias("negatives"),
     )
 
 
 def roc_auc(histogram: DataFrame) -> DataFrame:
-    """Area under the ROC curve from a score histogram; ties count half, null for a single class."""
-    below = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)  # over the histogram only
-    wide = "decimal(38,0)"
-    beaten = histogram.withColumn(
-        "lower_negatives", F.coalesce(F.sum("negatives").over(below), F.lit(0)).cast(wide)
-    )
-    totals = beaten.agg(
-        F.sum(F.col("positives").cast("decimal(18,0)") * (F.col("lower_negatives").cast("decimal(18,0)") * 2 + F.col("negatives"))).alias("twice"),
-        F.sum("positives").alias("p"),
-        F.sum("negatives").alias("q"),
-    )
-    pairs = F.col("p").cast("double") * F.col("q").cast("double")
-    return totals.select(
-        round_half_even(F.try_divide(F.col("twice").cast("double") / 2.0, pairs), 4).alias("roc_auc")
-    )
+    """Area under the ROC curve of the scores as they are, with four decimals; ties count half, null for a single class."""
+    return area_under_roc(histogram).select(round_half_even(F.col("area"), 4).alias("roc_auc"))
 
 
 def training_baseline(features: DataFrame) -> DataFrame:
@@ -268,7 +273,7 @@ def mean(metric: str) -> Column:
 class Trained:
     """Fitted models, the table of their results, and the name of the best one."""
 
-    models: dict[str, PipelineModel]
+    models: dict[str, Model]
     results: DataFrame
     champion: str
 
@@ -306,28 +311,33 @@ def _best_result(results: DataFrame) -> Column:
 
 def train_and_compare(spark: SparkSession, features: DataFrame) -> Trained:
     """Fit both models on the training part, measure them on the rest, name the champion."""
-    rows = with_split(model_input(features)).persist()
+    rows, weighted = with_split(model_input(features)).persist(), None
     try:
         check_both_classes(rows)
         train, test = rows.where(~F.col("is_test")), rows.where("is_test")
         weights = F.broadcast(class_weights(train).select(MODEL_TARGET, "weight"))  # two rows
         weighted = train.join(weights, MODEL_TARGET).persist()
         n_train, n_test = weighted.count(), test.count()
-        both = test.select(MODEL_TARGET).distinct().count() > 1
-        auc = BinaryClassificationEvaluator(labelCol=MODEL_TARGET, metricName="areaUnderROC", numBins=0)
+        by_class = {row[MODEL_TARGET]: row["weight"] for row in weights.collect()}  # two rows
+        fits = {
+            MODEL_NAMES[0]: lambda: _logistic(n_train).fit(weighted),
+            MODEL_NAMES[1]: lambda: fit_forest(train, "vendor_id", MODEL_TARGET, MODEL_FEATURES, (by_class[0], by_class[1])),
+        }
         models, lines = {}, []
-        for position, (name, pipeline) in enumerate(_pipelines(n_train).items()):
-            model = pipeline.fit(weighted)
-            # one row of four numbers
-            metrics = classifier_metrics(predict(model, test), MODEL_TARGET).first()
-            area = round(auc.evaluate(model.transform(test)), 4) if both else None
+        for position, (name, fit) in enumerate(fits.items()):
+            model = fit()
+            scored = cut_lineage(predict(model, test).select(MODEL_TARGET, "probability_1", "prediction"))
+            # one row of four numbers, and one of one
+            metrics = classifier_metrics(scored, MODEL_TARGET).first()
+            area = roc_auc(score_histogram(scored, MODEL_TARGET, "probability_1")).first()[0]
             models[name] = model
             lines.append(
                 (position, name, *metrics, area, _PARAMETERS[name], n_train, n_test, len(MODEL_FEATURES), SEED)
             )
-        weighted.unpersist()
     finally:
-        rows.unpersist()
+        for held in (weighted, rows):
+            if held is not None:
+                held.unpersist()
     results = spark.createDataFrame(lines, RESULT_SCHEMA)
     champion = results.agg(_best_result(results)).first()[0]
     return Trained(models, results, champion)

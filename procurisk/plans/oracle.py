@@ -815,7 +815,7 @@ SELECT vendor_id, round(CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + exp(-d)), 6) AS
 FROM (SELECT vendor_id, (risk_score_rule - CAST(50 AS DOUBLE)) / CAST(10 AS DOUBLE) AS d FROM features)
 """
 QUERIES["review_queue"] = f"""
-SELECT vendor_id, vendor_name, risk_score_rule, high_risk_vendor, pending_invoice_amount, sla_breach_count,
+SELECT row_number() OVER (ORDER BY risk_score_rule DESC, pending_invoice_amount DESC, vendor_id) AS position, vendor_id, vendor_name, risk_score_rule, high_risk_vendor, pending_invoice_amount, sla_breach_count,
        duplicate_invoice_count, days_until_contract_end, '{WORKFLOW_ACTIONS["High"]}' AS recommended_action
 FROM points WHERE high_risk_vendor = 1 OR portfolio_risk_level = 'High'
 """
@@ -869,7 +869,7 @@ for _name, _measure in (
         f"SELECT vendor_id, vendor_name, {_measure} FROM features ORDER BY {_measure} DESC, vendor_id LIMIT 15"
     )
 QUERIES["renewal_timeline"] = """
-SELECT vendor_id, vendor_name, CAST(contract_end AS VARCHAR) AS contract_end, days_until_contract_end,
+SELECT row_number() OVER (ORDER BY days_until_contract_end NULLS FIRST, vendor_id) AS position, vendor_id, vendor_name, CAST(contract_end AS VARCHAR) AS contract_end, days_until_contract_end,
        portfolio_risk_level, CAST(annual_contract_value AS DOUBLE) AS annual_contract_value
 FROM points
 """
@@ -1065,7 +1065,7 @@ FROM features GROUP BY high_risk_vendor
 """
 QUERIES["model_checks"] = """
 SELECT COUNT(*) AS scored, 0 AS out_of_range, 0 AS wrong_level, 0 AS without_factor, 0 AS logistic_apart, COUNT(*) AS split_rows,
-       2 AS models, 1 AS champion_is_best, 0 AS odd_metrics
+       2 AS models, 1 AS champion_is_best, 0 AS odd_metrics, 0 AS not_optimal
 FROM features
 """
 QUERIES["confusion_matrix"] = """
@@ -1089,6 +1089,173 @@ FROM predictions p JOIN predictions n ON p.label = 1 AND n.label = 0
 """
 
 
+# --- models -----------------------------------------------------------------------------------------
+# The models are fitted here once more: the logistic one by accelerated gradient steps, the forest level by level.
+
+_N = len(MODEL_FEATURES)
+_TREES, _DEPTH, _BINS = 200, 6, 32
+#: distribution function of a Poisson variable of mean 1, in 28 bits
+_DRAWS = (98751971, 197503943, 246879928, 263338590, 267453256, 268276189, 268413344, 268432938)
+_VALUES = ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE)" for c in MODEL_FEATURES)
+CTES["model_rows"] = f"""
+SELECT vendor_id, f.high_risk_vendor AS label, is_test, [{_VALUES}] AS x FROM features f JOIN split s USING (vendor_id)
+"""
+CTES["model_classes"] = """
+SELECT label, CAST(SUM(COUNT(*)) OVER () AS DOUBLE) / CAST(COUNT(*) * 2 AS DOUBLE) AS weight FROM model_rows WHERE NOT is_test GROUP BY label
+"""
+CTES["model_scaling"] = f"""
+SELECT list(m ORDER BY j) AS means, list(s ORDER BY j) AS deviations
+FROM (SELECT j, avg(x[j]) AS m, stddev_pop(x[j]) AS s FROM model_rows, range(1, {_N + 1}) t(j) WHERE NOT is_test GROUP BY j)
+"""
+CTES["model_scaled"] = """
+SELECT vendor_id, label, is_test, weight, list_prepend(CAST(1 AS DOUBLE), list_transform(x, lambda v, j:
+         CASE WHEN deviations[j] > 0 THEN (v - means[j]) / deviations[j] ELSE 0 END)) AS z
+FROM model_rows JOIN model_classes USING (label), model_scaling
+"""
+CTES["logistic_task"] = f"""
+SELECT xs, ws, ys, columns, steepest, (sqrt(steepest) - 1) / (sqrt(steepest) + 1) AS momentum
+FROM (SELECT list(z ORDER BY vendor_id) AS xs, list(weight ORDER BY vendor_id) AS ws, list(label ORDER BY vendor_id) AS ys,
+             1 + 0.25 * SUM(weight * list_inner_product(z, z)) AS steepest FROM model_scaled WHERE NOT is_test),
+     (SELECT list(c ORDER BY j) AS columns FROM (SELECT j, list(z[j] ORDER BY vendor_id) AS c
+      FROM model_scaled, range(1, {_N + 2}) t(j) WHERE NOT is_test GROUP BY j))
+"""
+CTES["logistic_steps"] = f"""
+SELECT 0 AS step, list_transform(range({_N + 1}), lambda j: CAST(0 AS DOUBLE)) AS b, list_transform(range({_N + 1}), lambda j: CAST(0 AS DOUBLE)) AS ahead
+UNION ALL
+SELECT step + 1, moved, list_transform(moved, lambda m, j: m + momentum * (m - b[j]))
+FROM (SELECT step, b, momentum, list_transform(ahead, lambda a, j:
+               a - (list_inner_product(columns[j], residuals) + CASE WHEN j = 1 THEN 0 ELSE a END) / steepest) AS moved
+      FROM (SELECT step, b, ahead, columns, steepest, momentum, list_transform(xs, lambda x, i:
+                     ws[i] * (1 / (1 + exp(-list_inner_product(x, ahead))) - ys[i])) AS residuals
+            FROM logistic_steps, logistic_task WHERE step < 2000))
+"""
+CTES["logistic_scores"] = """
+SELECT vendor_id, label, is_test, 1 / (1 + exp(-list_inner_product(z, b))) AS p
+FROM model_scaled, (SELECT b FROM logistic_steps ORDER BY step DESC LIMIT 1)
+"""
+CTES["forest_cuts"] = f"""
+SELECT j, list_transform(list_sort(list_distinct(list_filter(list_transform(range(1, {_BINS}), lambda i: i * len(d) // {_BINS}), lambda i: i > 0))),
+                         lambda i: (d[i] + d[i + 1]) / 2) AS cuts
+FROM (SELECT j, list_sort(list_distinct(list(x[j]))) AS d
+      FROM (SELECT x FROM model_rows WHERE NOT is_test ORDER BY md5(vendor_id), x LIMIT 1000), range(1, {_N + 1}) t(j) GROUP BY j)
+"""
+CTES["forest_binned"] = f"""
+SELECT vendor_id, label, is_test, list_transform(x, lambda v, j: len(list_filter(all_cuts[j], lambda c: v > c))) AS bins
+FROM model_rows, (SELECT list(cuts ORDER BY j) AS all_cuts FROM forest_cuts)
+"""
+CTES["forest_places"] = f"""
+SELECT tree, node, place FROM (
+  SELECT tree, node, j AS place, row_number() OVER (PARTITION BY tree, node ORDER BY md5(tree || '|' || node || '|' || name)) AS r
+  FROM range(1, {_TREES + 1}) t(tree), range(1, {2**_DEPTH}) n(node),
+       (SELECT unnest([{_literals(MODEL_FEATURES)}]) AS name, unnest(range(1, {_N + 1})) AS j)
+) WHERE r <= {int(_N**0.5)}
+"""
+CTES["forest_rows_0"] = f"""
+SELECT vendor_id, tree, 1 AS node, label, bins, times FROM (
+  SELECT *, len(list_filter([{", ".join(map(str, _DRAWS))}], lambda bound: u >= bound)) AS times FROM (
+    SELECT *, CAST('0x' || substr(md5(tree || '|' || vendor_id), 1, 7) AS BIGINT) AS u
+    FROM forest_binned, range(1, {_TREES + 1}) t(tree) WHERE NOT is_test))
+WHERE times > 0
+"""
+
+
+def _purity(side: str) -> str:
+    return f"CASE WHEN {side}0 + {side}1 = 0 THEN 0 ELSE ({side}0 * {side}0 + {side}1 * {side}1) / ({side}0 + {side}1) END"
+
+
+for _at in range(_DEPTH):
+    CTES[f"forest_splits_{_at}"] = f"""
+SELECT tree, node, CASE WHEN gain > -1 THEN place END AS place, cut, t0, t1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, place, cut) AS r FROM (
+    SELECT *, CASE WHEN l0 + l1 > 0 AND rest > 0 AND {_purity("l")} + {_purity("r")} - {_purity("t")} > 1e-9 * (t0 + t1)
+                   THEN {_purity("l")} + {_purity("r")} - {_purity("t")} ELSE -1 END AS gain FROM (
+      SELECT *, t0 - l0 AS r0, t1 - l1 AS r1 FROM (
+        SELECT tree, node, place, cut, SUM(n0 + n1) OVER whole - SUM(n0 + n1) OVER inside AS rest,
+               CAST(SUM(n0) OVER whole AS DOUBLE) * w0 AS t0, CAST(SUM(n1) OVER whole AS DOUBLE) * w1 AS t1,
+               CAST(SUM(n0) OVER inside AS DOUBLE) * w0 AS l0, CAST(SUM(n1) OVER inside AS DOUBLE) * w1 AS l1
+        FROM (SELECT tree, node, place, bins[place] AS cut, SUM(times * (1 - label)) AS n0, SUM(times * label) AS n1
+              FROM forest_rows_{_at} JOIN forest_places USING (tree, node) GROUP BY ALL),
+             (SELECT MAX(weight) FILTER (label = 0) AS w0, MAX(weight) FILTER (label = 1) AS w1 FROM model_classes)
+        WINDOW inside AS (PARTITION BY tree, node, place ORDER BY cut), whole AS (PARTITION BY tree, node, place)))))
+WHERE r = 1
+"""
+    CTES[f"forest_rows_{_at + 1}"] = f"""
+SELECT vendor_id, tree, node * 2 + CAST(bins[place] > cut AS INTEGER) AS node, label, bins, times
+FROM forest_rows_{_at} JOIN forest_splits_{_at} USING (tree, node) WHERE place IS NOT NULL
+"""
+CTES["forest_nodes"] = (
+    " UNION ALL ".join(f"SELECT * FROM forest_splits_{level}" for level in range(_DEPTH))
+    + f"""
+UNION ALL
+SELECT tree, node, NULL, NULL, SUM(times * (1 - label)) * any_value(w0), SUM(times * label) * any_value(w1)
+FROM forest_rows_{_DEPTH}, (SELECT MAX(weight) FILTER (label = 0) AS w0, MAX(weight) FILTER (label = 1) AS w1 FROM model_classes)
+GROUP BY tree, node
+"""
+)
+CTES["forest_walk"] = f"""
+SELECT vendor_id, tree, 1 AS node FROM model_rows, (SELECT DISTINCT tree FROM forest_nodes)
+UNION ALL
+SELECT w.vendor_id, w.tree, w.node * 2 + CAST(x[place] > cuts[cut + 1] AS INTEGER)
+FROM forest_walk w JOIN forest_nodes n ON w.tree = n.tree AND w.node = n.node JOIN model_rows r ON r.vendor_id = w.vendor_id
+JOIN forest_cuts c ON c.j = n.place
+"""
+CTES["forest_scores"] = """
+SELECT vendor_id, any_value(label) AS label, any_value(is_test) AS is_test, avg(t1 / (t0 + t1)) AS p
+FROM forest_walk w JOIN forest_nodes n ON w.tree = n.tree AND w.node = n.node JOIN model_rows USING (vendor_id)
+WHERE place IS NULL GROUP BY vendor_id
+"""
+CTES["model_probabilities"] = """
+SELECT 0 AS position, 'LogisticRegression' AS model_name, * FROM logistic_scores
+UNION ALL SELECT 1, 'RandomForestClassifier', * FROM forest_scores
+"""
+CTES["model_counts"] = """
+SELECT position, model_name, COUNT(*) AS n, COUNT(*) FILTER (WHERE label = 1 AND p > 0.5) AS tp,
+       COUNT(*) FILTER (WHERE label = 0 AND p > 0.5) AS fp, COUNT(*) FILTER (WHERE label = 1 AND p <= 0.5) AS fn,
+       COUNT(*) FILTER (WHERE label = 0 AND p <= 0.5) AS tn
+FROM model_probabilities WHERE is_test GROUP BY position, model_name
+"""
+CTES["model_areas"] = f"""
+SELECT a.position, {_round("avg(CASE WHEN a.p > b.p THEN CAST(1 AS DOUBLE) WHEN a.p = b.p THEN CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)", 4)} AS roc_auc
+FROM model_probabilities a JOIN model_probabilities b ON a.position = b.position AND a.label = 1 AND b.label = 0
+WHERE a.is_test AND b.is_test GROUP BY a.position
+"""
+CTES["model_results"] = f"""
+SELECT position, model_name, {_ratio("tp + tn", "n")} AS accuracy, {_ratio("tp", "tp + fp")} AS "precision", {_ratio("tp", "tp + fn")} AS recall,
+       {_ratio("2 * tp", "2 * tp + fp + fn")} AS f1, roc_auc
+FROM model_counts JOIN model_areas USING (position)
+"""
+CTES["champion_points"] = f"""
+SELECT f.*, model_name, risk_score, portfolio_risk_level, {_exposure("portfolio_risk_level")} AS points_exposure
+FROM (SELECT vendor_id, model_name, risk_score, {_level("risk_score", 0.75, 0.45)} AS portfolio_risk_level
+      FROM (SELECT vendor_id, model_name, {_round("p", 4)} AS risk_score FROM model_probabilities WHERE model_name =
+            (SELECT model_name FROM model_results ORDER BY f1 DESC, accuracy DESC, position LIMIT 1))) JOIN features f USING (vendor_id)
+"""
+QUERIES["model_compare"] = f"""
+SELECT CAST(position AS INTEGER) AS position, model_name, accuracy, "precision", recall, f1, roc_auc,
+       (SELECT COUNT(*) FROM model_rows WHERE NOT is_test) AS train_size, (SELECT COUNT(*) FROM model_rows WHERE is_test) AS test_size,
+       CAST({_N} AS INTEGER) AS feature_count, CAST(42 AS INTEGER) AS random_state
+FROM model_results
+"""
+QUERIES["model_scores"] = f"""
+SELECT vendor_id, model_name, risk_score, portfolio_risk_level AS risk_level, array_to_string({_factors(1, False)}, '; ') AS top_risk_factors,
+       CASE WHEN portfolio_risk_level = 'High' AND contains(lower(array_to_string({_factors(1, False)}, ' ')), 'compliance')
+            THEN '{SCORER_ACTIONS["High compliance"]}'
+            WHEN portfolio_risk_level = 'High' THEN '{SCORER_ACTIONS["High"]}'
+            WHEN portfolio_risk_level = 'Medium' THEN '{SCORER_ACTIONS["Medium"]}'
+            ELSE '{SCORER_ACTIONS["Low"]}' END AS recommended_action,
+       points_exposure AS estimated_financial_exposure
+FROM champion_points
+"""
+QUERIES["logistic_scores"] = f"SELECT vendor_id, {_round('p', 4)} AS score FROM logistic_scores"
+QUERIES["forest_scores"] = f"SELECT vendor_id, {_round('p', 4)} AS score FROM forest_scores"
+QUERIES["forest_nodes"] = f"""
+SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node,
+       coalesce([{_literals(MODEL_FEATURES)}][place], '') AS feature, coalesce({_round("cuts[cut + 1]", 4)}, -1) AS threshold,
+       {_round("t0", 4)} AS weight_0, {_round("t1", 4)} AS weight_1
+FROM forest_nodes LEFT JOIN forest_cuts ON j = place
+"""
+
+
 # types of result columns that differ from what the functions used give
 _DAYS = {"days_until_contract_end": "INTEGER"}
 _TYPES: dict[str, dict[str, str]] = {
@@ -1107,7 +1274,7 @@ _TYPES: dict[str, dict[str, str]] = {
     "keyword_topk": {"rank": "INTEGER"},
     "text_vectors": {"chunk_no": "INTEGER"},
     "text_topk": {"rank": "INTEGER"},
-    "model_checks": {c: "BIGINT" for c in ("out_of_range", "wrong_level", "without_factor", "logistic_apart", "models", "odd_metrics")},
+    "model_checks": {c: "BIGINT" for c in ("out_of_range", "wrong_level", "without_factor", "logistic_apart", "models", "odd_metrics", "not_optimal")},
     "vector_topk": {"rank": "INTEGER"},
     "vendor_preferred_topk": {"rank": "INTEGER"},
     "evidence_groups": {"group_no": "INTEGER"},
@@ -1123,17 +1290,23 @@ def _typed(name: str, sql: str) -> str:
 
 def _needed(sql: str, seen: list[str]) -> None:
     for name, body in CTES.items():
-        if name not in seen and re.search(rf"(FROM|JOIN|,)\s+{name}\b", sql):
+        if name not in seen and sql != body and re.search(rf"(FROM|JOIN|,)\s+{name}\b", sql):
             _needed(body, seen)
             if name not in seen:
                 seen.append(name)
 
 
+def _kept(cte: str) -> str:
+    """Tables of the models are read many times."""
+    recursive = cte in ("logistic_steps", "forest_walk")
+    return "MATERIALIZED " if cte.startswith(("model_", "logistic_", "forest_")) and not recursive else ""
+
+
 def oracle_queries() -> dict[str, str]:
     result = {}
     for name, sql in QUERIES.items():
         needed: list[str] = []
         _needed(sql, needed)
-        head = ",\n".join(f"{cte} AS ({CTES[cte].strip()})" for cte in needed)
-        result[name] = f"WITH {head}\n{_typed(name, sql.strip())}"
+        head = ",\n".join(f"{cte} AS {_kept(cte)}({CTES[cte].strip()})" for cte in needed)
+        result[name] = f"WITH RECURSIVE {head}\n{_typed(name, sql.strip())}"
     return result

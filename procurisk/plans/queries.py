@@ -12,7 +12,7 @@ from procurisk.config import DEFAULT, DRIFT_THRESHOLDS, EXTRA_QUERY_TERMS, MODEL
 from procurisk.functions import risk
 from procurisk.functions.text import query_terms
 from procurisk.operators import contracts as contract_ops
-from procurisk.operators import drift, evidence, features, portfolio, quality, retrieval, scoring, training
+from procurisk.operators import drift, evidence, features, portfolio, quality, ranks, retrieval, scoring, training
 from procurisk.plans import jobs
 from procurisk.session import cut_lineage
 from procurisk.sources import roles, sinks
@@ -283,7 +283,8 @@ def score_normalization(spark, sf_dir):
 
 @_query
 def review_queue(spark, sf_dir):
-    return _plain(portfolio.review_queue(portfolio_features(spark, sf_dir)))
+    queue = portfolio.review_queue(portfolio_features(spark, sf_dir))
+    return _plain(ranks.with_positions(queue, portfolio.review_order())).orderBy("position")
 
 
 @_query
@@ -327,7 +328,8 @@ _REGISTRY["top_duplicates"] = partial(_top, "duplicate_invoice_count")
 
 @_query
 def renewal_timeline(spark, sf_dir):
-    return _plain(portfolio.renewal_timeline(portfolio_features(spark, sf_dir)))
+    timeline = portfolio.renewal_timeline(portfolio_features(spark, sf_dir))
+    return _plain(ranks.with_positions(timeline, portfolio.RENEWAL_ORDER)).orderBy("position")
 
 
 @_query
@@ -631,16 +633,27 @@ def auc_histogram(spark, sf_dir):
     return training.roc_auc(histogram)
 
 
+#: the models of a session and data folder, fitted once: stored tables and small fitted objects
+_TRAINED: dict[tuple[str, str], tuple[DataFrame, training.Trained]] = {}
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, training.Trained]:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        table = cut_lineage(portfolio_features(spark, sf_dir))
+        _TRAINED[key] = table, training.train_and_compare(spark, table)
+    return _TRAINED[key]
+
+
 @_query
 def model_compare(spark, sf_dir):
-    return training.train_and_compare(spark, cut_lineage(portfolio_features(spark, sf_dir))).results.drop("parameters")
+    return _trained(spark, sf_dir)[1].results.drop("parameters")
 
 
 @_query
 def model_checks(spark, sf_dir):
     """What must hold for any fitted models: counts of rows and of rows that break a rule."""
-    table = cut_lineage(portfolio_features(spark, sf_dir))
-    trained = training.train_and_compare(spark, table)
+    table, trained = _trained(spark, sf_dir)
     scored = jobs.score_portfolio_model(table, trained.models[trained.champion], trained.champion)
     logistic = training.predict(trained.models["LogisticRegression"], table)
     apart = F.abs(training.logistic_probability(trained.models["LogisticRegression"]) - F.col("probability_1"))
@@ -661,14 +674,43 @@ def model_checks(spark, sf_dir):
         best.cast("int").alias("champion_is_best"),
         F.count_if(~F.least("accuracy", "precision", "recall", "f1", "roc_auc").between(0.0, 1.0)).alias("odd_metrics"),
     )
-    # three tables of one row
-    return rules.join(apart_rows, F.lit(True)).join(lines, F.lit(True))
+    inputs = training.with_split(training.model_input(table)).where(~F.col("is_test"))
+    weighted = inputs.join(F.broadcast(training.class_weights(inputs).select(MODEL_TARGET, "weight")), MODEL_TARGET)  # two rows
+    slopes = training.logistic_gradient(trained.models["LogisticRegression"], weighted)
+    steep = slopes.agg(F.count_if(~(F.abs("gradient") <= 1e-5 * F.col("scale"))).alias("not_optimal"))
+    # four tables of one row
+    one = rules.join(apart_rows, F.lit(True)).join(lines, F.lit(True))
+    return one.join(steep, F.lit(True))
+
+
+@_query
+def logistic_scores(spark, sf_dir):
+    """The probabilities of the fitted logistic model, for every vendor."""
+    table, trained = _trained(spark, sf_dir)
+    scored = training.predict(trained.models["LogisticRegression"], table)
+    return scored.select("vendor_id", F.round("probability_1", 4).alias("score"))
+
+
+@_query
+def forest_scores(spark, sf_dir):
+    """The probabilities of the forest by descent joins through its table of nodes, for every vendor."""
+    table, trained = _trained(spark, sf_dir)
+    scored = trained.models["RandomForestClassifier"].probabilities(table, "vendor_id")
+    return scored.select("vendor_id", F.round("probability_1", 4).alias("score"))
+
+
+@_query
+def forest_nodes(spark, sf_dir):
+    """The forest itself."""
+    nodes = _trained(spark, sf_dir)[1].models["RandomForestClassifier"].nodes
+    threshold = F.coalesce(F.round("threshold", 4), F.lit(-1.0)).alias("threshold")
+    weights = [F.round(c, 4).alias(c) for c in ("weight_0", "weight_1")]
+    return nodes.select("tree", "node", F.coalesce("feature", F.lit("")).alias("feature"), threshold, *weights)
 
 
 @_query
 def model_scores(spark, sf_dir):
-    table = cut_lineage(portfolio_features(spark, sf_dir))
-    trained = training.train_and_compare(spark, table)
+    table, trained = _trained(spark, sf_dir)
     scored = jobs.score_portfolio_model(table, trained.models[trained.champion], trained.champion)
     return _plain(
         scored.select(

@@ -6,6 +6,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procurisk.operators.forest import ForestModel
+from procurisk.operators.training import Model
+from procurisk.sources.readers import path_exists
+
 
 def write_features(features: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = features.write.mode("overwrite")
@@ -51,9 +55,12 @@ def append_reviews(reviews: DataFrame, path: str) -> None:
     reviews.withColumn("updated_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Model, path: str) -> None:
+    if isinstance(model, ForestModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(spark: SparkSession, path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> Model:
+    return ForestModel.load(spark, path) if path_exists(spark, f"{path}/nodes") else PipelineModel.load(path)
