@@ -11,7 +11,6 @@ from procurisk.config import DEFAULT, OPEN_TICKET_STATUS, RiskConfig
 from procurisk.functions import risk
 from procurisk.functions.text import contract_file_name
 from procurisk.operators.skew import ROWS_PER_SALT, join_salted
-from procurisk.session import cut_lineage
 
 DUPLICATE_KEY = ("vendor_id", "invoice_date", "amount")
 TOTAL = "decimal(28,2)"
@@ -143,20 +142,35 @@ def ticket_features(tickets: DataFrame) -> DataFrame:
     )
 
 
+#: Size of the bitmap of possibly repeated keys: 16 MB. With more invoices than that, more of them are looked at closely.
+FILTER_BITS = 1 << 27
+
+
 def duplicate_flags(invoices: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Every invoice with a flag telling whether its (vendor, date, amount) occurs more than once.
 
-    No window over the key: a key shared by very many invoices would sit in one task. The repeated keys
-    come from an aggregation and are stored; the invoices meet them by key, with the rows of large groups
-    salted. Spark broadcasts the keys when the stored table is small.
+    No window over the key: a key shared by very many invoices would sit in one task. A bitmap of bounded size, built by aggregation,
+    tells which invoices may have an equal: those whose key hash falls into a bucket with another invoice. Only these are counted by
+    key and meet the repeated keys, large groups salted; all others pass by without a shuffle. The plan runs nothing by itself.
     """
-    repeated = cut_lineage(
-        invoices.groupBy(*DUPLICATE_KEY).agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    )
-    flagged = join_salted(invoices, repeated, DUPLICATE_KEY, "left", sizes=repeated, rows_per_salt=rows_per_salt)
-    return flagged.withColumn("duplicate_invoice_flag", F.col("n").isNotNull()).select(
-        *invoices.columns, "duplicate_invoice_flag"
+    keys = [F.col(c) for c in DUPLICATE_KEY]
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS)) + 1  # bitmap functions count from 1
+    shared = invoices.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    bitmap = shared.groupBy(F.expr("bitmap_bucket_number(_bucket)").alias("_part")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(_bucket))").alias("_bits")
     )
+    part, at = F.call_function("bitmap_bucket_number", bucket), F.call_function("bitmap_bit_position", bucket)
+    # FILTER_BITS / 32768 rows of 4 KB at most
+    marked = invoices.withColumns({"_part": part, "_at": at}).join(F.broadcast(bitmap), "_part", "left")
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may_repeat = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False))
+    rows = marked.withColumn("_may_repeat", may_repeat)
+    unique = rows.where(~F.col("_may_repeat")).select(*invoices.columns, F.lit(False).alias("duplicate_invoice_flag"))
+    possible = rows.where("_may_repeat").select(*invoices.columns)
+    repeated = possible.groupBy(*DUPLICATE_KEY).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    flagged = join_salted(possible, repeated, DUPLICATE_KEY, "left", sizes=repeated, rows_per_salt=rows_per_salt)
+    found = flagged.withColumn("duplicate_invoice_flag", F.col("n").isNotNull())
+    return unique.unionByName(found.select(*invoices.columns, "duplicate_invoice_flag"))
 
 
 def vendor_features(
@@ -167,9 +181,18 @@ def vendor_features(
     config: RiskConfig = DEFAULT,
 ) -> DataFrame:
     """Vendor rows with all measures, flags, labels and scores (45 columns)."""
-    joined = vendors.join(invoice_features(invoices), "vendor_id", "left").join(
-        ticket_features(tickets), "vendor_id", "left"
-    )
+    return features_of_measures(vendors, invoice_features(invoices), ticket_features(tickets), reference_date, config)
+
+
+def features_of_measures(
+    vendors: DataFrame,
+    invoice_measures: DataFrame,
+    ticket_measures: DataFrame,
+    reference_date: datetime.date,
+    config: RiskConfig = DEFAULT,
+) -> DataFrame:
+    """The same from measures per vendor. Where all three are stored by vendor, nothing is shuffled."""
+    joined = vendors.join(invoice_measures, "vendor_id", "left").join(ticket_measures, "vendor_id", "left")
     filled = joined.withColumns(
         {
             **{c: F.coalesce(F.col(c), F.lit(0)) for c in _INVOICE_MEASURES},

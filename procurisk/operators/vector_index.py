@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from procurisk.operators.skew import join_salted
-from procurisk.session import cut_lineage, ensure_checkpoint_dir
+from procurisk.session import cut_lineage, ensure_checkpoint_dir, open_bucketed, write_bucketed
 
 # the functions below travel to the workers by value, so the workers do not need the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -65,7 +65,7 @@ class VectorIndex:
     def write(self, path: str) -> None:
         """Both tables under ``path``, the blocks bucketed as they are here."""
         buckets = self.blocks.rdd.getNumPartitions()
-        _bucketed(self.blocks, f"{path}/blocks", buckets)
+        write_bucketed(self.blocks, f"{path}/blocks", "block", buckets)
         layout = self.summaries.sparkSession.range(1).select(F.lit(buckets).alias("buckets"), F.lit(self.deepest).alias("deepest"))
         self.summaries.write.parquet(f"{path}/summaries")
         layout.write.parquet(f"{path}/layout")
@@ -74,21 +74,8 @@ class VectorIndex:
 def read_index(spark: SparkSession, path: str) -> VectorIndex:
     """An index that was written before, also by another session."""
     layout = spark.read.parquet(f"{path}/layout").first()
-    stored = spark.read.parquet(f"{path}/blocks")
-    name = f"vector_blocks_{uuid.uuid4().hex}"
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
-    spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (block) INTO {layout['buckets']} BUCKETS LOCATION '{path}/blocks'"
-    )
-    return VectorIndex(spark.table(name), spark.read.parquet(f"{path}/summaries"), layout["deepest"])
-
-
-def _bucketed(blocks: DataFrame, path: str, buckets: int) -> DataFrame:
-    """The blocks as a table bucketed by block, one file a bucket."""
-    name = f"vector_blocks_{uuid.uuid4().hex}"
-    dealt = blocks.repartition(buckets, "block")
-    dealt.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
-    return blocks.sparkSession.table(name)
+    blocks = open_bucketed(spark, f"{path}/blocks", "block", layout["buckets"])
+    return VectorIndex(blocks, spark.read.parquet(f"{path}/summaries"), layout["deepest"])
 
 
 def matrix_of(vectors: pa.Array) -> np.ndarray:
@@ -199,7 +186,7 @@ def build_index(items: DataFrame, deepest: int, items_per_block: int = ITEMS_PER
     )
     spark = items.sparkSession
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-    stored = _bucketed(blocks, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = write_bucketed(blocks, folder, "block", int(spark.conf.get("spark.sql.shuffle.partitions")))
     kinds = "n long, centre array<double>, radius double, norm double"
     schema = T.StructType([stored.schema[c] for c in ("block", "scope", "dims")] + list(T._parse_datatype_string(kinds)))
     return VectorIndex(stored, cut_lineage(stored.mapInArrow(_summarised, schema)), deepest)

@@ -210,9 +210,9 @@ def monitor_drift(spark: SparkSession, vendor_features: DataFrame, folder: str)
     return spark.read.schema(report.schema).json(f"{folder}/drift_report")
 
 
-def route_reviews(analysis: DataFrame, path: str | None = None) -> DataFrame:
-    """High vendors with alert texts; with a path their review rows are appended to that table."""
+def route_reviews(analysis: DataFrame, path: str | None = None, run_id: str | None = None) -> DataFrame:
+    """High vendors with alert texts; with a path their review rows are added to that table, once per ``run_id``."""
     routed = evidence.route_reviews(analysis)
     if path is not None:
-        sinks.append_reviews(routed.select(*evidence.REVIEW_COLUMNS), path)
+        sinks.append_reviews(routed.select(*evidence.REVIEW_COLUMNS), path, run_id)
     return routed

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -14,8 +15,8 @@ from procurisk.functions.text import query_terms
 from procurisk.operators import contracts as contract_ops
 from procurisk.operators import drift, evidence, features, portfolio, quality, ranks, retrieval, scoring, training
 from procurisk.plans import jobs
-from procurisk.session import cut_lineage
-from procurisk.sources import roles, sinks
+from procurisk.session import cut_lineage, ensure_checkpoint_dir
+from procurisk.sources import feature_store, roles, sinks
 from procurisk.sources.schemas import INVOICES, TICKETS, VENDORS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +43,8 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def portfolio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def built_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features from the raw tables."""
     return features.vendor_features(
         roles.vendors(spark, sf_dir),
         roles.invoices_portfolio(spark, sf_dir),
@@ -51,6 +53,24 @@ def portfolio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: what a session has stored for a data folder: written once, read by the queries that come after
+_STORES: dict[tuple[str, str], feature_store.FeatureStore] = {}
+
+
+def portfolio_store(spark: SparkSession, sf_dir: str) -> feature_store.FeatureStore:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}"
+        tables = (roles.vendors(spark, sf_dir), roles.invoices_portfolio(spark, sf_dir), roles.tickets(spark, sf_dir))
+        _STORES[key] = feature_store.write_store(*tables, roles.REFERENCE_DATE, folder)
+    return _STORES[key]
+
+
+def portfolio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored features."""
+    return portfolio_store(spark, sf_dir).features
+
+
 def _plain(df: DataFrame) -> DataFrame:
     """Money as doubles, days as ISO text, lists as joined text: values every engine shows alike."""
     columns = []
@@ -196,7 +216,7 @@ def duplicate_flags(spark, sf_dir):
 
 @_query
 def vendor_features(spark, sf_dir):
-    return _plain(portfolio_features(spark, sf_dir)).withColumn(
+    return _plain(built_features(spark, sf_dir)).withColumn(
         "missing_compliance", F.col("missing_compliance").cast("int")
     )
 

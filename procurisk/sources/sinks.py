@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,9 +53,14 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def append_reviews(reviews: DataFrame, path: str) -> None:
-    """Append review rows with the time of writing."""
-    reviews.withColumn("updated_at", F.current_timestamp()).write.mode("append").parquet(path)
+def append_reviews(reviews: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Add the review rows of a run, with the time of writing, to the table.
+
+    A run that is repeated under its ``run_id`` replaces its own rows and leaves those of other runs; without one it is a run of its own.
+    """
+    # the run's own folder is the partition: a repeated run without rows empties it, which a dynamic overwrite would not
+    folder = f"{path.rstrip('/')}/run_id={quote(run_id or uuid.uuid4().hex, safe='')}"
+    reviews.withColumn("updated_at", F.current_timestamp()).write.mode("overwrite").parquet(folder)
 
 
 def save_model(model: Model, path: str) -> None:

@@ -97,10 +97,25 @@ def test_routing_appends_high_vendors(spark, table, contracts, tmp_path):
         "Escalate to procurement manager and block approval until review"
     )
     stored = spark.read.parquet(path)
-    assert stored.count() == 2 and len(stored.columns) == 7
+    assert stored.count() == 2 and len(stored.columns) == 8
     assert stored.where("updated_at is null").count() == 0
 
 
+def test_a_repeated_run_replaces_its_own_review_rows(spark, table, contracts, tmp_path):
+    analysis = jobs.analyze_portfolio(jobs.score_portfolio_rules(table), contracts)
+    path = str(tmp_path / "reviews")
+    for run in ("monday", "tuesday", "monday", "monday"):
+        jobs.route_reviews(analysis, path, run)
+    rows = spark.read.parquet(path).groupBy("run_id").count().collect()
+    assert {r["run_id"]: r["count"] for r in rows} == {"monday": 1, "tuesday": 1}
+    before = {r["updated_at"] for r in spark.read.parquet(path).where("run_id = 'tuesday'").collect()}
+    jobs.route_reviews(analysis.where("false"), path, "monday")  # no vendor is high any more
+    assert spark.read.parquet(path).count() == 1
+    jobs.route_reviews(analysis, path, "a/b: c%")
+    assert {r["run_id"] for r in spark.read.parquet(path).collect()} == {"tuesday", "a/b: c%"}
+    assert {r["updated_at"] for r in spark.read.parquet(path).where("run_id = 'tuesday'").collect()} == before
+
+
 # --- sources and sinks ----------------------------------------------------------------------------
 
 
