@@ -1,6 +1,6 @@
 """Exact top-k search by inner product over an impact-ordered index.
 
-Items are dealt evenly into blocks. The index of a block holds posting segments: for a level and a dimension, the items whose
+Items are dealt evenly into blocks of bounded size. The index of a block holds posting segments: for a level and a dimension, the items whose
 component there rounds to that level (the quantised impact). A search adds segments in falling order of |level|. What a
 pair can still gain is at most |query| times the norm of the item's unread rest, which the index stores for each level. Reading
 stops when that bound proves that no other item can enter the top k of its block; the items that may belong to it, ties
@@ -14,27 +14,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-#: Items of a block and queries of a batch, at most about so many.
+#: Items of a block and queries of a batch, at most about so many; blocks of wide vectors hold fewer, so that these numbers fit.
 BLOCK_ITEMS = 4096
 QUERY_BATCH = 256
-#: Width of an impact level in units of the components.
+BLOCK_NUMBERS = 1 << 22
+#: Width of an impact level in units of the components, at least; a block of larger components has wider ones and MOST_LEVELS at most.
 LEVEL_WIDTH = 8
-#: Larger components take no part: with them a score might not fit into a long.
-MOST_COMPONENT = 1 << 24
+MOST_LEVELS = 64
+LARGEST = (1 << 63) - 1
+
+
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers that are held as floating point: in it while all sums fit, else as Python integers."""
+    most = np.abs(vectors).max(initial=0.0) * np.abs(query).max(initial=0.0) * max(1, len(query))
+    if most < 2.0**53:
+        return (vectors @ query).astype(np.int64)
+    wide = [int(x) for x in query]
+    exact = [sum(int(a) * b for a, b in zip(row, wide)) for row in vectors]
+    return np.array([max(-LARGEST, min(LARGEST, x)) for x in exact], dtype=np.int64)
 
 
 class ImpactIndex:
-    """Posting segments of one block of vectors."""
+    """Posting segments of one block of vectors. ``rows`` are numbers of their own, so that items may share an id."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray):
+        order = np.lexsort((rows, ids))
+        self.ids, self.rows, self.vectors = ids[order], rows[order], vectors[order]
+        self.by_row = np.argsort(self.rows)
         n, dims = self.vectors.shape
-        levels = np.rint(self.vectors / LEVEL_WIDTH).astype(np.int64)
+        self.width = max(float(LEVEL_WIDTH), np.abs(self.vectors).max(initial=0.0) / MOST_LEVELS)
+        levels = np.rint(self.vectors / self.width).astype(np.int64)
         item, dim = np.divmod(np.arange(n * dims), max(1, dims))
         size = np.abs(levels).ravel()
         # impacts fall, then dimension and sign; level 0 adds nothing and is not stored
@@ -45,22 +58,27 @@ class ImpactIndex:
         self.segments = [
             (int(levels.flat[part[0]]), int(dim[part[0]]), item[part]) for part in np.split(posting, cuts) if part.size
         ]
-        # norms of the unread rest before the first level and after each
+        # norms of the unread rest before the first level and after each; too large ones are infinite and prove nothing
         self.steps = sorted({abs(level) for level, _, _ in self.segments}, reverse=True)
-        rest = self.vectors.astype(np.float64)
-        self.rests = [np.sqrt((rest**2).sum(axis=1))]
-        for step in self.steps:
-            rest = rest - np.where(np.abs(levels) == step, levels * LEVEL_WIDTH, 0)
-            self.rests.append(np.sqrt((rest**2).sum(axis=1)))
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row of the query, item id and score of the top k of this block, ties to smaller ids."""
-        norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-        total = np.zeros((len(self.ids), len(queries)), dtype=np.float32)
-        weights = (queries.T * LEVEL_WIDTH).astype(np.float32)
-        position = np.searchsorted(self.ids, query_ids)
-        own = np.minimum(position, len(self.ids) - 1)
-        own = np.where(self.ids[own] == query_ids, own, -1)
+        rest = self.vectors.copy()
+        with np.errstate(over="ignore"):
+            self.rests = [np.sqrt((rest**2).sum(axis=1))]
+            for step in self.steps:
+                rest = rest - np.where(np.abs(levels) == step, levels * self.width, 0.0)
+                self.rests.append(np.sqrt((rest**2).sum(axis=1)))
+
+    def search(self, query_rows: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the query, item id and score of the top k of this block, ties to smaller ids."""
+        none = (np.zeros(0, dtype=np.int64),) * 3
+        if not len(self.ids) or not len(queries):
+            return none
+        with np.errstate(over="ignore"):
+            norms = np.sqrt((queries**2).sum(axis=1))
+        total = np.zeros((len(self.ids), len(queries)))
+        weights = queries.T * self.width
+        position = np.minimum(np.searchsorted(self.rows, query_rows, sorter=self.by_row), len(self.rows) - 1)
+        own = self.by_row[position]
+        own = np.where(self.rows[own] == query_rows, own, -1)
         open_queries = np.arange(len(queries))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         done = 0
@@ -76,16 +94,19 @@ class ImpactIndex:
                 continue
             closed = []
             for column, query in enumerate(open_queries):
-                # the last term covers the rounding of the sums in single precision
-                slack = norms[query] * (self.rests[depth] + 1e-5 * self.rests[0] * math.sqrt(len(weights) + 1))
-                partial = total[:, column]
-                low, high = partial - slack, partial + slack
+                # the last term covers the rounding of the sums
+                with np.errstate(invalid="ignore", over="ignore"):
+                    slack = norms[query] * (self.rests[depth] + 1e-9 * self.rests[0] * math.sqrt(len(weights) + 1))
+                    partial = total[:, column]
+                    low, high = partial - slack, partial + slack
+                unknown = ~(np.isfinite(low) & np.isfinite(high))
+                low[unknown], high[unknown] = -np.inf, np.inf
                 if own[query] >= 0:
                     low[own[query]] = high[own[query]] = -np.inf
                 least = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
                 members = np.flatnonzero((high >= least) & (high > -np.inf))
                 if last or len(members) <= max(8 * k, len(self.ids) // 16):
-                    exact = self.vectors[members] @ queries[query]
+                    exact = products(self.vectors[members], queries[query])
                     best = np.lexsort((members, -exact))[:k]
                     found.append((np.full(len(best), query), self.ids[members[best]], exact[best]))
                     closed.append(column)
@@ -94,76 +115,81 @@ class ImpactIndex:
                 open_queries, total, weights = open_queries[keep], total[:, keep], weights[:, keep]
             if not len(open_queries):
                 break
-        if not found:
-            return (np.zeros(0, dtype=np.int64),) * 3
-        return tuple(np.concatenate([x[i] for x in found]) for i in range(3))  # type: ignore[return-value]
+        return tuple(np.concatenate([x[i] for x in found]) for i in range(3)) if found else none  # type: ignore[return-value]
 
     def look_at(self) -> float:
         return 0.2 * float(np.median(self.rests[0])) if len(self.ids) else 0.0
 
 
 def components(embeddings: DataFrame) -> DataFrame:
-    """vec_id and v, the components floor(256 * x) as longs, of the rows that take part: one row per vec_id.
+    """vec_id, row (a number of its own), v (the components floor(256 * x), whole numbers as doubles) and dims of the rows that take part.
 
-    Rows with a null id, a null vector, or a null, non-finite or too large component take no part. If an id repeats, the least of its
-    vectors (shorter first, then by components) stands for it.
+    Rows with a null id, a null vector, or a null or non-finite component take no part. Rows that share an id are items of their own. A
+    whole number of any size is exact as a double here, since 256 is a power of two; beyond the range of doubles the largest one stands.
     """
     value = F.col("embedding").cast("array<double>")
-    whole = embeddings.select("vec_id", value.alias("x")).where(
-        "vec_id IS NOT NULL AND x IS NOT NULL"
-        f" AND forall(x, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < {MOST_COMPONENT // 256})"
-    )
-    digits = whole.select(
-        F.col("vec_id").cast("long"), F.transform("x", lambda c: F.floor(256 * c).cast("long")).alias("v")
-    )
-    least = F.min(F.struct(F.size("v").alias("n"), "v")).alias("least")
-    return digits.groupBy("vec_id").agg(least).select("vec_id", F.col("least.v").alias("v"), F.col("least.n").alias("dims"))
+    numbered = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), value.alias("x"), F.monotonically_increasing_id().alias("row"))
+    whole = numbered.where("vec_id IS NOT NULL AND x IS NOT NULL AND forall(x, c -> c IS NOT NULL AND abs(c) < double('Infinity'))")
+    # from 2**45 on a double times 256 is whole already, and floor to a long would overflow
+    most = 1.7976931348623157e308
+
+    def scaled(c: Column) -> Column:
+        wide = F.greatest(F.lit(-most), F.least(F.lit(most), c * 256))
+        return F.when(F.abs(c) < 2.0**45, F.floor(c * 256).cast("double")).otherwise(wide)
+
+    return whole.select("vec_id", "row", F.transform("x", scaled).alias("v"), F.size("x").alias("dims"))
 
 
 def top_k(embeddings: DataFrame, is_query: str, k: int) -> DataFrame:
-    """query_id, rank, vec_id and score of the k best other items of each row where the SQL condition ``is_query`` holds.
+    """query_id, rank, vec_id and score of the k best other items of each row where the SQL condition ``is_query`` (on vec_id) holds.
 
-    Only vectors of equal length meet. Fewer than k others give fewer rows, none gives none. Items are dealt to blocks by a hash of the
-    id, queries go to all blocks of their length in batches; a task holds one block and one batch at a time.
+    Only vectors of equal length meet. Fewer than k others give fewer rows, none gives none; a query of a repeated id gives its rows for each
+    of its vectors. A score beyond a long is given as the largest or least one and ranks as such. Items are dealt to blocks by a hash of
+    their number, queries go to all blocks of their length in batches; a task holds one block and one batch at a time.
     """
     rows = components(embeddings)
-    blocks = math.ceil(embeddings.count() / BLOCK_ITEMS) or 1
-    batches = math.ceil(embeddings.where(is_query).count() / QUERY_BATCH) or 1
-    shape = "dims int, block int, ids binary, vectors binary"
+    n_items, n_queries = embeddings.count(), embeddings.where(is_query).count()
+    # wider vectors lie in more blocks
+    share = F.greatest(F.lit(1.0), F.col("dims") * (BLOCK_ITEMS / BLOCK_NUMBERS))
+    blocks = F.greatest(F.lit(1), F.ceil(share * n_items / BLOCK_ITEMS)).cast("int")
+    batches = F.lit(math.ceil(n_queries / QUERY_BATCH) or 1)
+    shape = "dims int, block int, ids binary, rows binary, vectors binary"
 
     def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["vec_id"].to_numpy(dtype="<i8")
-        vectors = np.array(group["v"].tolist(), dtype="<i4").reshape(len(ids), key[0])
-        return pd.DataFrame({"dims": [key[0]], "block": [key[1]], "ids": [ids.tobytes()], "vectors": [vectors.tobytes()]})
-
-    def in_blocks(part: DataFrame, number: int) -> DataFrame:
-        dealt = part.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(number)).cast("int"))
+        ids, numbers = (group[c].to_numpy(dtype="<i8") for c in ("vec_id", "row"))
+        vectors = np.array(group["v"].tolist(), dtype="<f8").reshape(len(ids), key[0])
+        return pd.DataFrame(
+            {"dims": [key[0]], "block": [key[1]], "ids": [ids.tobytes()], "rows": [numbers.tobytes()], "vectors": [vectors.tobytes()]}
+        )
+
+    def in_blocks(part: DataFrame, number: Column) -> DataFrame:
+        dealt = part.withColumn("block", F.pmod(F.xxhash64("row"), number).cast("int"))
         return dealt.groupBy("dims", "block").applyInPandas(packed, shape)
 
     items = in_blocks(rows, blocks)
     queries = in_blocks(rows.where(is_query), batches).select(
         "dims",
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
         F.col("ids").alias("query_ids"),
+        F.col("rows").alias("query_rows"),
         F.col("vectors").alias("queries"),
     )
+    columns = ("dims", "ids", "rows", "vectors", "query_ids", "query_rows", "queries")
 
     def search(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, index = None, None
         for frame in stream:
-            for dims, ids, vectors, query_ids, asked in zip(
-                frame["dims"], frame["ids"], frame["vectors"], frame["query_ids"], frame["queries"]
-            ):
-                if held != (dims, ids):
-                    numbers = np.frombuffer(ids, dtype="<i8")
-                    index = ImpactIndex(numbers, np.frombuffer(vectors, dtype="<i4").reshape(len(numbers), dims).astype(np.int64))
-                    held = (dims, ids)
-                numbers = np.frombuffer(query_ids, dtype="<i8")
-                matrix = np.frombuffer(asked, dtype="<i4").reshape(len(numbers), dims).astype(np.int64)
-                row, vec_id, score = index.search(numbers, matrix, k)
-                yield pd.DataFrame({"query_id": numbers[row], "vec_id": vec_id, "score": score})
-
-    pairs = items.join(queries, ["dims", "block"]).select("dims", "ids", "vectors", "query_ids", "queries")
-    best = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+            for dims, ids, numbers, vectors, query_ids, query_rows, asked in zip(*(frame[c] for c in columns)):
+                if held != (dims, numbers):
+                    own = np.frombuffer(ids, dtype="<i8")
+                    index = ImpactIndex(own, np.frombuffer(numbers, dtype="<i8"), np.frombuffer(vectors, dtype="<f8").reshape(len(own), dims))
+                    held = (dims, numbers)
+                names, places = np.frombuffer(query_ids, dtype="<i8"), np.frombuffer(query_rows, dtype="<i8")
+                row, vec_id, score = index.search(places, np.frombuffer(asked, dtype="<f8").reshape(len(names), dims), k)
+                yield pd.DataFrame({"query_row": places[row], "query_id": names[row], "vec_id": vec_id, "score": score})
+
+    pairs = items.join(queries, ["dims", "block"]).select(*columns)
+    best = pairs.mapInPandas(search, "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")

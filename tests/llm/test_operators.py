@@ -1,9 +1,11 @@
 """Each training-data operator against brute force, a round trip or held-out labels, and on awkward tables."""
 
 import hashlib
+import math
 import os
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -62,33 +64,57 @@ def vectors(spark, rows):
 
 
 def brute_top_k(rows, k):
-    items = {}
+    items = []
     for vec_id, x in rows:
         if vec_id is None or x is None or any(c is None or not np.isfinite(c) for c in x):
             continue
-        v = [int(np.floor(256 * float(np.float32(c)))) for c in x]
-        items[vec_id] = min(items.get(vec_id, (len(v), v)), (len(v), v))
+        items.append((vec_id, [math.floor(Fraction(float(np.float32(c))) * 256) for c in x]))
     found = []
-    for q, (n, v) in items.items():
+    for at, (q, v) in enumerate(items):
         if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, (m, w) in items.items() if i != q and m == n)
+            scored = sorted(
+                (-max(-impact_index.LARGEST, min(impact_index.LARGEST, sum(a * b for a, b in zip(v, w)))), i)
+                for place, (i, w) in enumerate(items) if place != at and len(w) == len(v)
+            )
             found += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1)]
     return sorted(found)
 
 
+def found_top_k(table, k):
+    got = impact_index.top_k(table, "vec_id % 50 = 0", k)
+    return sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect()))
+
+
 def test_top_k(spark, monkeypatch):
     random_ = np.random.default_rng(5)
     rows = [(i, random_.normal(0, 0.12, 16).astype(np.float32).tolist()) for i in range(400)]
     rows += [(1000 + i, rows[50][1]) for i in range(60)] + [(7, rows[7][1]), (7, rows[8][1])]
     rows += [(2000, None), (2050, [None] * 16), (2100, [float("nan")] * 16), (2150, [float("inf")] * 16), (None, rows[0][1])]
     rows += [(3000, [0.5, 0.5]), (3001, [0.1, 0.2]), (3050, []), (3051, []), (3100, [0.0] * 16)]
+    # rows that share an id are candidates, and queries, of their own
+    rows += [(50, rows[60][1]), (50, rows[50][1]), (1, [0.9] * 16)]
+    clashing = vectors(spark, rows).select("*", *(F.lit("x").alias(c) for c in ("row", "rank", "score", "block", "dims", "v")))
     monkeypatch.setattr(impact_index, "BLOCK_ITEMS", 64)
     monkeypatch.setattr(impact_index, "QUERY_BATCH", 4)
-    got = impact_index.top_k(vectors(spark, rows), "vec_id % 50 = 0", 5)
-    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_top_k(rows, 5)
+    assert found_top_k(clashing, 5) == brute_top_k(rows, 5)
     assert impact_index.top_k(vectors(spark, rows).limit(0), "vec_id % 50 = 0", 5).count() == 0
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    """No component is too large: not for taking part, not for exact scores, and not for the number of levels."""
+    random_ = np.random.default_rng(6)
+    rows = [(50, [1.0, 1.0]), (2, [70000.0, 0.0]), (3, [0.1, 0.2]), (4, [-3.0e38, 1.0]), (100, [1e10, -1e10]), (5, [1e10, 1e10 + 4096])]
+    assert found_top_k(vectors(spark, rows), 5) == brute_top_k(rows, 5)
+    rows = [(i, (random_.normal(0, 1, 8) * 10.0 ** random_.integers(-2, 8)).astype(np.float32).tolist()) for i in range(300)]
+    monkeypatch.setattr(impact_index, "BLOCK_ITEMS", 100)
+    monkeypatch.setattr(impact_index, "BLOCK_NUMBERS", 400)  # eight numbers a vector: fifty items a block
+    assert found_top_k(vectors(spark, rows), 4) == brute_top_k(rows, 4)
+    for deviation in (0.125, 40.0, 1000.0):
+        matrix = np.floor(256 * random_.normal(0, deviation, (500, 16)))
+        index = impact_index.ImpactIndex(np.arange(500), np.arange(500), matrix)
+        assert len(index.steps) <= impact_index.MOST_LEVELS
+
+
 # repetition
 
 
@@ -140,6 +166,9 @@ def test_licenses(spark, awkward, empty):
     found = {r["doc_id"]: (r["whole_license"], r["licenses"]) for r in rows if r["doc_id"] < 5}
     assert found == {1: (None, "MIT"), 2: ("all-rights-reserved",) * 2, 3: (None, ""), 4: ("ISC", "ISC")}
     assert len(rows) == 6 and licenses.scan(awkward).count() == len(AWKWARD) and licenses.scan(empty).count() == 0
+    # a long line counts as well as a long text
+    long = [(1, "=" * 300_000 + " All rights reserved."), (2, "x\n" + "=" * 300_000 + " All rights reserved.\ny")]
+    assert {r["doc_id"]: r["licenses"] for r in licenses.scan(documents(spark, long)).collect()} == {1: "all-rights-reserved", 2: "all-rights-reserved"}
     extra = spark.createDataFrame([("own", "The MIT licence")], "license string, text string")
     assert licenses.scan(documents(spark, texts), extra).where("whole_license = 'own'").count() == 1
 
