@@ -74,7 +74,7 @@ def scan(docs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """doc_id, text_digest, whole_license (of the entire text, else null), licenses (all, of the text and its lines, by comma).
 
     Null and empty texts have the digest of the empty form and no licence. Rows that repeat an id, null included, share the licences of
-    their lines. A line longer than any known text (with room for what the canonical form drops) cannot match and is not digested.
+    their lines. Every line is digested, however long it is.
     The fixed list has a few rows and is broadcast; with ``extra`` the optimizer chooses the join from the sizes. Known digests
     are unique, so that no join multiplies rows, and only hits are shuffled besides ids and digests.
     """
@@ -87,8 +87,6 @@ def scan(docs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
         "doc_id", "text_digest", F.col("license").alias("whole_license")
     )
     lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    if extra is None:
-        lines = lines.where(F.char_length("line") <= 4 * max(len(text) for _, text in KNOWN))
     hits = (
         lines.select("doc_id", digest(F.col("line")).alias("digest"))
         .join(sized, "digest")
