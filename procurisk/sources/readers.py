@@ -44,6 +44,20 @@ def read_contracts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def read_contract_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of every ``*.txt`` of a folder with its place: files of any size, cut into splits.
+
+    ``split_start`` and ``at`` order the lines of a file; only plain line ends cut, as in the row form.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.txt").option("lineSep", "\n").text(folder)
+    return lines.select(
+        F.col("_metadata.file_name").alias("contract_file"),
+        F.col("_metadata.file_block_start").alias("split_start"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias("line"),
+    )
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
