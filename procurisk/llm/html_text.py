@@ -1,8 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
 Each block of text has a path of tags from the root. Per path, the mean text length and the mean number of punctuation marks
-are taken over all its blocks; both are smoothed along the page, fused into one value, and paths below a share of the page's
-best value fall away. What is left marks the element that holds the article.
+are taken over all its blocks; both are smoothed along the page and fused into one value. Names of elements are evidence: they take
+away most of a path's value (menus, headers, footers, notices, forms, comments), but no block falls away by its name alone. Paths below a
+share of the page's best value fall away; the element that holds most of what is left is the article, and its blocks are the text.
+
+A page is read in time and memory linear in its length: elements are numbered as they open, an element holds the numbers up to its last,
+and sums over elements are carried from child to parent once.
 """
 
 from __future__ import annotations
@@ -22,7 +26,10 @@ BLOCKS = frozenset(
     "tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|textarea|title|noscript|template|svg|math|iframe|object|select|button"
+RAW = "script|style|textarea|title|noscript|template|iframe"
+#: Controls: their text is not the page's; an open one ends where a block begins or ends.
+CONTROLS = frozenset("button select option label".split())
+CONTAINERS = frozenset("article main section div body html table center form fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an element of the same set ends, up to the container named last.
 SIBLINGS = {
@@ -40,9 +47,11 @@ ASIDE_NAMES = re.compile(
     re.IGNORECASE,
 )
 COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?<!no[_-])(?<!has[_-])(?:comments?|disqus|repl(?:y|ies))(?=$|[\s_-])", re.IGNORECASE)
+#: Quotes count after an equals sign only; the groups are atomic, so that no text is read twice.
+ATTRIBUTES = r"(?>[^<>=]+|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/><]*+)({ATTRIBUTES})>|<[!?/][^<>]*+>|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -54,174 +63,242 @@ MOST_LINKED = 0.5
 #: Shares of the page's unlinked text: what an element with an aside name must exceed to be kept, what it needs besides an h1, and
 #: what may stand outside one that is named for comments.
 MOST_TEXT, H1_TEXT, OUTSIDE_COMMENTS = 0.5, 0.1, 0.1
+#: What names leave of a path's value: those of asides, and not being in the page's article or main where there is one. And
+#: the least value of text at all: a single letter outside asides has it, a whole aside has not.
+ASIDE_EVIDENCE, OUTSIDE_EVIDENCE = 0.01, 0.5
+LEAST_VALUE = 0.45
 
 
-class Block:
-    """A run of text between block tags: its path, the elements around it, and whether one of them is aside."""
+class Page:
+    """Elements by number (0 is none) and blocks of text in order.
 
-    __slots__ = ("path", "around", "tag", "aside", "doubtful", "text", "linked")
+    For elements: ``parent``, ``kind``, ``path`` (a number for the block tags and names from the root), ``named`` (True: a name of an
+    aside, None: in doubt, False: neither) and ``last``, the highest number inside. For blocks: ``element``, ``text``, ``linked``
+    (characters inside links).
+    """
 
-    def __init__(self, stack: list[tuple[str, int, str, bool | None]], text: str, linked: int):
-        outer = [x for x in stack if x[0] in BLOCKS]
-        self.path = "/".join(x[2] for x in outer)
-        self.around = {x[1]: x[0] for x in outer}
-        self.tag = outer[-1][0] if outer else ""
-        self.aside = any(x[3] for x in stack)
-        self.doubtful = [x[1] for x in stack if x[3] is None]
-        self.text = text
-        self.linked = linked
+    def __init__(self, source: str):
+        self.parent, self.kind, self.path, self.names = [0], [""], [0], [""]
+        self.named: list[bool | None] = [False]
+        self.tag = [0]  # the innermost block element
+        self.of_comments: set[int] = set()
+        self.element: list[int] = []
+        self.text: list[str] = []
+        self.linked: list[int] = []
+        self._read(source)
+        self.last = list(range(len(self.parent)))
+        for number in range(len(self.parent) - 1, 0, -1):
+            self.last[self.parent[number]] = max(self.last[self.parent[number]], self.last[number])
 
+    def _read(self, source: str) -> None:
+        stack: list[int] = []
+        #: places on the stack by kind of element, and those of blocks
+        open_at: dict[str, list[int]] = {}
+        blocks_at: list[int] = []
+        paths: dict[tuple[int, str], int] = {}
+        parts: list[str] = []
+        linked = 0
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, character references decoded and white space made one blank.
+        def close_to(depth: int) -> None:
+            while len(stack) > depth:
+                kind = self.kind[stack.pop()]
+                open_at[kind].pop()
+                if blocks_at and blocks_at[-1] == len(stack):
+                    blocks_at.pop()
 
-    An element with a name of ``ASIDE_NAMES`` (or a form) is in doubt until all is read: see ``kept_elements``.
-    """
-    found: list[Block] = []
-    stack: list[tuple[str, int, str, bool | None]] = []
-    #: the doubtful elements around each main, h1 and article (its own number first), and those named for comments
-    holders: dict[str, list[tuple[int, list[int]]]] = {"main": [], "h1": [], "article": []}
-    of_comments: set[int] = set()
-    parts: list[str] = []
-    linked = 0
-    number = 0
-
-    def close_block() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                found.append(Block(stack, text, linked))
-            parts.clear()
-        linked = 0
+        def nearest(kinds) -> int:
+            return max((open_at[kind][-1] for kind in kinds if open_at.get(kind)), default=-1)
 
-    for token in TOKEN.finditer(page):
-        name = token[3]
-        if name is None:
-            body = token[0]
-            if body[0] != "<" or body == "<":
-                parts.append(body)
-                if any(x[0] == "a" for x in stack):
-                    linked += len(body.strip())
-            continue
-        name = name.lower()
-        if name in BLOCKS:
-            close_block()
-        elif name == "br":
-            parts.append(" ")
-        if token[2]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
-                    break
-                if name not in BLOCKS and stack[depth][0] in BLOCKS:
-                    break  # an inline end tag does not end a block
-            continue
-        if name in VOID:
-            continue
-        open_names = [x[0] for x in stack]
-        if name in BLOCKS and "p" in open_names:
-            del stack[open_names.index("p") :]
-        elif name in SIBLINGS:
-            ended, container = SIBLINGS[name]
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in container:
-                    break
-                if stack[depth][0] in ended:
-                    del stack[depth:]
-                    break
-        names = " ".join(a or b or c for a, b, c in NAMES.findall(token[4])) if "=" in token[4] else ""
-        inside = any(x[0] in ("article", "main") for x in stack)
-        aside: bool | None = name in ASIDE or (name == "header" and not inside)
-        if not aside and (name in ASIDE_PERHAPS or (names and ASIDE_NAMES.search(names))):
-            aside = None
-        if name in ("html", "body"):
-            aside = False
-        number += 1
-        if aside is None and COMMENT_NAMES.search(names):
-            of_comments.add(number)
-        stack.append((name, number, f"{name}.{names}" if names else name, aside))
-        if name in holders and not any(x[3] for x in stack):
-            holders[name].append((number, [x[1] for x in stack if x[3] is None]))
-    close_block()
-    kept = kept_elements(found, holders, of_comments)
-    for block in found:
-        block.aside = block.aside or not kept.issuperset(block.doubtful)
-    return found
-
-
-def kept_elements(page: list[Block], holders: dict[str, list[tuple[int, list[int]]]], of_comments: set[int]) -> set[int]:
-    """The doubtful elements that hold the page's main, its longest article that is not in doubt itself, or much of its unlinked text."""
-    inside: dict[int, int] = {}
-    total = 0
-    for block in page:
-        if not block.aside:
-            size = max(0, len(block.text) - block.linked)
-            total += size
-            for element in {*block.around, *block.doubtful}:
-                inside[element] = inside.get(element, 0) + size
-    # beside a main or an article that is not in doubt itself, the size of an element says nothing: a short page has a long ad
-    sure = {number for name in ("main", "article") for number, around in holders[name] if number not in around}
-    doubtful = {x for block in page if not sure or not sure.isdisjoint(block.around) for x in block.doubtful}
-    kept = {
-        x
-        for x in doubtful
-        if inside.get(x, 0) > ((1 - OUTSIDE_COMMENTS) if x in of_comments else MOST_TEXT) * total
-    }
-    kept.update(x for _, around in holders["main"] for x in around)
-    kept.update(x for _, around in holders["h1"] for x in around if inside.get(x, 0) >= H1_TEXT * total)
-    plain = [(inside.get(number, 0), around) for number, around in holders["article"] if number not in around]
-    if plain:
-        kept.update(max(plain, key=lambda x: x[0])[1])
-    return kept
-
-
-def path_values(page: list[Block]) -> np.ndarray:
-    """The fused value of each block: smoothed ratios of text and of punctuation of its path."""
-    paths = {path: i for i, path in enumerate(dict.fromkeys(block.path for block in page))}
-    at = np.array([paths[block.path] for block in page])
+        def close_block() -> None:
+            nonlocal linked
+            if parts:
+                text = " ".join(html.unescape("".join(parts)).split())
+                if text:
+                    self.element.append(stack[-1] if stack else 0)
+                    self.text.append(text)
+                    self.linked.append(min(linked, len(text)))
+                parts.clear()
+            linked = 0
+
+        for token in TOKEN.finditer(source):
+            kind = token[3]
+            if kind is None:
+                body = token[0]
+                if (body[0] != "<" or body == "<") and nearest(CONTROLS) < 0:
+                    parts.append(body)
+                    if open_at.get("a"):
+                        linked += len(body.strip())
+                continue
+            kind = kind.lower()
+            if kind in BLOCKS:
+                close_block()
+                control = min((places[0] for places in map(open_at.get, CONTROLS) if places), default=None)
+                if control is not None:
+                    close_to(control)
+            elif kind == "br":
+                parts.append(" ")
+            if token[2]:
+                at = nearest([kind])
+                # an inline end tag does not end a block
+                if at >= 0 and (kind in BLOCKS or not blocks_at or blocks_at[-1] < at):
+                    close_to(at)
+                continue
+            if kind in VOID:
+                continue
+            if kind in BLOCKS and open_at.get("p"):
+                close_to(open_at["p"][0])
+            elif kind in SIBLINGS:
+                ended, container = SIBLINGS[kind]
+                at = nearest(ended)
+                if at > nearest(container):
+                    close_to(at)
+            names = " ".join(a or b or c for a, b, c in NAMES.findall(token[4])) if "=" in token[4] else ""
+            inside = bool(open_at.get("article") or open_at.get("main"))
+            named: bool | None = kind in ASIDE or (kind == "header" and not inside)
+            if not named and (kind in ASIDE_PERHAPS or (names and ASIDE_NAMES.search(names))):
+                named = None
+            if kind in ("html", "body"):
+                named = False
+            number, up = len(self.parent), stack[-1] if stack else 0
+            if named is None and COMMENT_NAMES.search(names):
+                self.of_comments.add(number)
+            self.parent.append(up)
+            self.kind.append(kind)
+            self.named.append(named)
+            label = f"{kind}.{names}" if names else kind
+            self.path.append(paths.setdefault((self.path[up], label), len(paths) + 1) if kind in BLOCKS else self.path[up])
+            self.tag.append(number if kind in BLOCKS else self.tag[up])
+            open_at.setdefault(kind, []).append(len(stack))
+            if kind in BLOCKS:
+                blocks_at.append(len(stack))
+            stack.append(number)
+        close_block()
+
+    def summed(self, own: list[float]) -> list[float]:
+        """Values of elements with those of all elements inside."""
+        total = list(own)
+        for number in range(len(total) - 1, 0, -1):
+            total[self.parent[number]] += total[number]
+        return total
+
+    def region(self, element: int) -> int:
+        """The article or main around an element (or itself), else the nearest container that is not a single run of text."""
+        around = []
+        while element:
+            around.append(element)
+            element = self.parent[element]
+        meant = [x for x in around if self.kind[x] in ("article", "main")]
+        return (meant or [x for x in around if self.kind[x] in CONTAINERS] or [0])[0]
+
+    def over_blocks(self, values) -> list[float]:
+        """Sums of block values over the elements that hold them."""
+        own = [0.0] * len(self.parent)
+        for element, value in zip(self.element, values):
+            own[element] += value
+        return self.summed(own)
+
+    def asides(self) -> tuple[list[bool], list[bool]]:
+        """For each element whether its name or one around it speaks against it, and whether it is part of a main or an article.
+
+        Elements in doubt that hold the article are cleared."""
+        n = len(self.parent)
+        definite = [False] * n  # inside an element with the name of an aside
+        for number in range(1, n):
+            definite[number] = self.named[number] is True or definite[self.parent[number]]
+        sizes = [max(0, len(text) - linked) for text, linked in zip(self.text, self.linked)]
+        inside = self.over_blocks(0 if definite[e] else size for e, size in zip(self.element, sizes))
+        total = inside[0]
+
+        def marked(kinds) -> list[int]:
+            return [x for x in range(1, n) if self.kind[x] in kinds and not definite[x]]
+
+        def holding(numbers) -> list[float]:
+            own = [0.0] * n
+            for x in numbers:
+                own[x] = 1.0
+            return self.summed(own)
+
+        # beside a main or an article that is not in doubt itself, the size of an element says nothing: a short page has a long ad
+        sure = [x for x in marked(("main", "article")) if self.named[x] is not None]
+        in_sure = [False] * n
+        for number in range(1, n):
+            in_sure[number] = in_sure[self.parent[number]]
+        for x in sure:
+            in_sure[x] = True
+        for number in range(1, n):
+            in_sure[number] = in_sure[number] or in_sure[self.parent[number]]
+        weighed = holding({e for e in self.element if not sure or in_sure[e]})
+        mains, titles = holding(marked(("main",))), holding(marked(("h1",)))
+        cleared: set[int] = set()
+        for x in range(1, n):
+            if self.named[x] is None:
+                share = 1 - OUTSIDE_COMMENTS if x in self.of_comments else MOST_TEXT
+                if (weighed[x] and inside[x] > share * total) or mains[x] or (titles[x] and inside[x] >= H1_TEXT * total):
+                    cleared.add(x)
+        plain = [x for x in marked(("article",)) if self.named[x] is not None]
+        if plain:
+            x = max(plain, key=lambda number: (inside[number], -number))
+            while x:
+                cleared.add(x)
+                x = self.parent[x]
+        bad = [False] * n
+        for x in range(1, n):
+            bad[x] = bad[self.parent[x]] or self.named[x] is True or (self.named[x] is None and x not in cleared)
+        return bad, [good and not against for good, against in zip(in_sure, bad)]
+
+
+def path_values(page: Page, evidence: np.ndarray) -> np.ndarray:
+    """The fused value of each block: smoothed ratios of text and of punctuation of its path, times the evidence of names."""
+    paths = {path: i for i, path in enumerate(dict.fromkeys(page.path[e] for e in page.element))}
+    at = np.array([paths[page.path[e]] for e in page.element])
     number = np.bincount(at)
+    sizes = [len(text) - linked for text, linked in zip(page.text, page.linked)]
+    marks = [len(PUNCTUATION.findall(text)) for text in page.text]
     ratios = []
-    for measure in (lambda b: len(b.text) - b.linked, lambda b: len(PUNCTUATION.findall(b.text))):
-        ratio = (np.bincount(at, [max(0, measure(block)) for block in page]) / number)[at]
+    for measure in (sizes, marks):
+        ratio = (np.bincount(at, measure) / number)[at]
         padded = np.pad(ratio, 1, mode="edge")
         ratios.append(SMOOTH[0] * padded[:-2] + SMOOTH[1] * padded[1:-1] + SMOOTH[2] * padded[2:])
-    value = np.log1p(ratios[0]) * np.log1p(ratios[1])
+    value = np.log1p(ratios[0]) * np.log1p(1 + ratios[1]) * evidence
     # one value per path: that of its blocks on average
     return (np.bincount(at, value) / number)[at]
 
 
-def main_text(page: str) -> str:
-    """The blocks of the article, joined by an empty line; empty if the page has no text."""
-    found = [block for block in blocks(page) if not block.aside]
-    if not found:
+def main_text(source: str) -> str:
+    """The blocks of the article, joined by an empty line; empty if the page has no text of an article's kind.
+
+    Blocks of chosen paths are text wherever they stand. The innermost element that holds them all is the article's region; in it, short
+    blocks (headings, list items, captions) are attached, unless they are menus or their names speak against them.
+    """
+    page = Page(source)
+    if not page.text:
+        return ""
+    bad, inside = page.asides()
+    against = np.array([bad[e] for e in page.element])
+    within = np.array([inside[e] for e in page.element])
+    evidence = np.where(against, ASIDE_EVIDENCE, np.where(within | ~within.any(), 1.0, OUTSIDE_EVIDENCE))
+    value = path_values(page, evidence)
+    chosen = value >= max(LEAST_VALUE, LEAST_SHARE * value.max())
+    if not chosen.any():
         return ""
-    value = path_values(found)
-    weight = np.array([len(block.text) - min(block.linked, len(block.text)) for block in found], dtype=float)
-    chosen = value >= LEAST_SHARE * value.max()
-    held: dict[int, float] = {}
-    for block, size in zip(found, np.where(chosen, weight, 0.0)):
-        for element in block.around:
-            held[element] = held.get(element, 0.0) + size
-    total = held and max(held.values()) or 0.0
-    kinds = {element: kind for block in found for element, kind in block.around.items()}
-    articles = [x for x in held if kinds[x] in ("article", "main") and 2 * held[x] > total]
-    # the innermost element that holds most of the chosen text, else the innermost that holds all of it
-    inner = max(articles or [x for x in held if held[x] >= total], default=0)
-    parts = {inner} if articles else set()
-    if articles and kinds[inner] == "article":
-        # with the other articles that hold chosen text, the innermost element that holds them all
-        parts |= {x for x in held if kinds[x] == "article" and held[x] > 0}
-        within = [set(block.around) for block, good in zip(found, chosen) if good and not parts.isdisjoint(block.around)]
-        inner = max(set.intersection(*within) if len(parts) > 1 else parts, default=0)
+    held = page.over_blocks(chosen.astype(float))
+    region = page.region(max(x for x in range(len(held)) if held[x] >= held[0]))
+    # the elements meant for text, in which every block is attached; elsewhere a bare div is not
+    part_of = [False] * len(held)
+    for x in range(1, len(held)):
+        part_of[x] = part_of[page.parent[x]] or (held[x] > 0 and page.kind[x] in ("article", "main"))
     kept = []
-    for block, good in zip(found, chosen):
-        if inner and inner not in block.around:
+    begun = False
+    for element, text, linked, good, aside in zip(page.element, page.text, page.linked, chosen, against):
+        if not (region <= element <= page.last[region]):
             continue
-        menu = block.linked > MOST_LINKED * len(block.text) and block.tag in ("li", "ul", "ol", "div", "td")
-        part = not parts.isdisjoint(block.around)
-        if good or ((part or block.tag in HEADINGS or block.tag not in ("div", "body", "html", "section")) and not menu):
-            kept.append(block.text)
+        tag = page.kind[page.tag[element]]
+        begun = begun or good
+        # a list of links after the article's first text is its own: sources, further reading
+        menu = linked > MOST_LINKED * len(text) and tag in ("li", "ul", "ol", "div", "td") and not (begun and part_of[element])
+        attached = part_of[element] or tag in HEADINGS or tag not in ("div", "body", "html", "section", "")
+        if good or (attached and not menu and not aside):
+            kept.append(text)
     return "\n\n".join(kept)
 
 
