@@ -4,7 +4,7 @@ Pieces of the model hold white space only at their start. So a text falls into c
 it) that are encoded independently: the count of a prefix is the count of the chunks before it plus that of the part of
 the chunk that it cuts. Chunks repeat, hence each distinct one is encoded once per task. Inside a chunk a dynamic program
 finds the count of all prefixes: the encoding of a prefix ends in exactly one piece that is compatible with the piece
-before it, so one step per position is enough.
+before it, so one step per position is enough. The counts at every prefix can be stored, and then answer any question by a look-up.
 """
 
 from __future__ import annotations
@@ -16,12 +16,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from procurisk.llm import batches
 
-#: Distinct chunks that a task remembers before it starts anew.
+#: Distinct chunks that a task remembers before it starts anew, by number and by characters (in scripts without blanks a chunk is
+#: as long as a paragraph), and pairs of pieces.
 REMEMBERED = 400_000
+REMEMBERED_CHARS = 16 << 20
+REMEMBERED_PAIRS = 1_000_000
 BLANKS = " ▁"
 #: The first blank of a run after a word; what follows it is a chunk, its other blanks included.
 CHUNK_END = re.compile(f"(?<=[^{BLANKS}])[{BLANKS}]")
@@ -34,16 +38,19 @@ class ChunkCounter:
     def __init__(self, model: bytes):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.known: dict[str, int] = {}
+        self.known_chars = 0
         self.pairs: dict[tuple[str, str], bool] = {}
         self.vocabulary: set[str] | None = None
 
     def counts(self, chunks: Sequence[str]) -> np.ndarray:
         """Tokens of each chunk, given without its first blank."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.known_chars > REMEMBERED_CHARS:
             self.known.clear()
+            self.known_chars = 0
         new = [chunk for chunk in chunks if chunk not in self.known]
         if new:
             self.known.update(zip(new, map(len, self.model.encode(new, num_threads=1))))
+            self.known_chars += sum(map(len, new))
         return np.fromiter((self.known[chunk] for chunk in chunks), dtype=np.int64, count=len(chunks))
 
     def pieces(self, text: str) -> list[str]:
@@ -52,6 +59,8 @@ class ChunkCounter:
 
     def fits(self, before: str, piece: str) -> bool:
         pair = (before, piece)
+        if len(self.pairs) > REMEMBERED_PAIRS:
+            self.pairs.clear()
         if pair not in self.pairs:
             self.pairs[pair] = self.pieces(before + piece) == ([before, piece] if before else [piece])
         return self.pairs[pair]
@@ -140,6 +149,49 @@ def longest_within(counter: ChunkCounter, chunks: pa.Array, tokens: np.ndarray,
     return begin + (fitting[-1] if fitting else 0)
 
 
+def prefixes(docs: DataFrame, model: bytes, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """doc_id and ``prefix_tokens``: the tokens of the text's first n characters at place n, for every n from 0 to its length.
+
+    Stored, this table answers all questions on truncation and budgets (:func:`tokens_of` and :func:`longest_prefix`) by look-ups in
+    DataFrame expressions; nothing is encoded any more. Each distinct chunk of a piece of text goes through the dynamic program once. Null
+    text counts as empty; null ids and repeated rows stay.
+    """
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = ChunkCounter(model)
+        for batch in stream:
+            for piece in batches.pieces(batch, "text", 1 << 20):
+                chunks, counts, tokens, _ = prefix_table(batches.texts(piece), counter)
+                code, distinct = batches.codes(chunks)
+                inside = [np.array(counter.prefix_counts(chunk), dtype=np.int64) for chunk in distinct.to_pylist()]
+                first = batches.bounds(counts)[:-1]
+                done = np.concatenate([[0], tokens[:-1]])
+                done[first] = 0
+                parts = [inside[c] + d for c, d in zip(code.tolist(), done.tolist())]
+                lengths = np.array([len(part) for part in parts], dtype=np.int64)
+                flat = np.concatenate(parts)
+                edges = batches.bounds(lengths)[batches.bounds(counts)]
+                flat[edges[:-1]] = 0  # no character, no token
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists], names=["doc_id", "prefix_tokens"])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    slim = docs.select(docs[id_column].alias("doc_id"), docs[text].cast("string").alias("text"))
+    return slim.mapInArrow(run, f"doc_id {kind}, prefix_tokens array<int>")
+
+
+def tokens_of(n_chars: Column | int) -> Column:
+    """Tokens of the first ``n_chars`` characters, of a row of :func:`prefixes`; all of them where the text is shorter."""
+    place = F.least(F.greatest(F.lit(n_chars) if isinstance(n_chars, int) else n_chars, F.lit(0)), F.size("prefix_tokens") - 1)
+    return F.get("prefix_tokens", place)
+
+
+def longest_prefix(budget: Column | int) -> Column:
+    """Characters of the longest prefix with at most ``budget`` tokens, of a row of :func:`prefixes`. Counts may fall from one prefix to the next."""
+    limit = F.lit(budget) if isinstance(budget, int) else budget
+    return F.array_max(F.transform("prefix_tokens", lambda n, at: F.when(n <= limit, at)))
+
+
 def count_tokens(
     docs: DataFrame, model: bytes, budget: int, text: str = "text", id_column: str = "doc_id", tables: bool = False
 ) -> DataFrame:
