@@ -76,7 +76,7 @@ def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxic_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), sentences=False)
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
