@@ -28,12 +28,11 @@ def drift_report(
 ) -> DataFrame:
     """One row per metric: baseline and current mean, change in percent, and whether it drifted.
 
-    ``baseline`` has (metric, value); a metric it lacks counts as 0.
+    ``baseline`` has (metric, value); a metric it lacks counts as 0, of a repeated one the least value counts.
     """
     current = metric_means(features, thresholds).select("metric", F.col("value").alias("current_value"))
-    before = baseline.where(F.col("metric").isin(*thresholds)).select(
-        "metric", round_half_even(F.col("value"), 6).alias("_baseline")
-    )
+    monitored = baseline.where(F.col("metric").isin(*thresholds)).groupBy("metric").agg(F.min("value").alias("value"))
+    before = monitored.select("metric", round_half_even(F.col("value"), 6).alias("_baseline"))
     limit = F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair])[F.col("metric")]
     # one row per monitored metric on either side
     joined = current.join(F.broadcast(before), "metric", "left").select(
