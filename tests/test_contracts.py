@@ -142,3 +142,32 @@ def test_contract_match(spark):
         "5": "ärger_ag_contract.txt",
         "6": None,
     }
+
+
+def test_white_space_ranges_are_those_of_the_lists():
+    import re
+
+    from procurisk.functions.text import LINE_END_CHARS, WS_CHARS
+
+    every = "".join(map(chr, range(0x10000)))
+    assert set(re.findall(f"[{ops.OTHER_ENDS}]", every)) == set(LINE_END_CHARS) - {"\n"}
+    assert set(re.findall(f"[{ops.ODD_BLANKS}]", every)) == set(WS_CHARS) - set(LINE_END_CHARS) - {" "}
+
+
+@settings(max_examples=1, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(st.text("ab.é \t\n\r\x0b\x85  　", max_size=40), min_size=300, max_size=300))
+def test_tidied_texts_are_their_tidied_lines(spark, texts):
+    import re
+
+    from procurisk.functions.text import LINE_END_CHARS, WS_CHARS
+
+    def tidied(text):
+        blocks = []
+        for part in re.split(f"\n[{WS_CHARS}]*\n+", text.strip(WS_CHARS)):
+            lines = [re.sub(f"[{WS_CHARS}]+", " ", line).strip(" ") for line in re.split(f"[{LINE_END_CHARS}]+", part)]
+            blocks.append("\n".join(line for line in lines if line))
+        return "\n\n".join(block for block in blocks if block)
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select("text", ops._tidied(df["text"]).alias("tidied")).collect()
+    assert [r["tidied"] for r in got] == [tidied(r["text"]) for r in got]
