@@ -76,3 +76,14 @@ def test_splitting_contracts_needs_no_shuffle(spark):
     for operator in (contracts.clause_chunks, contracts.clause_sections):
         plan = operator(texts)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and plan.count("posexplode") == 1
+
+
+def test_evidence_is_worked_out_once(spark):
+    for name in ("keyword_topk", "evidence_groups"):
+        plan = plan_of(spark, name)
+        assert plan.count("regexp_extract_all(") == 1, name
+
+
+def test_texts_are_split_and_their_words_looked_up_once(spark):
+    assert "Supplementary Terms" not in plan_of(spark, "chunk_numbers")
+    assert "md5(" not in plan_of(spark, "text_vectors")
