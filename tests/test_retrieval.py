@@ -220,3 +220,11 @@ def test_unasked_scopes_null_and_nan_vectors(spark):
     found = retrieval.top_k_within_scopes(queries, unasked.unionByName(asked.select(*unasked.columns)), 3)
     rows = {r["item_id"]: r["score"] for r in found.collect()}
     assert rows.pop(5002) != rows[5001] and rows == {5001: 2.0, 5000: 0.5}
+
+
+def test_stored_counts_give_the_same_vectors(spark):
+    texts = spark.createDataFrame([(1, "Réseau A1 réseau, naïve"), (2, "x"), (3, ""), (4, "a1 réseau two")], "id long, text string")
+    counted = retrieval.with_word_counts(texts, width=64)
+    plain = retrieval.text_vectors(retrieval.fit_text_vectors(texts, width=64), texts, kind="float64")
+    stored = retrieval.text_vectors(retrieval.fit_text_vectors(counted, width=64), counted, kind="float64")
+    assert stored.columns == plain.columns and sorted(stored.collect()) == sorted(plain.collect())
