@@ -222,6 +222,37 @@ def test_unasked_scopes_null_and_nan_vectors(spark):
     assert rows.pop(5002) != rows[5001] and rows == {5001: 2.0, 5000: 0.5}
 
 
+def test_searches_over_everything_meet_few_blocks(spark, monkeypatch):
+    """Clauses of many names, one each: a vendor without clauses must not meet a block for every name."""
+    sizes = []
+    build = retrieval.vector_index.build_index
+
+    def built(*args, **kwargs):
+        index = build(*args, **kwargs)
+        sizes.append(index.summaries.count())
+        return index
+
+    monkeypatch.setattr(retrieval.vector_index, "build_index", built)
+    random = np.random.default_rng(3)
+    matrix = random.normal(size=(60, 4))
+    clauses = vectors(spark, matrix, "chunk_id").withColumn("vendor_name", F.concat(F.lit("name "), F.format_string("%03d", "chunk_id")))
+    asked = spark.createDataFrame([("a", "other", [1.0, 0.0, 0.0, 0.0])], "vendor_id string, vendor_name string, vector array<double>")
+    got = retrieval.vendor_preferred_top_k(asked, clauses, 3).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in got] == np.argsort(-matrix[:, 0])[:3].tolist()
+    assert {r["scope"] for r in got} == {"all"} and sizes == [60, 1]
+
+
+def test_first_places_with_ties():
+    random = np.random.default_rng(5)
+    for width, k in ((1, 3), (3, 3), (40, 5), (40, 1)):
+        scores = random.integers(0, 6, size=(30, width)).astype(float)
+        scores[scores == 0] = -np.inf
+        row, place = retrieval.vector_index._first_places(scores, k)
+        wanted = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        assert place.tolist() == wanted.ravel().tolist()
+        assert row.tolist() == np.repeat(np.arange(30), wanted.shape[1]).tolist()
+
+
 def test_stored_counts_give_the_same_vectors(spark):
     texts = spark.createDataFrame([(1, "Réseau A1 réseau, naïve"), (2, "x"), (3, ""), (4, "a1 réseau two")], "id long, text string")
     counted = retrieval.with_word_counts(texts, width=64)
