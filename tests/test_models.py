@@ -117,6 +117,31 @@ def test_two_ways_of_scoring_and_another_engine(spark, grown, tmp_path):
     assert right > 85  # of 100, seen in the fit
 
 
+@pytest.mark.parametrize("pairs,counters", [(1, 1 << 22), (50, 1), (1 << 21, 0)])
+def test_counts_do_not_hinge_on_batches(spark, monkeypatch, pairs, counters):
+    """Rows walked a few at a time, and counters kept only where they occur, give the same trees."""
+    monkeypatch.setattr(forest, "PAIRS_AT_ONCE", pairs)
+    monkeypatch.setattr(forest, "COUNTERS", counters)
+    rows = [*rows_of(4), (None, 1, 1.0, 1.0, 1.0, 1.0, 1.0)]  # a row without a key is in no tree
+    model = forest.fit(frame(spark, rows[:-1]), "key", "label", FEATURES, WEIGHTS, trees=6, depth=4, bins=8)
+    got = {(r["tree"], r["node"]): (r["feature"], r["threshold"], r["weight_0"], r["weight_1"]) for r in model.nodes.collect()}
+    assert got == brute_forest(rows[:-1], 6, 4, 8)
+    unkeyed = forest.fit(frame(spark, rows[-1:] * 3), "key", "label", FEATURES, WEIGHTS, trees=6, depth=4, bins=8)
+    assert unkeyed.nodes.count() == 0
+
+
+def test_a_level_makes_no_row_for_each_row_and_tree(spark, monkeypatch):
+    """What a level hands on is bounded by the counters of a batch; a row for each row and tree, joined level by level, was the cost of a fit."""
+    plans = []
+    best_splits = forest._best_splits
+    monkeypatch.setattr(forest, "_best_splits", lambda counted, *rest: plans.append(counted) or best_splits(counted, *rest))
+    forest.fit(frame(spark, rows_of(7)), "key", "label", FEATURES, WEIGHTS, trees=4, depth=3, bins=4)
+    assert len(plans) > 2
+    for counted in plans:
+        plan = counted._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
+
+
 def test_forest_on_awkward_tables(spark, grown):
     rows, model = grown
     odd = [("x", 0, None, None, None, None, None), ("x", 1, 1e300, -1e300, 0.0, 0.0, 0.0), (None, 0, 1.0, 1.0, 1.0, 1.0, 1.0)]
