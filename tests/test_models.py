@@ -142,6 +142,34 @@ def test_a_level_makes_no_row_for_each_row_and_tree(spark, monkeypatch):
         assert "Generate" not in plan and "Join" not in plan
 
 
+def test_scoring_walks_batches(spark, grown):
+    """A walk by expressions inside each row, node after node, was most of the cost of scoring. Rows keep their columns, repeated rows too."""
+    rows, model = grown
+    twice = frame(spark, rows[:20] * 2).withColumn("more", F.array(F.col("key")))
+    scored = model.transform(twice)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+    got = scored.collect()
+    assert scored.columns == [*twice.columns, "probability_1", "prediction"] and len(got) == 40
+    joined = {r["key"]: r["probability_1"] for r in model.probabilities(frame(spark, rows), "key").collect()}
+    assert all(abs(r["probability_1"] - joined[r["key"]]) < 1e-12 and r["more"] == [r["key"]] for r in got)
+    assert all(r["prediction"] == int(r["probability_1"] > 0.5) for r in got)
+
+
+def test_scoring_compares_as_spark_does(spark):
+    """NaN is above every number, for values and for thresholds; a tree may be a single leaf, and numbers of trees may be left out."""
+    nan = float("nan")
+    nodes = [(1, 1, 0, "a", 0.0, 2, 3, 2.0, 2.0), (1, 2, 1, None, None, None, None, 1.0, 0.0), (1, 3, 1, None, None, None, None, 0.0, 1.0)]
+    nodes += [(3, 1, 0, "b", nan, 2, 3, 2.0, 2.0), (3, 2, 1, None, None, None, None, 3.0, 1.0), (3, 3, 1, None, None, None, None, 0.0, 1.0)]
+    nodes += [(4, 1, 0, None, None, None, None, 1.0, 1.0)]
+    model = forest.ForestModel(spark.createDataFrame(nodes, forest.NODES), FEATURES)
+    rows = [(str(a), 0, a, nan, None, None, None) for a in (-1.0, -0.0, 0.5, nan, float("inf"), None)]
+    got = {r["key"]: r["probability_1"] for r in model.transform(frame(spark, rows)).collect()}
+    low, high = 0.75 / 3, 1.75 / 3
+    assert got == {"-1.0": low, "-0.0": low, "0.5": high, "nan": high, "inf": high, "None": low}
+    assert got == {r["key"]: r["probability_1"] for r in model.probabilities(frame(spark, rows), "key").collect()}
+
+
 def test_forest_on_awkward_tables(spark, grown):
     rows, model = grown
     odd = [("x", 0, None, None, None, None, None), ("x", 1, 1e300, -1e300, 0.0, 0.0, 0.0), (None, 0, 1.0, 1.0, 1.0, 1.0, 1.0)]
