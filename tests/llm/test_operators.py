@@ -115,6 +115,27 @@ def test_top_k_of_large_components(spark, monkeypatch):
         assert len(index.steps) <= impact_index.MOST_LEVELS
 
 
+def test_top_k_sends_no_query_copies_through_the_driver(spark, monkeypatch):
+    """Queries look small enough to be broadcast, but a copy of them goes to every block."""
+    random_ = np.random.default_rng(7)
+    rows = [(i, random_.normal(0, 0.12, 16).astype(np.float32).tolist()) for i in range(300)]
+    monkeypatch.setattr(impact_index, "BLOCK_ITEMS", 20)
+    monkeypatch.setattr(impact_index, "QUERY_BATCH", 2)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 1 << 20
+    found = impact_index.top_k(vectors(spark, rows), "vec_id % 50 = 0", 5)
+    assert sorted(map(tuple, found.collect())) == brute_top_k(rows, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_numbers_of_a_block_are_packed_without_loss():
+    for most in (0, 1, 2**15 - 1, 2**15, 2**31 - 1, 2**31, 2**53, 1e300):
+        matrix = np.array([[most, -most, 0.0], [1.0, -1.0, most]])
+        packed = impact_index.packed_numbers(matrix)
+        assert len(packed) <= matrix.nbytes and (impact_index.unpacked_numbers(packed, 2, 3) == matrix).all()
+    assert impact_index.unpacked_numbers(impact_index.packed_numbers(np.zeros((4, 0))), 4, 0).shape == (4, 0)
+
+
 # repetition
 
 
