@@ -1,6 +1,7 @@
 """The block index: exact results, skipped blocks, bounded blocks, stored tables that stay in place."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,30 @@ def test_most_blocks_are_skipped(clustered):
     assert every > 1000 and first + rest < every / 5
 
 
+def test_blocks_are_about_as_many_as_the_items_fill(spark):
+    """A scope of some more blocks than there are centres does not fall apart into the pairs of centres."""
+    matrix = np.random.default_rng(17).normal(size=(6000, 8))
+    items = rows_of(matrix, ["all"] * 6000)
+    index = vector_index.build_index(spark.createDataFrame(items, ITEMS).repartition(4), 3, 20)
+    assert 300 <= index.summaries.count() < 900
+    queries = rows_of(matrix[:10], ["all"] * 10)
+    assert got(vector_index.search(spark.createDataFrame(queries, QUERIES), index, 3)) == brute(queries, items, 3)
+
+
+def test_packed_vectors(spark):
+    """Packed in either way, alone, together and cut out of a longer list, vectors come back bit by bit."""
+    random = np.random.default_rng(19)
+    full, few = random.normal(size=(7, 12)), np.where(random.random((9, 12)) < 0.2, random.normal(size=(9, 12)), 0.0)
+    few[0], few[1, 3], few[2, 0], few[3, 1] = 0.0, np.nan, -0.0, np.inf
+    for matrix in (full, few, np.zeros((3, 0)), np.zeros((4, 1)), np.zeros((2, 500))):
+        back = vector_index.matrix_of(vector_index.packed(matrix))
+        assert back.shape == matrix.shape and back.tobytes() == matrix.tobytes()
+    both, matrix = pa.concat_arrays([vector_index.packed(few), vector_index.packed(full)]), np.vstack([few, full])
+    for start, end in ((0, 16), (3, 12), (9, 16), (2, 5)):
+        assert vector_index.matrix_of(both.slice(start, end - start)).tobytes() == matrix[start:end].tobytes()
+    assert vector_index.packed(few).nbytes < few.nbytes
+
+
 def ancestors(plan, leaf):
     """The nodes above the scan whose line holds ``leaf``."""
     lines = plan.splitlines()
