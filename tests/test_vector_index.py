@@ -88,6 +88,17 @@ def test_packed_vectors(spark):
     assert vector_index.packed(few).nbytes < few.nbytes
 
 
+def test_batches_are_small_only_while_items_are_made_ready(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with vector_index._handing_over(spark, 7):
+        assert spark.conf.get(key) == "7"
+    with pytest.raises(KeyError), vector_index._handing_over(spark, 10**9):
+        assert spark.conf.get(key) == before
+        raise KeyError
+    assert spark.conf.get(key) == before
+
+
 def ancestors(plan, leaf):
     """The nodes above the scan whose line holds ``leaf``."""
     lines = plan.splitlines()
